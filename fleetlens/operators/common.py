@@ -39,8 +39,11 @@ def latest_event_system(ev: DataFrame, tax: DataFrame, key: str = "activo_id") -
     Ties: higher id_evento, then higher taxonomia_id (event ids repeat when
     an order line is duplicated)."""
     e = events_with_system(ev, tax).filter(F.col(key).isNotNull())
-    return latest_per_key(e, key, EVENT_ORDER).select(key, "sistema")
+    return latest_per_key(e, key, event_order()).select(key, "sistema")
+
+
+def event_order(date_col: str = "fecha_evento"):
+    return [F.col(date_col).desc_nulls_last(), F.col("id_evento").desc(), F.col("taxonomia_id").desc()]
 
 
-EVENT_ORDER = [F.col("fecha_evento").desc_nulls_last(), F.col("id_evento").desc(), F.col("taxonomia_id").desc()]
 EVENT_ORDER_SQL = "fecha_evento DESC NULLS LAST, id_evento DESC, taxonomia_id DESC"
