@@ -6,26 +6,11 @@ derives the fleet views from the driver's tables and returns a DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..sources.fixtures import AS_OF, fleet
 from ..operators import panels
-from .oracle_fixtures import with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = with_views(sql)
-        return fn
+from ..sources.fixtures import AS_OF, fleet
+from .registry import ORACLE, QUERIES, register
 
-    return deco
+from . import quality_queries  # noqa: E402,F401  (registers on import)
 
 
 # ---------------------------------------------------------------- K13
