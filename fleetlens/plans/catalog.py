@@ -10,7 +10,7 @@ from ..operators import panels
 from ..sources.fixtures import AS_OF, fleet
 from .registry import ORACLE, QUERIES, register
 
-from . import quality_queries  # noqa: E402,F401  (registers on import)
+from . import quality_queries, panel_queries  # noqa: E402,F401  (register on import)
 
 
 # ---------------------------------------------------------------- K13
