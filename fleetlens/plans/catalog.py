@@ -10,7 +10,7 @@ from ..operators import panels
 from ..sources.fixtures import AS_OF, fleet
 from .registry import ORACLE, QUERIES, register
 
-from . import availability_queries, panel_queries, quality_queries  # noqa: E402,F401  (register on import)
+from . import availability_queries, feature_queries, panel_queries, quality_queries  # noqa: E402,F401  (register on import)
 
 
 # ---------------------------------------------------------------- K13
