@@ -50,6 +50,13 @@ def blank_default(c: str | Column, default: str = vocab.UNCLASSIFIED) -> Column:
     return F.coalesce(F.nullif(F.lower(col_(c)), F.lit("")), F.lit(default))
 
 
+def py_round(x: str | Column, n: int) -> Column:
+    """Python/pandas ``round(x, n)`` on a double: half-even on the binary value (``rint(x*10^n)/10^n``),
+    unlike ``bround`` which rounds the shortest decimal representation."""
+    f = float(10 ** n)
+    return F.rint(col_(x) * F.lit(f)) / F.lit(f)
+
+
 def priority(p: str | Column, thresholds: Mapping[str, float] | None = None) -> Column:
     """priority bucket, ``>=`` at each step. Threshold values may be columns."""
     t = dict(vocab.DEFAULT_THRESHOLDS if thresholds is None else thresholds)

@@ -36,7 +36,11 @@ FROM part
 """
 
 VIEWS["mapeo_sistemas"] = """
-SELECT DISTINCT lower(p_type) AS sistema_fallas, 'rep_' || lower(p_type) AS sistema_repuestos FROM part
+SELECT DISTINCT lower(p_type) AS sistema_fallas, lower(p_type) AS sistema_repuestos FROM part
+"""
+
+VIEWS["mapeo_sistemas_prefijo"] = """
+SELECT sistema_fallas, 'rep_' || sistema_repuestos AS sistema_repuestos FROM mapeo_sistemas
 """
 
 VIEWS["repuestos_maestro"] = """

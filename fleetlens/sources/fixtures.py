@@ -108,7 +108,12 @@ class Fleet:
     def mapeo_sistemas(self) -> DataFrame:
         p = self.raw("part")
         s = F.lower("p_type")
-        return p.select(s.alias("sistema_fallas"), F.concat(F.lit("rep_"), s).alias("sistema_repuestos")).distinct()
+        return p.select(s.alias("sistema_fallas"), s.alias("sistema_repuestos")).distinct()
+
+    @cached_property
+    def mapeo_sistemas_prefijo(self) -> DataFrame:
+        """Variant whose parts vocabulary differs ('rep_' prefix), for the mapping test."""
+        return self.mapeo_sistemas.select("sistema_fallas", F.concat(F.lit("rep_"), "sistema_repuestos").alias("sistema_repuestos"))
 
     @cached_property
     def repuestos_maestro(self) -> DataFrame:
