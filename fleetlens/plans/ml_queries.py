@@ -3,11 +3,13 @@ stand-in score; training/inference with Spark ML are rows-only (no SQL twin exis
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from ..operators import ml as M
+from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, fleet
 from .feature_queries import panel, panel_sql
 from .registry import register
@@ -104,16 +106,17 @@ def m12(spark, d):
 # ------------------------------------------------ real models (rows-only: no SQL twin of tree ensembles)
 @lru_cache(maxsize=4)
 def _trained(spark, d, kind):
-    s = split_frame(spark, d)
-    s = M.to_short(s)
+    # the split panel is read by every fit and by inference: materialise it once in the shared checkpoint folder
+    s = cut_lineage(M.to_short(split_frame(spark, d)))
     feats = M.feature_columns(s)
     train = s.filter("is_train")
-    models = {}
     if kind == "gbt":
-        for h in (7, 30, 90):
-            models[h] = M.train_gbt(train.filter(F.col("horizonte_dias") == h), feats)
+        # one model per horizon; the three fits are independent Spark jobs, submitted concurrently
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            fits = {h: pool.submit(M.train_gbt, train.filter(F.col("horizonte_dias") == h), feats) for h in (7, 30, 90)}
+            models = {h: f.result() for h, f in fits.items()}
     else:
-        models[0] = M.train_rf(train, feats)
+        models = {0: M.train_rf(train, feats)}
     return s, feats, models
 
 
