@@ -162,7 +162,7 @@ def normalize_text(c: str | Column) -> Column:
     x = F.lower(F.coalesce(col_(c), F.lit("")))
     for lit in (".,;:", "!?", "\"'"):
         x = F.replace(x, F.lit(lit), F.lit(""))
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def confidence_band(c: str | Column) -> Column:

@@ -10,7 +10,7 @@ from ..operators import panels
 from ..sources.fixtures import AS_OF, fleet
 from .registry import ORACLE, QUERIES, register
 
-from . import availability_queries, dossier_queries, feature_queries, ml_queries, panel_queries, parts_queries, quality_queries, scoring_queries  # noqa: E402,F401  (register on import)
+from . import availability_queries, classify_queries, dossier_queries, feature_queries, ml_queries, panel_queries, parts_queries, quality_queries, scoring_queries  # noqa: E402,F401  (register on import)
 
 
 # ---------------------------------------------------------------- K13

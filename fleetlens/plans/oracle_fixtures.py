@@ -178,6 +178,18 @@ SELECT * FROM (VALUES ('v1.0', 0.85, 0.75, 0.50, TRUE, DATE '2000-01-01'),
 """
 
 
+VIEWS["modo_falla"] = """
+SELECT * FROM (VALUES (1, 'modo_en_1', 'the,of,and'), (2, 'modo_es_1', 'de,la,que'), (3, 'modo_de_1', 'der,die,und'),
+  (4, 'modo_fr_1', 'le,les,des'), (5, 'modo_es_2', 'el,los,por'), (6, 'modo_en_2', 'to,in,is,that'),
+  (7, 'modo_es_3', 'en,y,del'), (8, 'modo_de_2', 'zu,den,von,mit'), (9, 'modo_compuesto', 'palabra compuesta,xylophone'),
+  (10, 'modo_sin_claves', '')) AS t(id_modo_falla, modo, palabras_claves)
+"""
+
+VIEWS["descripciones"] = """
+SELECT CAST(doc_id AS VARCHAR) AS ot_id, text AS descripcion_falla, lang FROM documents
+"""
+
+
 def availability_sql(start: str, end: str, orders: str = "ordenes_trabajo", assets: str = "activos") -> str:
     """A1-A4 in DuckDB: the asset x day matrix over [start, end]."""
     return f"""

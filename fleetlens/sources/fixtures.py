@@ -28,6 +28,20 @@ from ..functions.columns import priority
 AS_OF = vocab.FIXTURE_AS_OF
 AS_OF_TS = dt.datetime.combine(AS_OF, dt.time())
 
+# Keyword dictionary of the test fixture (mode name, comma-separated keywords), ids 1..10 in this order.
+MODES = [
+    ("modo_en_1", "the,of,and"),
+    ("modo_es_1", "de,la,que"),
+    ("modo_de_1", "der,die,und"),
+    ("modo_fr_1", "le,les,des"),
+    ("modo_es_2", "el,los,por"),
+    ("modo_en_2", "to,in,is,that"),
+    ("modo_es_3", "en,y,del"),
+    ("modo_de_2", "zu,den,von,mit"),
+    ("modo_compuesto", "palabra compuesta,xylophone"),
+    ("modo_sin_claves", ""),
+]
+
 RAW_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -312,6 +326,20 @@ class Fleet:
             rows, "modelo_version string, p1_critica double, p2_alta double, p3_media double, activo boolean, fecha_vigencia date"
         )
 
+    @cached_property
+    def modo_falla(self) -> DataFrame:
+        """Failure-mode keyword dictionary (configuration). Ids match ``taxonomia_fallas.id_modo_falla``;
+        the keywords are frequent words of the test corpus so that overlaps occur. Mode 9 has a keyword
+        with a space (never matches) and mode 10 has none (its taxonomy rows are skipped)."""
+        rows = [(i + 1, m, k) for i, (m, k) in enumerate(MODES)]
+        return self.spark.createDataFrame(rows, "id_modo_falla long, modo string, palabras_claves string")
+
+    @cached_property
+    def descripciones(self) -> DataFrame:
+        """Free-text failure descriptions: the whole text of every document, keyed as an order id."""
+        return self.raw("documents").select(F.col("doc_id").cast("string").alias("ot_id"),
+                                            F.col("text").alias("descripcion_falla"), "lang")
+
     # -- derived -----------------------------------------------------------
     @cached_property
     def disponibilidad_diaria(self) -> DataFrame:
