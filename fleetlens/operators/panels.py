@@ -549,3 +549,52 @@ def risk_ranking(a: DataFrame, sr: DataFrame, ot: DataFrame, ev: DataFrame, tax:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["latest_per_key", "latest_order"]
+
+
+# ------------------------------------------------------------ K38-K40
+PANEL_COLS = ["vista", "metrica", "horizonte_dias", "valor", "nota"]
+
+
+def metric_row(df: DataFrame, vista: str, metrica: str, col: str = "valor", horizon: int | str | None = None,
+               nota: str | None = None) -> DataFrame:
+    """One long-form panel row per input row: (vista, metrica, horizonte_dias, valor, nota)."""
+    h = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
+    return df.select(F.lit(vista).alias("vista"), F.lit(metrica).alias("metrica"), h.cast("int").alias("horizonte_dias"),
+                     F.col(col).cast("double").alias("valor"), F.lit(nota).cast("string").alias("nota"))
+
+
+def missing_metric(spark, vista: str, metrica: str, nota: str = "Tabla faltante") -> DataFrame:
+    """A metric whose optional source table is absent: NULL value plus a note."""
+    return spark.createDataFrame([(vista, metrica, None, None, nota)],
+                                 "vista string, metrica string, horizonte_dias int, valor double, nota string")
+
+
+def store_metrics(prev: DataFrame, new: DataFrame) -> DataFrame:
+    """One current row per (vista, metrica, horizon) with the previous value; metrics not
+    recomputed keep their stored row. The key is null-safe (horizon may be NULL)."""
+    p = prev.select(F.col("vista").alias("_v"), F.col("metrica").alias("_m"), F.col("horizonte_dias").alias("_h"),
+                    F.col("valor").alias("_prev"))
+    key = (new.vista == p._v) & (new.metrica == p._m) & new.horizonte_dias.eqNullSafe(p._h)
+    cur = new.join(p, key, "left").select(*[new[c] for c in new.columns], F.col("_prev").alias("valor_anterior"))
+    cur = cur.select("vista", "metrica", "horizonte_dias", "valor", "valor_anterior", "nota")
+    stale_key = (prev.vista == new.vista) & (prev.metrica == new.metrica) & prev.horizonte_dias.eqNullSafe(new.horizonte_dias)
+    stale = prev.join(new.select("vista", "metrica", "horizonte_dias"), stale_key, "left_anti")
+    if "valor_anterior" not in stale.columns:
+        stale = stale.withColumn("valor_anterior", F.lit(None).cast("double"))
+    return cur.unionByName(stale.select("vista", "metrica", "horizonte_dias", "valor", "valor_anterior", "nota"))
+
+
+def drift(sr: DataFrame, as_of: dt.date, bins: int = 10, limit: float = 0.1) -> DataFrame:
+    """K40 (described, not built in the reference): per horizon, KL divergence of the score histogram of the
+    last 2 weeks against the last 4 weeks over fixed-width bins; 'Drift detectado' above ``limit``."""
+    s = sr.filter(F.col("fecha_scoring") >= ago(as_of, 28)).select(
+        "horizonte_dias", F.least(F.floor(F.col("probabilidad_falla") * bins), F.lit(bins - 1)).cast("int").alias("bin"),
+        (F.col("fecha_scoring") >= ago(as_of, 14)).alias("recent"))
+    h = s.groupBy("horizonte_dias", "bin").agg(F.count(F.when(F.col("recent"), 1)).alias("n_p"), F.count(F.lit(1)).alias("n_q"))
+    tot = h.groupBy("horizonte_dias").agg(F.sum("n_p").alias("t_p"), F.sum("n_q").alias("t_q"))
+    j = h.join(tot, "horizonte_dias")
+    p = F.col("n_p") / F.col("t_p")
+    q = F.col("n_q") / F.col("t_q")
+    kl = j.filter(F.col("n_p") > 0).groupBy("horizonte_dias").agg(F.sum(p * F.log(p / q)).alias("kl"))
+    return kl.select("horizonte_dias", F.round("kl", 9).alias("drift_score"),
+                     F.when(F.col("kl") > limit, "Drift detectado").otherwise("Estable").alias("estado_modelo"))

@@ -10,7 +10,18 @@ from ..operators import panels
 from ..sources.fixtures import AS_OF, fleet
 from .registry import ORACLE, QUERIES, register
 
-from . import availability_queries, classify_queries, dossier_queries, feature_queries, ml_queries, panel_queries, parts_queries, quality_queries, scoring_queries  # noqa: E402,F401  (register on import)
+from . import (  # noqa: E402,F401  (each module registers its queries on import)
+    availability_queries,
+    classify_queries,
+    dossier_queries,
+    feature_queries,
+    ml_queries,
+    panel_queries,
+    parts_queries,
+    quality_queries,
+    scoring_queries,
+)
+from . import run_queries  # noqa: E402,F401  (composes the oracles registered above)
 
 
 # ---------------------------------------------------------------- K13
