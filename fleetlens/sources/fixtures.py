@@ -17,6 +17,8 @@ the real size of the smaller side, and falls back to sort-merge otherwise.
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import priority
+from ..session import scratch_path
 
 AS_OF = vocab.FIXTURE_AS_OF
 AS_OF_TS = dt.datetime.combine(AS_OF, dt.time())
@@ -60,14 +63,51 @@ def taxonomy_id_of(p_type: Column, p_brand: Column) -> Column:
     return F.concat(F.lower(p_type), F.lit(":"), p_brand)
 
 
+# Derived tables that are stored once per session (as the reference's load and nightly jobs store them)
+# instead of being recomputed inside every query.
+STORED = ("activos", "taxonomia_fallas", "ordenes_trabajo", "ot_falla_evento", "repuestos_consumidos",
+          "repuestos_maestro", "scoring_resultados", "feedback_taller", "alertas", "disponibilidad_diaria")
+
+
 class Fleet:
-    """Lazily derived fleet tables for one input directory."""
+    """Derived fleet tables for one input directory.
+
+    With ``store=True`` each table in ``STORED`` is written once as Parquet under the session's
+    ``spark.checkpoint.dir`` (a shared folder on a cluster) on first use and read back from there:
+    downstream queries start from a scan with pushdown and pruning, the lineage is cut, and a lost
+    executor never forces the fleet tables to be recomputed from the raw inputs.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, store: bool | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
         self.as_of_ts = dt.datetime.combine(as_of, dt.time())
+        if store is None:
+            store = os.environ.get("FLEETLENS_STORE_TABLES", "1") != "0"
+        self.store = store
+        self._stored: dict[str, DataFrame] = {}
+        self._root = None
+
+    def __getattribute__(self, name):
+        if name in STORED and object.__getattribute__(self, "store"):
+            stored = object.__getattribute__(self, "_stored")
+            if name not in stored:
+                stored[name] = object.__getattribute__(self, "_write")(name)
+            return stored[name]
+        return object.__getattribute__(self, name)
+
+    def _write(self, name: str) -> DataFrame:
+        if self._root is None:
+            self._root = scratch_path(self.spark, f"fleet-{uuid.uuid4().hex}")
+        df = type(self).__dict__[name].func(self)  # the lazy definition behind the cached_property
+        path = f"{self._root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def store_all(self) -> dict[str, int]:
+        """Write every stored table now (the 'load' step); returns row counts per table."""
+        return {n: getattr(self, n).count() for n in STORED}
 
     # -- raw inputs --------------------------------------------------------
     def raw(self, name: str) -> DataFrame:
