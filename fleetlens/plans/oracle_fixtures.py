@@ -190,6 +190,28 @@ SELECT CAST(doc_id AS VARCHAR) AS ot_id, text AS descripcion_falla, lang FROM do
 """
 
 
+VIEWS["equivalencia_nomenclatura"] = """
+SELECT p_partkey AS id, upper(p_type) AS sistema_ot, p_brand AS componente_ot, 'modo ' || CAST(p_size % 5 AS VARCHAR) AS modo_falla_ot,
+  CAST(p_size AS BIGINT) AS frecuencia,
+  CASE WHEN p_partkey % 10 = 0 THEN lower(p_type) || '_alt' ELSE lower(p_type) END AS sistema_catalogo,
+  p_brand AS componente_catalogo, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 10 + 1 AS id_modo_falla,
+  'modo_' || CAST(CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 10 + 1 AS VARCHAR) AS modo_catalogo,
+  'correctivo' AS tipo_mantenimiento,
+  CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE lower(p_type) || ':' || p_brand END AS taxonomia_id
+FROM part
+"""
+
+VIEWS["ordenes_nuevas"] = f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS ot_id, CAST(o_custkey AS VARCHAR) AS activo_id,
+  o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS fecha_apertura,
+  o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + to_hours(CAST(o_orderkey % 53 AS INTEGER)) AS fecha_cierre,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'emergency' WHEN '2-HIGH' THEN 'Correctiva'
+       WHEN '3-MEDIUM' THEN 'preventiva' WHEN '5-LOW' THEN 'predictiva' END AS tipo_ot,
+  o_totalprice AS costo_total_clp
+FROM orders WHERE o_orderdate >= TIMESTAMP '1999-12-02 00:00:00'
+"""
+
+
 def availability_sql(start: str, end: str, orders: str = "ordenes_trabajo", assets: str = "activos") -> str:
     """A1-A4 in DuckDB: the asset x day matrix over [start, end]."""
     return f"""

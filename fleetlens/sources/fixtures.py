@@ -380,6 +380,39 @@ class Fleet:
         return self.raw("documents").select(F.col("doc_id").cast("string").alias("ot_id"),
                                             F.col("text").alias("descripcion_falla"), "lang")
 
+    @cached_property
+    def equivalencia_nomenclatura(self) -> DataFrame:
+        """Raw (system, component, mode) -> catalogue nomenclature, one row per part, with duplicated
+        taxonomy ids (some pointing at an alternative system) and a few NULL ids."""
+        p = self.raw("part")
+        k = F.col("p_partkey")
+        mode_id = F.regexp_replace("p_brand", "Brand#", "").cast("bigint") % 10 + 1
+        return p.select(
+            k.alias("id"), F.upper("p_type").alias("sistema_ot"), F.col("p_brand").alias("componente_ot"),
+            F.concat(F.lit("modo "), (F.col("p_size") % 5).cast("string")).alias("modo_falla_ot"),
+            F.col("p_size").cast("long").alias("frecuencia"),
+            F.when(k % 10 == 0, F.concat(F.lower("p_type"), F.lit("_alt"))).otherwise(F.lower("p_type")).alias("sistema_catalogo"),
+            F.col("p_brand").alias("componente_catalogo"), mode_id.alias("id_modo_falla"),
+            F.concat(F.lit("modo_"), mode_id.cast("string")).alias("modo_catalogo"),
+            F.lit("correctivo").alias("tipo_mantenimiento"),
+            F.when(k % 97 == 0, F.lit(None)).otherwise(taxonomy_id_of(F.col("p_type"), F.col("p_brand"))).alias("taxonomia_id"),
+        )
+
+    @cached_property
+    def ordenes_nuevas(self) -> DataFrame:
+        """An order batch arriving after the load: the last 60 days re-sent with close dates and costs
+        filled in, plus the orders opened after ``as_of`` (inserts)."""
+        o = self.raw("orders").filter(F.col("o_orderdate") >= F.lit(self.as_of_ts - dt.timedelta(days=60)))
+        k = F.col("o_orderkey")
+        open_ts = _hours(F.col("o_orderdate"), (k % 24).cast("int"))
+        pr = F.col("o_orderpriority")
+        return o.select(
+            k.cast("string").alias("ot_id"), F.col("o_custkey").cast("string").alias("activo_id"),
+            open_ts.alias("fecha_apertura"), _hours(open_ts, (k % 53).cast("int")).alias("fecha_cierre"),
+            F.when(pr == "1-URGENT", "emergency").when(pr == "2-HIGH", "Correctiva").when(pr == "3-MEDIUM", "preventiva")
+            .when(pr == "5-LOW", "predictiva").alias("tipo_ot"),
+            F.col("o_totalprice").alias("costo_total_clp"))
+
     # -- derived -----------------------------------------------------------
     @cached_property
     def disponibilidad_diaria(self) -> DataFrame:
