@@ -22,7 +22,7 @@ from . import (  # noqa: E402,F401  (each module registers its queries on import
     quality_queries,
     scoring_queries,
 )
-from . import run_queries  # noqa: E402,F401  (composes the oracles registered above)
+from . import run_queries, stream_queries  # noqa: E402,F401  (composes the oracles registered above)
 
 
 # ---------------------------------------------------------------- K13
