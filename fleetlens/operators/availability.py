@@ -97,31 +97,31 @@ def availability(ot: DataFrame, ev: DataFrame | None, assets: DataFrame, start:
     up = max(0, 24 - both); all half-even rounded to 2 decimals; ``fuente`` is
     'calculado' when a real interval touched the day or nothing did, else
     'inferido'.
+
+    Generate after join: only the (asset, day) cells with downtime are
+    aggregated; they are folded into one map per asset (at most one entry per
+    day of the range, so bounded), joined to the assets, and the calendar is
+    exploded locally after the join. The asset x day spine - the bulk of the
+    output - is never shuffled.
     """
-    spine = assets.select("activo_id").withColumn(
-        "fecha", F.explode(F.sequence(F.lit(start), F.lit(end)))
-    ).select("activo_id", "fecha", F.lit(0.0).alias("plan"), F.lit(0.0).alias("noplan"),
-             F.lit(None).cast("boolean").alias("calculado"), F.lit(True).alias("in_spine"))
     down = downtime_real(ot, start, end, ev).unionByName(downtime_fallback(ot, start, end, ev))
-    down = down.withColumn("in_spine", F.lit(False))
-    return _matrix(spine.unionByName(down))
-
-
-def _matrix(rows: DataFrame) -> DataFrame:
-    agg = (
-        rows.groupBy("activo_id", "fecha")
-        .agg(
-            F.sum("plan").alias("plan"),
-            F.sum("noplan").alias("noplan"),
-            F.bool_or("calculado").alias("calc"),
-            F.bool_or("in_spine").alias("in_spine"),
-        )
-        .filter("in_spine")
-    )
+    cells = down.groupBy("activo_id", "fecha").agg(
+        F.sum("plan").alias("plan"), F.sum("noplan").alias("noplan"), F.bool_or("calculado").alias("calc"))
+    per_asset = cells.groupBy("activo_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("fecha", F.struct("plan", "noplan", "calc")))).alias("_m"))
+    spine = assets.select("activo_id").join(per_asset, "activo_id", "left") \
+        .select("activo_id", "_m", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("fecha"))
+    v = F.element_at(F.col("_m"), F.col("fecha"))
+    rows = spine.select("activo_id", "fecha", F.coalesce(v["plan"], F.lit(0.0)).alias("plan"),
+                        F.coalesce(v["noplan"], F.lit(0.0)).alias("noplan"), v["calc"].alias("calc"))
+    return _finish(rows)
+
+
+def _finish(rows: DataFrame) -> DataFrame:
     plan = F.least(F.col("plan"), F.lit(24.0))
     noplan = F.least(F.col("noplan"), F.lit(24.0) - plan)
     up = F.greatest(F.lit(0.0), F.lit(24.0) - (plan + noplan))
-    return agg.select(
+    return rows.select(
         "activo_id",
         "fecha",
         F.bround(up, 2).alias("horas_operativas"),
