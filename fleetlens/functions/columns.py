@@ -180,3 +180,28 @@ def confidence_band(c: str | Column) -> Column:
 def metric_delta(cur: str | Column, prev: str | Column) -> Column:
     """current - previous, NULL if either is NULL."""
     return col_(cur) - col_(prev)
+
+
+def next_sequence(ids, code_col: str, group_col: str):
+    """per prefix group, ``MAX(INT(SPLIT_PART(id, '-', 3))) + 1`` over ids LIKE 'OT-%' (one grouped pass)."""
+    seq = F.split_part(F.col(code_col), F.lit("-"), F.lit(3)).cast("int")
+    return ids.filter(F.col(code_col).like("OT-%")).groupBy(group_col).agg(
+        (F.coalesce(F.max(seq), F.lit(0)) + 1).alias("proxima_secuencia")).select(
+        F.concat(F.lit("OT-"), F.col(group_col).cast("string"), F.lit("-")).alias("prefijo"), "proxima_secuencia")
+
+
+def assign_sequence(new_rows, start_col: str, order_cols, out_col: str = "ot_id"):
+    """give a batch of new rows consecutive ids after the group's next sequence (row_number per prefix)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("prefijo").orderBy(*order_cols)
+    return new_rows.withColumn(out_col, F.concat(F.col("prefijo"), (F.col(start_col) + F.row_number().over(w) - 1).cast("string")))
+
+
+def next_order_estimates(with_last):
+    """next order cost = last cost x 1.15 (default 300 000), odometer = last + 150 (default 100)."""
+    cost, odo = F.col("costo_total_clp"), F.col("odometro_km")
+    return with_last.select(
+        "activo_id",
+        F.when(cost.isNotNull() & (cost != 0), cost * 1.15).otherwise(F.lit(300000.0)).alias("costo_estimado"),
+        F.when(odo.isNotNull() & (odo != 0), odo + 150).otherwise(F.lit(100.0)).alias("odometro_estimado"))

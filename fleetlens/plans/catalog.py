@@ -15,6 +15,7 @@ from . import (  # noqa: E402,F401  (each module registers its queries on import
     classify_queries,
     dossier_queries,
     feature_queries,
+    helper_queries,
     ingest_queries,
     ml_queries,
     panel_queries,
