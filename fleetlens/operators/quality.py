@@ -238,3 +238,14 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def demand_coverage(sr: DataFrame, a: DataFrame, csm: DataFrame) -> DataFrame:
+    """Q12: per (brand, model, system at risk) of P1/P2 scores: distinct assets and candidate SKUs in the
+    consumption map (the source compares with 'P1'/'P2', labels that never occur; the real labels are used)."""
+    ap = sr.filter(F.col("prioridad").isin("P1_critica", "P2_alta")).join(a.select("activo_id", "marca", "modelo"), "activo_id") \
+        .select("activo_id", "marca", "modelo", F.col("sistema_en_riesgo").alias("sistema"))
+    c = csm.select("marca", "modelo", "sistema", "sku")
+    j = ap.join(c, ["marca", "modelo", "sistema"], "left")
+    return j.groupBy("marca", "modelo", "sistema").agg(F.count_distinct("activo_id").alias("activos"),
+                                                       F.count_distinct("sku").alias("skus_candidatos"))

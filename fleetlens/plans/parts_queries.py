@@ -391,3 +391,15 @@ def d18(spark, d):
 
 
 __all__ = ["latest_snapshot"]
+
+
+@register("Q12_demand_join_coverage", f"""
+SELECT ap.marca, ap.modelo, ap.sistema, count(DISTINCT ap.activo_id) AS activos, count(DISTINCT c.sku) AS skus_candidatos
+FROM (SELECT sr.activo_id, a.marca, a.modelo, sr.sistema_en_riesgo AS sistema FROM scoring_resultados sr
+      JOIN activos a ON sr.activo_id = a.activo_id WHERE sr.prioridad IN ('P1_critica', 'P2_alta')) ap
+LEFT JOIN {d1_sql()} c ON ap.marca = c.marca AND ap.modelo = c.modelo AND ap.sistema = c.sistema
+GROUP BY ap.marca, ap.modelo, ap.sistema""")
+def q12(spark, d):
+    from ..operators import quality as Q
+    f = F_(spark, d)
+    return Q.demand_coverage(f.scoring_resultados, f.activos, d1_frame(spark, d))

@@ -3,7 +3,7 @@
 The driver ships ``region nation customer supplier part orders lineitem
 events ...``; the maintenance operators need ``activos``, ``ordenes_trabajo``,
 ``ot_falla_evento`` and friends. This module derives them with integer
-modulo rules only, so that the DuckDB oracle (``plans/oracle.py``) can
+modulo rules only, so that the DuckDB oracle (``plans/oracle_fixtures.py``) can
 derive byte-identical views. On a production cluster these would be the
 physical fleet tables; here they are lazy DataFrames over the given tables,
 so every query's work grows with the input.
