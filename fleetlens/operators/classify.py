@@ -170,7 +170,7 @@ def keyword_candidates(orders: DataFrame, cat: DataFrame, text_col: str = "descr
     o = orders.select(F.col(id_col).alias("oid"), normalize_text(text_col).alias("desc_norm"))
     words = o.select("oid", F.explode(F.array_distinct(F.split("desc_norm", " "))).alias("w"))
     kws = cat.select("taxonomia_id", F.size("keywords").alias("n_kw"), F.explode("keywords").alias("w"))
-    g = words.join(F.broadcast(kws), "w").groupBy("oid", "taxonomia_id", "n_kw").agg(F.count(F.lit(1)).alias("n_hit"))
+    g = words.join(kws, "w").groupBy("oid", "taxonomia_id", "n_kw").agg(F.count(F.lit(1)).alias("n_hit"))
     return g.select(F.col("oid").alias(id_col), "taxonomia_id", "n_hit",
                     F.round(F.col("n_hit") / F.col("n_kw"), 12).alias("score_palabras"))
 

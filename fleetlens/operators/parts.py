@@ -86,7 +86,7 @@ def use_per_intervention(rc: DataFrame, ot: DataFrame, ev: DataFrame, tax: DataF
     ``dedupe=False`` keeps the reference's event fan-out (a part counts once per event of its order)."""
     o = ot.filter(F.col("fecha_apertura") >= ago_ts(as_of, days)).select("ot_id")
     e = ev.join(tax.select("taxonomia_id", "sistema"), "taxonomia_id") \
-        .join(F.broadcast(mapping), F.lower(F.col("sistema")) == F.lower(F.col("sistema_fallas"))) \
+        .join(mapping, F.lower(F.col("sistema")) == F.lower(F.col("sistema_fallas"))) \
         .select("ot_id", F.lower("sistema_repuestos").alias("sistema_rep"))
     if dedupe:
         e = e.distinct()
@@ -208,7 +208,7 @@ def interventions(sr: DataFrame, a: DataFrame, ot: DataFrame, ev: DataFrame, tax
 def upcoming_by_system(inter: DataFrame, mapping: DataFrame, horizon_flag: str = "h30") -> DataFrame:
     """Interventions of a horizon per mapped parts system."""
     i = inter.filter((F.col(horizon_flag) == 1) & F.col("sistema").isNotNull())
-    j = i.join(F.broadcast(mapping), F.lower(i.sistema) == F.lower(mapping.sistema_fallas))
+    j = i.join(mapping, F.lower(i.sistema) == F.lower(mapping.sistema_fallas))
     return j.groupBy(F.lower("sistema_repuestos").alias("sistema")).agg(F.count(F.lit(1)).alias("n_intervenciones_proximas"))
 
 
