@@ -37,8 +37,8 @@ def a1(spark, d):
 WITH o AS (SELECT ot.*, {PLANNED} AS planned, sv.sev_rank FROM ordenes_trabajo ot {_SEV}
            WHERE NOT (fecha_cierre IS NOT NULL AND fecha_cierre > fecha_apertura)
              AND CAST(fecha_apertura AS DATE) BETWEEN {S} AND {E}),
-f AS (SELECT *, CASE WHEN sev_rank = 3 THEN 24.0 WHEN sev_rank = 2 THEN 8.0 WHEN sev_rank = 1 THEN 4.0
-                     WHEN planned THEN 4.0 ELSE 8.0 END AS fb FROM o)
+f AS (SELECT *, CAST(CASE WHEN sev_rank = 3 THEN 24.0 WHEN sev_rank = 2 THEN 8.0 WHEN sev_rank = 1 THEN 4.0
+                     WHEN planned THEN 4.0 ELSE 8.0 END AS DOUBLE) AS fb FROM o)
 SELECT activo_id, CAST(fecha_apertura AS DATE) AS fecha, CASE WHEN planned THEN fb ELSE 0.0 END AS plan,
   CASE WHEN planned THEN 0.0 ELSE fb END AS noplan, FALSE AS calculado FROM f""")
 def a2(spark, d):

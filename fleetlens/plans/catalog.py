@@ -40,11 +40,11 @@ sis AS (
   QUALIFY row_number() OVER (PARTITION BY e.activo_id ORDER BY e.fecha_evento DESC NULLS LAST, e.id_evento DESC, e.taxonomia_id DESC) = 1),
 j AS (
   SELECT a.activo_id, a.patente, a.marca, a.modelo, us.prioridad, us.probabilidad_falla, us.fecha_scoring,
-    sis.sistema AS sistema_riesgo, DATE '2000-01-31' - CAST(uo.fecha_apertura AS DATE) AS dias_ultima_ot,
+    sis.sistema AS sistema_riesgo, CAST(DATE '2000-01-31' - CAST(uo.fecha_apertura AS DATE) AS INTEGER) AS dias_ultima_ot,
     COALESCE(a.odometro_km, uo.odometro_km, 0.0) AS km_actual
   FROM activos a JOIN us ON us.activo_id = a.activo_id
   LEFT JOIN uo ON uo.activo_id = a.activo_id LEFT JOIN sis ON sis.activo_id = a.activo_id)
-SELECT *, row_number() OVER (ORDER BY probabilidad_falla DESC NULLS LAST, activo_id) AS orden, 30 AS horizonte_dias
+SELECT *, CAST(row_number() OVER (ORDER BY probabilidad_falla DESC NULLS LAST, activo_id) AS INTEGER) AS orden, 30 AS horizonte_dias
 FROM j ORDER BY probabilidad_falla DESC NULLS LAST, activo_id LIMIT 15
 """)
 def k13_risk_ranking(spark, d):

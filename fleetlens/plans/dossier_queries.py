@@ -122,7 +122,7 @@ def b2(spark, d):
     return labels_frame(spark, d)
 
 
-ALERTS_SQL = f"""(SELECT s.scoring_id, s.activo_id, s.fecha_scoring, date_diff('day', s.fecha_scoring, DATE '{AS_OF}') AS edad_dias,
+ALERTS_SQL = f"""(SELECT s.scoring_id, s.activo_id, s.fecha_scoring, CAST(date_diff('day', s.fecha_scoring, DATE '{AS_OF}') AS INTEGER) AS edad_dias,
     CASE WHEN date_diff('day', s.fecha_scoring, DATE '{AS_OF}') > 2 THEN 'FP_revisada' ELSE 'pendiente' END AS estado
   FROM scoring_resultados s
   WHERE s.horizonte_dias = 30 AND s.prioridad IN ('P1_critica', 'P2_alta')

@@ -30,7 +30,7 @@ def panel_sql(back=180, step=30, windows=(7, 30, 90), horizons=(7, 30, 90), corr
     for w in windows:
         sel += [f"CAST(coalesce(nullif(c{w}, 0), -1) AS INTEGER) AS count_correctivas_{w}d"]
     for w in windows:
-        sel += [f"CASE WHEN n{w} > 0 THEN m{w} ELSE -1.0 END AS costo_total_{w}d"]
+        sel += [f"CASE WHEN n{w} > 0 THEN m{w} ELSE CAST(-1.0 AS DOUBLE) END AS costo_total_{w}d"]
     return f"""
 WITH cuts AS ({cuts}),
 sp AS (SELECT a.activo_id, a.fecha_alta_flota, c.fecha_corte, CAST(c.fecha_corte AS TIMESTAMP) AS cts
@@ -52,12 +52,13 @@ tg AS (
 SELECT agg.activo_id, agg.fecha_corte, CAST(tg.horizonte_dias AS INTEGER) AS horizonte_dias,
   CAST(coalesce(date_diff('day', fecha_alta_flota, agg.fecha_corte), -1) AS INTEGER) AS edad_dias,
   coalesce(date_diff('day', fecha_alta_flota, agg.fecha_corte), -1) / 365.25 AS edad_anos,
-  coalesce(odo, -1.0) AS odometro_actual, coalesce(hor, -1.0) AS horometro_actual,
-  -1.0 AS km_dia_promedio, -1.0 AS horas_dia_promedio,
+  coalesce(odo, CAST(-1.0 AS DOUBLE)) AS odometro_actual, coalesce(hor, CAST(-1.0 AS DOUBLE)) AS horometro_actual,
+  CAST(-1.0 AS DOUBLE) AS km_dia_promedio, CAST(-1.0 AS DOUBLE) AS horas_dia_promedio,
   CAST(coalesce(floor((epoch(cts) - epoch(last_t)) / 86400), -1) AS INTEGER) AS dias_desde_ultima_ot,
   {', '.join(sel)},
-  -1.0 AS mtbf_{max(windows)}d, -1.0 AS dias_ult_correctiva_motor, -1.0 AS dias_ult_correctiva_frenos,
-  -1.0 AS dias_ult_correctiva_transmision, CAST(tg.target AS INTEGER) AS target
+  CAST(-1.0 AS DOUBLE) AS mtbf_{max(windows)}d, CAST(-1.0 AS DOUBLE) AS dias_ult_correctiva_motor,
+  CAST(-1.0 AS DOUBLE) AS dias_ult_correctiva_frenos, CAST(-1.0 AS DOUBLE) AS dias_ult_correctiva_transmision,
+  CAST(tg.target AS INTEGER) AS target
 FROM agg JOIN tg ON agg.activo_id = tg.activo_id AND agg.fecha_corte = tg.fecha_corte"""
 
 

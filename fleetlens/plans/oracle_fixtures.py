@@ -171,9 +171,11 @@ FROM scores WHERE probabilidad_falla >= 0.75
 """
 
 VIEWS["umbrales_prioridad"] = """
-SELECT * FROM (VALUES ('v1.0', 0.85, 0.75, 0.50, TRUE, DATE '2000-01-01'),
-                      ('v1.0', 0.90, 0.80, 0.60, FALSE, DATE '2000-01-15'),
-                      ('v0.9', 0.80, 0.60, 0.30, TRUE, DATE '1999-06-01'))
+SELECT modelo_version, CAST(p1_critica AS DOUBLE) AS p1_critica, CAST(p2_alta AS DOUBLE) AS p2_alta,
+  CAST(p3_media AS DOUBLE) AS p3_media, activo, fecha_vigencia
+FROM (VALUES ('v1.0', 0.85, 0.75, 0.50, TRUE, DATE '2000-01-01'),
+             ('v1.0', 0.90, 0.80, 0.60, FALSE, DATE '2000-01-15'),
+             ('v0.9', 0.80, 0.60, 0.30, TRUE, DATE '1999-06-01'))
   AS t(modelo_version, p1_critica, p2_alta, p3_media, activo, fecha_vigencia)
 """
 

@@ -18,7 +18,8 @@ PRIO_T = """CASE WHEN {p} >= {t}.p1 THEN 'P1_critica' WHEN {p} >= {t}.p2 THEN 'P
 
 
 def th_sql(version: str, as_of: str = f"DATE '{AS_OF}'") -> str:
-    return f"""(SELECT coalesce(max(p1_critica), 0.85) AS p1, coalesce(max(p2_alta), 0.75) AS p2, coalesce(max(p3_media), 0.5) AS p3
+    return f"""(SELECT coalesce(max(p1_critica), CAST(0.85 AS DOUBLE)) AS p1, coalesce(max(p2_alta), CAST(0.75 AS DOUBLE)) AS p2,
+    coalesce(max(p3_media), CAST(0.5 AS DOUBLE)) AS p3
   FROM (SELECT * FROM umbrales_prioridad WHERE modelo_version = '{version}' AND activo = TRUE AND fecha_vigencia <= {as_of}
         QUALIFY row_number() OVER (ORDER BY fecha_vigencia DESC) = 1))"""
 
