@@ -39,10 +39,13 @@ def consumption_map(ot: DataFrame, ev: DataFrame, tax: DataFrame, rc: DataFrame,
     o = ot.select("ot_id", "activo_id")
     aa = a.filter(F.col("marca").isNotNull() & F.col("modelo").isNotNull()).select("activo_id", "marca", "modelo")
     j = e.join(p, "ot_id").join(o, "ot_id").join(aa, "activo_id")
-    return j.groupBy("marca", "modelo", "sistema", "sku").agg(
-        F.sum(F.col("cantidad").cast("decimal(38,4)")).cast("double").alias("cantidad_total"),
-        F.count(F.lit(1)).alias("num_registros_analizados"),
-        F.count_distinct("ot_id").alias("frecuencia_fallos_historico"),
+    # distinct orders as a two-level aggregate (per order first, both levels combine map-side)
+    per_order = j.groupBy("marca", "modelo", "sistema", "sku", "ot_id").agg(
+        F.sum(F.col("cantidad").cast("decimal(38,4)")).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    return per_order.groupBy("marca", "modelo", "sistema", "sku").agg(
+        F.sum("_q").cast("double").alias("cantidad_total"),
+        F.sum("_n").alias("num_registros_analizados"),
+        F.count(F.lit(1)).alias("frecuencia_fallos_historico"),
     ).withColumn("cantidad_promedio", F.col("cantidad_total") / F.col("num_registros_analizados"))
 
 

@@ -167,9 +167,10 @@ def d5_frame(spark, d):
 
 
 def d7_frame(spark, d):
+    # the demand job reads the stored consumption map and SKU history, as the source pipeline does
     f = F_(spark, d)
-    demand = D.projected_demand(f.scoring_resultados, f.activos, d1_frame(spark, d), f.repuestos_maestro,
-                                D.monthly_sku(f.repuestos_consumidos))
+    demand = D.projected_demand(f.scoring_resultados, f.activos, f.consumo_sistema_modelo, f.repuestos_maestro,
+                                f.consumo_sku_historico)
     return D.coverage_action(demand)
 
 
@@ -239,8 +240,8 @@ def d5(spark, d):
 @register("D6_projected_demand", f"SELECT * FROM {D6_SQL}")
 def d6(spark, d):
     f = F_(spark, d)
-    return D.projected_demand(f.scoring_resultados, f.activos, d1_frame(spark, d), f.repuestos_maestro,
-                              D.monthly_sku(f.repuestos_consumidos))
+    return D.projected_demand(f.scoring_resultados, f.activos, f.consumo_sistema_modelo, f.repuestos_maestro,
+                              f.consumo_sku_historico)
 
 
 @register("D7_coverage_action", f"SELECT * FROM {D7_SQL}")
@@ -257,7 +258,8 @@ def d8(spark, d):
 SELECT round(CASE WHEN count(*) > 0 THEN CAST(count(CASE WHEN cobertura_dias >= lead_time_dias THEN 1 END) AS DOUBLE)
   / count(*) * 100.0 END, 9) AS valor FROM {D8_SQL} WHERE demanda_30d_prediccion > 0""")
 def k30(spark, d):
-    return D.stock_coverage(D.critical_panel(d7_frame(spark, d)))
+    # the metric reads the stored critical-parts panel written by the daily demand job
+    return D.stock_coverage(F_(spark, d).repuestos_panel_criticos)
 
 
 @register("D11_interventions", f"SELECT * FROM {inter_sql()}")
@@ -314,7 +316,7 @@ SELECT i.patente, i.tipo, i.sistema, i.urgencia, i.costo_estimado, i.costo_no_in
 FROM i LEFT JOIN t ON i.patente = t.patente""")
 def d14(spark, d):
     f = F_(spark, d)
-    return D.interventions_with_parts(inter_frame(spark, d), f.activos, d1_frame(spark, d), f.repuestos_maestro, 30)
+    return D.interventions_with_parts(inter_frame(spark, d), f.activos, f.consumo_sistema_modelo, f.repuestos_maestro, 30)
 
 
 @register("D15_stock_view", f"""
@@ -402,4 +404,4 @@ GROUP BY ap.marca, ap.modelo, ap.sistema""")
 def q12(spark, d):
     from ..operators import quality as Q
     f = F_(spark, d)
-    return Q.demand_coverage(f.scoring_resultados, f.activos, d1_frame(spark, d))
+    return Q.demand_coverage(f.scoring_resultados, f.activos, f.consumo_sistema_modelo)

@@ -66,7 +66,7 @@ def run_panels(spark, d, as_of=AS_OF):
         k.metric_row(conf, V3, "Matriz FP", col="fp"),
         k.metric_row(conf, V3, "Matriz FN", col="fn"),
         k.metric_row(conf, V3, "Matriz TN", col="tn"),
-        k.metric_row(D.stock_coverage(D.critical_panel(partsq.d7_frame(spark, d))), V3, "Cobertura stock"),
+        k.metric_row(D.stock_coverage(f.repuestos_panel_criticos), V3, "Cobertura stock"),
     ]
     out = rows[0]
     for r in rows[1:]:

@@ -66,7 +66,17 @@ def taxonomy_id_of(p_type: Column, p_brand: Column) -> Column:
 # Derived tables that are stored once per session (as the reference's load and nightly jobs store them)
 # instead of being recomputed inside every query.
 STORED = ("activos", "taxonomia_fallas", "ordenes_trabajo", "ot_falla_evento", "repuestos_consumidos",
-          "repuestos_maestro", "scoring_resultados", "feedback_taller", "alertas", "disponibilidad_diaria")
+          "repuestos_maestro", "scoring_resultados", "feedback_taller", "alertas", "disponibilidad_diaria",
+          "consumo_sistema_modelo", "consumo_sku_historico", "repuestos_panel_criticos")
+
+
+# Dependency waves of the stored tables (a table only reads stored tables of earlier waves).
+LOAD_WAVES = (
+    ("activos", "taxonomia_fallas", "ordenes_trabajo", "repuestos_maestro", "scoring_resultados", "alertas"),
+    ("ot_falla_evento", "repuestos_consumidos", "feedback_taller"),
+    ("disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico"),
+    ("repuestos_panel_criticos",),
+)
 
 
 class Fleet:
@@ -105,8 +115,18 @@ class Fleet:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def store_all(self) -> dict[str, int]:
-        """Write every stored table now (the 'load' step); returns row counts per table."""
+    def store_all(self, parallel: int = 4) -> dict[str, int]:
+        """Write every stored table now (the 'load' step), in dependency waves; the tables of a wave are
+        independent Spark jobs submitted concurrently. Returns row counts per table."""
+        if not self.store:
+            return {n: getattr(self, n).count() for n in STORED}
+        if self._root is None:
+            self._root = scratch_path(self.spark, f"fleet-{uuid.uuid4().hex}")
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            for wave in LOAD_WAVES:
+                list(pool.map(lambda n: getattr(self, n), wave))
         return {n: getattr(self, n).count() for n in STORED}
 
     # -- raw inputs --------------------------------------------------------
@@ -414,6 +434,30 @@ class Fleet:
             F.col("o_totalprice").alias("costo_total_clp"))
 
     # -- derived -----------------------------------------------------------
+    @cached_property
+    def consumo_sistema_modelo(self) -> DataFrame:
+        """D1 consumption map, stored as the weekly job stores it."""
+        from ..operators.parts import consumption_map
+
+        return consumption_map(self.ordenes_trabajo, self.ot_falla_evento, self.taxonomia_fallas,
+                               self.repuestos_consumidos, self.activos)
+
+    @cached_property
+    def consumo_sku_historico(self) -> DataFrame:
+        """D3 monthly consumption per SKU, stored."""
+        from ..operators.parts import monthly_sku
+
+        return monthly_sku(self.repuestos_consumidos)
+
+    @cached_property
+    def repuestos_panel_criticos(self) -> DataFrame:
+        """D6-D8 critical-parts panel, stored as the daily demand job stores it."""
+        from ..operators.parts import coverage_action, critical_panel, projected_demand
+
+        demand = projected_demand(self.scoring_resultados, self.activos, self.consumo_sistema_modelo,
+                                  self.repuestos_maestro, self.consumo_sku_historico)
+        return critical_panel(coverage_action(demand))
+
     @cached_property
     def disponibilidad_diaria(self) -> DataFrame:
         from ..operators.availability import availability
