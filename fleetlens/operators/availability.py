@@ -109,7 +109,10 @@ def availability(ot: DataFrame, ev: DataFrame | None, assets: DataFrame, start:
         F.sum("plan").alias("plan"), F.sum("noplan").alias("noplan"), F.bool_or("calculado").alias("calc"))
     per_asset = cells.groupBy("activo_id").agg(
         F.map_from_entries(F.collect_list(F.struct("fecha", F.struct("plan", "noplan", "calc")))).alias("_m"))
-    spine = assets.select("activo_id").join(per_asset, "activo_id", "left") \
+    # the assets table is small in bytes but its calendar is the bulk of the output: spread the asset ids over
+    # the shuffle partitions first (on the join key, so a sort-merge join reuses this partitioning)
+    parts = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spine = assets.select("activo_id").repartition(parts, "activo_id").join(per_asset, "activo_id", "left") \
         .select("activo_id", "_m", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("fecha"))
     v = F.element_at(F.col("_m"), F.col("fecha"))
     rows = spine.select("activo_id", "fecha", F.coalesce(v["plan"], F.lit(0.0)).alias("plan"),

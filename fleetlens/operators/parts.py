@@ -38,7 +38,8 @@ def consumption_map(ot: DataFrame, ev: DataFrame, tax: DataFrame, rc: DataFrame,
         .select("ot_id", "sku", "cantidad")
     o = ot.select("ot_id", "activo_id")
     aa = a.filter(F.col("marca").isNotNull() & F.col("modelo").isNotNull()).select("activo_id", "marca", "modelo")
-    j = e.join(p, "ot_id").join(o, "ot_id").join(aa, "activo_id")
+    # the small side first (events -> order -> asset), the large parts join last: one shuffle of the big result
+    j = e.join(o, "ot_id").join(aa, "activo_id").join(p, "ot_id")
     # distinct orders as a two-level aggregate (per order first, both levels combine map-side)
     per_order = j.groupBy("marca", "modelo", "sistema", "sku", "ot_id").agg(
         F.sum(F.col("cantidad").cast("decimal(38,4)")).alias("_q"), F.count(F.lit(1)).alias("_n"))
@@ -132,9 +133,12 @@ def projected_demand(sr: DataFrame, a: DataFrame, csm: DataFrame, rm: DataFrame,
     x consumption map on (brand, model, system) -> projected demand per SKU."""
     ap = sr.filter(F.col("prioridad").isin(*vocab.URGENT)).join(a.select("activo_id", "marca", "modelo"), "activo_id") \
         .select("activo_id", "marca", "modelo", "sistema_en_riesgo", "prioridad").distinct()
-    c = csm.select("marca", "modelo", "sistema", "sku", "cantidad_promedio", "frecuencia_fallos_historico")
-    j = ap.join(c, (ap.marca == c.marca) & (ap.modelo == c.modelo) & (ap.sistema_en_riesgo == c.sistema))
-    g = j.groupBy("sku").agg(F.sum(F.col("cantidad_promedio").cast("decimal(38,6)")).alias("_tot"))
+    # pre-aggregate before the join: demand per SKU is a sum over (asset, label) rows, so count those rows per
+    # (brand, model, system) group and join the groups, not every asset, to the consumption map
+    groups = ap.groupBy("marca", "modelo", F.col("sistema_en_riesgo").alias("sistema")).agg(F.count(F.lit(1)).alias("_n"))
+    c = csm.select("marca", "modelo", "sistema", "sku", "cantidad_promedio")
+    j = groups.join(c, ["marca", "modelo", "sistema"])
+    g = j.groupBy("sku").agg(F.sum(F.col("cantidad_promedio").cast("decimal(38,6)") * F.col("_n")).alias("_tot"))
     out = g.join(rm.select("sku", "descripcion", "stock_actual", "lead_time_dias_promedio", "criticidad"), "sku", "left") \
         .join(hist.select("sku", F.col("consumo_promedio_mensual").alias("demanda_historico")), "sku", "left")
     return out.select("sku", "descripcion", "stock_actual", half_up(F.col("_tot"), 2).alias("demanda_prediccion"),
@@ -164,8 +168,8 @@ def critical_panel(c: DataFrame, ok_top: int = 10) -> DataFrame:
     urgent = F.lower(F.col("accion")).contains("urgente")
     buy = F.lower(F.col("accion")).contains("comprar") & ~urgent
     ok = F.col("accion") == "✅ OK"
-    ok_rows = top_n_per_key(c.filter(ok).withColumn("_g", F.lit(1)), "_g",
-                            [F.col("demanda_30d_prediccion").desc(), F.col("sku")], ok_top).drop("_g")
+    # a global top-k: every task keeps its own k rows, only those reach the final merge
+    ok_rows = c.filter(ok).orderBy(F.col("demanda_30d_prediccion").desc(), F.col("sku")).limit(ok_top)
     return c.filter(urgent).unionByName(c.filter(buy)).unionByName(ok_rows)
 
 
