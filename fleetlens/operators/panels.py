@@ -408,12 +408,15 @@ def confusion(sr: DataFrame, fb: DataFrame, reviewed_only: bool = False) -> Data
 
 def next_corrective_after(fb: DataFrame, ot: DataFrame, strict: bool = True,
                           corrective: tuple[str, ...] = ("correctiva",)) -> DataFrame:
-    """Per feedback row, the first corrective order of its asset opened after the alert.
+    """Per feedback row, the first corrective order of its asset opened after the alert (unbounded).
 
-    Written as union + ordered window instead of a range join: per asset the
-    feedback and order rows are merged in time order and a running ``min`` of
-    later order times is carried back, so the cost is linear in the rows of the
-    asset (the range join would pair every alert with every order).
+    A segmented scan instead of a range join (which would pair every alert with every later order) or one
+    ordered window per asset (which would put a hot asset's whole history in one task):
+
+    1. inside each (asset, month) segment, feedback and order rows are merged in time order and a running
+       ``min`` of later order times is carried back - a window over one segment only;
+    2. for alerts with no later order in their own month, the answer is the earliest order of the first
+       later month that has one: per (asset, month) minima (one row per month) carried back over months.
     """
     alert_ts = F.to_timestamp_ntz(F.col("fecha_alerta"))
     a = fb.select("feedback_id", "activo_id", alert_ts.alias("ts"), F.lit(0).alias("kind"),
@@ -421,12 +424,26 @@ def next_corrective_after(fb: DataFrame, ot: DataFrame, strict: bool = True,
     o = ot.filter(lower_in("tipo_ot", corrective)).select(
         F.lit(None).cast("string").alias("feedback_id"), "activo_id", F.col("fecha_apertura").alias("ts"),
         F.lit(1).alias("kind"), F.col("fecha_apertura").alias("o_ts"))
-    # Descending time; on equal times feedback (kind 0) sorts first for '>' and orders first for '>='.
+    seg = F.trunc(F.to_date("ts"), "MM")
+    u = a.unionByName(o).withColumn("seg", seg)
+    # descending time; on equal times feedback (kind 0) sorts first for '>' and orders first for '>='
     kind_order = F.col("kind").asc() if strict else F.col("kind").desc()
-    w = Window.partitionBy("activo_id").orderBy(F.col("ts").desc(), kind_order).rowsBetween(
+    w = Window.partitionBy("activo_id", "seg").orderBy(F.col("ts").desc(), kind_order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    within = u.withColumn("next_in_seg", F.min("o_ts").over(w)).filter(F.col("kind") == 0)
+    firsts = o.withColumn("seg", seg).groupBy("activo_id", "seg").agg(F.min("o_ts").alias("seg_min"))
+    # month-level rows (at most one order row and one alert row per asset and month), scanned newest first:
+    # the running min of strictly later months' minima
+    alert_segs = within.select("activo_id", "seg").distinct().select(
+        "activo_id", "seg", F.lit(None).cast("timestamp_ntz").alias("seg_min"), F.lit(0).alias("k"))
+    seg_rows = firsts.select("activo_id", "seg", "seg_min", F.lit(1).alias("k")).unionByName(alert_segs)
+    later = Window.partitionBy("activo_id").orderBy(F.col("seg").desc(), F.col("k").asc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    u = a.unionByName(o).withColumn("next_ot", F.min("o_ts").over(w))
-    return u.filter(F.col("kind") == 0).select("feedback_id", "activo_id", F.col("ts").alias("alerta_ts"), "next_ot")
+    nearest = seg_rows.withColumn("from_later", F.min("seg_min").over(later)).filter(F.col("k") == 0) \
+        .select("activo_id", "seg", "from_later")
+    res = within.join(nearest, ["activo_id", "seg"], "left")
+    return res.select("feedback_id", "activo_id", F.col("ts").alias("alerta_ts"),
+                      F.coalesce("next_in_seg", "from_later").alias("next_ot"))
 
 
 def mean_anticipation(fb: DataFrame, ot: DataFrame, variant: str = "strict") -> DataFrame:

@@ -214,3 +214,18 @@ def test_all_pending_feedback(spark):
     assert (r["pendientes"], r["pct_confirmadas"], r["pct_pendientes"]) == (2, 0.0, 100.0)
     empty = K.feedback_counts(fb.limit(0)).collect()[0]
     assert empty["pct_confirmadas"] == 0.0
+
+
+def test_next_corrective_across_months(spark):
+    # alert at midnight of D0: an order at exactly that instant counts only for '>=', a later one in the
+    # same month for both; alerts with nothing later in their month take the first order of a later month
+    fb = spark.createDataFrame([("f1", "a", D0), ("f2", "b", D0), ("f3", "c", D0)],
+                               "feedback_id string, activo_id string, fecha_alerta date")
+    ot = orders(spark, [("o1", "a", ts(D0), None, "correctiva"), ("o2", "a", ts(D0, 5), None, "correctiva"),
+                        ("o3", "b", ts(D0 + dt.timedelta(days=70)), None, "correctiva"),
+                        ("o4", "b", ts(D0 + dt.timedelta(days=40)), None, "correctiva"),
+                        ("o5", "c", ts(D0 - dt.timedelta(days=1)), None, "correctiva")])
+    strict = {r["feedback_id"]: r["next_ot"] for r in K.next_corrective_after(fb, ot, strict=True).collect()}
+    incl = {r["feedback_id"]: r["next_ot"] for r in K.next_corrective_after(fb, ot, strict=False).collect()}
+    assert strict == {"f1": ts(D0, 5), "f2": ts(D0 + dt.timedelta(days=40)), "f3": None}
+    assert incl["f1"] == ts(D0) and incl["f2"] == ts(D0 + dt.timedelta(days=40))
