@@ -144,7 +144,8 @@ def availability_touched(ot: DataFrame, ev: DataFrame | None, start: dt.date, en
     return availability(touching, ev, assets, start, end)
 
 
-def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | None, as_of: dt.date) -> DataFrame:
+def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | None, as_of: dt.date,
+                             spine: str = "touched", assets: DataFrame | None = None) -> DataFrame:
     """A6 + S8: recompute from (last date - 1) or as_of - 3 when empty, replace that asset x date range.
 
     The high-water mark is one scalar aggregate; the replacement is a
@@ -152,7 +153,12 @@ def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | Non
     """
     last = prev.agg(F.max("fecha")).first()[0]
     start = (last - dt.timedelta(days=1)) if last is not None else as_of - dt.timedelta(days=3)
-    new = availability_touched(ot, ev, start, as_of)
+    if spine == "all":  # every asset gets rows for the new days (the full rebuild's behaviour)
+        new = availability(ot.filter((F.to_date("fecha_apertura") <= F.lit(as_of))
+                                     & (F.col("fecha_cierre").isNull() | (F.to_date("fecha_cierre") >= F.lit(start)))),
+                           ev, assets, start, as_of)
+    else:  # as the source: only assets with an order touching the period
+        new = availability_touched(ot, ev, start, as_of)
     kept = prev.join(new.select("activo_id", "fecha"), ["activo_id", "fecha"], "left_anti")
     return kept.unionByName(new)
 

@@ -41,8 +41,12 @@ def _epoch(c: Column) -> Column:
 def feature_panel(a: DataFrame, ot: DataFrame, as_of: dt.date, back: int = 180, step: int = 30,
                   horizons: Sequence[int] = vocab.HORIZONS, windows: Sequence[int] = (7, 30, 90),
                   corrective: Sequence[str] = vocab.CORRECTIVE, target_closed: str = "right",
-                  active_mode: str = "activo") -> DataFrame:
-    """P2-P6 (P8 through the parameters): one row per (active asset, cut-off, horizon)."""
+                  active_mode: str = "activo", drop_unenrolled: bool = False,
+                  complete_targets_only: bool = False) -> DataFrame:
+    """P2-P6 (P8 through the parameters): one row per (active asset, cut-off, horizon).
+
+    ``drop_unenrolled`` removes assets enrolled after the cut-off (the source keeps them with a negative
+    age); ``complete_targets_only`` removes cut-offs whose target window ends after ``as_of``."""
     n = len(range(0, back, step))
     S = step * DAY
     W = max(windows)
@@ -166,7 +170,12 @@ def feature_panel(a: DataFrame, ot: DataFrame, as_of: dt.date, back: int = 180,
     out += [F.lit(-1.0).alias(f"mtbf_{max(windows)}d")]
     out += [F.lit(-1.0).alias(f"dias_ult_correctiva_{s}") for s in ("motor", "frenos", "transmision")]
     out += [target.cast("int").alias("target")]
-    return base.select(*out)
+    res = base.select(*out)
+    if drop_unenrolled:
+        res = res.filter(F.col("edad_dias") >= 0)
+    if complete_targets_only:
+        res = res.filter(F.date_add("fecha_corte", F.col("horizonte_dias")) <= F.lit(as_of))
+    return res
 
 
 def days_since_corrective_by_system(ot: DataFrame, ev: DataFrame, tax: DataFrame, as_of: dt.date,

@@ -50,6 +50,11 @@ def consumption_map(ot: DataFrame, ev: DataFrame, tax: DataFrame, rc: DataFrame,
     ).withColumn("cantidad_promedio", F.col("cantidad_total") / F.col("num_registros_analizados"))
 
 
+def orders_after(ot: DataFrame, high_water_mark) -> DataFrame:
+    """D2 increment: orders strictly after the stored high-water mark (``>``: no order counted twice)."""
+    return ot if high_water_mark is None else ot.filter(F.col("fecha_apertura") > F.lit(high_water_mark))
+
+
 def merge_consumption(old: DataFrame, new: DataFrame) -> DataFrame:
     """Incremental merge of D1 (full outer on the key): summed totals and counts, weighted mean
     rounded to 2 decimals. Orders must not straddle the two inputs (high-water mark is exclusive)."""
@@ -128,9 +133,16 @@ def corrective_cost_by_system(ot: DataFrame, ev: DataFrame, tax: DataFrame) -> D
 
 
 # ---------------------------------------------------------------- demand panel
-def projected_demand(sr: DataFrame, a: DataFrame, csm: DataFrame, rm: DataFrame, hist: DataFrame) -> DataFrame:
-    """P1/P2 assets (every scoring row, an asset counted once per priority label, as in the source)
-    x consumption map on (brand, model, system) -> projected demand per SKU."""
+def projected_demand(sr: DataFrame, a: DataFrame, csm: DataFrame, rm: DataFrame, hist: DataFrame,
+                     snapshot: str = "all") -> DataFrame:
+    """P1/P2 assets x consumption map on (brand, model, system) -> projected demand per SKU.
+
+    ``snapshot='all'`` (default, as the source) reads every scoring row, so an asset counts once per priority
+    label it ever had; ``'latest'`` reads only the latest snapshot of each horizon."""
+    if snapshot == "latest":
+        from .panels import latest_snapshot
+
+        sr = latest_snapshot(sr)
     ap = sr.filter(F.col("prioridad").isin(*vocab.URGENT)).join(a.select("activo_id", "marca", "modelo"), "activo_id") \
         .select("activo_id", "marca", "modelo", "sistema_en_riesgo", "prioridad").distinct()
     # pre-aggregate before the join: demand per SKU is a sum over (asset, label) rows, so count those rows per
@@ -237,13 +249,16 @@ def required_stock(rm: DataFrame, use: DataFrame, upcoming: DataFrame) -> DataFr
 
 
 def parts_plan(scores: DataFrame, rm: DataFrame, cost: DataFrame, use: DataFrame, lead_time_critical: float = 15.0,
-               actionable: Sequence[str] = vocab.URGENT) -> DataFrame:
+               actionable: Sequence[str] = vocab.URGENT, mapping: DataFrame | None = None) -> DataFrame:
     """(asset x system x sku) plan from one scoring snapshot.
 
     Systems come from F16 (``'A | B'`` -> rows); a system with no master SKU yields one
     ``SIN_MAESTRO`` row. Demand = p x mean use per corrective order (default 1)."""
     s = scores.select("activo_id", F.coalesce("probabilidad_falla", F.lit(0.0)).alias("p"), "prioridad",
                       F.explode(system_list("sistema_en_riesgo")).alias("sistema"))
+    if mapping is not None:  # failure vocabulary -> parts vocabulary (the source skips this step)
+        m = mapping.select(F.lower("sistema_fallas").alias("sistema"), F.lower("sistema_repuestos").alias("_rep"))
+        s = s.join(m, "sistema", "left").withColumn("sistema", F.coalesce("_rep", "sistema")).drop("_rep")
     s = s.join(cost, "sistema", "left")
     ev_cost = F.when(F.coalesce(F.col("costo_correctivo_medio"), F.lit(0.0)) != 0, F.col("p") * F.col("costo_correctivo_medio"))
     master = rm.filter(F.col("activo") == F.lit(True)).select(

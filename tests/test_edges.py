@@ -229,3 +229,25 @@ def test_next_corrective_across_months(spark):
     incl = {r["feedback_id"]: r["next_ot"] for r in K.next_corrective_after(fb, ot, strict=False).collect()}
     assert strict == {"f1": ts(D0, 5), "f2": ts(D0 + dt.timedelta(days=40)), "f3": None}
     assert incl["f1"] == ts(D0) and incl["f2"] == ts(D0 + dt.timedelta(days=40))
+
+
+def test_incremental_spine_modes(spark):
+    start = D0 - dt.timedelta(days=5)
+    a = assets(spark, ["a", "b"])
+    ot = orders(spark, [("o1", "a", ts(D0, 1), ts(D0, 3), "correctiva")])
+    prev = A.availability(orders(spark, []), None, a, start, D0 - dt.timedelta(days=2))
+    touched = A.availability_incremental(prev, ot, None, D0)
+    full = A.availability_incremental(prev, ot, None, D0, spine="all", assets=a)
+    # 'touched' leaves asset b without rows for the new days; 'all' equals a full rebuild
+    assert touched.filter("activo_id = 'b' AND fecha > date_sub(current_date(), 100000)").count() == 4
+    assert full.count() == A.availability(ot, None, a, start, D0).count() == 12
+
+
+def test_panel_options(spark):
+    ot = orders(spark, [("o1", "a", ts(D0 - dt.timedelta(days=1)), None, "correctiva")])
+    late = spark.createDataFrame([("a", "P-a", D0 + dt.timedelta(days=10), "Activo")],
+                                 "activo_id string, patente string, fecha_alta_flota date, estado_actual string")
+    p = P.feature_panel(late, ot, D0, back=1, step=1)
+    assert p.filter("edad_dias < 0").count() == 3
+    assert P.feature_panel(late, ot, D0, back=1, step=1, drop_unenrolled=True).count() == 0
+    assert P.feature_panel(late, ot, D0, back=1, step=1, complete_targets_only=True).count() == 0
