@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from .windows import chrono_split
 
 ID_COLS = ("target", "activo_id", "fecha_corte", "horizonte_dias", "patente", "marca", "modelo", "tipo_vehiculo",
@@ -121,6 +121,8 @@ def running_totals(df: DataFrame, group: str, order: str, cols: Sequence[str], d
         "_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     if descending:
         b = b.withColumn("_b", F.lit(buckets) - F.col("_b"))
+    # the bucket totals and the in-bucket sums must see one bucket assignment: materialise it once
+    b = cut_lineage(b)
     tot = b.groupBy(group, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w_off = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(group, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in cols])

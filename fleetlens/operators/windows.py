@@ -67,26 +67,40 @@ def severity_rank(c: str | Column) -> Column:
     return F.when(s.isin("critica", "crítica"), 3).when(s == "media", 2).when(s == "leve", 1).otherwise(0)
 
 
+def distributed_row_number(df: DataFrame, order: Sequence[str], out: str = "_rownum", partitions: int | None = None) -> DataFrame:
+    """Exact ``row_number() OVER (ORDER BY order...)`` without a single-partition window.
+
+    The rows are range-partitioned on the order key (each task receives one contiguous key range), numbered
+    inside their range, and shifted by the exact number of rows in the preceding ranges (one count per
+    range: ``partitions`` rows). The order key must be unique for the numbering to be deterministic. The
+    ranged rows are checkpointed so the per-range counts and the numbering read the same assignment.
+    """
+    from ..session import cut_lineage
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # materialised once (reliable checkpoint in the shared folder): the counts and the numbering must see the
+    # same range boundaries, and a recomputation could sample different ones
+    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))  # n rows
+    inside = Window.partitionBy("_pid").orderBy(*[F.col(c) for c in order])
+    return ranged.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(offsets), "_pid") \
+        .withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off")
+
+
 def chrono_split(df: DataFrame, part: str, period: str, order_key: str, frac: float = 0.7,
                  flag: str = "is_train") -> DataFrame:
     """The first ``int(n * frac)`` rows per ``part`` in (period, order_key) order.
 
-    A window over the whole ``part`` (a horizon holds a third of the panel)
-    would pull that third into one task. Instead: counts per (part, period)
-    are tiny, their running sum gives each period's offset, and the rank
-    inside a period is a window over one (part, period) slice only.
-    """
-    counts = df.groupBy(part, period).agg(F.count(F.lit(1)).alias("_n"))
-    w_cum = Window.partitionBy(part).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(part)))
-        .drop("_n")
-    )
-    w = Window.partitionBy(part, period).orderBy(order_key)
-    return (
-        df.join(offsets, [part, period])
-        .withColumn("_rank", F.col("_before") + F.row_number().over(w))
-        .withColumn(flag, F.col("_rank") <= F.floor(F.col("_total") * F.lit(frac)))
-        .drop("_before", "_total", "_rank")
-    )
+    A window over a whole ``part`` (a horizon is a third of the panel), or even over one (part, period)
+    slice (every asset), would grow with the data inside one task. Instead the rows get an exact global
+    row number over (part, period, order_key) (``distributed_row_number``), and the rank inside ``part`` is
+    that number minus the rows of the preceding parts (one count per part)."""
+    numbered = distributed_row_number(df, [part, period, order_key], "_g")
+    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_total"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))  # one row per part
+    return (numbered.join(F.broadcast(sizes), part)
+            .withColumn(flag, (F.col("_g") - F.col("_before")) <= F.floor(F.col("_total") * F.lit(frac)))
+            .drop("_g", "_total", "_before"))
