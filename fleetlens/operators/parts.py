@@ -377,11 +377,9 @@ def recommendations_v1(sr: DataFrame, a: DataFrame, ot: DataFrame, ev: DataFrame
         half_up(F.sum(F.col("costo_total_clp").cast("decimal(38,2)")) / F.count("costo_total_clp"), 0).alias("_cly"))
     cost_c = ots.filter(F.lower("tipo_ot") == "correctiva").groupBy("sistema").agg(
         (F.sum(F.col("costo_total_clp").cast("decimal(38,2)")) / F.count("costo_total_clp")).cast("double").alias("_cc"))
-    parts = rc.join(ot.select("ot_id", "activo_id"), "ot_id").groupBy("activo_id").agg(
-        F.array_join(F.sort_array(F.collect_set("sku")), ", ").alias("repuestos_sugeridos"))
     j = s.join(a.select("activo_id", "patente", "marca", "modelo"), "activo_id").join(last, "activo_id", "left") \
         .join(cost_ly, F.col("sistema_prob") == cost_ly.sistema, "left").drop("sistema") \
-        .join(cost_c, F.col("sistema_prob") == cost_c.sistema, "left").drop("sistema").join(parts, "activo_id", "left")
+        .join(cost_c, F.col("sistema_prob") == cost_c.sistema, "left").drop("sistema")
     out = j.select(
         "patente", "marca", "modelo", "activo_id",
         intervention_type_by_probability("probabilidad_falla").alias("tipo_intervencion"),
@@ -391,9 +389,13 @@ def recommendations_v1(sr: DataFrame, a: DataFrame, ot: DataFrame, ev: DataFrame
         F.col("prioridad").alias("urgencia"),
         F.coalesce("_cly", F.lit(450000.0)).cast("bigint").alias("costo_estimado_intervencion"),
         half_up(F.col("probabilidad_falla") * F.coalesce("_cc", F.lit(1200000.0)), 0).cast("bigint").alias("costo_no_intervenir"),
-        "repuestos_sugeridos",
         half_up(F.col("probabilidad_falla") * 100, 1).alias("probabilidad_30d"))
-    return out.orderBy(F.col("probabilidad_30d").desc(), F.col("activo_id")).limit(n)
+    top = out.orderBy(F.col("probabilidad_30d").desc(), F.col("activo_id")).limit(n)
+    # part lists only for the recommended assets (at most n), never for the whole fleet
+    own = ot.select("ot_id", "activo_id").join(top.select("activo_id"), "activo_id", "left_semi")
+    parts = rc.join(own, "ot_id").groupBy("activo_id").agg(
+        F.array_join(F.sort_array(F.collect_set("sku")), ", ").alias("repuestos_sugeridos"))
+    return top.join(parts, "activo_id", "left")
 
 
 def critical_panel_today(panel: DataFrame) -> DataFrame:
