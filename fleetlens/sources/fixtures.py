@@ -65,14 +65,16 @@ def taxonomy_id_of(p_type: Column, p_brand: Column) -> Column:
 
 # Derived tables that are stored once per session (as the reference's load and nightly jobs store them)
 # instead of being recomputed inside every query.
-STORED = ("activos", "taxonomia_fallas", "ordenes_trabajo", "ot_falla_evento", "repuestos_consumidos",
-          "repuestos_maestro", "scoring_resultados", "feedback_taller", "alertas", "disponibilidad_diaria",
-          "consumo_sistema_modelo", "consumo_sku_historico", "repuestos_panel_criticos")
+# (assets, taxonomy and parts master are projections of small raw tables that already scan with pushdown:
+# they stay lazy)
+STORED = ("ordenes_trabajo", "ot_falla_evento", "repuestos_consumidos", "scoring_resultados", "feedback_taller",
+          "alertas", "disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico",
+          "repuestos_panel_criticos")
 
 
 # Dependency waves of the stored tables (a table only reads stored tables of earlier waves).
 LOAD_WAVES = (
-    ("activos", "taxonomia_fallas", "ordenes_trabajo", "repuestos_maestro", "scoring_resultados", "alertas"),
+    ("ordenes_trabajo", "scoring_resultados", "alertas"),
     ("ot_falla_evento", "repuestos_consumidos", "feedback_taller"),
     ("disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico"),
     ("repuestos_panel_criticos",),
