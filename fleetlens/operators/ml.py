@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
-from .windows import chrono_split
+from .windows import chrono_split, running_totals  # noqa: F401  (running_totals re-exported)
 
 ID_COLS = ("target", "activo_id", "fecha_corte", "horizonte_dias", "patente", "marca", "modelo", "tipo_vehiculo",
            "fecha_alta_flota", "is_train")
@@ -107,33 +107,6 @@ def score_counts(scored: DataFrame, group: str = "horizonte_dias", score: str =
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg"))
 
 
-def running_totals(df: DataFrame, group: str, order: str, cols: Sequence[str], descending: bool,
-                   buckets: int = 64) -> DataFrame:
-    """Inclusive running sums of ``cols`` per ``group`` in ``order``, without a window over the whole group.
-
-    Rows are split into ``buckets`` ranges by approximate quantiles of ``order`` (balance only, never
-    correctness); bucket totals (group x buckets rows) give exact offsets; the running sum inside a bucket
-    is a window over that bucket only.
-    """
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(group).agg(F.percentile_approx(order, qs, 10000).alias("_cuts"))
-    b = df.join(F.broadcast(cuts), group).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    if descending:
-        b = b.withColumn("_b", F.lit(buckets) - F.col("_b"))
-    # the bucket totals and the in-bucket sums must see one bucket assignment: materialise it once
-    b = cut_lineage(b)
-    tot = b.groupBy(group, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w_off = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(group, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    o = F.col(order).desc() if descending else F.col(order).asc()
-    w_in = Window.partitionBy(group, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(off, [group, "_b"])
-    for c in cols:
-        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w_in))
-    return out.drop("_b", *[f"_o_{c}" for c in cols])
-
-
 def best_threshold(scored: DataFrame, target_recall: float = 0.70, group: str = "horizonte_dias",
                    score: str = "score") -> DataFrame:
     """M5: the PR-curve threshold: among thresholds with recall >= target the highest precision (lowest

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import confidence_band
+from .windows import exact_median
 
 
 def _pct(num: Column, den: Column) -> Column:
@@ -190,8 +191,8 @@ def multi_event_orders(ev: DataFrame) -> DataFrame:
 def score_profile(sr: DataFrame) -> DataFrame:
     """Q13: per horizon: min / mean / median / max / std (population) and share >= .3/.6/.8.
 
-    ``percentile`` keeps a value->count map as its partial buffer, so the
-    median merges per distinct value rather than gathering raw rows.
+    The exact median comes from ``exact_median`` (per-value counts and bucketed running totals), not from
+    ``percentile``, whose buffer - a value->count map of the whole horizon - would sit in one task.
     """
     p = F.col("probabilidad_falla")
     n = F.count(F.lit(1))
@@ -199,7 +200,6 @@ def score_profile(sr: DataFrame) -> DataFrame:
         n.alias("n"),
         F.min(p).alias("p_min"),
         F.round(F.avg(p), 9).alias("p_media"),
-        F.round(F.percentile(p, 0.5), 9).alias("p_mediana"),
         F.max(p).alias("p_max"),
         F.round(F.stddev_pop(p), 9).alias("p_std"),
     ]
@@ -207,7 +207,12 @@ def score_profile(sr: DataFrame) -> DataFrame:
         k = str(t).replace(".", "")
         c = F.count(F.when(p >= t, 1))
         aggs += [c.alias(f"n_ge_{k}"), F.round(c.cast("double") / n * 100.0, 6).alias(f"pct_ge_{k}")]
-    return sr.groupBy("horizonte_dias").agg(*aggs)
+    med = exact_median(sr, "horizonte_dias", "probabilidad_falla", "_med")
+    out = sr.groupBy("horizonte_dias").agg(*aggs).join(med, "horizonte_dias")
+    cols = [c for c in out.columns if c != "_med"]
+    i = cols.index("p_media") + 1
+    cols = cols[:i] + [F.round("_med", 9).alias("p_mediana")] + cols[i:]
+    return out.select(*cols)
 
 
 def cost_profile(rm: DataFrame) -> DataFrame:

@@ -104,3 +104,49 @@ def chrono_split(df: DataFrame, part: str, period: str, order_key: str, frac: fl
     return (numbered.join(F.broadcast(sizes), part)
             .withColumn(flag, (F.col("_g") - F.col("_before")) <= F.floor(F.col("_total") * F.lit(frac)))
             .drop("_g", "_total", "_before"))
+
+
+def running_totals(df: DataFrame, group: str, order: str, cols: Sequence[str], descending: bool,
+                   buckets: int = 64) -> DataFrame:
+    """Inclusive running sums of ``cols`` per ``group`` in ``order``, without a window over the whole group.
+
+    Rows are split into ``buckets`` ranges by approximate quantiles of ``order`` (balance only, never
+    correctness); bucket totals (group x buckets rows) give exact offsets; the running sum inside a bucket
+    is a window over that bucket only.
+    """
+    qs = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(group).agg(F.percentile_approx(order, qs, 10000).alias("_cuts"))
+    b = df.join(F.broadcast(cuts), group).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    if descending:
+        b = b.withColumn("_b", F.lit(buckets) - F.col("_b"))
+    # the bucket totals and the in-bucket sums must see one bucket assignment: materialise it once
+    from ..session import cut_lineage
+
+    b = cut_lineage(b)
+    tot = b.groupBy(group, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w_off = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(group, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    w_in = Window.partitionBy(group, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.join(off, [group, "_b"])
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w_in))
+    return out.drop("_b", *[f"_o_{c}" for c in cols])
+
+
+def exact_median(df: DataFrame, group: str, value: str, out: str = "mediana") -> DataFrame:
+    """Exact median per group (numpy's: the mean of the two middle values for an even count).
+
+    Per (group, distinct value) counts, then running totals in value order (bucketed, never a window over
+    a whole group); the value at 0-based rank r is the smallest value whose running count exceeds r."""
+    c = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    r = running_totals(c, group, value, ["_c"], descending=False)
+    n = c.groupBy(group).agg(F.sum("_c").alias("_n"))
+    lo = F.floor((F.col("_n") - 1) / 2)
+    hi = F.ceil((F.col("_n") - 1) / 2)
+    j = r.join(F.broadcast(n), group)  # one row per group
+    picks = j.groupBy(group).agg(
+        F.min(F.when(F.col("cum__c") > lo, F.col(value))).alias("_v1"),
+        F.min(F.when(F.col("cum__c") > hi, F.col(value))).alias("_v2"))
+    return picks.select(group, ((F.col("_v1") + F.col("_v2")) / 2.0).alias(out))

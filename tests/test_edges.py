@@ -251,3 +251,16 @@ def test_panel_options(spark):
     assert p.filter("edad_dias < 0").count() == 3
     assert P.feature_panel(late, ot, D0, back=1, step=1, drop_unenrolled=True).count() == 0
     assert P.feature_panel(late, ot, D0, back=1, step=1, complete_targets_only=True).count() == 0
+
+
+def test_exact_median_matches_numpy(spark):
+    import numpy as np
+
+    from fleetlens.operators.windows import distributed_row_number, exact_median
+
+    rows = [("odd", float(v)) for v in [5, 1, 3, 3, 9]] + [("even", float(v)) for v in [4, 1, 2, 2, 8, 7]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["mediana"] for r in exact_median(df, "g", "v").collect()}
+    assert got == {"odd": np.median([5, 1, 3, 3, 9]), "even": np.median([4, 1, 2, 2, 8, 7])}
+    nums = distributed_row_number(spark.range(0, 500).select((F.col("id") * 7 % 500).alias("k")), ["k"], "n", 8)
+    assert sorted((r["k"], r["n"]) for r in nums.collect()) == [(i, i + 1) for i in range(500)]
