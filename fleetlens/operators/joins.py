@@ -1,20 +1,20 @@
-"""As-of joins (J8, J9) as time-bucketed equi-joins.
+"""As-of joins (J8, J9) as segmented scans.
 
 Spark has no native as-of join. A range predicate alone would be planned as
-a nested loop; a window over the whole key would pull one hot key into one
-task. Here both sides get a bucket number ``floor(day / width)`` with
-``width`` = the window length: a left row can only match right rows in the
-(at most two) buckets its window touches, so the join is an equi-join on
-(key, bucket) whose fan-out is bounded by the right rows of one key in two
-buckets, however long that key's history is. The exact range is then a
-filter and the pick is an aggregate per left row.
+a nested loop, an equi-join on (key, time bucket) still pairs every left row
+with every right row of its bucket (quadratic for a hot key), and a window
+over the whole key puts one hot key's history in one task. Here the key's
+timeline is cut into 30-day segments: inside a segment, one ordered window
+carries the best right row forward; across segments, a running max/min over
+month-level rows (one per key and month) carries it further. The result is
+exact and linear, and a hot key's segments are spread over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = "1970-01-01"
@@ -28,24 +28,51 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_da
               lo: int, hi: int, lo_inclusive: bool, hi_inclusive: bool, pick: str,
               right_cols: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """For each left row, the right row of the same ``key`` with ``right_day - left_day`` in the
-    window (lo, hi) (inclusivity per flag), picking the latest (``pick='last'``) or earliest
-    (``'first'``) by (right_day, *tie). Returns left columns + ``right_cols`` (NULL when none)."""
-    width = max(1, hi - lo)
-    ld = day_number(left_day)
-    l = left.select(F.col(left_id).alias("_lid"), F.col(key).alias("_k"), ld.alias("_ld"))
-    b_lo = F.floor((F.col("_ld") + F.lit(lo)) / F.lit(width)).cast("long")
-    b_hi = F.floor((F.col("_ld") + F.lit(hi)) / F.lit(width)).cast("long")
-    l = l.withColumn("_b", F.explode(F.sequence(b_lo, b_hi)))
-    rd = day_number(right_day)
-    r = right.select(F.col(key).alias("_k"), rd.alias("_rd"), *[F.col(c) for c in dict.fromkeys([*right_cols, *tie])]) \
-        .withColumn("_b", F.floor(F.col("_rd") / F.lit(width)).cast("long"))
-    j = l.join(r, ["_k", "_b"])
-    delta = F.col("_rd") - F.col("_ld")
-    cond = (delta >= lo) if lo_inclusive else (delta > lo)
-    cond = cond & ((delta <= hi) if hi_inclusive else (delta < hi))
-    j = j.filter(cond)
-    order = F.struct(F.col("_rd"), *[F.col(t) for t in tie])
-    val = F.struct(*[F.col(c) for c in right_cols])
-    agg = F.max_by(val, order) if pick == "last" else F.min_by(val, order)
-    best = j.groupBy("_lid").agg(agg.alias("_m")).select("_lid", *[F.col(f"_m.{c}").alias(c) for c in right_cols])
-    return left.join(best, left[left_id] == best["_lid"], "left").drop("_lid")
+    window (lo, hi) (inclusivity per flag), picking the latest (``pick='last'``, a window ending at or before
+    the left day) or the earliest (``'first'``, a window starting at or after it) by (right_day, *tie).
+
+    A segmented scan, never a pairing of left and right rows:
+
+    1. left and right rows of one (key, month) segment are merged in day order and the best right row seen
+       so far is carried along (a running max / min of a struct) - a window over one segment only;
+    2. the best right row of earlier (later) months is a running max (min) over month-level rows, at most
+       one right row and one left row per key and month;
+    3. the window bound is then a filter on the single candidate: the latest row before a day is the only
+       one that can lie inside a backward window (the earliest after it, inside a forward one).
+    """
+    backward = pick == "last"
+    if backward and not (hi == 0 or (hi < 0)):
+        raise ValueError("a backward as-of window must end at or before the left day")
+    if not backward and lo < 0:
+        raise ValueError("a forward as-of window must start at or after the left day")
+    cand = F.struct(F.col("_rd"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)],
+                    *[F.col(c).alias(f"_c_{c}") for c in right_cols])
+    r = right.select(F.col(key).alias("_k"), day_number(right_day).alias("_rd"),
+                     *[F.col(c) for c in dict.fromkeys([*right_cols, *tie])])
+    r = r.select(F.lit(None).cast("string").alias("_lid"), "_k", F.col("_rd").alias("_d"), F.lit(1).alias("_kind"),
+                 cand.alias("_cand"))
+    l = left.select(F.col(left_id).cast("string").alias("_lid"), F.col(key).alias("_k"), day_number(left_day).alias("_d"),
+                    F.lit(0).alias("_kind"), F.lit(None).cast(r.schema["_cand"].dataType).alias("_cand"))
+    u = l.unionByName(r).withColumn("_seg", F.floor(F.col("_d") / F.lit(30)))
+    # strict: on the same day the left row sorts before the right rows, so it does not see them
+    strict = (hi < 0 or not hi_inclusive) if backward else (lo > 0 or not lo_inclusive)
+    kind_order = F.col("_kind").asc() if strict else F.col("_kind").desc()
+    day_order = F.col("_d").asc() if backward else F.col("_d").desc()
+    agg = F.max if backward else F.min
+    w = Window.partitionBy("_k", "_seg").orderBy(day_order, kind_order).rowsBetween(Window.unboundedPreceding, 0)
+    within = u.withColumn("_in", agg("_cand").over(w)).filter(F.col("_kind") == 0)
+    seg_best = r.withColumn("_seg", F.floor(F.col("_d") / F.lit(30))).groupBy("_k", "_seg").agg(agg("_cand").alias("_sb"))
+    segs = within.select("_k", "_seg").distinct().withColumn("_sb", F.lit(None).cast(seg_best.schema["_sb"].dataType)) \
+        .withColumn("_kk", F.lit(0))
+    seg_rows = seg_best.withColumn("_kk", F.lit(1)).unionByName(segs)
+    seg_order = F.col("_seg").asc() if backward else F.col("_seg").desc()
+    # at equal months the left-segment rows come first: only strictly earlier (later) months are carried
+    ws = Window.partitionBy("_k").orderBy(seg_order, F.col("_kk").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = seg_rows.withColumn("_carry", agg("_sb").over(ws)).filter(F.col("_kk") == 0).select("_k", "_seg", "_carry")
+    res = within.join(carried, ["_k", "_seg"], "left")
+    res = res.withColumn("_best", F.coalesce("_in", "_carry"))
+    delta = F.col("_best._rd") - F.col("_d")
+    ok = ((delta >= lo) if lo_inclusive else (delta > lo)) & ((delta <= hi) if hi_inclusive else (delta < hi))
+    picked = res.select("_lid", *[F.when(ok, F.col(f"_best._c_{c}")).alias(c) for c in right_cols])
+    return left.join(picked, left[left_id] == picked["_lid"], "left").drop("_lid")
+
