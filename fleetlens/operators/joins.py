@@ -6,7 +6,7 @@ with every right row of its bucket (quadratic for a hot key), and a window
 over the whole key puts one hot key's history in one task. Here the key's
 timeline is cut into 30-day segments: inside a segment, one ordered window
 carries the best right row forward; across segments, a running max/min over
-month-level rows (one per key and month) carries it further. The result is
+segment-level rows (one per key and segment) carries it further. The result is
 exact and linear, and a hot key's segments are spread over many tasks.
 """
 
