@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import blank_default  # noqa: F401  (re-exported for dossier callers)
 from .common import latest_order
 from .windows import latest_per_key, top_n_per_key
 

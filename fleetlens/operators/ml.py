@@ -17,10 +17,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir
 from .windows import chrono_split, running_totals  # noqa: F401  (running_totals re-exported)
 
 ID_COLS = ("target", "activo_id", "fecha_corte", "horizonte_dias", "patente", "marca", "modelo", "tipo_vehiculo",

@@ -11,7 +11,7 @@ from ..operators import panels as k
 from ..operators import parts as D
 from ..sources.fixtures import AS_OF, fleet
 from . import panel_queries as pq
-from . import parts_queries as partsq
+from . import parts_queries as partsq  # noqa: F401  (K30 oracle must be registered before K39 composes it)
 from .oracle_fixtures import with_views
 from .registry import ORACLE, register
 
