@@ -117,11 +117,11 @@ class Fleet:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def store_all(self, parallel: int = 4) -> dict[str, int]:
+    def store_all(self, parallel: int = 4, counts: bool = False) -> dict[str, int]:
         """Write every stored table now (the 'load' step), in dependency waves; the tables of a wave are
-        independent Spark jobs submitted concurrently. Returns row counts per table."""
+        independent Spark jobs submitted concurrently. Returns row counts per table when ``counts``."""
         if not self.store:
-            return {n: getattr(self, n).count() for n in STORED}
+            return {n: getattr(self, n).count() for n in STORED} if counts else {}
         if self._root is None:
             self._root = scratch_path(self.spark, f"fleet-{uuid.uuid4().hex}")
         from concurrent.futures import ThreadPoolExecutor
@@ -129,7 +129,7 @@ class Fleet:
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             for wave in LOAD_WAVES:
                 list(pool.map(lambda n: getattr(self, n), wave))
-        return {n: getattr(self, n).count() for n in STORED}
+        return {n: getattr(self, n).count() for n in STORED} if counts else {}
 
     # -- raw inputs --------------------------------------------------------
     def raw(self, name: str) -> DataFrame:
