@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import tokens
+from fleetlens.llm import langid, tokens
 
 QUERIES = {
+    "op4_language": langid.op4_language,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
