@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import langid, tokens
+from fleetlens.llm import langid, quality, tokens
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op4_language": langid.op4_language,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_quality": quality.OP2_SQL,
+}
