@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,17 +39,17 @@ def configure(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (tests on a laptop) do we pick a
-    scratch folder of our own.
+    Where the session leaves it unset, a scratch folder is made for a local master (tests on one machine);
+    on a cluster that is an error, since executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,5 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", ""), "tables", name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet under the shared checkpoint folder and read back: later plans start from
+    a columnar scan of known size, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
