@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import langid, lines, mixing, quality, substrings, tokens
+from fleetlens.llm import decontaminate, langid, lines, mixing, quality, substrings, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op4_language": langid.op4_language,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_token_counts": tokens.op10_token_counts,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_substring_dedup": substrings.OP9_SQL,
 }
