@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import decontaminate, langid, lines, mixing, quality, substrings, tokens
+from fleetlens.llm import decontaminate, langid, lines, minhash, mixing, quality, substrings, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op3_near_dedup": minhash.op3_near_dedup,
     "op4_language": langid.op4_language,
     "op5_line_dedup": lines.op5_line_dedup,
     "op8_decontamination": decontaminate.op8_decontamination,
