@@ -71,5 +71,5 @@ def stored(df: DataFrame) -> DataFrame:
     a columnar scan of known size, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, uuid.uuid4().hex)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
