@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import decontaminate, html, langid, lines, minhash, mixing, quality, substrings, tokens
+from fleetlens.llm import decontaminate, html, langid, lines, minhash, mixing, quality, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": minhash.op3_near_dedup,
     "op4_language": langid.op4_language,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_html_text": html.op7_html_text,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_substring_dedup": substrings.op9_substring_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_html_text": html.op7_html_text,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_substring_dedup": substrings.OP9_SQL,

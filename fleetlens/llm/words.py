@@ -78,10 +78,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a text column, flat: ``start``/``end`` in ``buf``; those of row i are ``first[i]:first[i + 1]``."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, separator: np.ndarray = SPACE):
         self.buf, self.offsets = raw(column)
         n = len(self.buf)
-        text = ~SPACE[self.buf]
+        text = ~separator[self.buf]
         cut = np.zeros(n + 1, bool)
         cut[self.offsets] = True
         before = np.concatenate(([False], text[:-1])) if n else text
