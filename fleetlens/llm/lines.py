@@ -17,17 +17,17 @@ BLANK = " \t\x0b\f\r"
 
 
 def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _chunks: start, len and hash of each chunk of two lines with words or more."""
-    hashes = F.transform("_lines", lambda x: F.md5(x))
-    rolling = F.transform("_hash", lambda x, i: F.when(i > 0, F.md5(F.concat(F.get("_hash", i - 1), x))))
-    n = F.size("_lines")
-    least = lambda i: (i >= 2) & (i <= n - 2) & (F.get("_roll", i) < F.get("_roll", i - 1)) & (F.get("_roll", i) < F.get("_roll", i + 1))
+    """``docs`` with __chunks: start, len and hash of each chunk of two lines with words or more."""
+    hashes = F.transform("__lines", lambda x: F.md5(x))
+    rolling = F.transform("__hash", lambda x, i: F.when(i > 0, F.md5(F.concat(F.get("__hash", i - 1), x))))
+    n = F.size("__lines")
+    least = lambda i: (i >= 2) & (i <= n - 2) & (F.get("__roll", i) < F.get("__roll", i - 1)) & (F.get("__roll", i) < F.get("__roll", i + 1))
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | least(i))
-    spans = F.transform("_begin", lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get("_begin", k + 1), n) - s).alias("len")))
-    full = lambda c: F.size(F.filter(F.slice("_lines", c["start"] + 1, c["len"]), lambda x: F.length(F.translate(x, BLANK, "")) > 0)) > 1
-    named = F.transform(F.filter(spans, full), lambda c: c.withField("hash", F.md5(F.array_join(F.slice("_hash", c["start"] + 1, c["len"]), ""))))
-    out = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    return out.withColumn("_hash", hashes).withColumn("_roll", rolling).withColumn("_begin", begins).withColumn("_chunks", named).drop("_hash", "_roll", "_begin")
+    spans = F.transform("__begin", lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get("__begin", k + 1), n) - s).alias("len")))
+    full = lambda c: F.size(F.filter(F.slice("__lines", c["start"] + 1, c["len"]), lambda x: F.length(F.translate(x, BLANK, "")) > 0)) > 1
+    named = F.transform(F.filter(spans, full), lambda c: c.withField("hash", F.md5(F.array_join(F.slice("__hash", c["start"] + 1, c["len"]), ""))))
+    out = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    return out.withColumn("__hash", hashes).withColumn("__roll", rolling).withColumn("__begin", begins).withColumn("__chunks", named).drop("__hash", "__roll", "__begin")
 
 
 def _cut(lines: Column, spans: Column) -> Column:
@@ -44,32 +44,35 @@ def _between(lines: Column, a: Column, b: Column) -> Column:
     return F.slice(lines, a + 1, b - a)
 
 
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __key, the id and the md5 of the text: an id alone may occur twice."""
+    return docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """What to remove: doc_id, _md5 (of the text) and spans, sorted, for each document that loses lines.
+    """What to remove: __key and __spans, sorted, for each document of ``docs`` (with __key) that loses lines.
 
     Chunks meet by hash first; those whose hash repeats are then grouped by their bytes. The first place is
     the least (doc_id, md5 of the text, line), a null id first. Both groupings combine before the shuffle.
     """
-    # the whole text takes part in the key: an id may occur twice
-    rows = docs.select("doc_id", F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_md5"), F.col(text).alias("_text"))
     # an outer explode, whose rows are filtered after it: no filter on the chunks is pushed below their projections
-    found = with_chunks(rows, "_text").select("doc_id", "_md5", F.explode_outer("_chunks").alias("c"))
-    found = stored(found.select("doc_id", "_md5", "c.start", "c.len", "c.hash").where("hash IS NOT NULL"))
+    found = with_chunks(docs.select("__key", text), text).select("__key", F.explode_outer("__chunks").alias("c"))
+    found = stored(found.select("__key", "c.start", "c.len", "c.hash").where("hash IS NOT NULL"))
     twice = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    places = found.join(twice, "hash", "left_semi").groupBy("doc_id", "_md5").agg(F.collect_set(F.struct("start", "len", "hash")).alias("places"), F.count("*").alias("n"))
+    places = found.join(twice, "hash", "left_semi").groupBy("__key").agg(F.collect_set(F.struct("start", "len", "hash")).alias("places"), F.count("*").alias("n"))
     # equal rows are one key here; n / size(places) of them exist
-    places = places.select(F.col("doc_id").alias("_d"), F.col("_md5").alias("_m"), "places", (F.col("n") / F.size("places")).cast("long").alias("n"))
-    own = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_md5") == F.col("_m")))
-    own = own.dropDuplicates(["doc_id", "_md5"]).withColumn("_lines", F.split("_text", "\n"))
-    own = own.select("doc_id", "_md5", "n", "_lines", F.explode("places").alias("p"))
-    place = F.struct("doc_id", "_md5", "p.start", "p.len")
-    whole = F.array_join(F.slice("_lines", F.col("p.start") + 1, F.col("p.len")), "\n")
-    same = stored(own.select(F.col("p.hash").alias("hash"), whole.alias("bytes"), place.alias("place"), "n"))
+    places = places.select("__key", "places", (F.col("n") / F.size("places")).cast("long").alias("n"))
+    own = docs.select("doc_id", text, "__key").join(places, "__key").dropDuplicates(["__key"]).withColumn("__lines", F.split(text, "\n"))
+    own = own.select("doc_id", F.right("__key", F.lit(32)).alias("__md5"), "__key", "n", "__lines", F.explode("places").alias("p"))
+    place = F.struct("doc_id", "__md5", "p.start", "p.len")
+    whole = F.array_join(F.slice("__lines", F.col("p.start") + 1, F.col("p.len")), "\n")
+    # not stored: its two uses and the caller's join share one exchange of the documents, the largest of all
+    same = own.select("__key", F.col("p.hash").alias("hash"), whole.alias("bytes"), place.alias("place"), "n")
     groups = same.groupBy("hash", "bytes").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    # a text's own md5 stands for its bytes from here on: within a hash, groups differ in it
+    # a SHA-256 stands for the bytes from here on: within a hash, groups differ in it
     groups = groups.select("hash", F.sha2("bytes", 256).alias("sha"), "first")
-    again = same.select("hash", F.sha2("bytes", 256).alias("sha"), "place").join(groups, ["hash", "sha"]).where(~F.col("place").eqNullSafe(F.col("first")))
-    return again.groupBy("place.doc_id", "place._md5").agg(F.array_sort(F.collect_set(F.struct("place.start", "place.len"))).alias("spans"))
+    again = same.select("__key", "hash", F.sha2("bytes", 256).alias("sha"), "place").join(groups, ["hash", "sha"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    return again.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("place.start", "place.len"))).alias("__spans"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,16 +82,15 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     their fate: if one holds the first place, all keep it. New columns replace those of the same names.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
-    gone = repeated(docs, text).select(F.col("doc_id").alias("_d"), F.col("_md5").alias("_m"), "spans")
-    rows = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_md5") == F.col("_m")), "left")
-    rows = rows.withColumn("_lines", F.split(F.col(text), "\n"))
-    lines = F.col("_lines")
-    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["len"])
+    rows = _keyed(docs, text)
+    rows = rows.join(repeated(rows, text), "__key", "left")
+    rows = rows.withColumn("__lines", F.split(F.col(text), "\n"))
+    lines = F.col("__lines")
+    removed = F.aggregate("__spans", F.lit(0), lambda n, s: n + s["len"])
     rows = rows.withColumn("n_lines", F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long"))
     rows = rows.withColumn("n_removed_lines", F.coalesce(removed, F.lit(0)).cast("long"))
-    kept = F.when(F.col("spans").isNull(), F.col(text)).otherwise(_cut(lines, F.col("spans")))
-    return rows.withColumn(text, kept).drop("_md5", "_d", "_m", "_lines", "spans")
+    kept = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(_cut(lines, F.col("__spans")))
+    return rows.withColumn(text, kept).drop("__key", "__lines", "__spans")
 
 
 def op5_line_dedup(spark, sf_dir):
