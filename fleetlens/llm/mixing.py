@@ -168,12 +168,12 @@ def mix(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", F.size(words(F.col(text))).cast("long"))
     todo = plan(docs.select("doc_id", "source", "size"), **how)
-    todo = todo.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "source_size", "target", F.col("n").alias("_n"), F.col("copies").alias("_c"))
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z"))
+    todo = todo.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("size").alias("__z"), "source_size", "target", F.col("n").alias("__n"), F.col("copies").alias("__c"))
+    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__z"))
     each = Window.partitionBy("source", "doc_id", "size").orderBy(F.xxhash64(text))
-    copies = F.floor(F.col("_c") / F.col("_n")) + (F.row_number().over(each) <= F.col("_c") % F.col("_n")).cast("long")
+    copies = F.floor(F.col("__c") / F.col("__n")) + (F.row_number().over(each) <= F.col("__c") % F.col("__n")).cast("long")
     rows = docs.join(todo, same).withColumn("copies", copies.cast("long"))
-    return rows.withColumn("taken", F.col("copies") * F.col("size")).drop("_s", "_d", "_z", "_n", "_c")
+    return rows.withColumn("taken", F.col("copies") * F.col("size")).drop("__s", "__d", "__z", "__n", "__c")
 
 
 def op1_mixing(spark, sf_dir):

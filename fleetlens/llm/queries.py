@@ -20,8 +20,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
-    "op6_toxicity": toxicity.op6_toxicity,
-    "op7_html_text": html.op7_html_text,
-    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_substring_dedup": substrings.OP9_SQL,
 }
