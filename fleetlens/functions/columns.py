@@ -137,9 +137,9 @@ def age_years(birth: str | Column, as_of) -> Column:
     return F.floor(F.months_between(F.lit(as_of), col_(birth)) / 12).cast("int")
 
 
-def sku_ok(c: str | Column = "sku") -> Column:
-    """``sku ~ '^REP-[0-9]{4}$'``."""
-    return F.coalesce(col_(c).rlike(r"^REP-[0-9]{4}$"), F.lit(False))
+def sku_ok(c: str | Column = "sku", pattern: str = r"^REP-[0-9]{4}$") -> Column:
+    """``sku ~ '^REP-[0-9]{4}$'``; a master with more than 10,000 parts passes a wider ``pattern``."""
+    return F.coalesce(col_(c).rlike(pattern), F.lit(False))
 
 
 def split_metric(c: str | Column, sep: str = " - ") -> tuple[Column, Column]:

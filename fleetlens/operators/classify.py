@@ -7,11 +7,11 @@ score = w_kw * keyword overlap + w_sim * text similarity + w_sys * same system +
   counted per (description, taxonomy row);
 * the similarity (Ratcliff-Obershelp ratio, as ``difflib``) has no native
   equivalent: an Arrow ``pandas_udf`` scores each *distinct* normalised
-  description against the taxonomy's standard descriptions, a bounded
-  catalogue shipped once per task. ``ratio`` below is an exact re-implementation
+  description against the taxonomy's standard descriptions, one block of the
+  catalogue at a time. ``ratio`` below is an exact re-implementation
   whose inner search uses C-level ``str.find`` instead of a Python loop over
   every character of a long text;
-* the best candidate per order is a ``max_by`` (ties: first in
+* the best candidate per order is a grouped minimum (ties: first in
   system, component, mode order).
 """
 
@@ -21,15 +21,13 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import normalize_text
 
 
-MAX_CATALOGUE = 20000
-
 # ------------------------------------------------------------------ similarity
 def _longest(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
     """difflib's find_longest_match without junk: the longest common block, earliest in a, then in b."""
@@ -81,15 +79,10 @@ def ratio(a: str, b: str) -> float:
     return 2.0 * matched / (la + lb)
 
 
-def similarity_udf(standards: Sequence[str]):
-    """Arrow UDF: description -> array of similarities to every standard description (catalogue order)."""
-    std = list(standards)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def sims(desc: pd.Series) -> pd.Series:
-        return desc.map(lambda d: [ratio(d or "", s) for s in std])
-
-    return sims
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def similarity_udf(desc: pd.Series, stds: pd.Series) -> pd.Series:
+    """Arrow UDF: a description and standard descriptions -> the similarity to each of them."""
+    return pd.Series([[ratio(d or "", s) for s in std] for d, std in zip(desc, stds, strict=True)])
 
 
 # ------------------------------------------------------------------ catalogue
@@ -102,66 +95,64 @@ def catalogue(tax: DataFrame, modes: DataFrame) -> DataFrame:
         .select("taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", "descripcion_estandar", "keywords")
 
 
-def classify(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.50, 0.30, 0.10, 0.10),
-             text_col: str = "descripcion_falla", id_col: str = "ot_id", top_k: int = 5) -> DataFrame:
-    """Best taxonomy row per order with confidence, reason and the ranked candidates.
+#: Catalogue rows that one similarity call scores a description against.
+BLOCK = 256
 
-    ``orders`` may carry ``sistema_actual``/``componente_actual`` (schema V1) for the bonuses."""
-    spark: SparkSession = orders.sparkSession
-    w_kw, w_sim, w_sys, w_comp = weights
-    # the catalogue is a bounded dictionary (taxonomy x modes); check the bound before shipping it to tasks
-    cat_rows = cat.orderBy("sistema", "componente", "id_modo_falla", "taxonomia_id").limit(MAX_CATALOGUE + 1).collect()
-    if len(cat_rows) > MAX_CATALOGUE:
-        raise ValueError(f"taxonomy catalogue larger than {MAX_CATALOGUE} rows; refusing to broadcast it")
-    cat_idx = spark.createDataFrame(
-        [(i, r["taxonomia_id"]) for i, r in enumerate(cat_rows)], "tax_idx int, taxonomia_id string")
-    cat_b = F.broadcast(cat.join(F.broadcast(cat_idx), "taxonomia_id"))
-    stds = [_norm_py(r["descripcion_estandar"]) for r in cat_rows]
 
+def candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.50, 0.30, 0.10, 0.10),
+               text_col: str = "descripcion_falla", id_col: str = "ot_id") -> DataFrame:
+    """All candidates with a positive score, as rows: order, taxonomy row, score and hit words.
+
+    ``orders`` may carry ``sistema_actual``/``componente_actual`` (schema V1) for the bonuses. The catalogue is cut
+    into blocks of about ``BLOCK`` rows by a hash of the id, and every distinct description meets every block once:
+    nothing depends on the catalogue's total size, and a description's scores are spread over its blocks."""
+    w_kw, w_sim, w_sys, w_comp = weights
     o = orders.select(F.col(id_col).alias("oid"), normalize_text(text_col).alias("desc_norm"),
                       *[F.col(c) for c in ("sistema_actual", "componente_actual") if c in orders.columns])
     # distinct descriptions are keyed by their SHA-256 so that joins and shuffles move 32 bytes, not the text
     o = o.withColumn("dkey", F.sha2("desc_norm", 256))
     distinct = o.select("dkey", "desc_norm").dropDuplicates(["dkey"])
-    # similarity once per distinct description (copies and repeated texts are scored once)
-    sims = distinct.select("dkey", F.posexplode(similarity_udf(stds)("desc_norm")).alias("tax_idx", "sim"))
+    n_blocks = max(1, -(-cat.count() // BLOCK))
+    row = F.struct("taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", F.size("keywords").alias("n_kw"),
+                   normalize_text("descripcion_estandar").alias("std"))
+    blocks = cat.groupBy(F.pmod(F.xxhash64("taxonomia_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(row).alias("rows"))
+    asked = distinct.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    stds = F.transform("rows", lambda r: r["std"])
+    sims = asked.select("dkey", F.explode(F.arrays_zip(F.col("rows"), similarity_udf(F.col("desc_norm"), stds).alias("sim"))).alias("x"))
+    sims = sims.select("dkey", "x.rows.*", F.col("x.sim").alias("sim")).drop("std")
     # keyword overlap: equi-join on the word
     words = distinct.select("dkey", F.explode(F.array_distinct(F.split("desc_norm", " "))).alias("w"))
-    kws = cat_b.select("tax_idx", F.size("keywords").alias("n_kw"), F.explode("keywords").alias("w"))
-    hits = words.join(kws, "w").groupBy("dkey", "tax_idx").agg(
+    kws = cat.select("taxonomia_id", F.explode("keywords").alias("w"))
+    hits = words.join(kws, "w").groupBy("dkey", "taxonomia_id").agg(
         F.count(F.lit(1)).alias("n_hit"), F.sort_array(F.collect_list("w")).alias("hit_words"))
-    pair = sims.join(hits, ["dkey", "tax_idx"], "left").join(cat_b.select("tax_idx", "taxonomia_id", "sistema",
-                                                                         "componente", "id_modo_falla", "modo",
-                                                                         F.size("keywords").alias("n_kw")), "tax_idx")
-    o = o.drop("desc_norm")
-    kw_score = F.coalesce(F.col("n_hit"), F.lit(0)) / F.col("n_kw")
-    j = o.join(pair, "dkey")
-    score = kw_score * w_kw + F.col("sim") * w_sim
+    j = o.drop("desc_norm").join(sims.join(hits, ["dkey", "taxonomia_id"], "left"), "dkey")
+    score = F.coalesce(F.col("n_hit"), F.lit(0)) / F.col("n_kw") * w_kw + F.col("sim") * w_sim
     if "sistema_actual" in o.columns:
         score = score + F.when(normalize_text("sistema_actual") == normalize_text("sistema"), w_sys).otherwise(0.0)
     if "componente_actual" in o.columns:
         score = score + F.when(normalize_text("componente_actual") == normalize_text("componente"), w_comp).otherwise(0.0)
-    j = j.withColumn("score", score).filter(F.col("score") > 0)
-    cand = F.struct(F.col("score"), (-F.col("tax_idx")).alias("_neg_idx"), "taxonomia_id", "sistema", "componente",
-                    "modo", F.coalesce("hit_words", F.array().cast("array<string>")).alias("hit_words"))
-    best = j.groupBy("oid").agg(F.max(cand).alias("b"),
-                                F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"),
-                                                                             F.col("tax_idx"), "taxonomia_id")),
-                                                     asc=True), 1, top_k).alias("candidatos"))
-    conf = F.col("b.score")
+    return j.withColumn("score", score).filter(F.col("score") > 0).select(
+        F.col("oid").alias(id_col), "taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", "score",
+        F.coalesce("hit_words", F.array().cast("array<string>")).alias("hit_words"))
+
+
+def classify(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.50, 0.30, 0.10, 0.10),
+             text_col: str = "descripcion_falla", id_col: str = "ot_id", scored: DataFrame | None = None) -> DataFrame:
+    """Best taxonomy row per order with confidence and reason (ties: first in system, component, mode order).
+
+    ``scored`` takes the rows of ``candidates`` where they are already there. The best row is a grouped
+    minimum, combined before the shuffle."""
+    scored = candidates(orders, cat, weights, text_col, id_col) if scored is None else scored
+    first = F.min(F.struct((-F.col("score")).alias("neg"), "sistema", "componente", "id_modo_falla", "taxonomia_id", "modo", "hit_words"))
+    best = scored.groupBy(F.col(id_col).alias("oid")).agg(first.alias("b"))
+    conf = -F.col("b.neg")
     motivo = F.concat(F.lit("Clasificado automático (score: "), F.format_number(conf, 2), F.lit(", palabras: "),
                       F.array_join(F.slice("b.hit_words", 1, 3), ", "), F.lit(")"))
-    res = best.select(F.col("oid"), F.col("b.taxonomia_id").alias("taxonomia_id"), F.col("b.sistema").alias("sistema"),
-                      F.col("b.componente").alias("componente"), F.col("b.modo").alias("modo"),
-                      F.round(conf, 12).alias("confianza"), motivo.alias("motivo"),
-                      F.transform("candidatos", lambda c: F.struct((-c["neg_score"]).alias("score"),
-                                                                   c["taxonomia_id"].alias("taxonomia_id"))).alias("candidatos"))
-    out = o.select("oid").join(res, "oid", "left")
+    res = best.select("oid", "b.taxonomia_id", "b.sistema", "b.componente", "b.modo", F.round(conf, 12).alias("confianza"), motivo.alias("motivo"))
+    out = orders.select(F.col(id_col).alias("oid")).join(res, "oid", "left")
     return out.select(F.col("oid").alias(id_col), "taxonomia_id", "sistema", "componente", "modo",
                       F.coalesce("confianza", F.lit(0.0)).alias("confianza"),
-                      F.coalesce("motivo", F.lit("Sin coincidencias en taxonomía")).alias("motivo"),
-                      F.coalesce("candidatos", F.array().cast(
-                          "array<struct<score:double,taxonomia_id:string>>")).alias("candidatos"))
+                      F.coalesce("motivo", F.lit("Sin coincidencias en taxonomía")).alias("motivo"))
 
 
 def keyword_candidates(orders: DataFrame, cat: DataFrame, text_col: str = "descripcion_falla",
@@ -175,11 +166,13 @@ def keyword_candidates(orders: DataFrame, cat: DataFrame, text_col: str = "descr
                     F.round(F.col("n_hit") / F.col("n_kw"), 12).alias("score_palabras"))
 
 
-def route(classified: DataFrame, min_conf: float = 0.50, id_col: str = "ot_id") -> tuple[DataFrame, DataFrame]:
-    """C4: confident rows become events (source 'automático'); the rest go to the review queue."""
+def route(classified: DataFrame, scored: DataFrame, min_conf: float = 0.50, id_col: str = "ot_id") -> tuple[DataFrame, DataFrame]:
+    """C4: confident rows become events (source 'automático'); the rest go to the review queue, a row per order and
+    candidate (one without a candidate if there is none)."""
     ok = (F.col("confianza") >= min_conf) & F.col("taxonomia_id").isNotNull()
     events = classified.filter(ok).select(id_col, "taxonomia_id", "confianza", F.lit("automático").alias("fuente"))
-    review = classified.filter(~ok).select(id_col, "confianza", "candidatos")
+    offered = scored.select(id_col, F.col("taxonomia_id").alias("candidato"), F.round("score", 12).alias("score_candidato"))
+    review = classified.filter(~ok).select(id_col, "confianza", F.col("taxonomia_id").alias("mejor")).join(offered, id_col, "left")
     return events, review
 
 
@@ -194,15 +187,3 @@ def unclassified_orders(ot: DataFrame, ev: DataFrame) -> DataFrame:
     """Orders with no failure event (NOT IN with the NULLs filtered on the right)."""
     return ot.join(ev.filter(F.col("ot_id").isNotNull()).select("ot_id").distinct(), "ot_id", "left_anti")
 
-
-def _norm_py(s: str | None) -> str:
-    """F17 in Python for the (bounded) catalogue side: same rules as ``normalize_text``."""
-    if not isinstance(s, str):
-        return ""
-    t = s.lower().strip()
-    for chunk in (".,;:", "!?", "\"'"):
-        t = t.replace(chunk, "")
-    return " ".join(t.split())
-
-
-__all__ = ["Window"]

@@ -24,7 +24,7 @@ def day_number(c: str | Column) -> Column:
     return F.datediff(F.to_date(F.col(c) if isinstance(c, str) else c), F.lit(EPOCH))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_day: str, right_day: str,
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str,
               lo: int, hi: int, lo_inclusive: bool, hi_inclusive: bool, pick: str,
               right_cols: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """For each left row, the right row of the same ``key`` with ``right_day - left_day`` in the
@@ -47,11 +47,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_da
         raise ValueError("a forward as-of window must start at or after the left day")
     cand = F.struct(F.col("_rd"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)],
                     *[F.col(c).alias(f"_c_{c}") for c in right_cols])
-    r = right.select(F.col(key).alias("_k"), day_number(right_day).alias("_rd"),
+    own = F.struct(*[F.col(c) for c in left.columns])
+    r = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), day_number(right_day).alias("_rd"),
                      *[F.col(c) for c in dict.fromkeys([*right_cols, *tie])])
-    r = r.select(F.lit(None).cast("string").alias("_lid"), "_k", F.col("_rd").alias("_d"), F.lit(1).alias("_kind"),
+    left_type = left.select(own.alias("_l")).schema["_l"].dataType
+    r = r.select(F.lit(None).cast(left_type).alias("_l"), "_k", F.col("_rd").alias("_d"), F.lit(1).alias("_kind"),
                  cand.alias("_cand"))
-    l = left.select(F.col(left_id).cast("string").alias("_lid"), F.col(key).alias("_k"), day_number(left_day).alias("_d"),
+    l = left.select(own.alias("_l"), F.col(key).alias("_k"), day_number(left_day).alias("_d"),
                     F.lit(0).alias("_kind"), F.lit(None).cast(r.schema["_cand"].dataType).alias("_cand"))
     u = l.unionByName(r).withColumn("_seg", F.floor(F.col("_d") / F.lit(30)))
     # strict: on the same day the left row sorts before the right rows, so it does not see them
@@ -73,6 +75,4 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_da
     res = res.withColumn("_best", F.coalesce("_in", "_carry"))
     delta = F.col("_best._rd") - F.col("_d")
     ok = ((delta >= lo) if lo_inclusive else (delta > lo)) & ((delta <= hi) if hi_inclusive else (delta < hi))
-    picked = res.select("_lid", *[F.when(ok, F.col(f"_best._c_{c}")).alias(c) for c in right_cols])
-    return left.join(picked, left[left_id] == picked["_lid"], "left").drop("_lid")
-
+    return res.select("_l.*", *[F.when(ok, F.col(f"_best._c_{c}")).alias(c) for c in right_cols])

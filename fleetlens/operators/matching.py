@@ -30,7 +30,7 @@ def prior_score(orders: DataFrame, sr: DataFrame, days: int = 30, horizon: int =
     """Per order, the latest score of the horizon with ``fecha_ot - days <= fecha_scoring < fecha_ot``."""
     s = sr.filter(F.col("horizonte_dias") == horizon).select("activo_id", "scoring_id", "fecha_scoring", "prioridad",
                                                              "sistema_en_riesgo")
-    return asof_join(orders, s, "activo_id", "ot_id", "fecha_apertura", "fecha_scoring", -days, 0, True, False, "last",
+    return asof_join(orders, s, "activo_id", "fecha_apertura", "fecha_scoring", -days, 0, True, False, "last",
                      ["scoring_id", "fecha_scoring", "prioridad", "sistema_en_riesgo"], tie=["scoring_id"])
 
 
@@ -79,17 +79,16 @@ def label_metrics(labels: DataFrame, alerts: DataFrame) -> DataFrame:
                     F.round(F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))), 9).alias("precision"))
 
 
-def next_corrective(days_df: DataFrame, ot: DataFrame, id_col: str, day_col: str, days: int = 30) -> DataFrame:
+def next_corrective(days_df: DataFrame, ot: DataFrame, day_col: str, days: int = 30) -> DataFrame:
     """Per (asset, day) row, the first corrective order opened in (day, day + days]."""
     o = ot.filter(lower_in("tipo_ot", vocab.CORRECTIVE)).select(
         "activo_id", F.col("ot_id").alias("ot_siguiente"), F.to_date("fecha_apertura").alias("fecha_ot_siguiente"))
-    return asof_join(days_df, o, "activo_id", id_col, day_col, "fecha_ot_siguiente", 0, days, False, True, "first",
+    return asof_join(days_df, o, "activo_id", day_col, "fecha_ot_siguiente", 0, days, False, True, "first",
                      ["ot_siguiente", "fecha_ot_siguiente"], tie=["ot_siguiente"])
 
 
 def load_feedback(fb: DataFrame, sr: DataFrame, ot: DataFrame, days: int = 30) -> DataFrame:
     """B7 (spec only in the reference): link feedback to its order when missing - the first corrective
     order of the asset in (alert, alert + days] - keeping existing links (S6-style coalesce)."""
-    linked = next_corrective(fb.select("feedback_id", "activo_id", "fecha_alerta"), ot, "feedback_id", "fecha_alerta", days)
-    j = fb.join(linked.select("feedback_id", "ot_siguiente"), "feedback_id", "left")
-    return j.withColumn("ot_id", F.coalesce("ot_id", "ot_siguiente")).drop("ot_siguiente")
+    linked = next_corrective(fb, ot, "fecha_alerta", days)
+    return linked.withColumn("ot_id", F.coalesce("ot_id", "ot_siguiente")).drop("ot_siguiente", "fecha_ot_siguiente")

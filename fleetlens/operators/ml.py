@@ -185,10 +185,18 @@ def registry_register(reg: DataFrame, row: dict) -> DataFrame:
 
 
 def registry_activate(reg: DataFrame, modelo_id: str) -> DataFrame:
-    """M10 activate: exactly this model active."""
+    """M10 activate: exactly this model active. An unknown id is refused (the source would leave no model active)."""
+    if reg.filter(F.col("modelo_id") == F.lit(modelo_id)).isEmpty():
+        raise ValueError(f"no registered model {modelo_id}")
     return reg.withColumn("es_activo", F.col("modelo_id") == F.lit(modelo_id))
 
 
+def registry_list(reg: DataFrame) -> DataFrame:
+    """M10 list: every model's id, version, dates, scores and state, the newest first by ``fecha_creacion``."""
+    return reg.select("modelo_id", "version", "fecha_entrenamiento", "fecha_creacion", "auc_score", "precision", "recall",
+                      "f1_score", "estado", "es_activo")
+
+
 def registry_active(reg: DataFrame) -> DataFrame:
     """M10 active: the latest active model."""
     a = reg.filter(F.col("es_activo"))

@@ -73,7 +73,7 @@ def availability_mean_ratio(dd: DataFrame, as_of: dt.date, days: int = 30) -> Da
 
 def latest_snapshot(sr: DataFrame) -> DataFrame:
     """Score rows at the latest ``fecha_scoring`` of their horizon."""
-    return rows_at_max(sr, ["horizonte_dias"], "fecha_scoring")
+    return rows_at_max(sr, ["horizonte_dias"], "fecha_scoring", small_keys=True)
 
 
 def priority_counts(sr: DataFrame, a: DataFrame, active_only: bool = True) -> DataFrame:

@@ -127,9 +127,9 @@ def corrective_cost_by_system(ot: DataFrame, ev: DataFrame, tax: DataFrame) -> D
     e = ev.join(tax.select("taxonomia_id", "sistema"), "taxonomia_id").join(
         ot.filter(F.lower(F.col("tipo_ot")).isin(*vocab.CORRECTIVE) & F.col("costo_total_clp").isNotNull())
         .select("ot_id", "costo_total_clp"), "ot_id")
-    g = e.groupBy("sistema").agg(
+    # folded before grouping: "Motor" and "motor" are one system
+    return e.groupBy(F.lower("sistema").alias("sistema")).agg(
         (F.sum(F.col("costo_total_clp").cast("decimal(38,2)")).cast("double") / F.count(F.lit(1))).alias("costo_correctivo_medio"))
-    return g.select(F.lower("sistema").alias("sistema"), "costo_correctivo_medio")
 
 
 # ---------------------------------------------------------------- demand panel
@@ -398,9 +398,10 @@ def recommendations_v1(sr: DataFrame, a: DataFrame, ot: DataFrame, ev: DataFrame
     return top.join(parts, "activo_id", "left")
 
 
-def critical_panel_today(panel: DataFrame) -> DataFrame:
-    """today's critical-parts rows with a well-formed SKU (F14), least coverage first."""
-    return panel.filter(sku_ok("sku"))
+def critical_panel_today(panel: DataFrame, sku_pattern: str = r"^REP-[0-9]{4}$") -> DataFrame:
+    """today's critical-parts rows with a well-formed SKU (F14); a master whose numbers outgrow four digits
+    passes its own pattern."""
+    return panel.filter(sku_ok("sku", sku_pattern))
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["Window", "latest_per_key"]

@@ -47,14 +47,17 @@ def last_non_null(df: DataFrame, keys, value: str, ts: str, alias: str | None =
     )
 
 
-def rows_at_max(df: DataFrame, part_keys, by: str) -> DataFrame:
+def rows_at_max(df: DataFrame, part_keys, by: str, small_keys: bool = False) -> DataFrame:
     """Rows at the latest ``by`` (per ``part_keys``), via a grouped max + join.
 
     The max per key is an aggregate (map-side partial), joined back on
-    (key, max): no global single-partition window.
+    (key, max): no global single-partition window. ``small_keys`` says that the keys are few by
+    definition (as the horizons are): their maxima are broadcast and the rows stay where they are.
     """
     keys = [k for k in ([part_keys] if isinstance(part_keys, str) else list(part_keys))]
     mx = df.groupBy(*keys).agg(F.max(by).alias("_mx"))
+    if small_keys or not keys:
+        mx = F.broadcast(mx)
     cond = [df[k].eqNullSafe(mx[k]) for k in keys] + [df[by] == mx["_mx"]]
     if not keys:
         return df.join(mx, df[by] == mx["_mx"], "left_semi")
@@ -98,7 +101,7 @@ def chrono_split(df: DataFrame, part: str, period: str, order_key: str, frac: fl
     row number over (part, period, order_key) (``distributed_row_number``), and the rank inside ``part`` is
     that number minus the rows of the preceding parts (one count per part)."""
     numbered = distributed_row_number(df, [part, period, order_key], "_g")
-    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_total"))
+    sizes = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("_total"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))  # one row per part
     return (numbered.join(F.broadcast(sizes), part)

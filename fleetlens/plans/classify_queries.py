@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
+from ..session import stored
 from ..sources.fixtures import fleet
 from .registry import register
 
@@ -15,8 +16,19 @@ def cat_frame(spark, d):
     return C.catalogue(f.taxonomia_fallas, f.modo_falla)
 
 
+_SCORED: dict[tuple, object] = {}
+
+
+def scored(spark, d, weights=(0.50, 0.30, 0.10, 0.10)):
+    """All candidates of all descriptions, stored once per session and input: C1, C4 and C5 read the same rows."""
+    key = (spark.sparkContext.applicationId, d, weights)
+    if key not in _SCORED:
+        _SCORED[key] = stored(C.candidates(fleet(spark, d).descripciones, cat_frame(spark, d), weights))
+    return _SCORED[key]
+
+
 def classified(spark, d, weights=(0.50, 0.30, 0.10, 0.10)):
-    return C.classify(fleet(spark, d).descripciones, cat_frame(spark, d), weights)
+    return C.classify(fleet(spark, d).descripciones, cat_frame(spark, d), weights, scored=scored(spark, d, weights))
 
 
 NORM = """trim(regexp_replace(replace(replace(replace(lower(coalesce(descripcion_falla, '')), '.,;:', ''), '!?', ''), '"''', ''),
@@ -50,22 +62,21 @@ def c2(spark, d):
 
 @register("C4_routed_events")
 def c4a(spark, d):
-    return C.route(classified(spark, d))[0]
+    return C.route(classified(spark, d), scored(spark, d))[0]
 
 
 @register("C4_review_queue")
 def c4b(spark, d):
-    return C.route(classified(spark, d))[1]
+    return C.route(classified(spark, d), scored(spark, d))[1]
 
 
 @register("C5_apply_review")
 def c5(spark, d):
     f = fleet(spark, d)
-    events, review = C.route(classified(spark, d))
+    events, review = C.route(classified(spark, d), scored(spark, d))
     # manual outcome from the labels table: quality = 1 accepts the top candidate of the review queue
-    decisions = review.join(f.raw("labels").select(F.col("doc_id").cast("string").alias("ot_id"), "quality"), "ot_id") \
-        .filter((F.col("quality") == 1) & (F.size("candidatos") > 0)) \
-        .select("ot_id", F.col("candidatos")[0]["taxonomia_id"].alias("taxonomia_id"))
+    decisions = review.filter(F.col("mejor").isNotNull()).select("ot_id", F.col("mejor").alias("taxonomia_id")).distinct() \
+        .join(f.raw("labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("ot_id")), "ot_id", "left_semi")
     return C.apply_review(events, decisions)
 
 

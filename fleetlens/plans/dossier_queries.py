@@ -164,7 +164,7 @@ SELECT s.*, n.ot_siguiente, n.fecha_ot_siguiente FROM scoring_resultados s LEFT
 ON s.scoring_id = n.scoring_id""")
 def j9(spark, d):
     f = F_(spark, d)
-    return B.next_corrective(f.scoring_resultados, f.ordenes_trabajo, "scoring_id", "fecha_scoring")
+    return B.next_corrective(f.scoring_resultados, f.ordenes_trabajo, "fecha_scoring")
 
 
 @register("B7_load_feedback", f"""

@@ -98,12 +98,11 @@ SELECT l_orderkey * 10 + l_linenumber AS id_evento, CAST(l_orderkey AS VARCHAR)
        WHEN l_linenumber = 1 THEN 'predictivo' ELSE 'inspeccion' END AS tipo_mantenimiento,
   l_linenumber = 1 AS es_causa_raiz
 FROM lines JOIN part ON l_partkey = p_partkey
-WHERE l_linenumber <= 2
 """
 
 VIEWS["repuestos_consumidos"] = """
 SELECT CAST(l_orderkey AS VARCHAR) AS ot_id,
-  CASE WHEN l_linenumber <= 2 THEN l_orderkey * 10 + l_linenumber END AS id_evento,
+  l_orderkey * 10 + l_linenumber AS id_evento,
   printf('REP-%04d', l_partkey) AS sku, l_quantity AS cantidad,
   l_extendedprice / l_quantity AS costo_unitario_clp,
   l_returnflag = 'R' AS fue_compra_urgencia, l_shipdate AS created_at
@@ -160,7 +159,6 @@ SELECT 'FB' || CAST(event_id AS VARCHAR) AS feedback_id, CAST(event_id AS VARCHA
   CASE WHEN event_type = 'error' THEN 'motivo ' || CAST(event_id % 7 AS VARCHAR) END AS comentario_mecanico,
   CAST(fecha_scoring AS TIMESTAMP) + to_hours(CAST(event_id % 72 AS INTEGER)) AS created_at
 FROM scores s LEFT JOIN last_ot lo ON s.activo_id = lo.activo_id
-WHERE event_id % 4 = 0
 """
 
 VIEWS["alertas"] = f"""

@@ -387,9 +387,10 @@ def d17(spark, d):
                                 f.repuestos_consumidos, D17_DATE)
 
 
-@register("D18_critical_panel_today", f"SELECT * FROM {D8_SQL} WHERE regexp_full_match(sku, '^REP-[0-9]{{4}}$')")
+@register("D18_critical_panel_today", f"SELECT * FROM {D8_SQL} WHERE regexp_full_match(sku, '^REP-[0-9]{{4,}}$')")
 def d18(spark, d):
-    return D.critical_panel_today(D.critical_panel(d7_frame(spark, d)))
+    # the derived SKUs are padded to four digits and longer from part 10,000 on
+    return D.critical_panel_today(D.critical_panel(d7_frame(spark, d)), r"^REP-[0-9]{4,}$")
 
 
 __all__ = ["latest_snapshot"]

@@ -65,17 +65,17 @@ def taxonomy_id_of(p_type: Column, p_brand: Column) -> Column:
 
 # Derived tables that are stored once per session (as the reference's load and nightly jobs store them)
 # instead of being recomputed inside every query.
-# (assets, taxonomy and parts master are projections of small raw tables that already scan with pushdown:
-# they stay lazy)
-STORED = ("ordenes_trabajo", "ot_falla_evento", "repuestos_consumidos", "scoring_resultados", "feedback_taller",
-          "alertas", "disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico",
+# (assets and parts master are projections of raw tables that already scan with pushdown: they stay lazy. The two
+# dictionaries are distinct rows of the parts master: stored, the planner sees their true size and broadcasts them)
+STORED = ("taxonomia_fallas", "mapeo_sistemas", "ordenes_trabajo", "_lines", "ot_falla_evento", "repuestos_consumidos", "scoring_resultados", "feedback_taller",
+          "alertas", "_scores", "disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico",
           "repuestos_panel_criticos")
 
 
 # Dependency waves of the stored tables (a table only reads stored tables of earlier waves).
 LOAD_WAVES = (
-    ("ordenes_trabajo", "scoring_resultados", "alertas"),
-    ("ot_falla_evento", "repuestos_consumidos", "feedback_taller"),
+    ("taxonomia_fallas", "mapeo_sistemas", "ordenes_trabajo", "_scores", "_lines"),
+    ("scoring_resultados", "alertas", "ot_falla_evento", "repuestos_consumidos", "feedback_taller"),
     ("disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico"),
     ("repuestos_panel_criticos",),
 )
@@ -247,12 +247,13 @@ class Fleet:
         """Line items of the visible orders (one shuffle join on the order key)."""
         li = self.raw("lineitem")
         o = self._orders.select("okey", "activo_id", "fecha_apertura")
-        return li.join(o, li.l_orderkey == o.okey)
+        cols = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+        return li.select(*cols).join(o, F.col("l_orderkey") == F.col("okey"))
 
     @cached_property
     def ot_falla_evento(self) -> DataFrame:
         p = self.raw("part").select("p_partkey", "p_type", "p_brand")
-        li = self._lines.filter(F.col("l_linenumber") <= 2)
+        li = self._lines
         k = F.col("l_orderkey")
         ln = F.col("l_linenumber")
         rf = F.col("l_returnflag")
@@ -284,7 +285,7 @@ class Fleet:
         ln = F.col("l_linenumber")
         return self._lines.select(
             k.cast("string").alias("ot_id"),
-            F.when(ln <= 2, k * 10 + ln).alias("id_evento"),
+            (k * 10 + ln).alias("id_evento"),
             sku_of(F.col("l_partkey")).alias("sku"),
             F.col("l_quantity").alias("cantidad"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("costo_unitario_clp"),
@@ -339,7 +340,7 @@ class Fleet:
 
     @cached_property
     def feedback_taller(self) -> DataFrame:
-        s = self._scores.filter(F.col("event_id") % 4 == 0)
+        s = self._scores
         et = F.col("event_type")
         i = F.col("event_id")
         last_ot = latest_order_per_asset(self.ordenes_trabajo).select("activo_id", F.col("ot_id"))
@@ -474,12 +475,12 @@ def latest_order_per_asset(ot: DataFrame) -> DataFrame:
     return ot.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-_CACHE: dict[tuple[int, str], Fleet] = {}
+_CACHE: dict[tuple[str, str], Fleet] = {}
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> Fleet:
     """One Fleet per (session, directory), so repeated queries share the lazy plans."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         _CACHE[key] = Fleet(spark, sf_dir)
     return _CACHE[key]

@@ -8,6 +8,8 @@ job after a lost executor produces the same tables.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,12 +18,18 @@ from pyspark.sql import types as T
 
 from ..operators.common import latest_order
 
+#: One CSV dialect for readers and writers: quotes are doubled and text may hold line breaks.
+CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+#: That of exports and their restore: NULL has a mark of its own, so an empty text stays one.
+EXPORT = CSV | {"nullValue": "\\N"}
+
+
 # --------------------------------------------------------------------- readers
 def load_csv(spark: SparkSession, path: str, expected: Sequence[str], **options) -> DataFrame:
     """CSV with a column contract: missing columns -> error, extra columns dropped, expected order kept.
 
     Columns are read as strings (no inference); typing is the caller's ``select``."""
-    df = spark.read.option("header", "true").options(**options).csv(path)
+    df = spark.read.options(**(CSV | options)).csv(path)
     missing = [c for c in expected if c not in df.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
@@ -38,9 +46,9 @@ def load_semicolon_csv(spark: SparkSession, path: str, numeric: Sequence[str] =
 
     The BOM is stripped from the first header, 'Unnamed*' columns are dropped, the literal 'null' becomes
     NULL and numeric columns go through ``try_cast`` (bad number -> NULL)."""
-    df = spark.read.option("header", "true").option("sep", ";").option("encoding", "UTF-8").csv(path)
+    df = spark.read.options(**CSV).option("sep", ";").option("encoding", "UTF-8").csv(path)
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    df = df.select(*[c for c in df.columns if not c.startswith("Unnamed") and not c.startswith("_c")])
+    df = df.select(*[c for c in df.columns if not c.startswith("Unnamed") and not re.fullmatch(r"_c\d+", c)])
     df = df.select(*[F.when(F.lower(F.trim(F.col(c))) == "null", F.lit(None)).otherwise(F.col(c)).alias(c)
                      for c in df.columns])
     for c in numeric:
@@ -69,7 +77,7 @@ def restore_tables(spark: SparkSession, base: str, names: Sequence[str], fmt: st
     out = {}
     for n in names:
         path = f"{base}/{n}"
-        df = spark.read.option("header", "true").csv(path) if fmt == "csv" else spark.read.json(path)
+        df = spark.read.options(**EXPORT).csv(path) if fmt == "csv" else spark.read.json(path)
         out[n] = coerce_dates(df)
     return out
 
@@ -182,8 +190,8 @@ def write_scores(df: DataFrame, path: str) -> None:
 
     Dynamic partition overwrite is one atomic write per slice: no delete-then-append window in which a
     crash loses the day."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy("fecha_scoring", "modelo_version").parquet(path)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("fecha_scoring", "modelo_version").parquet(path))
 
 
 def ordered_load(tables: Mapping[str, DataFrame], base: str, order: Sequence[str] = (
@@ -211,29 +219,38 @@ def ordered_load(tables: Mapping[str, DataFrame], base: str, order: Sequence[str
     return counts
 
 
-def full_reload(tables: Mapping[str, DataFrame], base: str, staging: str) -> dict[str, int]:
-    """All-or-nothing reload: refuse empty inputs, load into a staging folder, fail if any table wrote
-    0 rows, then publish each table by renaming the staging folder over the live one."""
+def full_reload(tables: Mapping[str, DataFrame], base: str) -> dict[str, int]:
+    """All-or-nothing reload: refuse empty inputs, load all tables into a new version folder, fail if any
+    table wrote 0 rows, then switch the one pointer file that readers follow (``live``).
+
+    The switch is an atomic rename, so a reader sees all tables of one version, and a crash before it leaves
+    the former version live."""
     check_inputs(tables)
-    counts = ordered_load(tables, staging)
+    spark = next(iter(tables.values())).sparkSession
+    version = f"versions/{uuid.uuid4().hex}"
+    counts = ordered_load(tables, f"{base}/{version}")
     zero = [n for n, c in counts.items() if c == 0]
     if zero:
         raise ValueError(f"reload wrote no rows for {zero}; live tables untouched")
-    spark = next(iter(tables.values())).sparkSession
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for n in counts:
-        src = jvm.org.apache.hadoop.fs.Path(f"{staging}/{n}")
-        dst = jvm.org.apache.hadoop.fs.Path(f"{base}/{n}")
-        fs = src.getFileSystem(conf)
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        fs.mkdirs(dst.getParent())
-        if not fs.rename(src, dst):
-            raise OSError(f"could not publish {n}")
+    new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{base}/{n}") for n in (f"{version}/_POINTER", "CURRENT"))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(new, pointer, options)
     return counts
 
 
+def live(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table of the version that the last complete ``full_reload`` published."""
+    version = spark.read.text(f"{base}/CURRENT").first()[0]
+    return spark.read.parquet(f"{base}/{version}/{name}")
+
+
 def export_parquet(df: DataFrame, path: str, renames: Mapping[str, str], partition_by: Sequence[str] = ()) -> None:
     """Rename long -> short columns (only those present) and write Parquet."""
     present = {k: v for k, v in renames.items() if k in df.columns}
@@ -243,7 +260,7 @@ def export_parquet(df: DataFrame, path: str, renames: Mapping[str, str], partiti
 def export_plan(plan: DataFrame, base: str, stamp: str) -> tuple[str, str]:
     """The plan to CSV and Parquet, stamped with the score date."""
     csv_path, pq_path = f"{base}/plan_repuestos_{stamp}.csv", f"{base}/plan_repuestos_{stamp}.parquet"
-    plan.write.mode("overwrite").option("header", "true").csv(csv_path)
+    plan.write.mode("overwrite").options(**EXPORT).csv(csv_path)
     plan.write.mode("overwrite").parquet(pq_path)
     return csv_path, pq_path
 
@@ -252,7 +269,7 @@ def export_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "csv")
     """Bulk export to CSV or JSON plus the per-table row/column summary."""
     for n, df in tables.items():
         w = df.write.mode("overwrite")
-        (w.option("header", "true").csv if fmt == "csv" else w.json)(f"{base}/{n}")
+        (w.options(**EXPORT).csv if fmt == "csv" else w.json)(f"{base}/{n}")
     return table_summary(tables)
 
 

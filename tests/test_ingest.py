@@ -66,15 +66,82 @@ def test_ordered_load_and_full_reload(spark, work):
     ev = spark.createDataFrame([(1, "o1")], "id_evento long, ot_id string")
     rc = spark.createDataFrame([("o1", "REP-0001")], "ot_id string, sku string")
     tables = {"activos": a, "ordenes_trabajo": ot, "ot_falla_evento": ev, "repuestos_consumidos": rc}
-    live, staging = os.path.join(work, "live"), os.path.join(work, "staging")
-    counts = S.full_reload(tables, live, staging)
+    live = os.path.join(work, "live")
+    counts = S.full_reload(tables, live)
     assert counts == {"activos": 1, "ordenes_trabajo": 1, "ot_falla_evento": 1, "repuestos_consumidos": 1}
-    assert spark.read.parquet(os.path.join(live, "ordenes_trabajo")).count() == 1
+    assert S.live(spark, live, "ordenes_trabajo").count() == 1
+    two = dict(tables, ordenes_trabajo=ot.unionByName(spark.createDataFrame([("o2", "a1")], ot.schema)))
+    S.full_reload(two, live)
+    assert S.live(spark, live, "ordenes_trabajo").count() == 2
     bad = dict(tables, ordenes_trabajo=spark.createDataFrame([("o2", "zz")], "ot_id string, activo_id string"))
     with pytest.raises(ValueError):
         S.ordered_load(bad, os.path.join(work, "other"))
     with pytest.raises(ValueError):
-        S.full_reload(dict(tables, activos=a.limit(0)), live, os.path.join(work, "staging2"))
+        S.full_reload(dict(tables, activos=a.limit(0)), live)
+    with pytest.raises(ValueError):
+        S.full_reload(bad, live)
+    assert S.live(spark, live, "ordenes_trabajo").count() == 2  # a refused reload leaves the live tables
+
+
+def test_score_slices_leave_snapshots_alone(spark, work):
+    df = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, part string")
+    path = os.path.join(work, "snap")
+    S.write_snapshot(df, path, partition_by=["part"])
+    S.write_scores(spark.createDataFrame([("s", dt.date(2024, 1, 1), "v1")], "scoring_id string, fecha_scoring date, modelo_version string"),
+                   os.path.join(work, "sc"))
+    S.write_snapshot(df.limit(0).unionByName(spark.createDataFrame([("c", "z")], df.schema)), path, partition_by=["part"])
+    assert [r["k"] for r in spark.read.parquet(path).collect()] == ["c"]
+
+
+def test_csv_round_trip(spark, work):
+    rows = [("a", 'line\nbreak, "quoted" text'), ("b", ""), ("c", None), ("d", "x,y;z"), ("e", '"')]
+    df = spark.createDataFrame(rows, "k string, texto string")
+    summary = S.export_tables({"t": df}, work)
+    assert summary.first()["filas"] == 5
+    got = {r["k"]: r["texto"] for r in S.restore_tables(spark, work, ["t"])["t"].collect()}
+    assert got == dict(rows)
+    assert {r["k"]: r["texto"] for r in S.load_csv(spark, os.path.join(work, "t"), ["texto", "k"], **S.EXPORT).collect()} == dict(rows)
+    csv, parquet = S.export_plan(df, work, "20240101")
+    assert {r["k"]: r["texto"] for r in S.load_csv(spark, csv, ["k", "texto"], **S.EXPORT).collect()} == dict(rows)
+    assert spark.read.parquet(parquet).count() == 5
+    S.export_parquet(df, os.path.join(work, "pq"), {"texto": "t", "absent": "x"})
+    assert spark.read.parquet(os.path.join(work, "pq")).columns == ["k", "t"]
+
+
+def test_semicolon_csv_keeps_columns_with_an_underscore(spark, work):
+    path = os.path.join(work, "s.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\ufeffsku;_costo;Unnamed: 3;_c3\nA;1,5;x;y\nB;null;x;y\n")
+    got = S.load_semicolon_csv(spark, path)
+    assert got.columns == ["sku", "_costo"] and [r["_costo"] for r in got.collect()] == ["1,5", None]
+
+
+def test_asof_with_repeated_left_rows(spark):
+    from fleetlens.operators.joins import asof_join
+
+    left = spark.createDataFrame([("l", "k", dt.date(2024, 1, 5)), ("l", "k", dt.date(2024, 1, 5)), ("m", None, dt.date(2024, 1, 5))], "id string, key string, day date")
+    right = spark.createDataFrame([("k", dt.date(2024, 1, 3), "r"), (None, dt.date(2024, 1, 3), "z")], "key string, rd date, v string")
+    got = asof_join(left, right, "key", "day", "rd", -9, 0, True, False, "last", ["v"]).collect()
+    assert sorted((r["id"], r["v"] or "") for r in got) == [("l", "r"), ("l", "r"), ("m", "")]
+
+
+def test_unknown_model_is_refused(spark):
+    from fleetlens.operators import ml
+
+    reg = spark.createDataFrame([], ml.REGISTRY_SCHEMA)
+    with pytest.raises(ValueError):
+        ml.registry_activate(reg, "nope")
+
+
+def test_alert_stream_counts_late_days(spark, work):
+    from fleetlens.streaming import streams as ST
+
+    schema = "fecha_scoring date, prioridad string"
+    src = os.path.join(work, "in")
+    for i, day in enumerate([dt.date(2024, 6, 1), dt.date(2023, 1, 1), dt.date(2024, 6, 1), dt.date(2023, 1, 1)]):
+        spark.createDataFrame([(day, "P1_critica"), (day, "P4_baja")], schema).coalesce(1).write.parquet(f"{src}/f={i}")
+    got = ST.stream_daily_alerts(spark, f"{src}/*", spark.createDataFrame([], schema).schema, os.path.join(work, "out")).collect()
+    assert {r["fecha"]: r["alertas_altas"] for r in got} == {dt.date(2024, 6, 1): 2, dt.date(2023, 1, 1): 2}
 
 
 def test_reset_refuses_protected(spark, work):

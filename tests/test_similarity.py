@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fleetlens.operators.classify import _norm_py, ratio
+from fleetlens.operators.classify import ratio
 
 ALPHABET = "abcde fgh#1"
 
@@ -21,10 +21,12 @@ def test_long_b_defers_to_difflib():
     assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
 
 
-def test_normalisation_rules():
+def test_normalisation_rules(spark):
+    from fleetlens.functions.columns import normalize_text
+
     # only the literal chunks '.,;:', '!?' and the two quotes together are removed
-    assert _norm_py('  Falla.,;:  de  Motor!? "\'x ') == "falla de motor x"
-    assert _norm_py("a. b") == "a. b"
+    rows = spark.createDataFrame([('  Falla.,;:  de  Motor!? "\'x ',), ("a. b",)], "t string")
+    assert [r[0] for r in rows.select(normalize_text("t")).collect()] == ["falla de motor x", "a. b"]
 
 
 def test_classification_ties_and_keywords(spark):
@@ -46,3 +48,21 @@ def test_classification_ties_and_keywords(spark):
     # only the literal substring '.,;:' is stripped, so "freno." keeps its period: 1 of 2 keywords match
     exp = 0.5 * 0.5 + 0.3 * SequenceMatcher(None, "ruido en el freno.", "frenos disco").ratio()
     assert abs(out["o1"]["confianza"] - exp) < 1e-12
+
+
+def test_catalogue_of_any_size(spark):
+    """More catalogue rows than a block or any former cap: every candidate is scored and the best one wins."""
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators import classify as C
+
+    tax = spark.range(20_100).select(F.format_string("t%05d", "id").alias("taxonomia_id"), F.lit("motor").alias("sistema"),
+                                     F.format_string("c%05d", "id").alias("componente"), F.lit(1).cast("long").alias("id_modo_falla"),
+                                     F.format_string("motor c%05d", "id").alias("descripcion_estandar"))
+    modes = spark.createDataFrame([(1, "m1", "ruido")], "id_modo_falla long, modo string, palabras_claves string")
+    orders = spark.createDataFrame([("o1", "motor c20077")], "ot_id string, descripcion_falla string")
+    cat = C.catalogue(tax, modes)
+    scored = C.candidates(orders, cat)
+    assert scored.count() == 20_100
+    best = C.classify(orders, cat, scored=scored).first()
+    assert best["taxonomia_id"] == "t20077" and abs(best["confianza"] - 0.3) < 1e-12
