@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.session import stored
+
 #: The white space between words (fixed value).
 SPACE = " \t\n\x0b\f\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -68,19 +70,19 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.col(text)
     lines = F.filter(F.split(F.coalesce(t, F.lit("")), "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    names = ("_words", "_lines", "_hashes")
+    names = ("__words", "__lines", "__hashes")
     out = (
-        docs.withColumns({"_words": words(t), "_lines": lines})
-        .withColumn("_hashes", F.when(F.size("_words") > WINDOW, _hashes(F.col("_words"))))
+        docs.withColumns({"__words": words(t), "__lines": lines})
+        .withColumn("__hashes", F.when(F.size("__words") > WINDOW, _hashes(F.col("__words"))))
         .withColumns(
             {
-                "n_words": F.size("_words").cast("long"),
+                "n_words": F.size("__words").cast("long"),
                 "word_chars": F.length(without(t, SPACE)).cast("long"),
                 "n_symbols": (F.length(F.coalesce(t, F.lit(""))) - F.length(without(t, SYMBOLS))).cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+                "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
                 # a text without two equal hashes has no repeated window; the others are compared exactly
-                "n_repeat_words": F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), _covered(F.col("_words"))).otherwise(0).cast("long"),
-                "_n_lines": F.size("_lines"),
+                "n_repeat_words": F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), _covered(F.col("__words"))).otherwise(0).cast("long"),
+                "__n_lines": F.size("__lines"),
             }
         )
     )
@@ -103,16 +105,16 @@ def default_rules(text: str = "text") -> list[Rule]:
     return [
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words"))),
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("_n_lines")),
+        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("__n_lines")),
         Rule("upper_case", 10 * (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))) > 4 * F.length(t)),
         Rule("letters", 10 * F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) < 4 * F.col("n_words")),
         Rule("stutter", 5 * pairs > F.col("n_words")),
     ]
 
 
-def ordered(rows: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejected rows per second on at most ``sample`` rows that pass the base test."""
-    few = rows.limit(sample).where(~F.col("base_failed"))
+def ordered(few: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules by rejected rows per second on the sample ``few`` (with signals)."""
+    few = few.where(~F.col("base_failed"))
 
     def run(what: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -138,8 +140,10 @@ def cascade(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Signals and the verdict of the default rules for every row of ``docs``."""
-    rows, rules = with_signals(docs, text), default_rules(text)
-    return cascade(rows, ordered(rows, rules)).drop("_n_lines")
+    rules = default_rules(text)
+    # stored: a filter on signals that are still to be computed would be pushed below them and compute them twice
+    few = stored(with_signals(docs.select(text).limit(SAMPLE), text))
+    return cascade(with_signals(docs, text), ordered(few, rules)).drop("__n_lines")
 
 
 def op2_quality(spark, sf_dir):
