@@ -1,8 +1,9 @@
 """Daily availability (A1-A7): split repair intervals over calendar days.
 
-One shuffle does the whole matrix: the asset x day spine rows and the
-downtime rows are unioned and aggregated together on (activo_id, fecha),
-instead of aggregating downtime and left-joining it onto the spine.
+Only orders that can touch the range are read (plain comparisons on the date
+columns, which reach the scan). Cells with downtime are aggregated, folded
+into one bounded map per asset and joined to the assets; the calendar is
+generated after that, so the asset x day spine is never shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ def max_severity_per_order(ev: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(ot: DataFrame, ev: DataFrame | None) -> DataFrame:
+def _prepared(ot: DataFrame, ev: DataFrame | None, start: dt.date, end: dt.date) -> DataFrame:
+    opened, closed = F.col("fecha_apertura"), F.col("fecha_cierre")
+    since, until = (F.lit(dt.datetime.combine(x, dt.time())).cast("timestamp_ntz") for x in (start, end + dt.timedelta(days=1)))
+    ot = ot.filter((opened < until) & ((closed >= since) | closed.isNull() | (opened >= since)))
     o = ot.select("ot_id", "activo_id", "fecha_apertura", "fecha_cierre", norm("tipo_ot").alias("tipo"))
     if ev is not None:
         o = o.join(max_severity_per_order(ev), "ot_id", "left")
@@ -44,7 +48,7 @@ def _uses_real(c_open: Column, c_close: Column) -> Column:
 def downtime_real(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | None = None) -> DataFrame:
     """Interval x day. Each day of [open, close] inside [start, end]
     gets the overlap hours, clipped to [0, 24], dropped when 0."""
-    o = _prepared(ot, ev).filter(_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
+    o = _prepared(ot, ev, start, end).filter(_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
     first = F.greatest(F.to_date("fecha_apertura"), F.lit(start))
     last = F.least(F.to_date("fecha_cierre"), F.lit(end))
     days = o.filter(first <= last).withColumn("fecha", F.explode(F.sequence(first, last)))
@@ -78,7 +82,7 @@ def fallback_hours(sev_rank: Column, planned: Column) -> Column:
 
 def downtime_fallback(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | None = None) -> DataFrame:
     """A2: close missing or not after open -> fallback hours on the opening day."""
-    o = _prepared(ot, ev).filter(~_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
+    o = _prepared(ot, ev, start, end).filter(~_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
     d = F.to_date("fecha_apertura")
     h = fallback_hours(F.col("sev_rank"), F.col("planned"))
     return o.filter((d >= F.lit(start)) & (d <= F.lit(end))).select(
@@ -148,8 +152,8 @@ def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | Non
                              spine: str = "touched", assets: DataFrame | None = None) -> DataFrame:
     """A6 + S8: recompute from (last date - 1) or as_of - 3 when empty, replace that asset x date range.
 
-    The high-water mark is one scalar aggregate; the replacement is a
-    ``left_anti`` on the key plus ``unionByName``.
+    The high-water mark is one scalar aggregate. Only rows from ``start`` on can be replaced: they are
+    anti-joined on the key, all older rows pass through.
     """
     last = prev.agg(F.max("fecha")).first()[0]
     start = (last - dt.timedelta(days=1)) if last is not None else as_of - dt.timedelta(days=3)
@@ -159,8 +163,9 @@ def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | Non
                            ev, assets, start, as_of)
     else:  # as the source: only assets with an order touching the period
         new = availability_touched(ot, ev, start, as_of)
-    kept = prev.join(new.select("activo_id", "fecha"), ["activo_id", "fecha"], "left_anti")
-    return kept.unionByName(new)
+    old = F.coalesce(F.col("fecha") < F.lit(start), F.lit(True))
+    kept = prev.filter(~old).join(new.select("activo_id", "fecha"), ["activo_id", "fecha"], "left_anti")
+    return prev.filter(old).unionByName(kept).unionByName(new)
 
 
 def availability_summary(dd: DataFrame) -> DataFrame:

@@ -152,6 +152,16 @@ def monthly_mtbf_mttr(ot: DataFrame, dd: DataFrame, as_of: dt.date) -> DataFrame
     )
 
 
+def monthly_mtbf_720(ot: DataFrame, as_of: dt.date) -> DataFrame:
+    """K9 without an availability table: 720 hours a month / corrective orders."""
+    o = ot.filter(F.col("fecha_apertura") >= months_ago_ts(as_of, 12))
+    corr = is_corrective()
+    rep = F.when(F.col("fecha_cierre").isNotNull() & corr, hours_between("fecha_apertura", "fecha_cierre"))
+    n = F.count(F.when(corr, 1))
+    return o.groupBy(F.trunc(F.to_date("fecha_apertura"), "MM").alias("mes")).agg(
+        F.round(xsum(rep, 6) / F.count(rep), 2).alias("mttr_h"), F.when(n > 0, F.round(F.lit(720.0) / n, 2)).alias("mtbf_h"))
+
+
 def monthly_downtime(dd: DataFrame, as_of: dt.date) -> DataFrame:
     """Planned / unplanned downtime hours per month, last 12 months."""
     d = dd.filter(F.col("fecha") >= F.add_months(F.lit(as_of), -12))
@@ -194,6 +204,19 @@ def monthly_calendar(ot: DataFrame, start: dt.date, end: dt.date, n: int = 12) -
     return out.orderBy(F.col("mes").desc()).limit(n)
 
 
+def monthly_availability_estimate(ot: DataFrame, start: dt.date, end: dt.date, n: int = 12) -> DataFrame:
+    """K11 estimate from orders: per month, 100 * (1 - corrective / all) and mean hours from opening to closing, over the
+    corrective orders (the source filters to them before it counts, so its percentage is 0 in every month with one)."""
+    o = ot.filter((F.col("fecha_apertura") >= F.lit(start).cast("timestamp_ntz")) & (F.col("fecha_apertura") <= F.lit(end).cast("timestamp_ntz"))
+                  & (F.lower("tipo_ot") == "correctiva"))
+    hours = F.when(F.col("fecha_cierre").isNotNull(), hours_between("fecha_apertura", "fecha_cierre"))
+    share = F.count(F.when(F.lower("tipo_ot") == "correctiva", 1)) / F.count(F.lit(1))
+    g = o.groupBy(F.trunc(F.to_date("fecha_apertura"), "MM").alias("mes")).agg(
+        F.round(F.lit(100.0) * (F.lit(1.0) - share), 1).alias("disponibilidad_pct"),
+        F.round(_ratio(xsum(hours, 6), F.count(hours)), 1).alias("downtime_no_plan_promedio"))
+    return g.orderBy(F.col("mes").desc()).limit(n)
+
+
 def hero(a: DataFrame, ot: DataFrame, sr: DataFrame, fb: DataFrame, start: dt.date, end: dt.date,
          score_date: dt.date) -> DataFrame:
     """Hero metrics for 'operativo' assets over [start, end], as separate aggregates
@@ -226,7 +249,9 @@ def hero(a: DataFrame, ot: DataFrame, sr: DataFrame, fb: DataFrame, start: dt.da
 # ------------------------------------------------------------ view 2: action plan
 def heatmap(ev: DataFrame, tax: DataFrame, ot: DataFrame, as_of: dt.date) -> DataFrame:
     """Events per (system, disjoint recency bucket <=7 / 8-30 / 31-90 days)."""
-    e = events_with_system(ev, tax, ot)
+    # events whose own date is older need no order
+    recent = F.col("fecha_evento").isNull() | (F.col("fecha_evento") >= F.lit(as_of - dt.timedelta(days=90)))
+    e = events_with_system(ev.filter(recent), tax, ot)
     t = F.col("fecha_ef")
     bucket = (F.when(t >= ago_ts(as_of, 7), 7).when(t >= ago_ts(as_of, 30), 30).when(t >= ago_ts(as_of, 90), 90))
     return (
@@ -348,19 +373,24 @@ def avoided_downtime(fb: DataFrame, ot: DataFrame, ev: DataFrame, tax: DataFrame
 
 def cost_per_km(ot: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Maintenance cost of the window / (max - min odometer of its orders, fleet-wide)."""
-    inw = F.col("fecha_apertura") >= ago_ts(as_of, days)
-    cost = F.coalesce(xsum(F.when(inw, F.col("costo_total_clp")).otherwise(0.0)), F.lit(0.0))
-    km = F.coalesce(F.max(F.when(inw, F.col("odometro_km"))), F.lit(0.0)) - F.coalesce(
-        F.min(F.when(inw, F.col("odometro_km"))), F.lit(0.0))
-    return ot.agg(F.round(_ratio(cost, km), 9).alias("valor"))
+    o = ot.filter(F.col("fecha_apertura") >= ago_ts(as_of, days))
+    cost = F.coalesce(xsum(F.col("costo_total_clp")), F.lit(0.0))
+    km = F.coalesce(F.max("odometro_km"), F.lit(0.0)) - F.coalesce(F.min("odometro_km"), F.lit(0.0))
+    return o.agg(F.round(_ratio(cost, km), 9).alias("valor"))
+
+
+def cost_per_summed_km(ot: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    """K23 variant: maintenance cost of the window / sum of its orders' odometer readings (NULL counts 0)."""
+    o = ot.filter(F.col("fecha_apertura") >= ago_ts(as_of, days))
+    cost = F.coalesce(xsum(F.col("costo_total_clp")), F.lit(0.0))
+    return o.agg(F.round(_ratio(cost, F.coalesce(xsum(F.col("odometro_km")), F.lit(0.0))), 9).alias("valor"))
 
 
 def cost_per_unit(ot: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Maintenance cost of the window / distinct assets with orders in it."""
-    inw = F.col("fecha_apertura") >= ago_ts(as_of, days)
-    cost = F.coalesce(xsum(F.when(inw, F.col("costo_total_clp")).otherwise(0.0)), F.lit(0.0))
-    units = F.count_distinct(F.when(inw, F.col("activo_id")))
-    return ot.agg(F.round(_ratio(cost, units), 9).alias("valor"))
+    o = ot.filter(F.col("fecha_apertura") >= ago_ts(as_of, days))
+    cost = F.coalesce(xsum(F.col("costo_total_clp")), F.lit(0.0))
+    return o.agg(F.round(_ratio(cost, F.count_distinct("activo_id")), 9).alias("valor"))
 
 
 def confirmed_by_priority(fb: DataFrame, sr: DataFrame) -> DataFrame:

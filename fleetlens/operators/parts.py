@@ -328,12 +328,12 @@ def interventions_with_parts(inter: DataFrame, a: DataFrame, csm: DataFrame, rm:
 def stock_view(rm: DataFrame, rc: DataFrame, ot: DataFrame, as_of: dt.date, n: int = 30) -> DataFrame:
     """Critical (alta/media) active SKUs: 30-day use, coverage, action F20; pre-aggregated per SKU
     once instead of three correlated subqueries per master row."""
-    j = rc.join(ot.select("ot_id", F.to_date("fecha_apertura").alias("_d")), "ot_id")
-    recent = F.col("_d") >= F.lit(as_of - dt.timedelta(days=30))
+    since = F.lit(dt.datetime.combine(as_of - dt.timedelta(days=30), dt.time())).cast("timestamp_ntz")
+    j = rc.join(ot.filter(F.col("fecha_apertura") >= since).select("ot_id"), "ot_id")
     use = j.groupBy("sku").agg(
-        F.sum(F.when(recent, F.col("cantidad").cast("decimal(38,4)")).otherwise(F.lit(0).cast("decimal(38,4)"))).alias("_d30"),
-        F.sum(F.when(recent, F.col("cantidad").cast("decimal(38,4)"))).alias("_s30"),
-        F.count(F.when(recent, F.col("cantidad"))).alias("_n30"))
+        F.sum(F.col("cantidad").cast("decimal(38,4)")).alias("_d30"),
+        F.sum(F.col("cantidad").cast("decimal(38,4)")).alias("_s30"),
+        F.count("cantidad").alias("_n30"))
     allu = rc.groupBy("sku").agg(F.sum(F.col("cantidad").cast("decimal(38,4)")).alias("_s"), F.count("cantidad").alias("_n"))
     m = rm.filter(F.col("criticidad").isin("alta", "media") & (F.col("activo") == F.lit(True))) \
         .join(use, "sku", "left").join(allu, "sku", "left")

@@ -188,6 +188,15 @@ def multi_event_orders(ev: DataFrame) -> DataFrame:
     )
 
 
+def last_classified(ev: DataFrame, tax: DataFrame, modes: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` latest events with their catalogue row and mode. The top rows are found before the dictionaries are joined."""
+    top = ev.orderBy(F.col("fecha_evento").desc_nulls_last(), F.col("id_evento").desc()).limit(n)
+    m = modes.select("id_modo_falla", "modo")
+    t = tax.select("taxonomia_id", "sistema", "componente", "id_modo_falla")
+    return top.join(t, "taxonomia_id", "left").join(m, "id_modo_falla", "left").select(
+        "id_evento", "ot_id", "activo_id", "sistema", "componente", "modo", "confianza", "fuente", "fecha_evento")
+
+
 def score_profile(sr: DataFrame) -> DataFrame:
     """Q13: per horizon: min / mean / median / max / std (population) and share >= .3/.6/.8.
 

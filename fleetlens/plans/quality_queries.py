@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import quality as q
 from ..sources.fixtures import fleet
 from .registry import register
@@ -141,6 +143,61 @@ def q11b(spark, d):
     return q.multi_event_orders(fleet(spark, d).ot_falla_evento)
 
 
+@register("Q11_last_classified", """
+SELECT e.id_evento, e.ot_id, e.activo_id, t.sistema, t.componente, m.modo, e.confianza, e.fuente, e.fecha_evento
+FROM (SELECT * FROM ot_falla_evento ORDER BY fecha_evento DESC NULLS LAST, id_evento DESC LIMIT 5) e
+LEFT JOIN taxonomia_fallas t ON e.taxonomia_id = t.taxonomia_id LEFT JOIN modo_falla m ON t.id_modo_falla = m.id_modo_falla""")
+def q11c(spark, d):
+    f = fleet(spark, d)
+    return q.last_classified(f.ot_falla_evento, f.taxonomia_fallas, f.modo_falla)
+
+
+TABLES = ("activos", "ordenes_trabajo", "ot_falla_evento", "repuestos_consumidos", "scoring_resultados", "feedback_taller")
+
+
+@register("S12_S13_export_restore", "\nUNION ALL\n".join(f"SELECT '{t}' AS tabla, count(*) AS filas FROM {t}" for t in TABLES))
+def s12(spark, d):
+    """Writes the tables as CSV, restores them and counts what came back."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import ingest as S
+
+    f, base = fleet(spark, d), scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    S.export_tables({t: getattr(f, t) for t in TABLES}, base)
+    back = S.restore_tables(spark, base, TABLES)
+    return S.table_summary(back).select("tabla", "filas")
+
+
+@register("S4_S5_reload", "\nUNION ALL\n".join(f"SELECT '{t}' AS tabla, count(*) AS filas FROM {t}" for t in TABLES[:4]))
+def s5(spark, d):
+    """Loads four tables in order with key checks, publishes them and reads the live version."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import ingest as S
+
+    f, base = fleet(spark, d), scratch_path(spark, f"reload-{uuid.uuid4().hex}")
+    S.full_reload({t: getattr(f, t) for t in TABLES[:4]}, base)
+    return S.table_summary({t: S.live(spark, base, t) for t in TABLES[:4]}).select("tabla", "filas")
+
+
+@register("S7_replace_slices", """
+SELECT fecha_scoring, count(*) AS filas FROM scoring_resultados GROUP BY fecha_scoring""")
+def s7(spark, d):
+    """All scores, then the even days again: slices are replaced, the others stay."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import ingest as S
+
+    sr, path = fleet(spark, d).scoring_resultados, scratch_path(spark, f"scores-{uuid.uuid4().hex}")
+    S.write_scores(sr, path)
+    S.write_scores(sr.filter(F.dayofmonth("fecha_scoring") % 2 == 0), path)
+    back = spark.read.schema(sr.schema).parquet(path)
+    return back.groupBy("fecha_scoring").agg(F.count(F.lit(1)).alias("filas"))
+
+
 def _ge(t):
     k = str(t).replace(".", "")
     return (f"count(CASE WHEN probabilidad_falla >= {t} THEN 1 END) AS n_ge_{k}, "

@@ -8,8 +8,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import panels as k
+from ..operators.ml import recall_precision_active
 from ..operators import parts as D
 from ..sources.fixtures import AS_OF, fleet
+from . import ml_queries  # noqa: F401  (M7's oracle must be registered before K39 composes it)
 from . import panel_queries as pq
 from . import parts_queries as partsq  # noqa: F401  (K30 oracle must be registered before K39 composes it)
 from .oracle_fixtures import with_views
@@ -18,8 +20,26 @@ from .registry import ORACLE, register
 V1, V2, V3, VH = "Estado y Riesgo", "Plan de Acción", "Impacto y Desempeño", "Mapa de calor"
 
 
-def run_panels(spark, d, as_of=AS_OF):
-    """Every metric of the four views in long form, one plan (a union of small aggregates)."""
+def registry(spark, d):
+    """The model registry of a run: one row per horizon from the evaluation (M7), the 30-day model active."""
+    from .ml_queries import m7
+
+    return m7(spark, d).select(
+        F.concat(F.lit("modelo_h"), F.col("horizonte_dias").cast("string")).alias("modelo_id"),
+        F.lit(AS_OF).cast("timestamp").alias("fecha_creacion"), "precision", "recall", (F.col("horizonte_dias") == 30).alias("es_activo"))
+
+
+def active_model(spark, models):
+    """Recall and Precision of the active model; without a registry (S18), NULL with a note."""
+    if models is None:
+        return [k.missing_metric(spark, V3, "Recall"), k.missing_metric(spark, V3, "Precision")]
+    rp = recall_precision_active(models)
+    return [k.metric_row(rp, V3, "Recall", col="recall_pct"), k.metric_row(rp, V3, "Precision", col="precision_pct")]
+
+
+def run_panels(spark, d, as_of=AS_OF, models=None):
+    """Every metric of the four views in long form, one plan (a union of small aggregates). ``models`` is the
+    model registry, where there is one."""
     f = fleet(spark, d)
     a, ot, ev, tax, sr, fb, dd, rm = (f.activos, f.ordenes_trabajo, f.ot_falla_evento, f.taxonomia_fallas,
                                       f.scoring_resultados, f.feedback_taller, f.disponibilidad_diaria, f.repuestos_maestro)
@@ -53,8 +73,7 @@ def run_panels(spark, d, as_of=AS_OF):
         k.metric_row(fcnt, V3, "Tasa alertas confirmadas", col="pct_confirmadas"),
         k.metric_row(k.confirmed_by_priority(fb, sr), V3, "P1 confirmadas", col="activos_p1_confirmados"),
         k.metric_row(k.confirmed_by_priority(fb, sr), V3, "P2 confirmadas", col="activos_p2_confirmados"),
-        k.missing_metric(spark, V3, "Recall"),
-        k.missing_metric(spark, V3, "Precision"),
+        *active_model(spark, models),
         k.metric_row(k.mean_anticipation(fb, ot), V3, "Anticipacion promedio"),
         k.metric_row(fcnt, V3, "% Alertas confirmadas", col="pct_confirmadas"),
         k.metric_row(fcnt, V3, "% Alertas rechazadas", col="pct_rechazadas"),
@@ -104,8 +123,8 @@ def run_panels_sql() -> str:
         _row(V3, "Tasa alertas confirmadas", "K26_feedback_counts", col="pct_confirmadas"),
         _row(V3, "P1 confirmadas", "K25_confirmed_p1_p2_assets", col="activos_p1_confirmados"),
         _row(V3, "P2 confirmadas", "K25_confirmed_p1_p2_assets", col="activos_p2_confirmados"),
-        f"SELECT '{V3}', 'Recall', CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), 'Tabla faltante'",
-        f"SELECT '{V3}', 'Precision', CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), 'Tabla faltante'",
+        _row(V3, "Recall", "M7_precision_recall_f1", col="recall * 100", where="WHERE horizonte_dias = 30"),
+        _row(V3, "Precision", "M7_precision_recall_f1", col="precision * 100", where="WHERE horizonte_dias = 30"),
         _row(V3, "Anticipacion promedio", "K29_mean_anticipation_days"),
         _row(V3, "% Alertas confirmadas", "K26_feedback_counts", col="pct_confirmadas"),
         _row(V3, "% Alertas rechazadas", "K26_feedback_counts", col="pct_rechazadas"),
@@ -123,7 +142,7 @@ def run_panels_sql() -> str:
 
 
 RUN_SQL = run_panels_sql()
-register("K39_run_panels")(lambda spark, d: run_panels(spark, d))
+register("K39_run_panels")(lambda spark, d: run_panels(spark, d, models=registry(spark, d)))
 ORACLE["K39_run_panels"] = RUN_SQL
 
 PREV_AS_OF = AS_OF - dt.timedelta(days=7)
