@@ -52,44 +52,44 @@ def super_kmers(words: Words, k: int, m: int) -> tuple[np.ndarray, ...]:
 
 
 def _find(k: int, m: int):
+    """The different minimisers of each row, and how many super-k-mers have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             w = Words(batch.column("text"))
-            first, windows, minimiser, _ = super_kmers(w, k, m)
+            first, _, minimiser, _ = super_kmers(w, k, m)
             row = w.row[first]
-            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "th")]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array((first - w.first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(minimiser.view(np.int64))],
-                names=["doc_id", "th", "first", "windows", "minimiser"],
-            )
+            order = np.lexsort((minimiser, row))
+            row, minimiser = row[order], minimiser[order]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (minimiser[1:] != minimiser[:-1])))[: len(row)])
+            own = [batch.column(c).take(pa.array(row[new])) for c in ("doc_id", "th")]
+            times = np.diff(np.append(new, len(row))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(minimiser[new].view(np.int64)), pa.array(times)], names=["doc_id", "th", "minimiser", "times"])
 
     return run
 
 
-def _pack(k: int):
-    """The candidates of each row as packed strings: their words, one space between them."""
+def _pack(k: int, m: int):
+    """The super-k-mers of each row that have one of its minimisers to look at, as packed strings: words, one space between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "th", "first", "minimiser", "packed")}
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "spots")]
-            for doc_id, th, text, spots in zip(*cols, strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                for s in spots:
-                    out["doc_id"].append(doc_id)
-                    out["th"].append(th)
-                    out["first"].append(s["first"])
-                    out["minimiser"].append(s["minimiser"])
-                    out["packed"].append(b" ".join(words[s["first"] : s["first"] + s["windows"] + k - 1]))
+            w = Words(batch.column("text"))
+            first, windows, minimiser, _ = super_kmers(w, k, m)
+            row, minimiser = w.row[first], minimiser.view(np.int64)
+            wanted = batch.column("minimisers")
+            keep = np.zeros(len(first), bool)
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                keep[a:b] = np.isin(minimiser[a:b], wanted[i].values.to_numpy())
+            first, windows, row, minimiser = first[keep], windows[keep], row[keep], minimiser[keep]
+            data = w.buf.tobytes()
+            spans = zip(w.start[first].tolist(), w.end[first + windows + k - 2].tolist(), strict=True)
+            packed = [b" ".join(data[a:b].split()) for a, b in spans]
+            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "th")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["doc_id"], batch.schema.field("doc_id").type),
-                    pa.array(out["th"], pa.int64()),
-                    pa.array(out["first"], pa.int32()),
-                    pa.array(out["minimiser"], pa.int64()),
-                    pa.array(out["packed"], pa.binary()),
-                ],
-                names=list(out),
+                [*own, pa.array((first - w.first[row]).astype(np.int32)), pa.array(minimiser), pa.array(packed, pa.binary())],
+                names=["doc_id", "th", "first", "minimiser", "packed"],
             )
 
     return run
@@ -185,11 +185,13 @@ def _explode(k: int):
 def repeated(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """doc_id, th (xxhash64 of the text) and starts (places of the windows that occur elsewhere) for the
     documents of ``docs`` (doc_id, th, text) that have any."""
-    found = stored(docs.mapInArrow(_find(k, m), _row_type(docs, "first int, windows int, minimiser long")))
-    twice = found.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser")
-    spots = found.join(twice, "minimiser", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "windows", "minimiser")).alias("spots"))
-    own = docs.join(_named(spots), _same()).select("doc_id", "th", "text", "spots")
-    packed = own.mapInArrow(_pack(k), _row_type(docs, "first int, minimiser long, packed binary"))
+    found = stored(docs.mapInArrow(_find(k, m), _row_type(docs, "minimiser long, times int")))
+    # stored, so that both sides of the join are plain exchanges, whose hot partitions can be split
+    twice = stored(found.groupBy("minimiser").agg(F.sum("times").alias("n")).where("n > 1").select("minimiser"))
+    spots = found.join(twice, "minimiser", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("minimiser").alias("minimisers"))
+    spots = spots.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    own = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "minimisers")
+    packed = own.mapInArrow(_pack(k, m), _row_type(docs, "first int, minimiser long, packed binary"))
     packed = stored(packed.withColumn("sid", F.xxhash64("packed")))
     # copies of a string are one row from here on, combined before the shuffle
     strings = stored(packed.groupBy("minimiser", "sid", "packed").agg(F.count("*").alias("n")))
@@ -208,14 +210,6 @@ def _row_type(docs: DataFrame, rest: str) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, {rest}"
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-
-
-def _same():
-    return F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """``docs`` with ``text`` as its kept words, one space between them, and n_words and n_removed (long).
 
@@ -224,14 +218,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = K, m: int = M,
     loses none; equal rows are occurrences of each other. Columns of the new names are replaced.
     """
     docs = docs.drop("n_words", "n_removed")
-    keyed = docs.withColumn("th", F.xxhash64(text))
-    gone = repeated(keyed.select("doc_id", "th", F.col(text).alias("text")), k, m, hot)
-    rows = keyed.join(_named(gone), _same(), "left").drop("_d", "_t", "th")
+    keyed = docs.withColumn("__th", F.xxhash64(text))
+    gone = repeated(keyed.select("doc_id", F.col("__th").alias("th"), F.col(text).alias("text")), k, m, hot)
+    gone = gone.withColumnsRenamed({"doc_id": "__d", "th": "__t", "starts": "__starts"})
+    rows = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left").drop("__d", "__t", "__th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 2 << 20):
             kept, n_words, n_removed = [], [], []
-            for t, starts in zip(batch.column(text).to_pylist(), batch.column("starts"), strict=True):
+            for t, starts in zip(batch.column(text).to_pylist(), batch.column("__starts"), strict=True):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
                 n = len(words)
                 if starts.is_valid:
@@ -242,7 +237,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = K, m: int = M,
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 n_words.append(n)
                 n_removed.append(n - len(words))
-            out = {c: batch.column(c) for c in batch.schema.names if c != "starts"}
+            out = {c: batch.column(c) for c in batch.schema.names if c != "__starts"}
             out |= {text: pa.array(kept, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
