@@ -394,15 +394,11 @@ def cost_per_unit(ot: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
 
 
 def confirmed_by_priority(fb: DataFrame, sr: DataFrame) -> DataFrame:
-    """Distinct assets with confirmed feedback on a P1 (resp. P2) score (EXISTS -> left_semi)."""
-    conf = fb.filter(F.col("falla_confirmada") == F.lit(True))
-
-    def n(prio):
-        s = sr.filter(F.col("prioridad") == prio).select("scoring_id")
-        return conf.join(s, "scoring_id", "left_semi").agg(F.count_distinct("activo_id").alias("v"))
-
-    return n(vocab.P1).withColumnRenamed("v", "activos_p1_confirmados").crossJoin(
-        n(vocab.P2).withColumnRenamed("v", "activos_p2_confirmados"))
+    """Distinct assets with confirmed feedback on a P1 (resp. P2) score, one join and one aggregate."""
+    conf = fb.filter(F.col("falla_confirmada") == F.lit(True)).select("scoring_id", "activo_id")
+    j = conf.join(sr.filter(F.col("prioridad").isin(*vocab.URGENT)).select("scoring_id", "prioridad"), "scoring_id")
+    n = lambda p: F.count_distinct(F.when(F.col("prioridad") == p, F.col("activo_id")))
+    return j.agg(n(vocab.P1).alias("activos_p1_confirmados"), n(vocab.P2).alias("activos_p2_confirmados"))
 
 
 def feedback_counts(fb: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import panels as K
 from ..operators.common import latest_order
 from ..sources.fixtures import AS_OF, fleet
 from .parts_queries import inter_sql
+from .panel_queries import EVENT_AGE
 from .registry import register
 
 
@@ -127,18 +128,8 @@ def w13(spark, d):
     return s.withColumn("delta", C.metric_delta("valor", "valor_anterior"))
 
 
-@register("W17_heatmap_wide", f"""
-WITH h AS (
-  SELECT coalesce(nullif(lower(tf.sistema), ''), 'sin_clasificar') AS sistema,
-    CASE WHEN coalesce(CAST(ofe.fecha_evento AS TIMESTAMP), ot.fecha_apertura) >= TIMESTAMP '{AS_OF - dt.timedelta(days=7)} 00:00:00' THEN 7
-         WHEN coalesce(CAST(ofe.fecha_evento AS TIMESTAMP), ot.fecha_apertura) >= TIMESTAMP '{AS_OF - dt.timedelta(days=30)} 00:00:00' THEN 30
-         WHEN coalesce(CAST(ofe.fecha_evento AS TIMESTAMP), ot.fecha_apertura) >= TIMESTAMP '{AS_OF - dt.timedelta(days=90)} 00:00:00' THEN 90 END AS horizonte
-  FROM ot_falla_evento ofe JOIN taxonomia_fallas tf ON ofe.taxonomia_id = tf.taxonomia_id
-  LEFT JOIN ordenes_trabajo ot ON ofe.ot_id = ot.ot_id)
-SELECT sistema, CAST(count(CASE WHEN horizonte = 7 THEN 1 END) AS BIGINT) AS h7,
-  CAST(count(CASE WHEN horizonte = 30 THEN 1 END) AS BIGINT) AS h30,
-  CAST(count(CASE WHEN horizonte = 90 THEN 1 END) AS BIGINT) AS h90
-FROM h WHERE horizonte IS NOT NULL GROUP BY sistema""")
+@register("W17_heatmap_wide", f"""WITH {EVENT_AGE}
+SELECT sistema, {', '.join(f"coalesce(sum(n) FILTER (horizonte = {h}), 0)::BIGINT AS h{h}" for h in (7, 30, 90))} FROM por_banda GROUP BY sistema""")
 def w17(spark, d):
     f = F_(spark, d)
     hm = K.heatmap(f.ot_falla_evento, f.taxonomia_fallas, f.ordenes_trabajo, AS_OF)
