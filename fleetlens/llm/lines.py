@@ -58,7 +58,8 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     # an outer explode, whose rows are filtered after it: no filter on the chunks is pushed below their projections
     found = with_chunks(docs.select("__key", text), text).select("__key", F.explode_outer("__chunks").alias("c"))
     found = stored(found.select("__key", "c.start", "c.len", "c.hash").where("hash IS NOT NULL"))
-    twice = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # stored, so that both sides of the join are plain exchanges, whose hot partitions can be split
+    twice = stored(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     places = found.join(twice, "hash", "left_semi").groupBy("__key").agg(F.collect_set(F.struct("start", "len", "hash")).alias("places"), F.count("*").alias("n"))
     # equal rows are one key here; n / size(places) of them exist
     places = places.select("__key", "places", (F.col("n") / F.size("places")).cast("long").alias("n"))
