@@ -3,7 +3,7 @@
 Shingles are runs of five words, weighted by (1 + ln tf) times a damped idf. Improved consistent weighted
 sampling draws samples that two texts share with the probability of their weighted Jaccard similarity;
 bands of samples give candidates, and a candidate pair is linked if its weighted similarity, computed from
-all shingles, is 0.8 or more. Classes are the components of the links.
+all shingles, is 0.8 or more (or the plain one is). Classes are the components of the links.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.graph import components
+from fleetlens.llm.graph import ONE_TASK, components, together
 from fleetlens.llm.words import Words, mix, slices
 from fleetlens.session import stored
 
@@ -27,6 +27,14 @@ SIMILARITY = 0.8
 DF_BUCKETS = 1 << 18
 #: Texts of one bucket that are compared pair by pair; larger buckets are split or compared by representatives.
 SMALL = 32
+#: Pairs that one task computes in full.
+PAIRS = 4_000
+#: Representatives of a large bucket, of its largest class and of all its texts: at first, and in each later turn. A text is in
+#: up to BANDS such buckets, and every turn takes others.
+FIRST, TURN = (8, 2), (4, 1)
+#: Samples of BANDS * ROWS that a pair must share to be computed in full; with similarity 0.8, fewer have probability 2e-4, less than
+#: the bands themselves miss (8e-4).
+AGREE = 16
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +69,7 @@ class Weights:
         self.idf = (1 + np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9)).astype(np.float32)
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.idf[(hashes & np.uint64(DF_BUCKETS - 1)).astype(np.int64)] * (1 + np.log(counts.astype(np.float32)))
+        return self.idf[(hashes & hashes.dtype.type(DF_BUCKETS - 1)).astype(np.int64)] * (1 + np.log(counts.astype(np.float32)))
 
 
 def frequencies(docs: DataFrame) -> Weights:
@@ -97,11 +105,11 @@ def frequencies(docs: DataFrame) -> Weights:
     return Weights(df, n)
 
 
-def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have shingles and, for each, BANDS keys from BANDS * ROWS consistent weighted samples."""
+def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that have shingles and, for each, BANDS * ROWS consistent weighted samples and the BANDS keys made of them."""
     rows, first = np.unique(row, return_index=True)
     if not len(rows):
-        return rows, np.zeros((0, BANDS), np.uint64)
+        return rows, np.zeros((0, BANDS * ROWS), np.uint64), np.zeros((0, BANDS), np.uint64)
     size = np.diff(np.append(first, len(row)))
     log_w = np.log(weights)
     drawn = np.zeros((len(rows), BANDS * ROWS), np.uint64)
@@ -125,32 +133,42 @@ def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[n
     for band in range(BANDS):
         for j in range(ROWS):
             keys[:, band] = mix(keys[:, band] ^ drawn[:, band * ROWS + j], band + 1)
-    return rows, keys
+    return rows, drawn, keys
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, key (md5 of the text) and bands of every document; bands is null for a text without words."""
+    """doc_id, key (md5 of the text), bands and drawn (the samples, 32 bits of each) of every document; both are
+    null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             row, hashes, counts = shingles(Words(batch.column("text")))
-            rows, keys = samples(row, hashes, weights.value.of(hashes, counts))
-            of = dict(zip(rows.tolist(), keys.view(np.int64).tolist(), strict=True))
-            bands = pa.array([of.get(i) for i in range(batch.num_rows)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), bands], names=["doc_id", "key", "bands"])
+            rows, drawn, keys = samples(row, hashes, weights.value.of(hashes, counts))
+            at = np.full(batch.num_rows, -1)
+            at[rows] = np.arange(len(rows))
+            take = pa.array(at, mask=at < 0)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(k)).take(take) for x, k in ((keys.view(np.int64), pa.int64()), (drawn.astype(np.uint32).view(np.int32), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *lists], names=["doc_id", "key", "bands", "drawn"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, key string, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, key string, bands array<long>, drawn array<int>")
 
 
 def contents(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, hashes and counts (packed, sorted by hash) of the texts that take part in candidate pairs."""
+    """key, hashes (32 bits of each, sorted) and counts, packed, of the texts that take part in candidate pairs.
+
+    Among the shingles of two texts of a thousand words, two different ones agree in 32 bits once in thousands of
+    pairs, which moves a similarity by a thousandth.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             row, hashes, counts = shingles(Words(batch.column("text")))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             spans = list(zip(cut[:-1], cut[1:], strict=True))
+            hashes = hashes.astype(np.uint32)
+            order = np.lexsort((hashes, row))
+            hashes, counts = hashes[order], counts[order]
             own = [hashes[a:b].tobytes() for a, b in spans]
             # counts only where any is above one
             times = [counts[a:b].astype(np.int32).tobytes() if b > a and counts[a:b].max() > 1 else b"" for a, b in spans]
@@ -160,11 +178,23 @@ def contents(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two texts, each as sorted hashes and their weights."""
+    """The weighted Jaccard similarity of two texts, each as sorted hashes and their weights, or the plain one if it is larger.
+
+    In a large group of near copies their common shingles weigh little for being frequent there, which would put
+    pairs below the threshold whose plain similarity is above it.
+    """
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     both = b[0][at] == a[0]
-    shared = float(np.minimum(a[1][both], b[1][at[both]]).sum())
-    return shared / (float(a[1].sum()) + float(b[1].sum()) - shared)
+    shared, n = float(np.minimum(a[1][both], b[1][at[both]]).sum()), int(both.sum())
+    return max(shared / (float(a[1].sum()) + float(b[1].sum()) - shared), n / (len(a[0]) + len(b[0]) - n))
+
+
+def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share AGREE samples or more: of those that are similar enough, all but 2 in 10,000 at the threshold."""
+    left = signed.select(F.col("key").alias("a"), F.col("drawn").alias("da"))
+    right = signed.select(F.col("key").alias("b"), F.col("drawn").alias("db"))
+    agree = F.aggregate(F.zip_with("da", "db", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where(agree >= AGREE).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -172,7 +202,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-            hashes = np.frombuffer(h, np.uint64)
+            hashes = np.frombuffer(h, np.uint32)
             return hashes, weights.value.of(hashes, np.frombuffer(c, np.int32) if c else np.ones(len(hashes), np.int32)).astype(np.float64)
 
         last, other = None, None
@@ -185,15 +215,32 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 
+    # few pairs fetch their texts by a broadcast of keys, whose number is counted; only those texts are shuffled
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    n = pairs.count()
+    texts = texts.join(F.broadcast(keys) if n <= ONE_TASK else keys, "key", "left_semi")
     left = texts.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = texts.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, "a string, b string")
-
-
-def _stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """Each text of a bucket with the bucket's representative of this turn, if their classes differ."""
-    first = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("o"), "key", "root")).alias("r"))
-    return buckets.join(first, "bucket").where("root != r.root").select(F.col("key").alias("a"), F.col("r.key").alias("b")).distinct()
+    out = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, "a string, b string")
+    return out.coalesce(max(1, -(-n // PAIRS)))
+
+
+def _stars(buckets: DataFrame, turn: int = 0, major: int = 0, any_: int = 1) -> DataFrame:
+    """Each text of a bucket with representatives of it for this turn, where their classes differ: ``major`` texts of
+    the bucket's largest class, which the texts outside it are compared with, and ``any_`` texts of all."""
+    rows = buckets
+    if major:
+        sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("s"))
+        rows = buckets.join(sizes.groupBy("bucket").agg(F.max(F.struct("s", "root"))["root"].alias("big")), "bucket")
+    # a weighted draw: the more large buckets a text is in, the nearer it is to the middle of its group
+    u = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(k), F.lit(turn), "key"), 11) + 1) / float(1 << 53)
+    order = lambda k: -F.log(u(k)) / F.pow(F.lit(2.0), F.col("degree")) if major else F.xxhash64(F.lit(turn), "key")
+    one = lambda k: F.struct(order(k).alias("o"), "key", "root")
+    picks = [F.min(F.when(F.col("root") == F.col("big"), one(k))) for k in range(major)] + [F.min(one(major + k)) for k in range(any_)]
+    chosen = rows.groupBy("bucket").agg(F.array(*picks).alias("r"))
+    own = F.filter("r", lambda x: x["root"] != F.col("root"))
+    met = buckets.join(chosen, "bucket").select(F.col("key").alias("a"), F.explode(own).alias("x"))
+    return met.select("a", F.col("x.key").alias("b")).distinct()
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
@@ -210,53 +257,50 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
 
     Candidates without all pairs of a group: every text of a bucket is compared with the bucket's first
     one. Then only texts whose classes still differ matter: buckets of up to SMALL texts compare all such
-    pairs; larger ones split by each further band that their texts share, and what is still large takes new
+    pairs; larger ones do so in the parts that share the next band too, and take new
     representatives, turn by turn, until a turn links nothing more.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
     weights = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
     signed = stored(signatures(rows, weights))
     once = signed.where("bands IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"))
+    after = F.element_at("bands", (F.col("band") + 1) % BANDS + 1)
     flat = once.select("key", "bands", F.posexplode("bands").alias("band", "h")).withColumn("bucket", F.xxhash64("band", "h"))
     many = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stored(flat.join(many, "bucket").select("bucket", "n", "band", "key", "bands"))
-    texts = stored(contents(rows, buckets.select("key").distinct()))
+    buckets = together(stored(flat.withColumn("narrow", F.xxhash64("bucket", after)).join(many, "bucket").select("bucket", "n", "narrow", "key")))
+    keys = buckets.select("key").distinct()
+    texts = stored(contents(rows, keys))
+    drawn = together(stored(signed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "drawn")))
 
-    flat = buckets.select("bucket", "n", "key", F.col("key").alias("root"))
-    tried = stored(_stars(flat, 0))
-    links = stored(verified(tried, texts, weights, least))
-    roots = components(links)
+    def similar_pairs(pairs: DataFrame) -> DataFrame:
+        return stored(verified(stored(likely(pairs, drawn)), texts, weights, least))
+
+    roots = components(similar_pairs(_stars(buckets.withColumn("root", F.col("key")), 0)))
 
     def now(b: DataFrame) -> DataFrame:
         """Buckets that hold more than one class, with the class of each text."""
-        known = stored(b.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        known = b.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         mixed = known.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        return known.join(mixed, "bucket", "left_semi")
-
-    def link(pairs: DataFrame) -> int:
-        nonlocal tried, links, roots
-        new = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        old = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = stored(verified(new.join(old, ["a", "b"], "left_anti"), texts, weights, least))
-        tried = old.unionByName(new)
-        found = more.count()
-        if found:
-            links = links.unionByName(more)
-            roots = components(links)
-        return found
+        return stored(known.join(mixed, "bucket", "left_semi"))
+
+    def link(pairs: DataFrame) -> bool:
+        nonlocal roots
+        more = similar_pairs(pairs)
+        if more.isEmpty():
+            return False
+        # the classes so far, as stars, and the new links
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        return True
 
     left = now(buckets)
     wide = left.where(F.col("n") > SMALL)
-    parts = wide.select("bucket", "key", "root", "band", F.posexplode("bands").alias("other", "h")).where("other != band")
-    parts = parts.withColumn("bucket", F.xxhash64("bucket", "other", "h")).select("bucket", "key", "root")
-    sizes = parts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = stored(parts.join(sizes, "bucket"))
-    link(_pairs(left.where(F.col("n") <= SMALL)).unionByName(_pairs(parts.where(F.col("n") <= SMALL))).unionByName(_stars(parts, 1)))
-    turn = 2
-    rest = stored(now(parts.where(F.col("n") > SMALL).select("bucket", "key", "root")))
-    while link(_stars(rest, turn)):
-        turn += 1
-        rest = stored(now(rest))
+    wide = wide.join(wide.groupBy("key").agg(F.count("*").alias("degree")), "key")
+    parts = wide.select(F.col("narrow").alias("bucket"), "key", "root")
+    few = parts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n").between(2, SMALL)).select("bucket")
+    link(_pairs(left.where(F.col("n") <= SMALL)).unionByName(_pairs(parts.join(few, "bucket", "left_semi"))).unionByName(_stars(wide, 1, *FIRST)))
+    turn, rest = 2, now(wide.select("bucket", "key", "degree"))
+    while link(_stars(rest, turn, *TURN)):
+        turn, rest = turn + 1, now(rest)
 
     named = signed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), "key")).alias("first"))
@@ -265,10 +309,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
 
 def dedup(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
     """One document of each class: the one with the least doc_id (a null id last), then the least md5."""
-    first = classes(docs, least, text).select(F.col("class_id").alias("_d"), F.col("class_key").alias("_k")).distinct()
-    rows = docs.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    first = classes(docs, least, text).select(F.col("class_id").alias("__d"), F.col("class_key").alias("__k")).distinct()
+    rows = docs.withColumn("__key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op3_near_dedup(spark, sf_dir):
