@@ -9,10 +9,12 @@ network finds worst so far (at first, the one with the largest log-odds) and the
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,8 +42,9 @@ class Vocabulary:
 
     def __init__(self, words: Words):
         hashes = words.hashes()
-        self.hash, first, self.of = np.unique(hashes, return_index=True, return_inverse=True)
-        self.bucket = (self.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
+        self.hash, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.of = of.astype(np.int32)
+        self.bucket = (self.hash & np.uint64(BUCKETS - 1)).astype(np.uint16)
         start, size = words.start[first], words.end[first] - words.start[first]
         # all words in one array, each between two marks
         ends = np.cumsum(size + 2)
@@ -59,7 +62,7 @@ class Vocabulary:
             key = np.zeros(len(at), np.uint64)
             for i in range(n):
                 key |= flat[at + i].astype(np.uint64) << np.uint64(8 * i)
-            self.grams.append((own, cut, count, (mix(key, n) & np.uint64(BUCKETS - 1)).astype(np.int64)))
+            self.grams.append((own, cut, count, (mix(key, n) & np.uint64(BUCKETS - 1)).astype(np.uint16)))
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -196,12 +199,11 @@ class Chunk:
         words = Words(lowered(pa.array(texts, pa.string())), BREAK)
         self.words, self.vocab, self.label = words, Vocabulary(words), np.array(labels, np.int64)
         self.row, self.first, self.size = windows(words)
-        words.buf = None
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of each label that have a word bucket, and an n-gram bucket."""
-        vocab = self.vocab
-        pair = np.unique(self.words.row * max(len(vocab), 1) + vocab.of)
+        """Documents of each label that have a word bucket, and an n-gram bucket; the words are let go."""
+        vocab, row, self.words = self.vocab, self.words.row, None
+        pair = np.unique(row * max(len(vocab), 1) + vocab.of)
         doc, word = pair // max(len(vocab), 1), pair % max(len(vocab), 1)
         cells = []
         for own, cut, count, bucket in vocab.grams:
@@ -228,7 +230,7 @@ def _odds(counts: np.ndarray, label: np.ndarray, smooth: float = 5.0) -> np.ndar
     return odds.astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 6, chunk: int = 256) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 6, chunk: int = 64) -> Network:
     """Fit a network to documents and labels (0 or 1); with fewer than two classes it scores all alike.
 
     Documents are held in chunks, so memory is that of the sample's words and no more.
@@ -313,8 +315,8 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: about ``toxic`` and ``clean`` labelled documents, chosen by a hash of their ids.
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> DataFrame:
+    """Rows (doc_id, text, toxic) to learn from: about ``toxic`` and ``clean`` labelled documents, chosen by a hash of their ids.
 
     Rows without a label, an id or a text, and documents of more than ``chars`` characters, are not learned from.
     """
@@ -324,8 +326,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean:
     few = known.where(F.pmod(F.xxhash64("_d", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20))
     # its size is that of the sample
     rows = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_d"))
-    got = rows.select("doc_id", "text", "toxic").distinct().orderBy("doc_id", "toxic", "text").collect()
-    return [r.text for r in got], [int(r.toxic) for r in got]
+    return rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).distinct()
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -357,8 +358,17 @@ def fold(k: int = 1, of: int = 3):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network from the labelled documents outside the held-out fold."""
-    return train(*sample(docs, labels.where(~fold())))
+    """A network from the labelled documents outside the held-out fold.
+
+    One task trains on the sample, whose size is bounded, and sends back the weights; a retry gives the same ones.
+    """
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "toxic", "text"])
+        return pd.DataFrame({"net": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].tolist()).p)]})
+
+    got = sample(docs, labels.where(~fold())).groupBy().applyInPandas(learn, "net binary").collect()
+    return Network(pickle.loads(got[0].net)) if got else train([], [])
 
 
 def op6_toxicity(spark, sf_dir):
