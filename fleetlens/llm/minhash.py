@@ -23,7 +23,10 @@ from fleetlens.session import stored
 SHINGLE = 5
 BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
-#: Document frequencies are counted in so many hash buckets, whatever the corpus: the table is 2 MB.
+#: A shingle of this share of the documents or more (of two at least) is frequent and has its exact document frequency; with L shingles a
+#: document there are L / FREQUENT of them at most, whatever the corpus. The others are rare and weigh like those of one document.
+FREQUENT = 1 / 256
+#: Hash buckets whose sums show where frequent shingles can be: the table is 2 MB.
 DF_BUCKETS = 1 << 18
 #: Texts of one bucket that are compared pair by pair; larger buckets are split or compared by representatives.
 SMALL = 32
@@ -58,22 +61,38 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """idf by hash bucket: 1 + ln((N + 1) / (df + 1)) / ln(N + 1), between 1 and 2.
+    """idf: 1 + ln((N + 1) / (df + 1)) / ln(N + 1), between 1 and 2, with the df of each frequent shingle and 1 for the others.
 
     It is damped so that a group of copies, whose own shingles are frequent because of the group, does not
     let a few edited words outweigh the text that its members share.
     """
 
-    def __init__(self, df: np.ndarray, n: int):
-        df = np.minimum(df, n)
-        self.idf = (1 + np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9)).astype(np.float32)
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, n: int):
+        """``hashes`` (64 bits) of the frequent shingles among ``n`` documents, and their ``df``."""
+        idf = lambda df: (1 + np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9)).astype(np.float32)
+        self.rare = idf(np.ones(1))[0]
+        self.tables = {}
+        # whole hashes, and the 32 bits that contents() keeps
+        for kind in (np.uint64, np.uint32):
+            own = hashes.astype(kind)
+            order = np.argsort(own)
+            self.tables[np.dtype(kind)] = own[order], idf(df[order])
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.idf[(hashes & hashes.dtype.type(DF_BUCKETS - 1)).astype(np.int64)] * (1 + np.log(counts.astype(np.float32)))
+        known, idf = self.tables[hashes.dtype]
+        times = 1 + np.log(counts.astype(np.float32))
+        if not len(known):
+            return self.rare * times
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, idf[at], self.rare) * times
 
 
 def frequencies(docs: DataFrame) -> Weights:
-    """Count, over all documents, in how many each bucket of shingles occurs; sums travel as packed blocks."""
+    """Count, over all documents, in how many each frequent shingle occurs.
+
+    A bucket's sum is as large as the count of any shingle in it, so only shingles of buckets that reach the least count
+    are then counted one by one. Sums travel as packed blocks.
+    """
     width = 1 << 12
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +121,17 @@ def frequencies(docs: DataFrame) -> Weights:
             n = int(own[0])
         else:
             df[r.block * width : (r.block + 1) * width] = own
-    return Weights(df, n)
+    least = max(2, n * FREQUENT)
+    wanted = docs.sparkSession.sparkContext.broadcast(df >= least)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            _, h, _ = shingles(Words(batch.column("text")))
+            h, times = np.unique(h[wanted.value[(h & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "df"])
+
+    got = docs.select("text").mapInArrow(each, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toPandas()
+    return Weights(got["h"].to_numpy(np.int64).view(np.uint64), got["df"].to_numpy(np.int64), n)
 
 
 def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

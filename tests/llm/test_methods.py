@@ -279,6 +279,20 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs(share - jaccard**minhash.ROWS) < 0.04
 
 
+def test_document_frequencies_are_those_of_the_shingle(spark):
+    """A shingle of one document weighs as such, however many others there are, and a frequent one by its own count."""
+    rng = random.Random(12)
+    frame = some(rng, 30)
+    texts = [" ".join(some(rng, 300) + (frame if i % 10 == 0 else [])) for i in range(2000)]
+    weights = minhash.frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    _, h, counts = minhash.shingles(Words(pa.array([" ".join(some(rng, 5)), " ".join(frame[:5])])))
+    _, h2, _ = minhash.shingles(Words(pa.array([" ".join(texts[1].split()[:300])])))
+    idf = lambda df: 1 + np.log(2001 / (df + 1)) / np.log(2001)
+    assert np.allclose(weights.of(h2, np.ones(len(h2), int)), idf(1), atol=1e-5)
+    assert np.allclose(weights.of(h2.astype(np.uint32), np.ones(len(h2), int)), idf(1), atol=1e-5)
+    assert np.allclose(weights.of(h, counts), [idf(1), idf(200)], atol=1e-5)
+
+
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
