@@ -1,8 +1,8 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words, weighted by (1 + ln tf) times a damped idf. Improved consistent weighted
-sampling draws samples that two texts share with the probability of their weighted Jaccard similarity;
-bands of samples give candidates, and a candidate pair is linked if its weighted similarity, computed from
+sampling draws samples that two texts share with the probability of their weighted Jaccard similarity, and
+least hashes are shared with that of the plain one; bands of either kind of sample give candidates, and a candidate pair is linked if its weighted similarity, computed from
 all shingles, is 0.8 or more (or the plain one is). Classes are the components of the links.
 """
 
@@ -21,6 +21,7 @@ from fleetlens.llm.words import Words, mix, slices
 from fleetlens.session import stored
 
 SHINGLE = 5
+#: Of each kind of sample, weighted and plain.
 BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
 #: A shingle of this share of the documents or more (of two at least) is frequent and has its exact document frequency; with L shingles a
@@ -33,10 +34,10 @@ SMALL = 32
 #: Pairs that one task computes in full.
 PAIRS = 4_000
 #: Representatives of a large bucket, of its largest class and of all its texts: at first, and in each later turn. A text is in
-#: up to BANDS such buckets, and every turn takes others.
+#: up to 2 * BANDS such buckets, and every turn takes others.
 FIRST, TURN = (8, 2), (4, 1)
-#: Samples of BANDS * ROWS that a pair must share to be computed in full; with similarity 0.8, fewer have probability 2e-4, less than
-#: the bands themselves miss (8e-4).
+#: Samples of BANDS * ROWS, of one kind or the other, that a pair must share to be computed in full; with similarity 0.8 of that kind, fewer
+#: have probability 2e-4, less than its bands themselves miss (8e-4).
 AGREE = 16
 
 
@@ -158,21 +159,39 @@ def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[n
         # of equal scores the first, which is the least hash
         hit = hit[np.searchsorted(hit, first)]
         drawn[:, k] = mix(hashes[hit] ^ mix(t[hit].astype(np.int64).view(np.uint64), 99), 7)
-    keys = np.zeros((len(rows), BANDS), np.uint64)
+    return rows, drawn, banded(drawn)
+
+
+def plain_samples(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As samples(), all shingles alike: the least of BANDS * ROWS hashes."""
+    rows, first = np.unique(row, return_index=True)
+    drawn = np.zeros((len(rows), BANDS * ROWS), np.uint64)
+    if len(rows):
+        for k in range(BANDS * ROWS):
+            drawn[:, k] = np.minimum.reduceat(mix(hashes, 100 + k), first)
+        # the high bits of a least hash are mostly zeros
+        drawn = mix(drawn, 8)
+    return rows, drawn, banded(drawn)
+
+
+def banded(drawn: np.ndarray) -> np.ndarray:
+    """The BANDS keys of each row's samples."""
+    keys = np.zeros((len(drawn), BANDS), np.uint64)
     for band in range(BANDS):
         for j in range(ROWS):
             keys[:, band] = mix(keys[:, band] ^ drawn[:, band * ROWS + j], band + 1)
-    return rows, drawn, keys
+    return keys
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, key (md5 of the text), bands and drawn (the samples, 32 bits of each) of every document; both are
-    null for a text without words."""
+    """doc_id, key (md5 of the text), bands and drawn (the samples, 32 bits of each) of every document, the weighted ones
+    first, then the plain ones; both are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             row, hashes, counts = shingles(Words(batch.column("text")))
-            rows, drawn, keys = samples(row, hashes, weights.value.of(hashes, counts))
+            rows, *both = samples(row, hashes, weights.value.of(hashes, counts))
+            drawn, keys = (np.hstack(x) for x in zip(both, plain_samples(row, hashes)[1:], strict=True))
             at = np.full(batch.num_rows, -1)
             at[rows] = np.arange(len(rows))
             take = pa.array(at, mask=at < 0)
@@ -219,11 +238,12 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share AGREE samples or more: of those that are similar enough, all but 2 in 10,000 at the threshold."""
+    """The pairs (a, b) that share AGREE samples of one kind or more: of those that are similar enough, all but 2 in 10,000 at the threshold."""
     left = signed.select(F.col("key").alias("a"), F.col("drawn").alias("da"))
     right = signed.select(F.col("key").alias("b"), F.col("drawn").alias("db"))
-    agree = F.aggregate(F.zip_with("da", "db", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(left, "a").join(right, "b").where(agree >= AGREE).select("a", "b")
+    part = lambda c, k: F.slice(c, k * BANDS * ROWS + 1, BANDS * ROWS)
+    agree = lambda k: F.aggregate(F.zip_with(part("da", k), part("db", k), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where((agree(0) >= AGREE) | (agree(1) >= AGREE)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -293,7 +313,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     weights = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
     signed = stored(signatures(rows, weights))
     once = signed.where("bands IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"))
-    after = F.element_at("bands", (F.col("band") + 1) % BANDS + 1)
+    after = F.element_at("bands", (F.col("band") + 1) % F.size("bands") + 1)
     flat = once.select("key", "bands", F.posexplode("bands").alias("band", "h")).withColumn("bucket", F.xxhash64("band", "h"))
     many = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = together(stored(flat.withColumn("narrow", F.xxhash64("bucket", after)).join(many, "bucket").select("bucket", "n", "narrow", "key")))

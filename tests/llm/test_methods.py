@@ -9,6 +9,7 @@ import pytest
 
 from fleetlens.llm import decontaminate, graph, html, langid, minhash, mixing, quality, substrings, tokens, toxicity
 from fleetlens.llm.words import Words, slices
+from fleetlens.session import stored
 
 SF = "/root/testdata/sf0.001"
 VOCAB = [f"w{i}" for i in range(4000)]
@@ -279,6 +280,31 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs(share - jaccard**minhash.ROWS) < 0.04
 
 
+def test_pairs_whose_common_shingles_are_frequent_are_candidates(spark):
+    """Plain similarity 0.8 or a little more, the weighted one about 0.68: as many are found as of pairs that are similar by weight."""
+    rng = random.Random(13)
+    texts, common = [], []
+    for _ in range(600):
+        body = some(rng, 324)
+        common.append(" ".join(body))
+        texts += [" ".join(body + some(rng, 39)), " ".join(body + some(rng, 39))]
+    known = np.unique(minhash.shingles(Words(pa.array(common)))[1])
+
+    class Given:
+        @property
+        def value(self):
+            return self
+
+        def of(self, hashes, counts):
+            return np.where(np.isin(hashes, known), 1, 2).astype(np.float32)
+
+    rows = spark.createDataFrame([(i // 2, f"{i}", t) for i, t in enumerate(texts)], "doc_id long, key string, text string")
+    signed = stored(minhash.signatures(rows, Given()))
+    flat = signed.selectExpr("doc_id", "key", "posexplode(bands) as (band, h)")
+    pairs = flat.alias("x").join(flat.alias("y"), ["doc_id", "band", "h"]).where("x.key < y.key").selectExpr("x.key a", "y.key b").distinct()
+    assert minhash.likely(pairs, signed).count() >= 597
+
+
 def test_document_frequencies_are_those_of_the_shingle(spark):
     """A shingle of one document weighs as such, however many others there are, and a frequent one by its own count."""
     rng = random.Random(12)
