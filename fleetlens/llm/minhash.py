@@ -33,6 +33,8 @@ DF_BUCKETS = 1 << 18
 SMALL = 32
 #: Pairs that one task computes in full.
 PAIRS = 4_000
+#: Texts a side of one cell of a large bucket's pairs; no key of that join has more rows, however large the bucket.
+CELL = 512
 #: Representatives of a large bucket, of its largest class and of all its texts: at first, and in each later turn. A text is in
 #: up to 2 * BANDS such buckets, and every turn takes others.
 FIRST, TURN = (8, 2), (4, 1)
@@ -298,6 +300,22 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(right, "bucket").where("key < b AND root != rb").select(F.col("key").alias("a"), "b").distinct()
 
 
+def _rest(buckets: DataFrame) -> DataFrame:
+    """All pairs of different classes inside buckets of any size, dealt over cells: the texts outside a bucket's largest class meet
+    all texts of it. Texts of the largest class never meet each other."""
+    sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("s"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("s", "root"))["root"].alias("big"), F.sum("s").alias("n"), F.max("s").alias("most"))
+    cells = lambda n: F.ceil(n / CELL).cast("int")
+    sizes = sizes.select("bucket", "big", F.greatest(F.lit(1), cells(F.col("n") - F.col("most"))).alias("down"), cells(F.col("n")).alias("across"))
+    rows = stored(buckets.select("bucket", "key", "root").join(sizes, "bucket"))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    left = rows.where("root != big").select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"), own("down").alias("i"), all_("across").alias("j"))
+    right = rows.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("big")).alias("inner"), all_("down").alias("i"), own("across").alias("j"))
+    met = left.join(right, ["bucket", "i", "j"]).where("ra != rb AND (inner OR a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
     """doc_id, key (md5 of the text) and class_id, the least doc_id of the class, for every row of ``docs``.
 
@@ -307,7 +325,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     Candidates without all pairs of a group: every text of a bucket is compared with the bucket's first
     one. Then only texts whose classes still differ matter: buckets of up to SMALL texts compare all such
     pairs; larger ones do so in the parts that share the next band too, and take new
-    representatives, turn by turn, until a turn links nothing more.
+    representatives, turn by turn, until a turn links nothing more. What then still differs inside
+    a large bucket is compared pair by pair as well, so the turns only save comparisons.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
     weights = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
@@ -350,6 +369,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     turn, rest = 2, now(wide.select("bucket", "key", "degree"))
     while link(_stars(rest, turn, *TURN)):
         turn, rest = turn + 1, now(rest)
+    if not rest.isEmpty():
+        link(_rest(rest))
 
     named = signed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), "key")).alias("first"))

@@ -280,6 +280,25 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs(share - jaccard**minhash.ROWS) < 0.04
 
 
+def test_pairs_outside_the_largest_class_of_a_wide_bucket(spark, monkeypatch):
+    """All texts share all bands, and pairs of like texts stand beside a large class; a cell takes 16 texts a side."""
+    for name in ("samples", "plain_samples"):
+        if old := getattr(minhash, name, None):
+            monkeypatch.setattr(minhash, name, lambda *x, old=old: (*(got := old(*x))[:2], np.zeros_like(got[2])))
+    monkeypatch.setattr(minhash, "CELL", 16, raising=False)
+    rng = random.Random(14)
+    base, texts = some(rng, 200), []
+    for _ in range(100):
+        w = list(base)
+        w[rng.randrange(200)] = rng.choice(VOCAB)
+        texts.append(" ".join(w))
+    for _ in range(60):
+        w = some(rng, 200)
+        texts += [" ".join(w), " ".join([*w[:-2], *some(rng, 2)])]
+    got = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [c for _, c in sorted((r.doc_id, r.class_id) for r in got)] == brute_classes(texts)
+
+
 def test_pairs_whose_common_shingles_are_frequent_are_candidates(spark):
     """Plain similarity 0.8 or a little more, the weighted one about 0.68: as many are found as of pairs that are similar by weight."""
     rng = random.Random(13)
