@@ -7,6 +7,7 @@ pieces) and checking the text around each hit with Myers' bit-parallel edit dist
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,8 +19,11 @@ from fleetlens.llm.words import extended, slices
 
 #: Edits allowed, as a share of an item's characters.
 RATE = 0.05
-#: Items of fewer words occur by chance in clean texts and are not searched.
+#: Items of fewer words and of fewer characters occur by chance inside other words: they are found without edits and as whole words only.
 MIN_WORDS = 6
+MIN_CHARS = 40
+#: Letters of scripts that put no space between words (Thai, Lao, Myanmar, Khmer, kana, Han): any place is a word boundary there.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Items of one pass; a larger benchmark is searched in several passes, so a broadcast stays small.
 BLOCK = 20_000
 
@@ -31,6 +35,12 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on across either end of a place."""
+    inside = lambda c: (c.isalnum() or c == "_") and not UNSPACED.match(c)
+    return not any(0 < i < len(text) and inside(text[i - 1]) and inside(text[i]) for i in (start, end))
+
+
 class Pattern:
     """An item with the bit masks of its characters."""
 
@@ -69,11 +79,13 @@ class Pattern:
 class Search:
     """All items of a pass: the automaton over their pieces, the budgets and the patterns."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.budget, self.patterns, self.ids = [], [], []
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_words: int = MIN_WORDS):
+        self.budget, self.patterns, self.ids, self.short = [], [], [], []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (item_id, text) in enumerate(items):
-            e, n = int(rate * len(text)), len(text)
+            n, short = len(text), len(text) < MIN_CHARS and text.count(" ") + 1 < min_words
+            e = 0 if short else int(rate * n)
+            self.short.append(short)
             self.ids.append(item_id)
             self.budget.append(e)
             self.patterns.append(Pattern(text))
@@ -96,6 +108,9 @@ class Search:
             e, n = self.budget[k], self.patterns[k].n
             begins.sort()
             best = None
+            if self.short[k]:
+                best = next(((0, a + n) for a in begins if whole(text, a, a + n)), None)
+                begins = []
             while begins:
                 # hits whose windows overlap are checked at once
                 lo = hi = begins[0]
@@ -117,8 +132,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     """``docs`` with leaks: item_id, distance, start and end (in the normal form) of each item of ``benchmark``
     (item_id, text) that occurs in ``text``, case and white space aside, with ``rate`` edits a character at most.
 
-    A null or empty text has none; items that are null or of fewer than ``min_words`` words are not searched;
-    equal items are all reported. No shuffle: items go out in blocks of about ``block`` rows by a hash of
+    A null or empty text has none, and items that are null or without words are not searched; those of fewer than
+    ``min_words`` words and MIN_CHARS characters must occur without edits and as whole words. Equal items are all reported. No shuffle: items go out in blocks of about ``block`` rows by a hash of
     their text, one pass over ``docs`` each. A column named leaks is replaced.
     """
     docs = docs.drop("leaks")
@@ -129,10 +144,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         wanted = sorted({(r.item_id, normal(r.text)) for r in own}, key=lambda x: (x[1], x[0] is None, x[0]))
-        shared = docs.sparkSession.sparkContext.broadcast([x for x in wanted if x[1].count(" ") + 1 >= min_words])
+        shared = docs.sparkSession.sparkContext.broadcast([x for x in wanted if x[1]])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Search(shared.value, rate)
+            search = Search(shared.value, rate, min_words)
             for batch in slices(batches, text):
                 before = batch.column("leaks").to_pylist()
                 got = [x + (search.leaks(normal(t)) if t else []) for t, x in zip(batch.column(text).to_pylist(), before, strict=True)]

@@ -132,6 +132,19 @@ def test_leaks_with_edits(spark):
         assert want <= {tuple(r) for r in got} and all(d % 2 for d, _ in got)
 
 
+def test_items_of_few_words(spark):
+    """Items of one word in a script without spaces and short ones are searched; short ones only without edits and as whole words."""
+    rng = random.Random(6)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60))
+    code = "reduce(lambda_accumulate,range(1000000),start=17)"
+    items = [(1, han), (2, han[:12]), (3, "Cat  sat"), (4, code), (5, ""), (6, " \n")]
+    texts = ["前文" + han[:30] + "#" + han[31:] + "后文", "很" + han[:12] + "好", "the cat sat.", "the cat sate", "bobcat sat", f"so {code[:20]}#{code[21:]}", "cats sat", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.with_leaks(docs, bench).selectExpr("doc_id", "inline(leaks)").select("doc_id", "item_id", "distance").collect()
+    assert {tuple(r) for r in got} == {(0, 1, 1), (0, 2, 0), (1, 2, 0), (2, 3, 0), (5, 4, 1)}
+
+
 def test_matching_and_templates():
     a = html.tree(["/body/div/p", "/body/div/ul", "/body/footer"])
     b = html.tree(["/body/div/p", "/body/aside", "/body/footer"])
