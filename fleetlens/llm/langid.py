@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.words import extended, mix, slices
 
-#: Bound of the labelled rows that a model is fitted on; above it, rows are kept by a hash of their text.
+#: Bound of the labelled rows that a model is fitted on; above it, different texts of each language are kept by a hash.
 TRAIN_ROWS = 40_000
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -91,11 +91,24 @@ class Model:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, alpha: float = 0.1) -> Model:
     """Fit on ``labelled`` (text, lang). Rows without a language or a letter teach nothing; of more than
-    ``rows`` rows, about that many are used, chosen by a hash of the text (so a rerun takes the same)."""
+    ``rows`` rows, about that many different ones are used: all of languages with few, of the others a share that a hash
+    of the text chooses (so a rerun takes the same). The languages' shares of all rows stay the prior."""
     labelled = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    n = labelled.count()
-    if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    known = {r.lang: r for r in counted.limit(MAX_LANGS + 1).collect()}
+    if len(known) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: the matrix is not small enough to broadcast")
+    sampled = sum(r.n for r in known.values()) > rows
+    if sampled:
+        left = rows
+        keep = F.lit(False)
+        # the smallest first: what one leaves of its equal part goes to the larger ones
+        for k, r in enumerate(sorted(known.values(), key=lambda r: (r.texts, r.lang))):
+            part = left / (len(known) - k)
+            chosen = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 40)) < int(min(1, part / max(r.texts, 1)) * (1 << 40))
+            keep |= (F.col("lang") == r.lang) & (F.lit(True) if r.texts <= part else chosen)
+            left -= min(part, r.texts)
+        labelled = labelled.where(keep).dropDuplicates(["text", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -119,11 +132,9 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, alpha: float = 0.1) -> Mode
     sums = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.limit(MAX_LANGS * (BUCKETS + 1) + 1).toPandas()
     langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: the matrix is not small enough to broadcast")
     table = np.zeros((len(langs), BUCKETS + 1))
     table[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"]
-    seen, n = table[:, :BUCKETS] + alpha, table[:, BUCKETS]
+    seen, n = table[:, :BUCKETS] + alpha, np.array([known[x].n for x in langs]) if sampled else table[:, BUCKETS]
     return Model(langs, np.log(seen / seen.sum(1, keepdims=True)), np.log(np.maximum(n, 1) / max(n.sum(), 1)))
 
 

@@ -171,6 +171,18 @@ def test_language_held_out(spark):
     assert got and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
 
 
+def test_languages_with_few_rows_stay_in_the_sample(spark):
+    """Of many rows, a rare language keeps all of its own, and copies of one text count once."""
+    rng = random.Random(7)
+    rows = [(" ".join(some(rng, 8)), "xx") for _ in range(4000)] + [(VOCAB[0], "xx")] * 2000
+    rows += [("ωξψ φθδ", "yy"), ("λκσ ζμν", "yy"), ("жщю фъэ", "zz")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit(df, rows=300)
+    assert model.langs == ["xx", "yy", "zz"]
+    assert model.score(["w5 w77 w1234", "ξψ κσ ζμ", "щю фъэ"])[0] == ["xx", "yy", "zz"]
+    assert np.allclose(np.exp(model.prior), np.array([6000, 2, 1]) / 6003)
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(7)
     ends = ["ab", "ore", "is", "unt", "ie", "ax"]
