@@ -1,8 +1,7 @@
 """How filters interact: five filters over a sparse document-term matrix, in every order.
 
-Each task turns its rows into CSR shards over a dictionary of its own; the dictionaries are merged into one
-global dictionary, whose ids then replace the local ones. Row sums of the matrix are words, counts of its
-nonzero columns are different words. A document's verdicts become five bits, and counts of documents by part
+Each task turns its rows into CSR shards, whose columns are words of a global dictionary. Row sums of the matrix
+are words, counts of its nonzero columns are different words. A document's verdicts become five bits, and counts of documents by part
 and bits say all that any order of the filters does.
 """
 
@@ -10,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import permutations
-from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,50 +23,90 @@ FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER, SYMBOLS = 50, 65, 5, "#$%&*|"
 #: Bytes of text in a shard, one row at least.
 SHARD = 4 << 20
-
-#: What a shard keeps of each document, beside its words.
-_META = ("doc_id", "part", "text_sha", "bits")
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a shard: its documents, their term counts in CSR form, and the words that its columns stand for."""
-    from pyspark import TaskContext
-
-    shard = TaskContext.get().partitionId() << 32
-    for batch in slices(batches, "text", SHARD):
-        w = Words(batch.column("text"))
-        data = w.buf[~SPACE[w.buf]].tobytes()
-        ends = np.concatenate(([0], np.cumsum(w.end - w.start))).astype(np.int32)
-        words = pa.Array.from_buffers(pa.string(), len(w), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]).dictionary_encode()
-        width = max(len(words.dictionary), 1)
-        cell, times = np.unique(w.row * width + words.indices.to_numpy(), return_counts=True)
-        starts = np.searchsorted(cell, np.arange(batch.num_rows + 1) * width)
-        lists = {
-            **{c: batch.column(c) for c in _META},
-            "starts": pa.array(starts.astype(np.int32)),
-            "columns": pa.array((cell % width).astype(np.int32)),
-            "times": pa.array(times.astype(np.int32)),
-            "words": words.dictionary,
-        }
-        one = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()}
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *one.values()], names=["shard", *one])
-        shard += 1
-
-
-def matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shards, dictionary) of ``docs`` (doc_id, part, text_sha, bits, text).
-
-    dictionary: word, id (different, not dense), shards (how many hold it). shards: shard, the four columns of its documents as arrays,
-    starts/columns/times (CSR) and ids, the dictionary's id of each column. Words meet the dictionary once a
-    shard, so a frequent word costs one row a shard, in joins whose hot partitions can be split.
+#: Buckets that words are packed by, and the bits of a word's hash that are its id.
+BUCKETS, MASK = 8192, 2**63 - 1
+
+#: What a shard keeps of each document's columns.
+_META = ("doc_id", "part", "text_sha")
+
+
+def _marks(w: Words) -> np.ndarray:
+    """The bits of C and D for each row, from its bytes."""
+
+    def count(kind: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(kind[w.buf])))[w.offsets])
+
+    byte = np.arange(256)
+    upper, points = count((byte >= 65) & (byte <= 90)), count(byte & 0xC0 != 0x80)
+    marks = count(np.isin(byte, list(SYMBOLS.encode())))
+    return ((100 * upper > MAX_UPPER * points) * _bit("C") + (marks > 0) * _bit("D")).astype(np.int32)
+
+
+def _shards(mask: int):
+    """One row a shard: its documents, their term counts in CSR form, and the words that its columns stand for,
+    with their hashes, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", SHARD):
+            w = Words(batch.column("text"))
+            data = w.buf[~SPACE[w.buf]].tobytes()
+            ends = np.concatenate(([0], np.cumsum(w.end - w.start))).astype(np.int32)
+            found = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]).dictionary_encode()
+            words = found.dictionary.to_pylist()
+            ids = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in words), np.uint64, len(words)).astype(np.int64) & mask
+            # columns are numbered bucket by bucket, as their words are packed
+            order = np.argsort(ids % BUCKETS, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            buckets, first = np.unique((ids % BUCKETS)[order], return_index=True)
+            packed = [b" ".join([words[k] for k in own]) for own in np.split(order, first[1:])] if len(order) else []
+            width = max(len(words), 1)
+            cell, times = np.unique(w.row * width + place[found.indices.to_numpy()], return_counts=True)
+            starts = np.searchsorted(cell, np.arange(batch.num_rows + 1) * width)
+            lists = {
+                **{c: batch.column(c) for c in _META},
+                "bits": pa.array(_marks(w)),
+                "starts": pa.array(starts.astype(np.int32)),
+                "columns": pa.array((cell % width).astype(np.int32)),
+                "times": pa.array(times.astype(np.int32)),
+                "ids": pa.array(ids[order]),
+                "packed": pa.StructArray.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(packed, pa.binary()).cast(pa.string(), safe=False)], ["bucket", "words"]),
+            }
+            one = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *one.values()], names=["shard", *one])
+            shard += 1
+
+    return run
+
+
+def matrix(docs: DataFrame, mask: int = MASK) -> tuple[DataFrame, DataFrame]:
+    """(shards, dictionary) of ``docs`` (doc_id, part, text_sha, text).
+
+    dictionary: word and id, one row for each different word. shards: shard, its documents' columns and bits (of C and D) as
+    arrays, starts/columns/times (CSR) and ids, the dictionary's id of each column.
+
+    A word's id is its hash (``mask`` keeps 63 bits) unless another word has the same: such words, found by grouping all
+    words by hash, get negative ids of their own. Words travel once, packed by bucket, a shard's own repeats left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"shard long, doc_id array<{kind}>, part array<string>, text_sha array<binary>, bits array<int>, starts array<int>, columns array<int>, times array<int>, words array<string>"
-    shards = stored(docs.mapInArrow(_shards, schema))
-    local = shards.select("shard", F.posexplode("words").alias("column", "word"))
-    dictionary = stored(local.groupBy("word").agg(F.count("*").alias("shards")).withColumn("id", F.monotonically_increasing_id()))
-    ids = local.join(dictionary.select("word", "id"), "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("column", "id"))).alias("ids"))
-    return shards.drop("words").join(ids.select("shard", F.col("ids.id").alias("ids")), "shard", "left"), dictionary
+    schema = f"shard long, doc_id array<{kind}>, part array<string>, text_sha array<binary>, bits array<int>, starts array<int>, columns array<int>, times array<int>, ids array<long>, packed array<struct<bucket:int,words:string>>"
+    shards = stored(docs.mapInArrow(_shards(mask), schema))
+    packed = shards.select(F.inline("packed")).repartition("bucket")
+    words = packed.select("bucket", F.explode(F.split("words", " ")).alias("word")).withColumn("id", F.xxhash64("word").bitwiseAND(F.lit(mask)))
+    # both groupings lie inside a bucket and need no further exchange
+    words = words.groupBy("bucket", "id", "word").agg(F.lit(1).alias("n"))
+    shared = words.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id")
+    clashes = stored(words.join(shared, ["bucket", "id"]).select("word", (-1 - F.monotonically_increasing_id()).alias("own")))
+    dictionary = words.join(clashes, "word", "left").select("word", F.coalesce("own", "id").alias("id"))
+    if clashes.isEmpty():
+        return shards.drop("packed"), dictionary
+    local = shards.select("shard", F.posexplode(F.split(F.array_join("packed.words", " "), " ")).alias("column", "word"))
+    own = local.join(clashes, "word").groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("column", "own"))).alias("own"))
+    ids = F.when(F.col("own").isNull(), F.col("ids")).otherwise(F.transform("ids", lambda x, k: F.coalesce(F.try_element_at("own", k), x)))
+    return shards.drop("packed").join(own, "shard", "left").withColumn("ids", ids).drop("own"), dictionary
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +126,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 different = np.zeros(len(starts) - 1, np.int64)
             sums = [pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(different.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*(got[c] for c in _META), *sums], names=[*_META, "n_words", "n_distinct"])
+            yield pa.RecordBatch.from_arrays([*(got[c] for c in (*_META, "bits")), *sums], names=[*_META, "bits", "n_words", "n_distinct"])
 
 
 def _bit(letter: str) -> int:
@@ -100,10 +139,7 @@ def verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as an empty one, a null source as part ''. An empty text fails A alone.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    upper = F.length(t) - F.length(F.translate(t, ascii_uppercase, ""))
-    marks = F.length(F.translate(t, SYMBOLS, "")) < F.length(t)
-    known = F.when(100 * upper > MAX_UPPER * F.length(t), _bit("C")).otherwise(0) + F.when(marks, _bit("D")).otherwise(0)
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.unhex(F.sha2(t, 256)).alias("text_sha"), known.alias("bits"), t.alias("text"))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.unhex(F.sha2(t, 256)).alias("text_sha"), t.alias("text"))
     shards, _ = matrix(rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = shards.mapInArrow(_sums, f"doc_id {kind}, part string, text_sha binary, bits int, n_words long, n_distinct long")
