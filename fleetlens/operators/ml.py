@@ -96,6 +96,8 @@ def predict(model: PipelineModel, panel: DataFrame, features: Sequence[str]) ->
     if missing:
         raise ValueError(f"missing feature columns: {missing}")
     out = model.transform(panel.fillna(-1, subset=list(features)))
+    if "probability" not in out.columns:  # a rule pipeline names its result itself
+        return out
     return out.withColumn("probabilidad_falla", vector_to_array("probability")[1]).drop("features", "rawPrediction",
                                                                                          "probability", "prediction")
 
@@ -194,7 +196,7 @@ def registry_activate(reg: DataFrame, modelo_id: str) -> DataFrame:
 def registry_list(reg: DataFrame) -> DataFrame:
     """M10 list: every model's id, version, dates, scores and state, the newest first by ``fecha_creacion``."""
     return reg.select("modelo_id", "version", "fecha_entrenamiento", "fecha_creacion", "auc_score", "precision", "recall",
-                      "f1_score", "estado", "es_activo")
+                      "f1_score", "estado", "es_activo").orderBy(F.col("fecha_creacion").desc_nulls_last(), F.col("modelo_id"))
 
 
 def registry_active(reg: DataFrame) -> DataFrame:
@@ -220,7 +222,11 @@ def recall_precision_active(reg: DataFrame) -> DataFrame:
     return registry_active(reg).select((F.col("recall") * 100).alias("recall_pct"), (F.col("precision") * 100).alias("precision_pct"))
 
 
+#: A deterministic baseline over two features, exact in binary floating point, and the features it needs.
+RULE = "least(1.0D, (greatest(count_ot_90d, 0) * 0.125D + greatest(count_correctivas_30d, 0) * 0.25D) / 4.0D)"
+RULE_FEATURES = ("count_ot_90d", "count_correctivas_30d")
+
+
 def stand_in_score(panel: DataFrame) -> Column:
-    """A deterministic, SQL-reproducible score over panel columns for oracle tests of M3-M7."""
-    return (F.least(F.lit(1.0), (F.greatest("count_ot_90d", F.lit(0)) * 0.125
-                                 + F.greatest("count_correctivas_30d", F.lit(0)) * 0.25) / 4.0))
+    """The baseline rule as a column, which SQL reproduces."""
+    return F.expr(RULE)

@@ -3,16 +3,18 @@ stand-in score; training/inference with Spark ML are rows-only (no SQL twin exis
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from ..operators import ml as M
-from ..session import cut_lineage
+from ..operators import model_store
+from ..session import cut_lineage, scratch_path
 from ..sources.fixtures import AS_OF, fleet
 from .feature_queries import panel, panel_sql
-from .registry import register
+from .registry import BODY, register
 
 SPLIT_SQL = f"""(SELECT p.*, row_number() OVER (PARTITION BY horizonte_dias ORDER BY fecha_corte, activo_id)
     <= floor(count(*) OVER (PARTITION BY horizonte_dias) * 0.7) AS is_train FROM ({panel_sql()}) p)"""
@@ -116,7 +118,13 @@ def _trained(spark, d, kind):
             fits = {h: pool.submit(M.train_gbt, train.filter(F.col("horizonte_dias") == h), feats) for h in (7, 30, 90)}
             models = {h: f.result() for h, f in fits.items()}
     else:
-        models = {0: M.train_rf(train, feats)}
+        # a fitted forest carries its training summary, which would travel (and has to be serialised) with every task that
+        # predicts; what is read back from the store is the trees alone
+        base = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+        record = M.metadata(spark, "rf_v1.0", 0, feats, {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 3}, 0, 0, 0.5, {})
+        model_store.save(spark, base, "rf_v1.0", M.train_rf(train, feats), record)
+        model_store.register(spark, base, {"rf_v1.0": {}})
+        models = {0: model_store.load(spark, base, "rf_v1.0").pipeline}
     return s, feats, models
 
 
@@ -173,3 +181,59 @@ def m10(spark, d):
 @register("K28_active_model_recall_precision")
 def k28(spark, d):
     return M.recall_precision_active(m10(spark, d))
+
+
+# ------------------------------------------------ models read back through the registry
+REGISTRY_SQL = f"""(SELECT 'reglas_v1.0_h' || CAST(e.horizonte_dias AS VARCHAR) AS modelo_id, 'reglas_v1.0' AS version,
+    DATE '{AS_OF}' AS fecha_entrenamiento,
+    TIMESTAMP '{AS_OF} 00:00:00' + to_seconds(CAST(row_number() OVER (ORDER BY e.horizonte_dias) - 1 AS BIGINT)) AS fecha_creacion,
+    a.auc AS auc_score, e.precision, e.recall, e.f1 AS f1_score, 'entrenado' AS estado, e.horizonte_dias = 30 AS es_activo
+  FROM ({BODY['M7_precision_recall_f1']}) e JOIN ({BODY['M6_auc']}) a ON e.horizonte_dias = a.horizonte_dias)"""
+
+
+@register("M10_registry_list", f"SELECT * FROM {REGISTRY_SQL}")
+def m10_list(spark, d):
+    return M.registry_list(fleet(spark, d).modelos_registro)
+
+
+@register("K28_saved_model_recall_precision", f"SELECT recall * 100 AS recall_pct, precision * 100 AS precision_pct FROM {REGISTRY_SQL} WHERE es_activo")
+def k28_saved(spark, d):
+    return M.recall_precision_active(fleet(spark, d).modelos_registro)
+
+
+@register("M11_predictions_of_saved_model", f"""
+SELECT activo_id, fecha_corte, horizonte_dias, target, {SCORE_SQL} AS probabilidad_falla FROM {SPLIT_SQL} WHERE NOT is_train""")
+def m11(spark, d):
+    """The active model, read back through the registry, on the test part of the panel."""
+    f = fleet(spark, d)
+    s = split_frame(spark, d)
+    model = model_store.load(spark, f.model_base)
+    return model.predict(s.filter(~F.col("is_train"))).select("activo_id", "fecha_corte", "horizonte_dias", "target", "probabilidad_falla")
+
+
+@register("M11_saved_trees_predict_the_same", f"""
+SELECT activo_id, fecha_corte, horizonte_dias, TRUE AS igual, TRUE AS en_rango, TRUE AS columnas_exigidas FROM {SPLIT_SQL} WHERE NOT is_train""")
+def m11_trees(spark, d):
+    """The boosted trees of M1, saved, registered and read back: on every test row the same probability as before, from the
+    feature columns that their record names; a panel without one of them is refused."""
+    s, feats, models = _trained(spark, d, "gbt")
+    base = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    for h, model in models.items():
+        record = M.metadata(spark, "v1.0", h, feats, {"maxDepth": 5, "maxIter": 200, "stepSize": 0.1}, 0, 0, 0.5, {})
+        model_store.save(spark, base, f"gbt_v1.0_h{h}", model, record)
+    model_store.register(spark, base, {f"gbt_v1.0_h{h}": {} for h in models})
+    test = s.filter(~F.col("is_train"))
+    out = None
+    for h in models:
+        loaded = model_store.load(spark, base, f"gbt_v1.0_h{h}")
+        try:
+            loaded.predict(test.drop(loaded.features[0]))
+            refused = False
+        except ValueError as e:
+            refused = loaded.features[0] in str(e)
+        p = loaded.predict(test.filter(F.col("horizonte_dias") == h)).withColumn("columnas_exigidas", F.lit(refused))
+        out = p if out is None else out.unionByName(p)
+    key = ["activo_id", "fecha_corte", "horizonte_dias"]
+    before = _test_predictions(spark, d, "gbt").select(*key, F.col("probabilidad_falla").alias("_before"))
+    p = F.col("probabilidad_falla")
+    return out.join(before, key, "left").select(*key, F.coalesce(p == F.col("_before"), F.lit(False)).alias("igual"), p.between(0, 1).alias("en_rango"), "columnas_exigidas")

@@ -10,6 +10,8 @@ from .oracle_fixtures import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: The oracles without the fleet views, for oracles composed of others.
+BODY: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
@@ -20,6 +22,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
+            BODY[name] = sql
             ORACLE[name] = with_views(sql)
         return fn
 

@@ -1,115 +1,42 @@
-"""The full KPI panel run, the metric store and drift; oracles are composed from the
+"""The full KPI panel run, the metric store and drift; oracles are composed from the
 per-metric oracles so every panel value is checked the same way as its stand-alone query."""
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 
-from pyspark.sql import functions as F
-
+from ..operators import metrics as met
 from ..operators import panels as k
-from ..operators.ml import recall_precision_active
-from ..operators import parts as D
 from ..sources.fixtures import AS_OF, fleet
 from . import ml_queries  # noqa: F401  (M7's oracle must be registered before K39 composes it)
 from . import panel_queries as pq
 from . import parts_queries as partsq  # noqa: F401  (K30 oracle must be registered before K39 composes it)
 from .oracle_fixtures import with_views
-from .registry import ORACLE, register
-
-V1, V2, V3, VH = "Estado y Riesgo", "Plan de Acción", "Impacto y Desempeño", "Mapa de calor"
-
-
-def registry(spark, d):
-    """The model registry of a run: one row per horizon from the evaluation (M7), the 30-day model active."""
-    from .ml_queries import m7
-
-    return m7(spark, d).select(
-        F.concat(F.lit("modelo_h"), F.col("horizonte_dias").cast("string")).alias("modelo_id"),
-        F.lit(AS_OF).cast("timestamp").alias("fecha_creacion"), "precision", "recall", (F.col("horizonte_dias") == 30).alias("es_activo"))
-
-
-def active_model(spark, models):
-    """Recall and Precision of the active model; without a registry (S18), NULL with a note."""
-    if models is None:
-        return [k.missing_metric(spark, V3, "Recall"), k.missing_metric(spark, V3, "Precision")]
-    rp = recall_precision_active(models)
-    return [k.metric_row(rp, V3, "Recall", col="recall_pct"), k.metric_row(rp, V3, "Precision", col="precision_pct")]
+from .registry import BODY, ORACLE, register
 
-
-def run_panels(spark, d, as_of=AS_OF, models=None):
-    """Every metric of the four views in long form, one plan (a union of small aggregates). ``models`` is the
-    model registry, where there is one."""
-    f = fleet(spark, d)
-    a, ot, ev, tax, sr, fb, dd, rm = (f.activos, f.ordenes_trabajo, f.ot_falla_evento, f.taxonomia_fallas,
-                                      f.scoring_resultados, f.feedback_taller, f.disponibilidad_diaria, f.repuestos_maestro)
-    pc = k.priority_counts(sr, a).filter(F.col("prioridad").isin("P1_critica", "P2_alta"))
-    fcnt = k.feedback_counts(fb)
-    conf = k.confusion(sr, fb)
-    rows = [
-        k.metric_row(k.units_operating(a), V1, "Unidades operativas"),
-        k.metric_row(k.availability_weighted(dd, as_of), V1, "Disponibilidad"),
-        k.metric_row(pc.filter(F.col("prioridad") == "P1_critica"), V1, "P1 Crítica", horizon="horizonte_dias"),
-        k.metric_row(pc.filter(F.col("prioridad") == "P2_alta"), V1, "P2 Alta", horizon="horizonte_dias"),
-        k.metric_row(k.anticipated_failures(fb, a, as_of), V1, "Fallas anticipadas"),
-        k.metric_row(k.mtbf_availability(dd, ot, a, as_of), V1, "MTBF"),
-        k.heatmap(ev, tax, ot, as_of).select(F.lit(VH).alias("vista"), F.col("sistema").alias("metrica"),
-                                             F.col("horizonte").cast("int").alias("horizonte_dias"),
-                                             F.col("n").cast("double").alias("valor"), F.lit(None).cast("string").alias("nota")),
-        k.upcoming_interventions(sr, a).select(
-            F.lit(V2).alias("vista"), F.concat(F.lit("Intervenciones próximas "), F.col("horizonte_dias").cast("string"),
-                                               F.lit("d")).alias("metrica"),
-            F.col("horizonte_dias").cast("int"), F.col("valor").cast("double"), F.lit(None).cast("string").alias("nota")),
-        k.metric_row(k.skus_below_minimum(rm), V2, "SKU en quiebre"),
-        k.metric_row(k.backlog(ot, as_of), V2, "Backlog OT", col="ot_abiertas"),
-        k.metric_row(k.pm_compliance(ot, as_of), V2, "Cumplimiento PM", col="cumplimiento_pm_pct"),
-        k.metric_row(k.avoided_cost(fb, ot), V3, "Costo evitado"),
-        k.metric_row(k.avoided_downtime(fb, ot, ev, tax), V3, "Downtime evitado"),
-        k.metric_row(k.cost_per_km(ot, as_of), V3, "Costo mantenimiento km"),
-        k.metric_row(k.cost_per_unit(ot, as_of), V3, "Costo mantenimiento unidad"),
-        k.metric_row(k.availability_mean_ratio(dd, as_of), V3, "Disponibilidad 30d"),
-        k.metric_row(k.mtbf_repair_hours(ot, a, as_of), V3, "MTBF 90d"),
-        k.metric_row(k.mttr(ot, a, as_of), V3, "MTTR 90d"),
-        k.metric_row(fcnt, V3, "Tasa alertas confirmadas", col="pct_confirmadas"),
-        k.metric_row(k.confirmed_by_priority(fb, sr), V3, "P1 confirmadas", col="activos_p1_confirmados"),
-        k.metric_row(k.confirmed_by_priority(fb, sr), V3, "P2 confirmadas", col="activos_p2_confirmados"),
-        *active_model(spark, models),
-        k.metric_row(k.mean_anticipation(fb, ot), V3, "Anticipacion promedio"),
-        k.metric_row(fcnt, V3, "% Alertas confirmadas", col="pct_confirmadas"),
-        k.metric_row(fcnt, V3, "% Alertas rechazadas", col="pct_rechazadas"),
-        k.metric_row(fcnt, V3, "% Alertas pendientes", col="pct_pendientes"),
-        k.metric_row(fcnt, V3, "Alertas confirmadas (count)", col="confirmadas"),
-        k.metric_row(fcnt, V3, "Alertas rechazadas (count)", col="rechazadas"),
-        k.metric_row(fcnt, V3, "Alertas pendientes (count)", col="pendientes"),
-        k.metric_row(conf, V3, "Matriz TP", col="tp"),
-        k.metric_row(conf, V3, "Matriz FP", col="fp"),
-        k.metric_row(conf, V3, "Matriz FN", col="fn"),
-        k.metric_row(conf, V3, "Matriz TN", col="tn"),
-        k.metric_row(D.stock_coverage(f.repuestos_panel_criticos), V3, "Cobertura stock"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+V1, V2, V3, VH = met.STATUS, met.ACTION, met.IMPACT, met.HEAT
+PREV_AS_OF = AS_OF - dt.timedelta(days=7)
 
 
 def _row(vista, metrica, name, col="valor", horizon="NULL", where=""):
-    body = ORACLE[name]
+    body = BODY[name]
     return (f"SELECT '{vista}' AS vista, '{metrica}' AS metrica, CAST({horizon} AS INTEGER) AS horizonte_dias, "
             f"CAST({col} AS DOUBLE) AS valor, CAST(NULL AS VARCHAR) AS nota FROM ({body}) x {where}")
 
 
-def run_panels_sql() -> str:
-    parts = [
+def run_panels_sql() -> list[str]:
+    return [
         _row(V1, "Unidades operativas", "K1_units_operating"),
         _row(V1, "Disponibilidad", "K2_availability_weighted_30d"),
         _row(V1, "P1 Crítica", "K4_priority_counts", horizon="horizonte_dias", where="WHERE prioridad = 'P1_critica'"),
         _row(V1, "P2 Alta", "K4_priority_counts", horizon="horizonte_dias", where="WHERE prioridad = 'P2_alta'"),
         _row(V1, "Fallas anticipadas", "K5_anticipated_failures_30d"),
         _row(V1, "MTBF", "K6_mtbf_availability_90d"),
-        f"SELECT '{VH}', sistema, CAST(horizonte AS INTEGER), CAST(n AS DOUBLE), CAST(NULL AS VARCHAR) FROM ({ORACLE['K14_system_heatmap']}) x",
+        f"SELECT '{VH}', sistema, CAST(horizonte AS INTEGER), CAST(n AS DOUBLE), CAST(NULL AS VARCHAR) FROM ({BODY['K14_system_heatmap']}) x",
         f"SELECT '{V2}', 'Intervenciones próximas ' || CAST(horizonte_dias AS VARCHAR) || 'd', CAST(horizonte_dias AS INTEGER), "
-        f"CAST(valor AS DOUBLE), CAST(NULL AS VARCHAR) FROM ({ORACLE['K16_upcoming_interventions']}) x",
+        f"CAST(valor AS DOUBLE), CAST(NULL AS VARCHAR) FROM ({BODY['K16_upcoming_interventions']}) x",
         _row(V2, "SKU en quiebre", "K20_skus_below_minimum"),
         _row(V2, "Backlog OT", "K17_backlog", col="ot_abiertas"),
         _row(V2, "Cumplimiento PM", "K18_pm_compliance", col="cumplimiento_pm_pct"),
@@ -138,20 +65,71 @@ def run_panels_sql() -> str:
         _row(V3, "Matriz TN", "K27_confusion_matrix", col="tn"),
         _row(V3, "Cobertura stock", "K30_stock_coverage"),
     ]
-    return "\nUNION ALL\n".join(parts)
 
 
-RUN_SQL = run_panels_sql()
-register("K39_run_panels")(lambda spark, d: run_panels(spark, d, models=registry(spark, d)))
-ORACLE["K39_run_panels"] = RUN_SQL
+def shifted(sql: str, days: int) -> str:
+    """A run's SQL as of ``days`` earlier: its metrics name dates only as literals."""
+    def back(m: re.Match) -> str:
+        return f"{m[1]} '{dt.date.fromisoformat(m[2]) - dt.timedelta(days=days)}"
 
-PREV_AS_OF = AS_OF - dt.timedelta(days=7)
+    return re.sub(r"\b(DATE|TIMESTAMP) '(\d{4}-\d\d-\d\d)", back, sql)
+
+
+def _runs_sql() -> str:
+    """Views ahora and antes: the run and that of a week ago. Models are evaluated as of their training, not of the run."""
+    parts = run_panels_sql()
+    before = [p if "'Recall' AS metrica" in p or "'Precision' AS metrica" in p else shifted(p, 7) for p in parts]
+    return f"""WITH ahora AS ({' UNION ALL '.join(parts)}), antes AS ({' UNION ALL '.join(before)})"""
 
 
-@register("K38_metric_store")
+@register("K39_run_panels", _runs_sql() + """
+SELECT a.vista, a.metrica, a.horizonte_dias, a.valor, b.valor AS valor_anterior, a.nota FROM ahora a
+LEFT JOIN antes b ON a.vista = b.vista AND a.metrica = b.metrica AND a.horizonte_dias IS NOT DISTINCT FROM b.horizonte_dias""")
+def k39(spark, d):
+    f = fleet(spark, d)
+    return met.run(spark, f.panel_inputs(), AS_OF, met.current(f.paneles))
+
+
+@register("K38_metric_store", _runs_sql() + """
+SELECT coalesce(a.vista, b.vista) AS vista, coalesce(a.metrica, b.metrica) AS metrica, coalesce(a.horizonte_dias, b.horizonte_dias) AS horizonte_dias,
+  CASE WHEN a.vista IS NULL THEN b.valor ELSE a.valor END AS valor, CASE WHEN a.vista IS NOT NULL THEN b.valor END AS valor_anterior,
+  CAST(NULL AS VARCHAR) AS nota
+FROM ahora a FULL JOIN antes b ON a.vista = b.vista AND a.metrica = b.metrica AND a.horizonte_dias IS NOT DISTINCT FROM b.horizonte_dias""")
 def k38(spark, d):
-    prev = run_panels(spark, d, PREV_AS_OF).withColumn("valor_anterior", F.lit(None).cast("double"))
-    return k.store_metrics(prev, run_panels(spark, d))
+    f = fleet(spark, d)
+    return met.current(met.merge(f.paneles, met.run(spark, f.panel_inputs(), AS_OF), AS_OF))
+
+
+def _quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+@register("K38_metric_history", _runs_sql() + f""",
+todo AS (SELECT *, DATE '{PREV_AS_OF}' AS dia FROM antes UNION ALL SELECT *, DATE '{AS_OF}' FROM ahora)
+SELECT vista, metrica, horizonte_dias, valor, lag(valor) OVER w AS valor_anterior, nota,
+  CASE WHEN metrica IN ({_quoted(met.INVERSE)}) THEN 'inverse' WHEN metrica IN ({_quoted(met.POSITIVE)}) THEN 'positive' ELSE 'neutral' END AS delta_color,
+  dia AS desde, lead(dia) OVER w AS hasta
+FROM todo WINDOW w AS (PARTITION BY vista, metrica, horizonte_dias ORDER BY dia)""")
+def k38h(spark, d):
+    f = fleet(spark, d)
+    return met.merge(f.paneles, met.run(spark, f.panel_inputs(), AS_OF), AS_OF)
+
+
+_NOTED = ("Disponibilidad", "MTBF", "Disponibilidad 30d", "Cobertura stock", "Costo mantenimiento km", "Costo mantenimiento unidad", "Costo evitado")
+
+
+@register("S18_run_with_missing_inputs", _runs_sql() + f"""
+SELECT vista, metrica, horizonte_dias, CASE WHEN metrica IN ({_quoted(_NOTED)}) THEN NULL ELSE valor END AS valor, CAST(NULL AS DOUBLE) AS valor_anterior,
+  CASE WHEN metrica IN ({_quoted(_NOTED)}) THEN 'Tabla faltante' END AS nota
+FROM ahora""")
+def s18(spark, d):
+    """The run on a catalogue that lacks two tables and the cost column of the orders."""
+    f = fleet(spark, d)
+    prefix = f"fleet_{uuid.uuid4().hex}_"
+    for name, df in f.panel_inputs().items():
+        if name not in ("disponibilidad_diaria", "repuestos_panel_criticos"):
+            (df.drop("costo_total_clp") if name == "ordenes_trabajo" else df).createOrReplaceTempView(prefix + name)
+    return met.run(spark, met.resolve(spark, prefix=prefix), AS_OF)
 
 
 @register("K40_drift", """

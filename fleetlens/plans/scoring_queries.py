@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from ..operators import features as P
+from ..operators import model_store
 from ..operators import scoring as R
 from ..sources.fixtures import AS_OF, fleet
 from .feature_queries import panel_sql
@@ -138,13 +139,13 @@ def r5(spark, d):
     return R.horizon_coherence(F_(spark, d).scoring_resultados)
 
 
-def _r6_sql():
+def _r6_sql(formula="least(greatest(count_ot_90d, 0) * 0.125 + greatest(count_correctivas_90d, 0) * 0.1875 + horizonte_dias / 256.0, 1.0)",
+            version="v1.0"):
     panel = f"({panel_sql(back=1, step=1)})"
-    stand = f"""(SELECT activo_id, horizonte_dias, least(greatest(count_ot_90d, 0) * 0.125 + greatest(count_correctivas_90d, 0) * 0.1875
-      + horizonte_dias / 256.0, 1.0) AS probabilidad_falla FROM {panel} p)"""
+    stand = f"(SELECT activo_id, horizonte_dias, {formula} AS probabilidad_falla FROM {panel} p)"
     base = f"""(SELECT p.activo_id, DATE '{AS_OF}' AS fecha_scoring, p.horizonte_dias, p.probabilidad_falla,
       CAST(p.probabilidad_falla >= 0.5 AS INTEGER) AS prediccion, {PRIO_T.format(p='p.probabilidad_falla', t='th')} AS prioridad,
-      'v1.0' AS modelo_version, coalesce(rs.sistema_en_riesgo, 'sin_historial_ot') AS sistema_en_riesgo
+      '{version}' AS modelo_version, coalesce(rs.sistema_en_riesgo, 'sin_historial_ot') AS sistema_en_riesgo
     FROM {stand} p CROSS JOIN {th_sql('v1.0')} th LEFT JOIN {risk_system_sql(f"DATE '{AS_OF}'")} rs ON p.activo_id = rs.activo_id)"""
     return coherence_sql(decay_sql(base, f"DATE '{AS_OF}'", th_sql("v1.0")))
 
@@ -162,6 +163,18 @@ def r6(spark, d):
     return r6_frame(spark, d)
 
 
+@register("R6_score_day_saved_model", "SELECT * FROM " + _r6_sql(
+    "least(1.0, (greatest(count_ot_90d, 0) * 0.125 + greatest(count_correctivas_30d, 0) * 0.25) / 4.0)", "reglas_v1.0"))
+def r6_saved(spark, d):
+    """A day's scores by the active model as the registry has it: pipeline, version and feature columns come from the store."""
+    f = F_(spark, d)
+    model = model_store.load(spark, f.model_base)
+    panel = P.feature_panel(f.activos, f.ordenes_trabajo, AS_OF, back=1, step=1)
+    predict = lambda p: model.predict(p).select("activo_id", "horizonte_dias", "probabilidad_falla")
+    th = R.thresholds_for(f.umbrales_prioridad, "v1.0", AS_OF)
+    return R.score_day(panel, predict, f.ot_falla_evento, f.taxonomia_fallas, f.ordenes_trabajo, AS_OF, th, 0.5, model.version)
+
+
 @register("R6_score_summary", f"""
 WITH s AS (SELECT * FROM {_r6_sql()}), t AS (SELECT horizonte_dias, count(*) AS tot FROM s GROUP BY 1)
 SELECT s.horizonte_dias, s.prioridad, count(*) AS n, round(count(*) * 100.0 / any_value(t.tot), 6) AS pct

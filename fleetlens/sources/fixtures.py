@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import priority
-from ..session import scratch_path
+from ..session import scratch_path, stored
 
 AS_OF = vocab.FIXTURE_AS_OF
 AS_OF_TS = dt.datetime.combine(AS_OF, dt.time())
@@ -65,19 +66,20 @@ def taxonomy_id_of(p_type: Column, p_brand: Column) -> Column:
 
 # Derived tables that are stored once per session (as the reference's load and nightly jobs store them)
 # instead of being recomputed inside every query.
-# (assets and parts master are projections of raw tables that already scan with pushdown: they stay lazy. The two
+# (the parts master is a projection of a raw table that already scans with pushdown: it stays lazy. The two
 # dictionaries are distinct rows of the parts master: stored, the planner sees their true size and broadcasts them)
-STORED = ("taxonomia_fallas", "mapeo_sistemas", "ordenes_trabajo", "_lines", "ot_falla_evento", "repuestos_consumidos", "scoring_resultados", "feedback_taller",
+STORED = ("activos", "taxonomia_fallas", "mapeo_sistemas", "ordenes_trabajo", "_lines", "ot_falla_evento", "repuestos_consumidos", "scoring_resultados", "feedback_taller",
           "alertas", "_scores", "disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico",
-          "repuestos_panel_criticos")
+          "repuestos_panel_criticos", "modelos_registro", "paneles")
 
 
 # Dependency waves of the stored tables (a table only reads stored tables of earlier waves).
 LOAD_WAVES = (
-    ("taxonomia_fallas", "mapeo_sistemas", "ordenes_trabajo", "_scores", "_lines"),
-    ("scoring_resultados", "alertas", "ot_falla_evento", "repuestos_consumidos", "feedback_taller"),
+    ("activos", "taxonomia_fallas", "mapeo_sistemas", "ordenes_trabajo", "_scores", "_lines"),
+    ("modelos_registro", "scoring_resultados", "alertas", "ot_falla_evento", "repuestos_consumidos", "feedback_taller"),
     ("disponibilidad_diaria", "consumo_sistema_modelo", "consumo_sku_historico"),
     ("repuestos_panel_criticos",),
+    ("paneles",),
 )
 
 
@@ -124,8 +126,6 @@ class Fleet:
             return {n: getattr(self, n).count() for n in STORED} if counts else {}
         if self._root is None:
             self._root = scratch_path(self.spark, f"fleet-{uuid.uuid4().hex}")
-        from concurrent.futures import ThreadPoolExecutor
-
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             for wave in LOAD_WAVES:
                 list(pool.map(lambda n: getattr(self, n), wave))
@@ -461,6 +461,54 @@ class Fleet:
                                   self.repuestos_maestro, self.consumo_sku_historico)
         return critical_panel(coverage_action(demand))
 
+    @cached_property
+    def model_base(self) -> str:
+        """A model store with one rule model for each horizon, evaluated on the test part of the feature panel; that of 30 days is active."""
+        from ..operators import features, ml, model_store
+
+        base = scratch_path(self.spark, f"models-{uuid.uuid4().hex}")
+        split = ml.chrono_panel(features.feature_panel(self.activos, self.ordenes_trabajo, self.as_of))
+        scored = stored(split.select("horizonte_dias", "target", "is_train", ml.stand_in_score(split).alias("score")))
+        test = scored.filter(~F.col("is_train"))
+        thresholds = stored(ml.best_threshold(test))
+        sizes = scored.groupBy("horizonte_dias").agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"))
+        quality = ml.prf(test, thresholds).join(ml.auc(test), "horizonte_dias").join(thresholds, "horizonte_dias").join(sizes, "horizonte_dias")
+        rows = {f"reglas_v1.0_h{r['horizonte_dias']}": r.asDict() for r in quality.orderBy("horizonte_dias").collect()}  # one row a horizon
+
+        def save(model_id: str) -> None:
+            r = rows[model_id]
+            record = ml.metadata(self.spark, "reglas_v1.0", r["horizonte_dias"], ml.RULE_FEATURES, {"regla": ml.RULE}, r["n_train"], r["n_test"],
+                                 r["threshold_optimo"], {k: r[k] for k in ("auc", "precision", "recall", "f1")})
+            model_store.save(self.spark, base, model_id, model_store.rule_model(self.spark, ml.RULE), record)
+
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            list(pool.map(save, rows))
+        model_store.register(self.spark, base, rows, self.as_of_ts)
+        if "reglas_v1.0_h30" in rows:
+            model_store.activate(self.spark, base, "reglas_v1.0_h30")
+        return base
+
+    @cached_property
+    def modelos_registro(self) -> DataFrame:
+        from ..operators import model_store
+
+        return model_store.registry(self.spark, self.model_base)
+
+    def panel_inputs(self) -> dict[str, DataFrame]:
+        """The tables of a panel run."""
+        from ..operators import metrics
+
+        return {n: getattr(self, n) for n in metrics.INPUTS}
+
+    @cached_property
+    def paneles(self) -> DataFrame:
+        """The metric history after the run of a week ago."""
+        from ..operators import metrics
+
+        day = self.as_of - dt.timedelta(days=7)
+        run = metrics.run(self.spark, self.panel_inputs(), day)
+        return metrics.history(run.select(*metrics.KEY, "valor", "nota", F.lit(day).alias("fecha_calculo")))
+
     @cached_property
     def disponibilidad_diaria(self) -> DataFrame:
         from ..operators.availability import availability

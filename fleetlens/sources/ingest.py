@@ -232,6 +232,12 @@ def full_reload(tables: Mapping[str, DataFrame], base: str) -> dict[str, int]:
     zero = [n for n, c in counts.items() if c == 0]
     if zero:
         raise ValueError(f"reload wrote no rows for {zero}; live tables untouched")
+    point_to(spark, base, version)
+    return counts
+
+
+def point_to(spark: SparkSession, base: str, version: str) -> None:
+    """Make ``version`` (a folder below ``base``) the one that ``pointed`` names, by one atomic rename."""
     jvm = spark.sparkContext._jvm
     new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{base}/{n}") for n in (f"{version}/_POINTER", "CURRENT"))
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -242,13 +248,19 @@ def full_reload(tables: Mapping[str, DataFrame], base: str) -> dict[str, int]:
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(new, pointer, options)
-    return counts
+
+
+def pointed(spark: SparkSession, base: str) -> str | None:
+    """The version folder that ``point_to`` published last; None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.text(f"{base}/CURRENT").first()[0]
 
 
 def live(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A table of the version that the last complete ``full_reload`` published."""
-    version = spark.read.text(f"{base}/CURRENT").first()[0]
-    return spark.read.parquet(f"{base}/{version}/{name}")
+    return spark.read.parquet(f"{base}/{pointed(spark, base)}/{name}")
 
 
 def export_parquet(df: DataFrame, path: str, renames: Mapping[str, str], partition_by: Sequence[str] = ()) -> None:
