@@ -11,16 +11,21 @@ score = w_kw * keyword overlap + w_sim * text similarity + w_sys * same system +
   catalogue at a time. ``ratio`` below is an exact re-implementation
   whose inner search uses C-level ``str.find`` instead of a Python loop over
   every character of a long text;
-* the best candidate per order is a grouped minimum (ties: first in
-  system, component, mode order).
+* the best row needs few similarities: a row's score is bounded above by its keyword part, its bonuses and the
+  characters that both texts share, so rows are scored from the highest bound down until no bound reaches the best
+  score found (``best_candidates``; ties: first in system, component, mode order). ``candidates`` scores every
+  pair, for a review queue that lists them all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,10 +117,13 @@ def candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.
     # distinct descriptions are keyed by their SHA-256 so that joins and shuffles move 32 bytes, not the text
     o = o.withColumn("dkey", F.sha2("desc_norm", 256))
     distinct = o.select("dkey", "desc_norm").dropDuplicates(["dkey"])
-    n_blocks = max(1, -(-cat.count() // BLOCK))
+    size = cat.count()
+    n_blocks = max(1, -(-size // BLOCK))
     row = F.struct("taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", F.size("keywords").alias("n_kw"),
                    normalize_text("descripcion_estandar").alias("std"))
     blocks = cat.groupBy(F.pmod(F.xxhash64("taxonomia_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(row).alias("rows"))
+    # a counted, small catalogue is broadcast; a larger one has blocks enough for a join on them
+    blocks = F.broadcast(blocks) if size <= PASS else blocks
     asked = distinct.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
     stds = F.transform("rows", lambda r: r["std"])
     sims = asked.select("dkey", F.explode(F.arrays_zip(F.col("rows"), similarity_udf(F.col("desc_norm"), stds).alias("sim"))).alias("x"))
@@ -136,13 +144,116 @@ def candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.
         F.coalesce("hit_words", F.array().cast("array<string>")).alias("hit_words"))
 
 
+#: Catalogue rows that are sent to the tasks at once; a longer catalogue takes several passes.
+PASS = 20_000
+BEST = ("taxonomia_id string, sistema string, componente string, id_modo_falla long, modo string, score double, "
+        "hit_words array<string>, evaluated long")
+
+
+class Bounded:
+    """A catalogue block, in tie order, prepared for exact best-row searches."""
+
+    def __init__(self, rows: Sequence[dict], weights: Sequence[float]):
+        self.rows, self.weights = rows, weights
+        self.stds = [r["std"] for r in rows]
+        self.lengths = np.array([len(x) for x in self.stds], np.int64)
+        letters = sorted(set("".join(self.stds)))
+        self.letters = letters
+        self.counts = np.array([[c.get(x, 0) for x in letters] for c in map(Counter, self.stds)], np.int64).reshape(len(rows), len(letters))
+        self.by_word: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for w in r["keywords"]:
+                self.by_word.setdefault(w, []).append(i)
+        self.n_kw = np.array([len(r["keywords"]) for r in rows], np.int64)
+        self.system, self.component = ([r[c] for r in rows] for c in ("_sys", "_comp"))
+
+    def search(self, desc: str, system: str | None, component: str | None) -> tuple[int, float, list[str], int] | None:
+        """(row, score, keyword hits, similarities computed) of the best row with a positive score.
+
+        ``ratio`` is at most 2 x the characters in common / the characters of both, so a row whose bound is below the
+        best score can be neither better nor equal."""
+        w_kw, w_sim, w_sys, w_comp = self.weights
+        words = set(desc.split(" "))
+        hits = np.zeros(len(self.rows), np.int64)
+        for w in words:
+            for i in self.by_word.get(w, ()):
+                hits[i] += 1
+        own = hits / self.n_kw * w_kw
+        bonus = [(w_sys if system is not None and x == system else 0.0, w_comp if component is not None and y == component else 0.0)
+                 for x, y in zip(self.system, self.component, strict=True)]
+        have = Counter(desc)
+        common = np.minimum(self.counts, np.array([have[x] for x in self.letters], np.int64)).sum(axis=1)
+        both = self.lengths + len(desc)
+        sim = np.where(both > 0, 2.0 * common / np.maximum(both, 1), 1.0)
+        # rounding must not push a bound below the score that it bounds
+        bound = own + sim * w_sim + np.array([x + y for x, y in bonus]) + 1e-9
+        best, at, done = 0.0, -1, 0
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < best:
+                break
+            s = ratio(desc, self.stds[i]) * w_sim if w_sim else 0.0
+            done += bool(w_sim)
+            score = float(own[i]) + s
+            score = score + bonus[i][0]
+            score = score + bonus[i][1]
+            if score > best or (score == best and score > 0 and i < at):
+                best, at = score, int(i)
+        if at < 0:
+            return None
+        return at, best, sorted(w for w in words if at in self.by_word.get(w, ())), done
+
+
+def best_candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.50, 0.30, 0.10, 0.10),
+                    text_col: str = "descripcion_falla", id_col: str = "ot_id") -> DataFrame:
+    """The best row of ``candidates`` for each order, with ``evaluated``, the similarities that its search computed.
+
+    The catalogue is read in passes of ``PASS`` rows, each sent to the tasks as it is; distinct descriptions are searched
+    where they are, without a join, and the passes' winners meet in a grouped minimum."""
+    actual = [c for c in ("sistema_actual", "componente_actual") if c in orders.columns]
+    o = orders.select(F.col(id_col).alias("oid"), normalize_text(text_col).alias("desc_norm"), *[normalize_text(c).alias(c) for c in actual])
+    o = o.withColumn("dkey", F.sha2(F.to_json(F.struct("desc_norm", *actual)), 256))
+    asked = o.drop("oid").dropDuplicates(["dkey"]).select("dkey", "desc_norm", *[F.col(c) if c in actual else F.lit(None).cast("string").alias(c)
+                                                                               for c in ("sistema_actual", "componente_actual")])
+    order = ["sistema", "componente", "id_modo_falla", "taxonomia_id", "modo"]
+    rows = cat.select(*order, "keywords", normalize_text("descripcion_estandar").alias("std"), normalize_text("sistema").alias("_sys"),
+                      normalize_text("componente").alias("_comp"))
+    n = max(1, -(-rows.count() // PASS))
+    part = F.pmod(F.xxhash64("taxonomia_id"), F.lit(n))
+    found = None
+    for k in range(n):
+        block = [r.asDict() for r in rows.filter(part == k).orderBy(*[F.col(c).asc_nulls_first() for c in order]).collect()]  # about PASS rows
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            search = Bounded(block, weights)
+            for batch in batches:
+                keys, won = [], {c: [] for c in (*order, "score", "hit_words", "evaluated")}
+                for key, desc, system, component in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    got = search.search(desc, system, component)
+                    if got:
+                        keys.append(key)
+                        for c in order:
+                            won[c].append(block[got[0]][c])
+                        for c, v in zip(("score", "hit_words", "evaluated"), got[1:], strict=True):
+                            won[c].append(v)
+                names = ("taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", "score", "hit_words", "evaluated")
+                kinds = (*[pa.string()] * 3, pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(won[c], t) for c, t in zip(names, kinds, strict=True))], names=["dkey", *names])
+
+        one = asked.mapInArrow(run, "dkey string, " + BEST)
+        found = one if found is None else found.unionByName(one)
+    first = F.min(F.struct((-F.col("score")).alias("neg"), *order, "hit_words"))
+    best = found.groupBy("dkey").agg(first.alias("b"), F.sum("evaluated").alias("evaluated"))
+    return o.join(best, "dkey").select(F.col("oid").alias(id_col), "b.taxonomia_id", "b.sistema", "b.componente", "b.id_modo_falla", "b.modo",
+                                       (-F.col("b.neg")).alias("score"), "b.hit_words", "evaluated")
+
+
 def classify(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.50, 0.30, 0.10, 0.10),
              text_col: str = "descripcion_falla", id_col: str = "ot_id", scored: DataFrame | None = None) -> DataFrame:
     """Best taxonomy row per order with confidence and reason (ties: first in system, component, mode order).
 
-    ``scored`` takes the rows of ``candidates`` where they are already there. The best row is a grouped
-    minimum, combined before the shuffle."""
-    scored = candidates(orders, cat, weights, text_col, id_col) if scored is None else scored
+    ``scored`` takes rows of ``candidates`` or ``best_candidates`` where they are already there; the latter otherwise.
+    The best row is a grouped minimum, combined before the shuffle."""
+    scored = best_candidates(orders, cat, weights, text_col, id_col) if scored is None else scored
     first = F.min(F.struct((-F.col("score")).alias("neg"), "sistema", "componente", "id_modo_falla", "taxonomia_id", "modo", "hit_words"))
     best = scored.groupBy(F.col(id_col).alias("oid")).agg(first.alias("b"))
     conf = -F.col("b.neg")
@@ -166,13 +277,15 @@ def keyword_candidates(orders: DataFrame, cat: DataFrame, text_col: str = "descr
                     F.round(F.col("n_hit") / F.col("n_kw"), 12).alias("score_palabras"))
 
 
-def route(classified: DataFrame, scored: DataFrame, min_conf: float = 0.50, id_col: str = "ot_id") -> tuple[DataFrame, DataFrame]:
-    """C4: confident rows become events (source 'automático'); the rest go to the review queue, a row per order and
-    candidate (one without a candidate if there is none)."""
+def route(classified: DataFrame, scored: DataFrame | None = None, min_conf: float = 0.50, id_col: str = "ot_id") -> tuple[DataFrame, DataFrame]:
+    """C4: confident rows become events (source 'automático'); the rest go to the review queue with their best row, and with
+    ``scored`` (``candidates``) a row per order and candidate (one without a candidate if there is none)."""
     ok = (F.col("confianza") >= min_conf) & F.col("taxonomia_id").isNotNull()
     events = classified.filter(ok).select(id_col, "taxonomia_id", "confianza", F.lit("automático").alias("fuente"))
-    offered = scored.select(id_col, F.col("taxonomia_id").alias("candidato"), F.round("score", 12).alias("score_candidato"))
-    review = classified.filter(~ok).select(id_col, "confianza", F.col("taxonomia_id").alias("mejor")).join(offered, id_col, "left")
+    review = classified.filter(~ok).select(id_col, "confianza", F.col("taxonomia_id").alias("mejor"))
+    if scored is not None:
+        offered = scored.select(id_col, F.col("taxonomia_id").alias("candidato"), F.round("score", 12).alias("score_candidato"))
+        review = review.join(offered, id_col, "left")
     return events, review
 
 
