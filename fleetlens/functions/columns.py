@@ -191,11 +191,16 @@ def next_sequence(ids, code_col: str, group_col: str):
 
 
 def assign_sequence(new_rows, start_col: str, order_cols, out_col: str = "ot_id"):
-    """give a batch of new rows consecutive ids after the group's next sequence (row_number per prefix)."""
-    from pyspark.sql import Window
+    """give a batch of new rows consecutive ids after the group's next sequence, without a gap.
 
-    w = Window.partitionBy("prefijo").orderBy(*order_cols)
-    return new_rows.withColumn(out_col, F.concat(F.col("prefijo"), (F.col(start_col) + F.row_number().over(w) - 1).cast("string")))
+    ``order_cols`` (names, unique within a prefix) order them. Rows are range-partitioned by prefix and order, numbered inside
+    their range and shifted by the rows of the ranges before: a prefix that holds most of the rows spans many tasks."""
+    from ..operators.windows import distributed_row_number, rows_before
+
+    numbered = distributed_row_number(new_rows, ["prefijo", *order_cols], "_g")
+    before = rows_before(numbered, "prefijo")
+    return numbered.join(F.broadcast(before), "prefijo").withColumn(
+        out_col, F.concat(F.col("prefijo"), (F.col(start_col) + F.col("_g") - F.col("_before") - 1).cast("string"))).drop("_g", "_before", "_total")
 
 
 def next_order_estimates(with_last):

@@ -27,28 +27,30 @@ def max_severity_per_order(ev: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(ot: DataFrame, ev: DataFrame | None, start: dt.date, end: dt.date) -> DataFrame:
+def _prepared(ot: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     opened, closed = F.col("fecha_apertura"), F.col("fecha_cierre")
     since, until = (F.lit(dt.datetime.combine(x, dt.time())).cast("timestamp_ntz") for x in (start, end + dt.timedelta(days=1)))
     ot = ot.filter((opened < until) & ((closed >= since) | closed.isNull() | (opened >= since)))
     o = ot.select("ot_id", "activo_id", "fecha_apertura", "fecha_cierre", norm("tipo_ot").alias("tipo"))
-    if ev is not None:
-        o = o.join(max_severity_per_order(ev), "ot_id", "left")
-    else:
-        o = o.withColumn("sev_rank", F.lit(None).cast("int"))
-    return o.filter(F.col("fecha_apertura").isNotNull()).withColumn(
-        "planned", F.col("tipo").isin(*vocab.PREVENTIVE)
-    )
+    return o.withColumn("planned", F.col("tipo").isin(*vocab.PREVENTIVE))
 
 
 def _uses_real(c_open: Column, c_close: Column) -> Column:
     return c_close.isNotNull() & (c_close > c_open)
 
 
-def downtime_real(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | None = None) -> DataFrame:
-    """Interval x day. Each day of [open, close] inside [start, end]
-    gets the overlap hours, clipped to [0, 24], dropped when 0."""
-    o = _prepared(ot, ev, start, end).filter(_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
+def _cells(seconds: Column, calculated: bool) -> list[Column]:
+    """Whole seconds of planned and unplanned downtime: their sums are exact in any order."""
+    return ["activo_id", "fecha", F.when(F.col("planned"), seconds).otherwise(0).alias("plan_s"),
+            F.when(F.col("planned"), 0).otherwise(seconds).alias("noplan_s"), F.lit(calculated).alias("calculado")]
+
+
+def _hours(cells: DataFrame) -> DataFrame:
+    return cells.select("activo_id", "fecha", (F.col("plan_s") / 3600.0).alias("plan"), (F.col("noplan_s") / 3600.0).alias("noplan"), "calculado")
+
+
+def _real_cells(ot: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    o = _prepared(ot, start, end).filter(_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
     first = F.greatest(F.to_date("fecha_apertura"), F.lit(start))
     last = F.least(F.to_date("fecha_cierre"), F.lit(end))
     days = o.filter(first <= last).withColumn("fecha", F.explode(F.sequence(first, last)))
@@ -57,18 +59,13 @@ def downtime_real(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | N
     secs = F.unix_timestamp(F.least(F.col("fecha_cierre"), day_end)) - F.unix_timestamp(
         F.greatest(F.col("fecha_apertura"), day_start)
     )
-    hours = F.least(F.greatest(secs / 3600.0, F.lit(0.0)), F.lit(24.0))
-    return (
-        days.withColumn("h", hours)
-        .filter(F.col("h") > 0)
-        .select(
-            "activo_id",
-            "fecha",
-            F.when(F.col("planned"), F.col("h")).otherwise(0.0).alias("plan"),
-            F.when(F.col("planned"), 0.0).otherwise(F.col("h")).alias("noplan"),
-            F.lit(True).alias("calculado"),
-        )
-    )
+    return days.withColumn("s", F.least(secs, F.lit(86400)).cast("long")).filter("s > 0").select(*_cells(F.col("s"), True))
+
+
+def downtime_real(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | None = None) -> DataFrame:
+    """Interval x day. Each day of [open, close] inside [start, end]
+    gets the overlap hours, clipped to [0, 24], dropped when 0. (Events have no say here.)"""
+    return _hours(_real_cells(ot, start, end))
 
 
 def fallback_hours(sev_rank: Column, planned: Column) -> Column:
@@ -80,18 +77,20 @@ def fallback_hours(sev_rank: Column, planned: Column) -> Column:
     return out
 
 
+def _fallback_cells(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | None) -> DataFrame:
+    o = _prepared(ot, start, end).filter(~_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
+    o = o.withColumn("fecha", F.to_date("fecha_apertura")).filter((F.col("fecha") >= F.lit(start)) & (F.col("fecha") <= F.lit(end)))
+    if ev is not None:
+        # only events of these orders are read on: they are grouped after the semi-join
+        o = o.join(max_severity_per_order(ev.join(o.select("ot_id"), "ot_id", "left_semi")), "ot_id", "left")
+    else:
+        o = o.withColumn("sev_rank", F.lit(None).cast("int"))
+    return o.select(*_cells((fallback_hours(F.col("sev_rank"), F.col("planned")) * 3600).cast("long"), False))
+
+
 def downtime_fallback(ot: DataFrame, start: dt.date, end: dt.date, ev: DataFrame | None = None) -> DataFrame:
-    """A2: close missing or not after open -> fallback hours on the opening day."""
-    o = _prepared(ot, ev, start, end).filter(~_uses_real(F.col("fecha_apertura"), F.col("fecha_cierre")))
-    d = F.to_date("fecha_apertura")
-    h = fallback_hours(F.col("sev_rank"), F.col("planned"))
-    return o.filter((d >= F.lit(start)) & (d <= F.lit(end))).select(
-        "activo_id",
-        d.alias("fecha"),
-        F.when(F.col("planned"), h).otherwise(0.0).alias("plan"),
-        F.when(F.col("planned"), 0.0).otherwise(h).alias("noplan"),
-        F.lit(False).alias("calculado"),
-    )
+    """A2: close missing or not after open -> fallback hours on the opening day, by the worst severity of its events."""
+    return _hours(_fallback_cells(ot, start, end, ev))
 
 
 def availability(ot: DataFrame, ev: DataFrame | None, assets: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -103,24 +102,25 @@ def availability(ot: DataFrame, ev: DataFrame | None, assets: DataFrame, start:
     'inferido'.
 
     Generate after join: only the (asset, day) cells with downtime are
-    aggregated; they are folded into one map per asset (at most one entry per
-    day of the range, so bounded), joined to the assets, and the calendar is
-    exploded locally after the join. The asset x day spine - the bulk of the
-    output - is never shuffled.
+    aggregated, in whole seconds; they are folded into one array per asset (at
+    most one entry per day of the range, so bounded) and joined to the assets.
+    The days that the array lacks are added and all are exploded locally after
+    the join. The asset x day spine - the bulk of the output - is never shuffled.
     """
-    down = downtime_real(ot, start, end, ev).unionByName(downtime_fallback(ot, start, end, ev))
+    down = _real_cells(ot, start, end).unionByName(_fallback_cells(ot, start, end, ev))
     cells = down.groupBy("activo_id", "fecha").agg(
-        F.sum("plan").alias("plan"), F.sum("noplan").alias("noplan"), F.bool_or("calculado").alias("calc"))
-    per_asset = cells.groupBy("activo_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("fecha", F.struct("plan", "noplan", "calc")))).alias("_m"))
+        F.sum("plan_s").alias("plan"), F.sum("noplan_s").alias("noplan"), F.bool_or("calculado").alias("calc"))
+    per_asset = cells.groupBy("activo_id").agg(F.collect_list(F.struct("fecha", "plan", "noplan", "calc")).alias("_cells"))
     # the assets table is small in bytes but its calendar is the bulk of the output: spread the asset ids over
     # the shuffle partitions first (on the join key, so a sort-merge join reuses this partitioning)
     parts = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spine = assets.select("activo_id").repartition(parts, "activo_id").join(per_asset, "activo_id", "left") \
-        .select("activo_id", "_m", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("fecha"))
-    v = F.element_at(F.col("_m"), F.col("fecha"))
-    rows = spine.select("activo_id", "fecha", F.coalesce(v["plan"], F.lit(0.0)).alias("plan"),
-                        F.coalesce(v["noplan"], F.lit(0.0)).alias("noplan"), v["calc"].alias("calc"))
+    spine = assets.select("activo_id").repartition(parts, "activo_id").join(per_asset, "activo_id", "left")
+    have = F.coalesce(F.col("_cells"), F.array().cast("array<struct<fecha:date,plan:bigint,noplan:bigint,calc:boolean>>"))
+    zero = F.lit(0).cast("long")
+    idle = F.transform(F.array_except(F.sequence(F.lit(start), F.lit(end)), F.transform(have, lambda c: c["fecha"])),
+                       lambda day: F.struct(day.alias("fecha"), zero.alias("plan"), zero.alias("noplan"), F.lit(None).cast("boolean").alias("calc")))
+    rows = spine.select("activo_id", F.explode(F.concat(have, idle)).alias("c")).select(
+        "activo_id", "c.fecha", (F.col("c.plan") / 3600.0).alias("plan"), (F.col("c.noplan") / 3600.0).alias("noplan"), "c.calc")
     return _finish(rows)
 
 
@@ -171,11 +171,10 @@ def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | Non
 def availability_summary(dd: DataFrame) -> DataFrame:
     """Mean availability %, assets, days, rows, and rows per source."""
     pct = F.col("horas_operativas") / F.lit(24.0) * 100.0
-    return dd.groupBy().agg(
-        F.round(F.avg(pct), 6).alias("disp_pct"),
-        F.countDistinct("activo_id").alias("activos"),
-        F.countDistinct("fecha").alias("dias"),
-        F.count(F.lit(1)).alias("filas"),
-        F.count(F.when(F.col("fuente") == "calculado", 1)).alias("filas_calculado"),
-        F.count(F.when(F.col("fuente") == "inferido", 1)).alias("filas_inferido"),
-    )
+    # two distinct counts in one aggregate would expand every row: days and assets are grouped apart
+    days = dd.groupBy("fecha").agg(F.sum(pct).alias("_sum"), F.count(pct).alias("_with"), F.count(F.lit(1)).alias("_n"),
+                                   F.count(F.when(F.col("fuente") == "calculado", 1)).alias("_calc"), F.count(F.when(F.col("fuente") == "inferido", 1)).alias("_inf"))
+    total = days.agg(F.round(F.sum("_sum") / F.sum("_with"), 6).alias("disp_pct"), F.count("fecha").alias("dias"), F.coalesce(F.sum("_n"), F.lit(0)).alias("filas"),
+                     F.coalesce(F.sum("_calc"), F.lit(0)).alias("filas_calculado"), F.coalesce(F.sum("_inf"), F.lit(0)).alias("filas_inferido"))
+    assets = dd.groupBy("activo_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.count("activo_id").alias("activos"))
+    return total.crossJoin(assets).select("disp_pct", "activos", "dias", "filas", "filas_calculado", "filas_inferido")

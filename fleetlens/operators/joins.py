@@ -76,3 +76,17 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_
     delta = F.col("_best._rd") - F.col("_d")
     ok = ((delta >= lo) if lo_inclusive else (delta > lo)) & ((delta <= hi) if hi_inclusive else (delta < hi))
     return res.select("_l.*", *[F.when(ok, F.col(f"_best._c_{c}")).alias(c) for c in right_cols])
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, per_task: int = 100_000, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where a few keys may hold most of ``left``.
+
+    Rows per key are counted first. A key of more than ``per_task`` rows is dealt over so many salts that each has about that
+    number (by the hash of ``spread``), and ``right``'s rows of that key are copied once per salt. The heavy keys' list has at
+    most rows / per_task entries, so it is broadcast; no other key needs it."""
+    heavy = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > per_task)
+    heavy = heavy.select(key, F.ceil(F.col("_rows") / per_task).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    lhs = left.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    rhs = right.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")

@@ -300,7 +300,7 @@ def run(spark: SparkSession, tables: Tables, as_of: dt.date, previous: DataFrame
     fleet = metrics()
     there = [m for m in fleet if available(tables, m.needs)]
     gone = [(m.vista, m.metrica, m.absent) for m in fleet if not available(tables, m.needs)]
-    found = [asset_rows(tables, as_of, there)]
+    found = [spark.createDataFrame([], "vista string, metrica string, horizonte_dias int, valor double"), asset_rows(tables, as_of, there)]
 
     def add(vista: str, names: Mapping[str, float | None], needs: Sequence[str], rows) -> None:
         if available(tables, needs):

@@ -217,6 +217,13 @@ def monthly_availability_estimate(ot: DataFrame, start: dt.date, end: dt.date, n
     return g.orderBy(F.col("mes").desc()).limit(n)
 
 
+def _assets_by_priority(rows: DataFrame, p1: str, p2: str) -> DataFrame:
+    """Distinct assets with a P1 and with a P2 row: grouped by asset first, so that no row is expanded."""
+    has = lambda p: F.bool_or(F.col("prioridad") == p)
+    g = rows.filter(F.col("activo_id").isNotNull()).groupBy("activo_id").agg(has(vocab.P1).alias("_p1"), has(vocab.P2).alias("_p2"))
+    return g.agg(F.count_if("_p1").alias(p1), F.count_if("_p2").alias(p2))
+
+
 def hero(a: DataFrame, ot: DataFrame, sr: DataFrame, fb: DataFrame, start: dt.date, end: dt.date,
          score_date: dt.date) -> DataFrame:
     """Hero metrics for 'operativo' assets over [start, end], as separate aggregates
@@ -231,10 +238,7 @@ def hero(a: DataFrame, ot: DataFrame, sr: DataFrame, fb: DataFrame, start: dt.da
         F.count(F.when(corr, 1)).alias("_n_corr"),
     )
     s = sr.join(act, "activo_id")
-    scores = s.filter(F.col("fecha_scoring") == F.lit(score_date)).agg(
-        F.count_distinct(F.when(F.col("prioridad") == vocab.P1, F.col("activo_id"))).alias("unidades_p1"),
-        F.count_distinct(F.when(F.col("prioridad") == vocab.P2, F.col("activo_id"))).alias("unidades_p2"),
-    )
+    scores = _assets_by_priority(s.filter(F.col("fecha_scoring") == F.lit(score_date)), "unidades_p1", "unidades_p2")
     conf = fb.filter(F.col("falla_confirmada") == F.lit(True)).join(s.select("scoring_id"), "scoring_id", "left_semi").agg(
         F.count_distinct("feedback_id").alias("fallas_anticipadas_confirmadas"))
     units = act.agg(F.count_distinct("activo_id").alias("unidades_operativas"))
@@ -397,8 +401,7 @@ def confirmed_by_priority(fb: DataFrame, sr: DataFrame) -> DataFrame:
     """Distinct assets with confirmed feedback on a P1 (resp. P2) score, one join and one aggregate."""
     conf = fb.filter(F.col("falla_confirmada") == F.lit(True)).select("scoring_id", "activo_id")
     j = conf.join(sr.filter(F.col("prioridad").isin(*vocab.URGENT)).select("scoring_id", "prioridad"), "scoring_id")
-    n = lambda p: F.count_distinct(F.when(F.col("prioridad") == p, F.col("activo_id")))
-    return j.agg(n(vocab.P1).alias("activos_p1_confirmados"), n(vocab.P2).alias("activos_p2_confirmados"))
+    return _assets_by_priority(j, "activos_p1_confirmados", "activos_p2_confirmados")
 
 
 def feedback_counts(fb: DataFrame) -> DataFrame:

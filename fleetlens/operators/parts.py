@@ -17,8 +17,9 @@ from .. import vocab
 from ..functions.columns import intervention_type, intervention_type_by_probability, is_corrective, priority_rank, \
     py_round, sku_ok, system_list
 from .common import latest_order, latest_score
+from .joins import salted_join
 from .panels import ago_ts, order_system
-from .windows import latest_per_key, top_n_per_key
+from .windows import distributed_row_number, latest_per_key, top_n_per_key
 
 
 def half_up(x: Column, scale: int) -> Column:
@@ -249,7 +250,7 @@ def required_stock(rm: DataFrame, use: DataFrame, upcoming: DataFrame) -> DataFr
 
 
 def parts_plan(scores: DataFrame, rm: DataFrame, cost: DataFrame, use: DataFrame, lead_time_critical: float = 15.0,
-               actionable: Sequence[str] = vocab.URGENT, mapping: DataFrame | None = None) -> DataFrame:
+               actionable: Sequence[str] = vocab.URGENT, mapping: DataFrame | None = None, per_task: int = 100_000) -> DataFrame:
     """(asset x system x sku) plan from one scoring snapshot.
 
     Systems come from F16 (``'A | B'`` -> rows); a system with no master SKU yields one
@@ -259,51 +260,45 @@ def parts_plan(scores: DataFrame, rm: DataFrame, cost: DataFrame, use: DataFrame
     if mapping is not None:  # failure vocabulary -> parts vocabulary (the source skips this step)
         m = mapping.select(F.lower("sistema_fallas").alias("sistema"), F.lower("sistema_repuestos").alias("_rep"))
         s = s.join(m, "sistema", "left").withColumn("sistema", F.coalesce("_rep", "sistema")).drop("_rep")
-    s = s.join(cost, "sistema", "left")
-    ev_cost = F.when(F.coalesce(F.col("costo_correctivo_medio"), F.lit(0.0)) != 0, F.col("p") * F.col("costo_correctivo_medio"))
     master = rm.filter(F.col("activo") == F.lit(True)).select(
         "sku", "descripcion", F.lower("sistema").alias("sistema"), "lead_time_dias_promedio", "costo_unitario_clp",
-        "stock_actual")
-    has_master = master.select("sistema").distinct().withColumn("_hm", F.lit(True))
-    s = s.join(has_master, "sistema", "left")
-    no_master = s.filter(F.col("_hm").isNull()).select(
-        "activo_id", "sistema", F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("descripcion"),
-        py_round("p", 4).alias("probabilidad_falla"), "prioridad", F.lit(None).cast("double").alias("demanda_esperada"),
-        F.lit(None).cast("double").alias("stock_actual"), F.lit(None).cast("double").alias("holgura_stock"),
-        F.lit(None).cast("double").alias("lead_time_dias"), F.lit(None).cast("double").alias("costo_unitario_clp"),
-        F.col("costo_correctivo_medio").alias("costo_correctivo_est"), ev_cost.alias("costo_evitado_est"),
-        F.lit(vocab.NO_MASTER).alias("accion"))
-    j = s.filter(F.col("_hm")).join(master, "sistema").join(use, ["sistema", "sku"], "left")
-    cm = F.coalesce("cantidad_media_por_ot", F.lit(1.0))
-    dem = F.col("p") * cm
+        "stock_actual", F.lit(True).alias("_hm"))
+    # all that a system brings meets first; the scores then join once, the largest systems dealt over many tasks
+    offer = master.join(use, ["sistema", "sku"], "left").join(cost, "sistema", "full")
+    j = salted_join(s, offer, "sistema", "activo_id", per_task)
+    p, hm = F.col("p"), F.coalesce("_hm", F.lit(False))
+    ev_cost = F.when(F.coalesce(F.col("costo_correctivo_medio"), F.lit(0.0)) != 0, p * F.col("costo_correctivo_medio"))
+    dem = p * F.coalesce("cantidad_media_por_ot", F.lit(1.0))
     stock = F.coalesce("stock_actual", F.lit(0.0))
     slack = stock - dem
     lt = F.coalesce("lead_time_dias_promedio", F.lit(30.0))
     act = F.col("prioridad").isin(*actionable)
-    accion = (F.when(act & (slack < 0), "REORDENAR_URGENTE")
+    accion = (F.when(~hm, vocab.NO_MASTER).when(act & (slack < 0), "REORDENAR_URGENTE")
               .when(act & ((slack < dem) | (lt >= lead_time_critical)), "PREPARAR").otherwise("MONITOREAR"))
-    with_master = j.select(
+    return j.select(
         "activo_id", "sistema", "sku", "descripcion", py_round("p", 4).alias("probabilidad_falla"), "prioridad",
-        py_round(dem, 3).alias("demanda_esperada"), stock.alias("stock_actual"), py_round(slack, 3).alias("holgura_stock"),
-        lt.alias("lead_time_dias"), "costo_unitario_clp", F.col("costo_correctivo_medio").alias("costo_correctivo_est"),
-        py_round(ev_cost, 0).alias("costo_evitado_est"), accion.alias("accion"))
-    return with_master.unionByName(no_master)
+        F.when(hm, py_round(dem, 3)).alias("demanda_esperada"), F.when(hm, stock).alias("stock_actual"),
+        F.when(hm, py_round(slack, 3)).alias("holgura_stock"), F.when(hm, lt).alias("lead_time_dias"), "costo_unitario_clp",
+        F.col("costo_correctivo_medio").alias("costo_correctivo_est"),
+        F.when(hm, py_round(ev_cost, 0)).otherwise(ev_cost).alias("costo_evitado_est"), accion.alias("accion"))
 
 
-def plan_order(plan: DataFrame) -> list[Column]:
-    """W11 order of the plan: urgent < prepare < no-master < monitor, then p desc, avoided cost desc."""
-    o = (F.when(F.col("accion") == "REORDENAR_URGENTE", 0).when(F.col("accion") == "PREPARAR", 1)
-         .when(F.col("accion") == vocab.NO_MASTER, 2).when(F.col("accion") == "MONITOREAR", 3).otherwise(9))
-    return [o, F.col("probabilidad_falla").desc(), F.col("costo_evitado_est").desc_nulls_last(), F.col("activo_id"),
-            F.col("sistema"), F.col("sku")]
+def in_plan_order(plan: DataFrame) -> DataFrame:
+    """The plan with ``orden``: urgent < prepare < no-master < monitor, then probability and avoided cost (NULL last)
+    downwards, then asset, system and SKU. Numbered by ranges, so no task holds the whole plan."""
+    rank = (F.when(F.col("accion") == "REORDENAR_URGENTE", 0).when(F.col("accion") == "PREPARAR", 1)
+            .when(F.col("accion") == vocab.NO_MASTER, 2).when(F.col("accion") == "MONITOREAR", 3).otherwise(9))
+    keys = {"_rank": rank, "_p": -F.col("probabilidad_falla"), "_none": F.col("costo_evitado_est").isNull(), "_cost": -F.col("costo_evitado_est")}
+    return distributed_row_number(plan.withColumns(keys), [*keys, "activo_id", "sistema", "sku"], "orden").drop(*keys)
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
-    """Urgent lines, summed avoided cost, actionable assets."""
-    return plan.agg(
-        F.count(F.when(F.col("accion") == "REORDENAR_URGENTE", 1)).alias("lineas_urgentes"),
-        F.coalesce(F.round(F.sum("costo_evitado_est"), 2), F.lit(0.0)).alias("costo_evitado_total"),
-        F.count_distinct("activo_id").alias("activos"))
+    """Urgent lines, summed avoided cost, actionable assets: by asset first, so that counting assets expands no row."""
+    g = plan.groupBy("activo_id").agg(F.count(F.when(F.col("accion") == "REORDENAR_URGENTE", 1)).alias("_urgent"), F.sum("costo_evitado_est").alias("_cost"))
+    return g.agg(
+        F.coalesce(F.sum("_urgent"), F.lit(0)).alias("lineas_urgentes"),
+        F.coalesce(F.round(F.sum("_cost"), 2), F.lit(0.0)).alias("costo_evitado_total"),
+        F.count("activo_id").alias("activos"))
 
 
 def interventions_with_parts(inter: DataFrame, a: DataFrame, csm: DataFrame, rm: DataFrame, horizon: int = 30,

@@ -6,7 +6,7 @@ scanned once however many metrics are asked of it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,13 +101,11 @@ def fk_report(ot: DataFrame, a: DataFrame, rc: DataFrame, ev: DataFrame, tax: Da
     )
 
 
-def schema_report(tables: Mapping[str, DataFrame], contract: Mapping[str, list[str]]) -> list[tuple[str, str, bool]]:
-    """Q6: (table, column, present) for every contracted column; metadata only, no data scan."""
-    out = []
-    for t, cols in contract.items():
-        present = set(tables[t].columns) if t in tables else set()
-        out += [(t, c, c in present) for c in cols]
-    return out
+def schema_report(tables: Mapping[str, DataFrame], contract: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Q6: tabla, columna, existe for every contracted column; metadata only, no data scan."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, c, t in tables and c in tables[t].columns) for t, cols in contract.items() for c in cols]
+    return spark.createDataFrame(rows, "tabla string, columna string, existe boolean")
 
 
 def coverage(ot: DataFrame, ev: DataFrame) -> DataFrame:
@@ -259,7 +257,8 @@ def demand_coverage(sr: DataFrame, a: DataFrame, csm: DataFrame) -> DataFrame:
     consumption map (the source compares with 'P1'/'P2', labels that never occur; the real labels are used)."""
     ap = sr.filter(F.col("prioridad").isin("P1_critica", "P2_alta")).join(a.select("activo_id", "marca", "modelo"), "activo_id") \
         .select("activo_id", "marca", "modelo", F.col("sistema_en_riesgo").alias("sistema"))
-    c = csm.select("marca", "modelo", "sistema", "sku")
-    j = ap.join(c, ["marca", "modelo", "sistema"], "left")
-    return j.groupBy("marca", "modelo", "sistema").agg(F.count_distinct("activo_id").alias("activos"),
-                                                       F.count_distinct("sku").alias("skus_candidatos"))
+    # both sides are counted apart, so no score meets an SKU
+    key = ["marca", "modelo", "sistema"]
+    assets = ap.distinct().groupBy(*key).agg(F.count("activo_id").alias("activos"))
+    skus = csm.select(*key, "sku").distinct().groupBy(*key).agg(F.count("sku").alias("skus_candidatos"))
+    return assets.join(skus, key, "left").select(*key, "activos", F.coalesce("skus_candidatos", F.lit(0)).alias("skus_candidatos"))

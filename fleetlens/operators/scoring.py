@@ -46,15 +46,17 @@ def with_thresholds(df: DataFrame, th_row: DataFrame | Mapping[str, float] | Non
 def risk_system(ev: DataFrame, tax: DataFrame, ot: DataFrame, as_of: dt.date) -> DataFrame:
     """Per asset, the system of the latest classified event with effective date <= as_of.
 
-    Asset and date fall back to the event's order (J6)."""
-    e = ev.join(tax.select("taxonomia_id", "sistema"), "taxonomia_id").filter(
-        F.col("sistema").isNotNull() & (F.trim("sistema") != ""))
+    Asset and date fall back to the event's order (J6): only events that lack one of them meet the orders; the others are
+    filtered by date in the scan."""
+    systems = tax.select("taxonomia_id", "sistema").filter(F.col("sistema").isNotNull() & (F.trim("sistema") != ""))
+    own = F.col("activo_id").isNotNull() & F.col("fecha_evento").isNotNull()
+    kept = ["activo_id", "fecha_ef", "taxonomia_id", "id_evento"]
+    whole = ev.filter(own & (F.col("fecha_evento") <= F.lit(as_of))).withColumn("fecha_ef", F.col("fecha_evento")).select(*kept)
     o = ot.select("ot_id", F.col("activo_id").alias("_oa"), F.to_date("fecha_apertura").alias("_od"))
-    e = e.join(o, "ot_id", "left").select(
-        F.coalesce("activo_id", "_oa").alias("activo_id"),
-        F.coalesce("fecha_evento", "_od").alias("fecha_ef"),
-        "sistema", "id_evento", "taxonomia_id",
-    ).filter(F.col("activo_id").isNotNull() & F.col("fecha_ef").isNotNull() & (F.col("fecha_ef") <= F.lit(as_of)))
+    rest = ev.filter(~own & (F.col("fecha_evento").isNull() | (F.col("fecha_evento") <= F.lit(as_of)))).join(o, "ot_id").select(
+        F.coalesce("activo_id", "_oa").alias("activo_id"), F.coalesce("fecha_evento", "_od").alias("fecha_ef"), "taxonomia_id", "id_evento")
+    rest = rest.filter(F.col("activo_id").isNotNull() & F.col("fecha_ef").isNotNull() & (F.col("fecha_ef") <= F.lit(as_of)))
+    e = whole.unionByName(rest).join(systems, "taxonomia_id")
     latest = latest_per_key(e, "activo_id", [F.col("fecha_ef").desc(), F.col("id_evento").desc(), F.col("taxonomia_id").desc()])
     return latest.select("activo_id", F.col("sistema").alias("sistema_en_riesgo"))
 

@@ -92,6 +92,13 @@ def distributed_row_number(df: DataFrame, order: Sequence[str], out: str = "_row
         .withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off")
 
 
+def rows_before(df: DataFrame, part: str) -> DataFrame:
+    """One row per ``part``: its rows (_total) and those of the parts that sort before it (_before)."""
+    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_total"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+
+
 def chrono_split(df: DataFrame, part: str, period: str, order_key: str, frac: float = 0.7,
                  flag: str = "is_train") -> DataFrame:
     """The first ``int(n * frac)`` rows per ``part`` in (period, order_key) order.
@@ -101,9 +108,7 @@ def chrono_split(df: DataFrame, part: str, period: str, order_key: str, frac: fl
     row number over (part, period, order_key) (``distributed_row_number``), and the rank inside ``part`` is
     that number minus the rows of the preceding parts (one count per part)."""
     numbered = distributed_row_number(df, [part, period, order_key], "_g")
-    sizes = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("_total"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))  # one row per part
+    sizes = rows_before(numbered, part)
     return (numbered.join(F.broadcast(sizes), part)
             .withColumn(flag, (F.col("_g") - F.col("_before")) <= F.floor(F.col("_total") * F.lit(frac)))
             .drop("_g", "_total", "_before"))

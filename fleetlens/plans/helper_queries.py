@@ -58,6 +58,22 @@ def f13(spark, d):
     return C.next_sequence(ids, "ot_code", "anio")
 
 
+@register("F13_assigned_order_ids", """
+WITH sig AS (SELECT year(fecha_apertura) AS anio, max(CAST(ot_id AS BIGINT)) + 1 AS inicio FROM ordenes_trabajo GROUP BY 1),
+n AS (SELECT ot_id, year(fecha_apertura) AS anio, row_number() OVER (PARTITION BY year(fecha_apertura) ORDER BY fecha_apertura, ot_id) AS k
+      FROM ordenes_nuevas)
+SELECT n.ot_id, 'OT-' || CAST(n.anio AS VARCHAR) || '-' || CAST(sig.inicio + k - 1 AS VARCHAR) AS ot_nuevo
+FROM n JOIN sig ON n.anio = sig.anio""")
+def f13_assigned(spark, d):
+    """Consecutive ids for a batch of orders, after the last one of their year."""
+    f = F_(spark, d)
+    ot = f.ordenes_trabajo
+    ids = ot.select(F.format_string("OT-%d-%d", F.year("fecha_apertura"), F.col("ot_id").cast("bigint")).alias("ot_code"), F.year("fecha_apertura").alias("anio"))
+    new = f.ordenes_nuevas.select("ot_id", "fecha_apertura", F.concat(F.lit("OT-"), F.year("fecha_apertura").cast("string"), F.lit("-")).alias("prefijo"))
+    rows = new.join(C.next_sequence(ids, "ot_code", "anio"), "prefijo")
+    return C.assign_sequence(rows, "proxima_secuencia", ["fecha_apertura", "ot_id"], "ot_nuevo").select("ot_id", "ot_nuevo")
+
+
 @register("F14_valid_sku_share", """
 SELECT count(*) AS total, count(CASE WHEN regexp_full_match(sku, '^REP-[0-9]{4}$') THEN 1 END) AS validos
 FROM repuestos_maestro""")

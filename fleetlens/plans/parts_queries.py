@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import parts as D
 from ..operators.panels import latest_snapshot
 from ..operators.windows import rows_at_max
+from ..session import scratch_path
+from ..sources import ingest as S
 from ..sources.fixtures import AS_OF, fleet
 from .registry import register
 
@@ -294,6 +297,21 @@ def d12(spark, d):
     return plan_frame(spark, d)
 
 
+@register("W11_plan_in_order", f"""
+SELECT *, row_number() OVER (ORDER BY CASE accion WHEN 'REORDENAR_URGENTE' THEN 0 WHEN 'PREPARAR' THEN 1 WHEN 'SIN_MAESTRO' THEN 2
+    WHEN 'MONITOREAR' THEN 3 ELSE 9 END, probabilidad_falla DESC, costo_evitado_est DESC NULLS LAST, activo_id, sistema, sku NULLS FIRST) AS orden
+FROM {PLAN_SQL}""")
+def w11(spark, d):
+    return D.in_plan_order(plan_frame(spark, d))
+
+
+@register("S11_exported_plan", f"SELECT * FROM {PLAN_SQL}")
+def s11(spark, d):
+    """The plan written to CSV and Parquet, stamped with its day; the CSV, read back with the Parquet's types."""
+    csv, pq = S.export_plan(plan_frame(spark, d), scratch_path(spark, f"io-{uuid.uuid4().hex}"), f"{AS_OF:%Y%m%d}")
+    return spark.read.options(**S.EXPORT).schema(spark.read.parquet(pq).schema).csv(csv)
+
+
 @register("D13_plan_summary", f"""
 SELECT count(CASE WHEN accion = 'REORDENAR_URGENTE' THEN 1 END) AS lineas_urgentes,
   coalesce(round(sum(costo_evitado_est), 2), 0.0) AS costo_evitado_total, count(DISTINCT activo_id) AS activos

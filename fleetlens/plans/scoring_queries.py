@@ -83,14 +83,28 @@ def F_(spark, d):
     return fleet(spark, d)
 
 
-@register("F5_thresholds_v1", f"SELECT * FROM {th_sql('v1.0')}")
+def _above_sql(version: str) -> str:
+    return f"""SELECT th.p1, th.p2, th.p3, count(CASE WHEN probabilidad_falla >= th.p1 THEN 1 END) AS n1,
+  count(CASE WHEN probabilidad_falla >= th.p2 THEN 1 END) AS n2, count(CASE WHEN probabilidad_falla >= th.p3 THEN 1 END) AS n3
+FROM scoring_resultados CROSS JOIN {th_sql(version)} th GROUP BY ALL"""
+
+
+def _above(spark, d, version):
+    """A version's thresholds and the scores that reach each of them."""
+    from pyspark.sql import functions as F
+    f = F_(spark, d)
+    s, th = R.with_thresholds(f.scoring_resultados, R.thresholds_for(f.umbrales_prioridad, version, AS_OF))
+    return s.groupBy("p1", "p2", "p3").agg(*(F.count_if(F.col("probabilidad_falla") >= th[f"p{i}"]).alias(f"n{i}") for i in (1, 2, 3)))
+
+
+@register("F5_thresholds_v1", _above_sql("v1.0"))
 def f5(spark, d):
-    return R.thresholds_for(F_(spark, d).umbrales_prioridad, "v1.0", AS_OF)
+    return _above(spark, d, "v1.0")
 
 
-@register("F5_thresholds_missing_version", f"SELECT * FROM {th_sql('v9.9')}")
+@register("F5_thresholds_missing_version", _above_sql("v9.9"))
 def f5b(spark, d):
-    return R.thresholds_for(F_(spark, d).umbrales_prioridad, "v9.9", AS_OF)
+    return _above(spark, d, "v9.9")
 
 
 @register("F4_F6_rebucket_scores", f"""

@@ -36,6 +36,29 @@ def load_csv(spark: SparkSession, path: str, expected: Sequence[str], **options)
     return df.select(*expected)
 
 
+def load_typed_csv(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] = (), multi_line: bool = True,
+                   **options) -> tuple[DataFrame, DataFrame]:
+    """S1 with reject output: (rows, refused) of a CSV under a typed contract.
+
+    ``refused`` has the record as it stands in the file and motivo, the first thing wrong with it: a count of fields that
+    differs from the header's, a required column that is empty, or the column whose text is not of its type. Every record is in
+    one of the two. Files whose texts hold no line breaks are read split by split with ``multi_line=False``."""
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("_record", T.StringType())])
+    read = CSV | {"multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record", "enforceSchema": "false"} | options
+    df = spark.read.options(**read).schema(raw).csv(path)
+    motivo = F.when(F.col("_record").isNotNull(), F.lit("número de campos"))
+    for c in required:
+        motivo = motivo.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"falta {c}"))
+    typed = {}
+    for f in schema:
+        typed[f.name] = F.col(f.name) if isinstance(f.dataType, T.StringType) else F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
+        motivo = motivo.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), F.lit(f"tipo de {f.name}"))
+    df = df.withColumn("_motivo", motivo)
+    rows = df.filter("_motivo IS NULL").select(*(c.alias(n) for n, c in typed.items()))
+    whole = F.coalesce("_record", F.to_csv(F.struct(*(f.name for f in schema)), {"quote": '"', "escape": '"'}))
+    return rows, df.filter("_motivo IS NOT NULL").select(whole.alias("registro"), F.col("_motivo").alias("motivo"))
+
+
 def project_optional(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Keep the mapped columns that exist (source -> target names), in mapping order."""
     return df.select(*[F.col(src).alias(dst) for src, dst in mapping.items() if src in df.columns])
