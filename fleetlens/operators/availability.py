@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import norm
+from ..sources.day_table import DayTable
 from .windows import severity_rank
 
 
@@ -124,6 +125,19 @@ def availability(ot: DataFrame, ev: DataFrame | None, assets: DataFrame, start:
     return _finish(rows)
 
 
+def touched_cells(ot: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The (asset, day) cells of [start, end] that these orders have a say in."""
+    return _real_cells(ot, start, end).unionByName(_fallback_cells(ot, start, end, None)).select("activo_id", "fecha").distinct()
+
+
+def availability_at(ot: DataFrame, ev: DataFrame | None, cells: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The rows of ``availability`` for the given (asset, day) cells alone; ``ot`` holds all orders of their assets."""
+    down = _real_cells(ot, start, end).unionByName(_fallback_cells(ot, start, end, ev))
+    g = down.groupBy("activo_id", "fecha").agg(F.sum("plan_s").alias("plan"), F.sum("noplan_s").alias("noplan"), F.bool_or("calculado").alias("calc"))
+    hours = lambda c: F.coalesce(F.col(c), F.lit(0)) / 3600.0
+    return _finish(cells.join(g, ["activo_id", "fecha"], "left").select("activo_id", "fecha", hours("plan").alias("plan"), hours("noplan").alias("noplan"), "calc"))
+
+
 def _finish(rows: DataFrame) -> DataFrame:
     plan = F.least(F.col("plan"), F.lit(24.0))
     noplan = F.least(F.col("noplan"), F.lit(24.0) - plan)
@@ -168,6 +182,15 @@ def availability_incremental(prev: DataFrame, ot: DataFrame, ev: DataFrame | Non
     return prev.filter(old).unionByName(kept).unionByName(new)
 
 
+def availability_increment(table: DayTable, ot: DataFrame, ev: DataFrame | None, as_of: dt.date) -> list[dt.date]:
+    """A6 + S8 on a table kept by day: recompute from (last day - 1), or as_of - 3 when empty, and replace that asset x date range.
+
+    The high-water mark comes from the manifest; days before it are neither read nor written. Returns the days rewritten."""
+    last = table.last_day()
+    start = (last - dt.timedelta(days=1)) if last is not None else as_of - dt.timedelta(days=3)
+    return table.upsert(availability_touched(ot, ev, start, as_of))
+
+
 def availability_summary(dd: DataFrame) -> DataFrame:
     """Mean availability %, assets, days, rows, and rows per source."""
     pct = F.col("horas_operativas") / F.lit(24.0) * 100.0

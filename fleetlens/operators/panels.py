@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.columns import active_asset, blank_default, elapsed_days, hours_between, is_corrective, lower_in
+from ..functions.columns import active_asset, age_years, blank_default, elapsed_days, hours_between, is_corrective, lower_in
 from .common import events_with_system, latest_event_system, latest_order, latest_score
 from .windows import latest_per_key, rows_at_max, top_n
 
@@ -594,6 +594,23 @@ def risk_ranking(a: DataFrame, sr: DataFrame, ot: DataFrame, ev: DataFrame, tax:
     return top_n(joined, order, n).withColumn("horizonte_dias", F.lit(horizon))
 
 
+def risk_ranking_of_day(a: DataFrame, sr: DataFrame, ot: DataFrame, ev: DataFrame, tax: DataFrame, day: dt.date,
+                        horizon: int = 30, n: int = 15) -> DataFrame:
+    """K13 legacy form: the scores of one day alone, with a probable failure date (the day plus the horizon), the latest
+    order's system ('N/A' without one) and odometer, the days since it (0 without one) and the asset's age in years."""
+    s = sr.filter((F.col("fecha_scoring") == F.lit(day)) & (F.col("horizonte_dias") == horizon) & F.col("prioridad").isin(*vocab.PRIORITIES))
+    last = latest_order(ot).join(order_system(ev, tax), "ot_id", "left").select(
+        "activo_id", F.col("fecha_apertura").alias("_open"), F.col("sistema").alias("_sys"), F.col("odometro_km").alias("_odo"))
+    j = s.join(a.select("activo_id", "patente", "marca", "modelo", "fecha_alta_flota"), "activo_id").join(last, "activo_id", "left")
+    out = j.select(
+        "activo_id", "patente", "marca", "modelo", "fecha_alta_flota", "probabilidad_falla", F.col("prioridad").alias("semaforo"),
+        F.round(F.col("probabilidad_falla") * 100, 1).alias("prob_30d"), F.lit(day + dt.timedelta(days=horizon)).alias("fecha_probable_falla"),
+        F.coalesce("_sys", F.lit("N/A")).alias("sistema_riesgo"),
+        F.coalesce(elapsed_days(F.lit(day).cast("timestamp_ntz"), "_open"), F.lit(0)).cast("int").alias("dias_ultima_ot"),
+        F.coalesce("_odo", F.lit(0.0)).alias("km_actual"), age_years("fecha_alta_flota", day).alias("edad_anos"), "fecha_scoring", "modelo_version")
+    return top_n(out, [F.col("probabilidad_falla").desc(), F.col("activo_id").asc()], n)
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["latest_per_key", "latest_order"]
 
 

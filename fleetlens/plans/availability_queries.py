@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from ..operators import availability as av
+from ..session import scratch_path
+from ..sources.day_table import DayTable
 from ..sources.fixtures import AS_OF, fleet
 from .oracle_fixtures import availability_sql
-from .registry import register
+from .registry import BODY, register
 
 START = AS_OF - dt.timedelta(days=365)
 S, E = f"DATE '{START}'", f"DATE '{AS_OF}'"
@@ -70,6 +73,32 @@ def a6(spark, d):
     return av.availability_incremental(prev, f.ordenes_trabajo, f.ot_falla_evento, AS_OF)
 
 
+def _kept_by_day(spark, d):
+    f = fleet(spark, d)
+    prev = av.availability(f.ordenes_trabajo, f.ot_falla_evento, f.activos, START, INC_PREV_END)
+    table = DayTable(spark, scratch_path(spark, f"days-{uuid.uuid4().hex}"), prev.schema, ["activo_id", "fecha"])
+    table.write_days(prev)
+    return f, table
+
+
+@register("A6_increment_of_day_table", BODY["A6_availability_incremental"])
+def a6_table(spark, d):
+    f, table = _kept_by_day(spark, d)
+    av.availability_increment(table, f.ordenes_trabajo, f.ot_falla_evento, AS_OF)
+    return table.read()
+
+
+@register("A6_days_rewritten", f"""
+SELECT CAST(g AS DATE) AS fecha, CAST(g AS DATE) >= DATE '{INC_START}' AS reescrito
+FROM generate_series(CAST({S} AS TIMESTAMP), CAST({E} AS TIMESTAMP), INTERVAL 1 DAY) t(g)""")
+def a6_days(spark, d):
+    """Which days' files an increment wrote, from the manifests before and after it."""
+    f, table = _kept_by_day(spark, d)
+    before = table.manifest()
+    av.availability_increment(table, f.ordenes_trabajo, f.ot_falla_evento, AS_OF)
+    return spark.createDataFrame([(day, before.get(day) != folder) for day, folder in table.manifest().items()], "fecha date, reescrito boolean")
+
+
 @register("A7_availability_summary", """
 SELECT round(avg(horas_operativas / 24.0 * 100.0), 6) AS disp_pct, count(DISTINCT activo_id) AS activos,
   count(DISTINCT fecha) AS dias, count(*) AS filas,

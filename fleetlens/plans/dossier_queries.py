@@ -83,6 +83,25 @@ def g4(spark, d):
     return G.asset_history(f.ordenes_trabajo, f.ot_falla_evento, f.taxonomia_fallas, f.repuestos_consumidos)
 
 
+@register("G4_asset_history_lines", """
+SELECT o.activo_id, o.ot_id, o.fecha_apertura, 'evento' AS clase, CAST(e.id_evento AS VARCHAR) AS id, e.taxonomia_id AS detalle, t.sistema AS sistema,
+  CAST(NULL AS DOUBLE) AS cantidad
+FROM ordenes_trabajo o JOIN ot_falla_evento e ON e.ot_id = o.ot_id LEFT JOIN taxonomia_fallas t ON e.taxonomia_id = t.taxonomia_id
+UNION ALL SELECT o.activo_id, o.ot_id, o.fecha_apertura, 'repuesto', r.sku, NULL, NULL, CAST(r.cantidad AS DOUBLE)
+FROM ordenes_trabajo o JOIN repuestos_consumidos r ON r.ot_id = o.ot_id
+UNION ALL SELECT o.activo_id, o.ot_id, o.fecha_apertura, 'orden', o.ot_id, o.tipo_ot, NULL, o.costo_total_clp FROM ordenes_trabajo o""")
+def g4_lines(spark, d):
+    """G4 with its arrays laid out: a line for each order, event and part."""
+    from pyspark.sql import functions as F
+
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    line = lambda kind, i, what, system, n: F.struct(F.lit(kind).alias("clase"), i.cast("string").alias("id"), what.alias("detalle"), system.alias("sistema"), n.cast("double").alias("cantidad"))
+    events = F.transform("eventos", lambda e: line("evento", e["id_evento"], e["taxonomia_id"], e["sistema"], number))
+    parts = F.transform("repuestos", lambda r: line("repuesto", r["sku"], text, text, r["cantidad"]))
+    own = F.array(line("orden", F.col("ot_id"), F.col("tipo_ot"), text, F.col("costo_total_clp")))
+    return g4(spark, d).select("activo_id", "ot_id", "fecha_apertura", F.inline(F.concat(own, events, parts)))
+
+
 OS_SQL = f"""(SELECT ot.ot_id, ot.activo_id, CAST(ot.fecha_apertura AS DATE) AS fecha_apertura,
     coalesce(list_sort(list_distinct(list(lower(nullif(trim(t.sistema), ''))) FILTER (WHERE lower(nullif(trim(t.sistema), '')) IS NOT NULL))),
              CAST([] AS VARCHAR[])) AS sistemas
