@@ -3,13 +3,13 @@
 import datetime as dt
 import os
 
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import DateType, IntegerType, StringType, StructType
 
 from fleetlens.operators import availability as A
 from fleetlens.sources.day_table import DayTable
 
 D0 = dt.date(2000, 1, 10)
-SCHEMA = _parse_datatype_string("activo_id string, fecha date, v int")
+SCHEMA = StructType().add("activo_id", StringType()).add("fecha", DateType()).add("v", IntegerType())
 
 
 def day(n):
