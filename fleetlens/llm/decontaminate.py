@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.words import extended, slices
+from fleetlens.session import stored
 
 #: Edits allowed, as a share of an item's characters.
 RATE = 0.05
@@ -27,7 +28,7 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u34
 #: Items of one pass; a larger benchmark is searched in several passes, so a broadcast stays small.
 BLOCK = 20_000
 
-LEAKS = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
+LEAKS = "array<struct<item_id:{},distance:int,start:int,end:int>>"
 
 
 def normal(text: str | None) -> str:
@@ -50,8 +51,8 @@ class Pattern:
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def best(self, text: str) -> tuple[int, int]:
-        """The least edit distance to any substring of ``text``, and where the first such substring ends.
+    def best(self, text: str, anchored: bool = False) -> tuple[int, int]:
+        """The least edit distance to any substring of ``text``, or any prefix if ``anchored``, and where the first such one ends.
 
         One column of the distance matrix is two bit vectors of its vertical steps; a character of the text
         costs a dozen operations on integers of n bits.
@@ -71,7 +72,7 @@ class Pattern:
                 score -= 1
                 if score < least:
                     least, end = score, j + 1
-            rise, fall = rise << 1 & full, fall << 1 & full
+            rise, fall = (rise << 1 | anchored) & full, fall << 1 & full
             up, down = fall | full & ~(diagonal | rise), rise & diagonal
         return least, end
 
@@ -79,14 +80,15 @@ class Pattern:
 class Search:
     """All items of a pass: the automaton over their pieces, the budgets and the patterns."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_words: int = MIN_WORDS):
-        self.budget, self.patterns, self.ids, self.short = [], [], [], []
+    def __init__(self, items: list[tuple], rate: float, min_words: int = MIN_WORDS):
+        self.budget, self.patterns, self.ids, self.texts, self.short = [], [], [], [], []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (item_id, text) in enumerate(items):
             n, short = len(text), len(text) < MIN_CHARS and text.count(" ") + 1 < min_words
             e = 0 if short else int(rate * n)
             self.short.append(short)
             self.ids.append(item_id)
+            self.texts.append(text)
             self.budget.append(e)
             self.patterns.append(Pattern(text))
             cuts = [n * i // (e + 1) for i in range(e + 2)]
@@ -124,23 +126,28 @@ class Search:
                 if d <= e and (best is None or d < best[0]):
                     best = (d, a + end)
             if best:
-                found.append({"item_id": self.ids[k], "distance": best[0], "start": max(0, best[1] - n), "end": best[1]})
+                # where the place begins: the item read backwards from its end
+                end = best[1]
+                back = text[max(0, end - n - e) : end][::-1]
+                length = n if best[0] == 0 else Pattern(self.texts[k][::-1]).best(back, anchored=True)[1]
+                found.append({"item_id": self.ids[k], "distance": best[0], "start": end - length, "end": end})
         return sorted(found, key=lambda x: (x["item_id"] is None, x["item_id"], x["start"]))
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """``docs`` with leaks: item_id, distance, start and end (in the normal form) of each item of ``benchmark``
-    (item_id, text) that occurs in ``text``, case and white space aside, with ``rate`` edits a character at most.
+    (item_id of any type that has an order, text) that occurs in ``text``, case and white space aside, with ``rate`` edits a character at most.
 
     A null or empty text has none, and items that are null or without words are not searched; those of fewer than
     ``min_words`` words and MIN_CHARS characters must occur without edits and as whole words. Equal items are all reported. No shuffle: items go out in blocks of about ``block`` rows by a hash of
-    their text, one pass over ``docs`` each. A column named leaks is replaced.
+    their text, one pass over ``docs`` each, whose result is stored, so a task holds one block. A column named leaks is replaced.
     """
     docs = docs.drop("leaks")
-    schema = extended(docs.schema, leaks=LEAKS)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    leaks = LEAKS.format(benchmark.schema["item_id"].dataType.simpleString())
+    schema = extended(docs.schema, leaks=leaks)
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     blocks = max(1, -(-items.count() // block))
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
+    out = docs.withColumn("leaks", F.array().cast(leaks))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         wanted = sorted({(r.item_id, normal(r.text)) for r in own}, key=lambda x: (x[1], x[0] is None, x[0]))
@@ -156,6 +163,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
                 yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
 
         out = out.mapInArrow(run, schema)
+        if b + 1 < blocks:
+            out = stored(out)
     return out
 
 
