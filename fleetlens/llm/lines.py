@@ -1,8 +1,10 @@
 """Line dedup by content-defined chunks of lines, all in built-in SQL functions.
 
-A line's hash and that of the line before give a rolling hash; a chunk begins where the rolling hash is a
-local minimum, so boundaries move with the text and two lines at least lie between them. A chunk whose
-lines occur anywhere else, in the same order, stays at its first place and is removed at the others.
+A line's hash and that of the next line with words give a rolling hash. A chunk is a longest run of lines whose
+rolling hashes all occur more than once: it begins and ends where the contents stop being repeated, wherever
+that lies in the text, and has two lines with words at least. The bytes decide: two lines that stand, with the
+blank ones between them, at an earlier place are removed. So every run of two or more lines with words that
+stands at an earlier place goes whole, and the first place of a line always stays.
 """
 
 from __future__ import annotations
@@ -16,18 +18,22 @@ from fleetlens.session import stored
 BLANK = " \t\x0b\f\r"
 
 
-def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with __chunks: start, len and hash of each chunk of two lines with words or more."""
-    hashes = F.transform("__lines", lambda x: F.md5(x))
-    rolling = F.transform("__hash", lambda x, i: F.when(i > 0, F.md5(F.concat(F.get("__hash", i - 1), x))))
-    n = F.size("__lines")
-    least = lambda i: (i >= 2) & (i <= n - 2) & (F.get("__roll", i) < F.get("__roll", i - 1)) & (F.get("__roll", i) < F.get("__roll", i + 1))
-    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | least(i))
-    spans = F.transform("__begin", lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get("__begin", k + 1), n) - s).alias("len")))
-    full = lambda c: F.size(F.filter(F.slice("__lines", c["start"] + 1, c["len"]), lambda x: F.length(F.translate(x, BLANK, "")) > 0)) > 1
-    named = F.transform(F.filter(spans, full), lambda c: c.withField("hash", F.md5(F.array_join(F.slice("__hash", c["start"] + 1, c["len"]), ""))))
+def with_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with __pairs: start, len and rolling hash of each line with words and the next one with words."""
+    hashes = F.transform("__lines", lambda x: F.xxhash64(x))
+    worded = F.array_compact(F.transform("__lines", lambda x, i: F.when(F.length(F.translate(x, BLANK, "")) > 0, i)))
+    spans = F.transform("__worded", lambda s, k: F.struct(s.alias("start"), (F.get("__worded", k + 1) + 1 - s).alias("len")))
+    pairs = F.transform(F.filter(spans, lambda c: c["len"].isNotNull()), lambda c: c.withField("hash", F.xxhash64(F.slice("__hash", c["start"] + 1, c["len"]))))
     out = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    return out.withColumn("__hash", hashes).withColumn("__roll", rolling).withColumn("__begin", begins).withColumn("__chunks", named).drop("__hash", "__roll", "__begin")
+    return out.withColumn("__hash", hashes).withColumn("__worded", worded).withColumn("__pairs", pairs).drop("__hash", "__worded")
+
+
+def _runs(pairs: Column) -> Column:
+    """The sorted, overlapping ``pairs`` (start, len) as spans that are apart: pairs that share a line are one."""
+    end = lambda p: p["start"] + p["len"]
+    begins = F.filter(pairs, lambda p, k: (k == 0) | (p["start"] >= end(F.get(pairs, k - 1))))
+    ends = F.filter(pairs, lambda p, k: (k == F.size(pairs) - 1) | (F.get(pairs, k + 1)["start"] >= end(p)))
+    return F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), (end(e) - b["start"]).alias("len")))
 
 
 def _cut(lines: Column, spans: Column) -> Column:
@@ -52,11 +58,11 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """What to remove: __key and __spans, sorted, for each document of ``docs`` (with __key) that loses lines.
 
-    Chunks meet by hash first; those whose hash repeats are then grouped by their bytes. The first place is
+    Pairs of lines meet by rolling hash first; those whose hash repeats are then grouped by their bytes. The first place is
     the least (doc_id, md5 of the text, line), a null id first. Both groupings combine before the shuffle.
     """
-    # an outer explode, whose rows are filtered after it: no filter on the chunks is pushed below their projections
-    found = with_chunks(docs.select("__key", text), text).select("__key", F.explode_outer("__chunks").alias("c"))
+    # an outer explode, whose rows are filtered after it: no filter on the pairs is pushed below their projections
+    found = with_pairs(docs.select("__key", text), text).select("__key", F.explode_outer("__pairs").alias("c"))
     found = stored(found.select("__key", "c.start", "c.len", "c.hash").where("hash IS NOT NULL"))
     # stored, so that both sides of the join are plain exchanges, whose hot partitions can be split
     twice = stored(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
@@ -73,11 +79,12 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     # a SHA-256 stands for the bytes from here on: within a hash, groups differ in it
     groups = groups.select("hash", F.sha2("bytes", 256).alias("sha"), "first")
     again = same.select("__key", "hash", F.sha2("bytes", 256).alias("sha"), "place").join(groups, ["hash", "sha"]).where(~F.col("place").eqNullSafe(F.col("first")))
-    return again.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("place.start", "place.len"))).alias("__spans"))
+    gone = again.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("place.start", "place.len"))).alias("__gone"))
+    return gone.select("__key", _runs(F.col("__gone")).alias("__spans"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``, and n_lines and n_removed_lines (long) of the input text.
+    """``docs`` with repeated chunks of lines cut from ``text``, and n_lines and n_removed_lines (long) of the input text.
 
     A null text stays null and has 0 lines; an empty one has 1. Rows that are equal in id and text share
     their fate: if one holds the first place, all keep it. New columns replace those of the same names.
@@ -102,21 +109,15 @@ def op5_line_dedup(spark, sf_dir):
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS m, string_split(coalesce(text, ''), chr(10)) AS l, text IS NULL AS none FROM documents),
-h AS (SELECT *, list_transform(l, lambda x: md5(x)) AS h FROM d),
-r AS (SELECT *, list_transform(range(1, len(h) + 1), lambda i: CASE WHEN i > 1 THEN md5(h[i - 1] || h[i]) END) AS r FROM h),
-b AS (SELECT *, list_filter(range(0, len(l)), lambda i: i = 0 OR (i >= 2 AND i <= len(l) - 2 AND r[i + 1] < r[i] AND r[i + 1] < r[i + 2])) AS b FROM r),
-c AS (
-  SELECT doc_id, m, l[s + 1:e] AS own, s, e - s AS n FROM (
-    SELECT *, b[k] AS s, coalesce(b[k + 1], len(l)) AS e FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM b))),
-f AS (
-  SELECT *, min((doc_id, m, s, n)) OVER (PARTITION BY own) AS first FROM c
-  WHERE len(list_filter(own, lambda x: regexp_matches(x, '[^ \t\x0b\f\r]'))) > 1),
-gone AS (SELECT DISTINCT doc_id, m, s, n FROM f WHERE (doc_id, m, s, n) <> first),
-cut AS (SELECT doc_id, m, list(s ORDER BY s) AS ss, list(n ORDER BY s) AS ns FROM gone GROUP BY ALL),
-j AS (SELECT d.*, ss, ns FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id AND d.m = cut.m)
-SELECT doc_id, CAST(CASE WHEN none THEN 0 ELSE len(l) END AS BIGINT) AS n_lines,
-       CAST(coalesce(list_sum(ns), 0) AS BIGINT) AS n_removed_lines,
-       sha256(array_to_string(CASE WHEN ss IS NULL THEN l ELSE list_transform(list_filter(range(0, len(l)),
-         lambda i: len(list_filter(range(1, len(ss) + 1), lambda k: i >= ss[k] AND i < ss[k] + ns[k])) = 0), lambda i: l[i + 1]) END, chr(10))) AS kept_sha256
-FROM j
+w AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^ \t\x0b\f\r]')) AS w FROM d),
+p AS (SELECT doc_id, m, l[w[k]:w[k + 1]] AS own, w[k] AS s, w[k + 1] AS e FROM (SELECT *, unnest(range(1, len(w))) AS k FROM w)),
+f AS (SELECT *, min((doc_id, m, s)) OVER (PARTITION BY own) AS first FROM p),
+gone AS (SELECT DISTINCT doc_id, m, unnest(range(s, e + 1)) AS i FROM f WHERE (doc_id, m, s) <> first),
+x AS (SELECT doc_id, m, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, m, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS n FROM x
+  WHERE NOT EXISTS (FROM gone WHERE gone.doc_id = x.doc_id AND gone.m = x.m AND gone.i = x.i) GROUP BY doc_id, m)
+SELECT d.doc_id, CAST(CASE WHEN none THEN 0 ELSE len(l) END AS BIGINT) AS n_lines,
+       CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id AND kept.m = d.m
 """

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fleetlens.llm import decontaminate, graph, html, langid, minhash, mixing, quality, substrings, tokens, toxicity
+from fleetlens.llm import decontaminate, graph, html, langid, lines, minhash, mixing, quality, substrings, tokens, toxicity
 from fleetlens.llm.words import Words, slices
 from fleetlens.session import stored
 
@@ -415,3 +415,50 @@ def test_rules_do_not_depend_on_their_order(spark):
     assert one == {(r.doc_id, r.kept) for r in quality.cascade(rows, rules[::-1]).select("doc_id", "kept").collect()}
     few = spark.createDataFrame(rows.limit(50).collect(), rows.schema)
     assert {r.name for r in quality.ordered(few, rules)} == {r.name for r in rules}
+
+
+def brute_runs(texts):
+    """Lines left of each text: every run of two or more lines with words that stands at an earlier place goes, by all pairs of places."""
+    split = [t.split("\n") for t in texts]
+    worded = [[i for i, x in enumerate(own) if x.strip()] for own in split]
+    gone = [set() for _ in texts]
+    for d, own in enumerate(split):
+        for k, a in enumerate(worded[d]):
+            for e in range(d + 1):
+                for j, b in enumerate(worded[e]):
+                    if (e, b) >= (d, a):
+                        break
+                    n = 0
+                    while k + n < len(worded[d]) and j + n < len(worded[e]) and own[a : worded[d][k + n] + 1] == split[e][b : worded[e][j + n] + 1]:
+                        n += 1
+                    if n > 1:
+                        gone[d] |= set(range(a, worded[d][k + n - 1] + 1))
+    return ["\n".join(x for i, x in enumerate(own) if i not in gone[d]) for d, own in enumerate(split)]
+
+
+@pytest.mark.parametrize("length", [2, 3, 5, 8, 20])
+def test_passages_of_lines_go_whole(spark, length):
+    """Otherwise different texts that share one passage: the later of each pair loses the passage and nothing else."""
+    rng = random.Random(length)
+    line = lambda: " ".join(some(rng, 6))
+    texts, want = [], []
+    for _ in range(60):
+        passage = [line() for _ in range(length)]
+        for own in ([], passage):
+            head, tail = [line() for _ in range(rng.randint(0, 9))], [line() for _ in range(rng.randint(1, 9))]
+            texts.append("\n".join(head + passage + tail))
+            want.append("\n".join(head + tail) if own else texts[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.dedup_lines(rows).collect()}
+    assert [got[i].text for i in range(len(texts))] == want
+    assert [got[i].n_removed_lines for i in range(len(texts))] == [length * (i % 2) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("vocab", [2, 4, 12])
+def test_lines_by_brute_force(spark, vocab):
+    """Few different lines, blank ones among them, so runs overlap, touch and repeat within a text."""
+    rng = random.Random(vocab)
+    texts = ["\n".join(rng.choice([*VOCAB[:vocab], "", " \t"]) for _ in range(rng.randint(0, 14))) for _ in range(50)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_runs(texts)

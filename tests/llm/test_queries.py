@@ -25,17 +25,15 @@ def md5(t):
 
 def plain_lines(rows):
     """doc_id -> text after line dedup; documents that lose all words are absent."""
-    spans = []
+    pairs = []
     for r in rows:
         lines = r.text.split("\n")
-        h = [md5(x) for x in lines]
-        roll = [None] + [md5(a + b) for a, b in zip(h, h[1:])]
-        cut = [0] + [i for i in range(2, len(lines) - 1) if roll[i] < roll[i - 1] and roll[i] < roll[i + 1]] + [len(lines)]
-        spans += [((r.doc_id, md5(r.text), a, b - a), tuple(lines[a:b])) for a, b in zip(cut, cut[1:]) if sum(bool(x.strip(" \t\x0b\f\r")) for x in lines[a:b]) > 1]
+        worded = [i for i, x in enumerate(lines) if x.strip(" \t\x0b\f\r")]
+        pairs += [((r.doc_id, md5(r.text), a, b), tuple(lines[a : b + 1])) for a, b in zip(worded, worded[1:])]
     first, gone = {}, defaultdict(set)
-    for place, own in sorted(spans):
+    for place, own in sorted(pairs):
         if first.setdefault(own, place) != place:
-            gone[place[0]] |= set(range(place[2], place[2] + place[3]))
+            gone[place[0]] |= set(range(place[2], place[3] + 1))
     out = {r.doc_id: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone[r.doc_id]) for r in rows}
     return {k: t for k, t in out.items() if not gone[k] or t.split()}
 
