@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 The block elements of a page form a tree, in which siblings of one kind are one node (a list of records is
-one slot). Trees of a host's pages are aligned by simple tree matching into a template; a text that
-stands at the same node of most of the host's pages is part of the template, and the slots whose texts vary are
-content, unless what they lie in says that they are navigation, adverts, comments or the like.
+one slot). Trees of a host's pages are aligned by simple tree matching into a template; a text that stands at the
+same node of most of the host's pages that have this node is part of the template, and the slots whose texts vary are
+content, unless the kind of element they lie in, or its role, says that they are navigation, forms or the like.
+Outside of articles, class and id words say so too; inside, only a class or id that is such a word as a whole does.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.words import slices
 from fleetlens.session import stored
 
-#: Pages of a host that its template is induced from, by a hash of their ids; statistics cover all pages.
-SAMPLE = 8
-#: A text is template if it stands at one node on this share of a host's different pages, and on so many.
+#: The trees of a host are merged in this many cells first, so that no task merges all of a large host's.
+CELLS = 16
+#: A text is template if it stands at one node on this share of the host's different pages that have the node, and on so
+#: many; on hosts of fewer pages, on all of them, two at least.
 CONSTANT, LEAST = 0.8, 5
+#: Nodes below this depth belong to the node at it.
+DEEP = 60
 #: Templates up to this size in all are broadcast; beyond it, pages are joined with them by host.
 BROADCAST = 32 << 20
 
@@ -51,6 +55,10 @@ NAMED = set(
     "taboola toolbar widget widgets".split()
 )
 
+# Names that an article's own parts have as well.
+OWN = set("banner header masthead".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))|[^<]+|<""", re.S
 )
@@ -61,9 +69,12 @@ def _outside(tag: str, attributes: dict[str, str], article: bool) -> bool:
     """Whether an element and all in it is no part of an article."""
     if tag in OUTSIDE or tag == "header" and not article or "hidden" in attributes or attributes.get("role", "") in ROLES:
         return True
-    if tag in ("article", "main", "body", "html"):
+    if tag in ("article", "main", "body", "html") or tag in HEADINGS:
         return False
-    return any(w in NAMED for w in re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    if article:
+        return any(w in NAMED and w not in OWN for w in names.split())
+    return any(w in NAMED for w in re.split(r"[^a-z]+", names))
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int, bool, bool]]:
@@ -133,7 +144,9 @@ def blocks(html: str | None) -> list[tuple[str, str, int, bool, bool]]:
         if tag in BLOCK:
             depth = 0
             kind = attributes.get("class", "").split()[:1]
-            path = f"{path}/{tag}{'.' if kind else ''}{''.join(kind)}"
+            if path.count("/") < DEEP:
+                # no "/" of a class may part the path
+                path = f"{path}/{tag}{'.' if kind else ''}{''.join(kind).replace('/', '|')}"
         stack.append((tag, path, article or tag in ("article", "main"), outside))
     flush()
     return out
@@ -243,45 +256,51 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def induce(rows: pd.DataFrame) -> pd.DataFrame:
         template: Tree = {}
-        for html in rows.sort_values("o")["html"]:
-            template = merge(template, tree([b[0] for b in blocks(html)]))
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "template": [json.dumps(template)]})
+        for own in rows.sort_values(["o", "template"])["template"]:
+            template = merge(template, json.loads(own))
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "o": rows["o"].min(), "template": [json.dumps(template)]})
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html", 2 << 20):
+            seen = {(h, tuple(dict.fromkeys(b[0] for b in blocks(html)))) for h, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True)}
+            rows = [(h, json.dumps(tree(list(paths)))) for h, paths in sorted(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["host", "template"])
 
-    # the choice sees hashes alone, and a task sends at most SAMPLE of a host
-    ranked = pages.select("host", "html", F.xxhash64("page_id", "html").alias("o"))
-    least = stored(_least(ranked.select("host", "o")).distinct())
-    few = ranked.join(F.broadcast(least) if least.count() * 64 <= BROADCAST else least, ["host", "o"], "left_semi").dropDuplicates(["host", "o"])
-    templates = stored(few.groupBy("host").applyInPandas(induce, "host string, template string"))
+    # every different tree of a host takes part, once
+    different = pages.select("host", "html").mapInArrow(trees, "host string, template string").distinct()
+    different = different.select("host", F.xxhash64("template").alias("o"), "template")
+    kind = "host string, o long, template string"
+    cells = different.groupBy("host", F.pmod("o", F.lit(CELLS)).alias("cell")).applyInPandas(induce, kind)
+    templates = stored(cells.groupBy("host").applyInPandas(induce, kind).select("host", "template"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner()
         for batch in slices(batches, "html", 2 << 20):
-            out: dict[str, list] = {"host": [], "page": [], "slot": [], "h": []}
+            out: dict[str, list] = {"host": [], "page": [], "longest": [], "slot": [], "h": []}
             for h, html, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
-                own = {(b[0], _hash(b[1])) for b in align(html, template) if not b[4]}
+                parts = [b for b in align(html, template) if not b[4]]
+                own = {(b[0], _hash(b[1])) for b in parts}
                 page = _hash(repr(sorted(own)))
+                longest = _hash(max((b[1] for b in parts), key=lambda x: (len(x), x), default=""))
                 for slot, x in own:
                     out["host"].append(h)
                     out["page"].append(page)
+                    out["longest"].append(longest)
                     out["slot"].append(slot)
                     out["h"].append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["host"], pa.string()), pa.array(out["page"], pa.int64()), pa.array(out["slot"], pa.string()), pa.array(out["h"], pa.int64())], names=list(out)
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k in ("host", "slot") else pa.int64()) for k, v in out.items()], names=list(out))
 
-    rows = _with(pages, templates).select("host", "html", "template").mapInArrow(texts, "host string, page long, slot string, h long")
+    rows = _with(pages, templates).select("host", "html", "template").mapInArrow(texts, "host string, page long, longest long, slot string, h long")
     # copies of a page count once
     seen = stored(rows.distinct())
-    times = seen.groupBy("host", "slot", "h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    of = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    constant = times.join(of, "host").where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("slot", "h")).alias("constant"))
-    return templates.join(constant, "host", "left")
-
-
-def _least(rows: DataFrame) -> DataFrame:
-    """The SAMPLE least values of o for each host, as (host, o)."""
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("o"))
-    return rows.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("host", "o")
+    times = seen.groupBy("host", "slot", "h").agg(F.count("*").alias("n"), (F.min("longest") != F.max("longest")).alias("differ")).where("n > 1")
+    of = seen.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("having"))
+    pages_of = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    few = F.col("pages") < LEAST
+    # on a host of few pages, what near copies of one article share is no template: their longest texts must differ
+    enough = F.when(few, (F.col("n") == F.col("pages")) & F.col("differ")).otherwise(F.col("n") >= LEAST)
+    constant = times.join(of, ["host", "slot"]).join(pages_of, "host").where(enough & (F.col("n") >= CONSTANT * F.col("having")))
+    return templates.join(constant.groupBy("host").agg(F.collect_list(F.struct("slot", "h")).alias("constant")), "host", "left")
 
 
 def _with(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -294,7 +313,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every row of ``pages`` (page_id, url, html), with n_chars, its code points.
 
     Where a page has an article or main element, its content is the varying blocks in it; else all varying blocks
-    that are not mostly links. A null or empty page has an empty text; equal rows get equal texts; a page
+    that are not mostly links. Extra columns of ``pages`` are left out. A null or empty page has an empty text; equal rows get equal texts; a page
     without a host shares the template of such pages.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", host())

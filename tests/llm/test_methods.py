@@ -462,3 +462,104 @@ def test_lines_by_brute_force(spark, vocab):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.dedup_lines(rows).collect()}
     assert [got[i] for i in range(len(texts))] == brute_runs(texts)
+
+
+def extracted(spark, pages):
+    """page_id -> main text of (host, html) pages, numbered in order."""
+    rows = [(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(pages)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [t for _, t in sorted((r.page_id, r.text) for r in got)]
+
+
+def test_names_inside_an_article_are_its_own(spark):
+    parts = [
+        '<header class="entry-header"><h1>Title</h1></header>', '<div class="article-header"><p>By someone</p></div>',
+        '<section id="related-work"><p>Earlier work</p></section>', '<table class="widget-prices"><tr><td>12</td></tr></table>',
+        '<div class="header"><h2 class="notice">Heading</h2></div>',
+    ]
+    gone = ['<section class="comments"><p>first!</p></section>', '<div id="ad">Buy</div>', "<nav>next</nav>", "<aside>see also</aside>", '<div role="search">find</div>']
+    page = "<body><div class=site-header>Site</div><article>" + "".join(a + b for a, b in zip(parts, gone, strict=True)) + "</article></body>"
+    assert extracted(spark, [("a.example", page)]) == ["Title By someone Earlier work 12 Heading"]
+    assert extracted(spark, [("a.example", "<body><div class=site-header>Site</div><p>Text</p></body>")]) == ["Text"]
+
+
+def test_wrapper_on_hosts_of_few_pages(spark):
+    rng = random.Random(8)
+    own = [" ".join(some(rng, 30)) for _ in range(6)]
+    wrap = lambda x: f"<body><div>Welcome</div><section><p>{x}</p></section><div>All rights reserved</div></body>"
+    two, one = [("two.example", wrap(x)) for x in own[:2]], [("one.example", wrap(own[2]))]
+    # near copies of one article are no wrapper, neither are copies of a page
+    near = [("near.example", f"<body><p>{own[3]}</p><p>{x}</p></body>") for x in ("first", "second")]
+    same = [("same.example", wrap(own[4]))] * 3
+    got = extracted(spark, two + one + near + same)
+    assert got[:2] == own[:2] and got[2] == f"Welcome {own[2]} All rights reserved"
+    assert got[3:5] == [f"{own[3]} first", f"{own[3]} second"] and got[5:] == [f"Welcome {own[4]} All rights reserved"] * 3
+
+
+def test_wrapper_of_page_types(spark):
+    """Two types of pages on one host, neither on 80 % of it: what is constant on the pages that have its node goes."""
+    rng = random.Random(9)
+    own = [" ".join(some(rng, 30)) for _ in range(24)]
+    types = ["<body><section><h2>Latest news</h2><p>{}</p></section></body>", "<body><table><tr><th>Name of the part</th><td>{}</td></tr></table></body>"]
+    assert extracted(spark, [("h.example", types[i % 2].format(x)) for i, x in enumerate(own)]) == own
+
+
+def test_pages_nested_deeply(spark):
+    page = "<div>" * 3000 + "deep" + "</div>" * 3000 + '<p class="a/b">end</p>'
+    assert extracted(spark, [("h.example", page), ("h.example", "<p>other")]) == ["deep end", "other"]
+
+
+def plain_pages(pages):
+    """Main texts of well-formed pages without class, id and role, by the standard library's parser: a text that stands under
+    one path on 80 % (and 5) of the host's different pages that have the path is dropped; so are elements outside of articles."""
+    from collections import defaultdict
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.out, self.text = [], [], ""
+
+        def flush(self):
+            if self.text.split() and not set(self.path) & {"nav", "footer", "head", "script", "style", "aside", "form"}:
+                self.out.append(("/".join(self.path), " ".join(self.text.split())))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.flush()
+            self.path.append(tag)
+
+        def handle_endtag(self, tag):
+            self.flush()
+            assert self.path.pop() == tag
+
+        def handle_data(self, data):
+            self.text += data
+
+    parsed = []
+    for h, x in pages:
+        p = Parser()
+        p.feed(x)
+        p.flush()
+        parsed.append((h, tuple(p.out)))
+    having, times = defaultdict(set), defaultdict(set)
+    for h, own in parsed:
+        for path, text in own:
+            having[h, path].add(frozenset(own))
+            times[h, path, text].add(frozenset(own))
+    keep = lambda h, path, text: len(times[h, path, text]) < 5 or len(times[h, path, text]) < 0.8 * len(having[h, path])
+    return [" ".join(text for path, text in own if keep(h, path, text)) for h, own in parsed]
+
+
+def test_pages_by_a_plain_version(spark):
+    rng = random.Random(10)
+    fixed = {h: [" ".join(some(rng, 4)) for _ in range(6)] for h in "abc"}
+    pages = []
+    for i in range(90):
+        h = "abc"[i % 3]
+        texts = [" ".join(some(rng, rng.randint(3, 20))) if rng.random() < 0.6 else f for f in fixed[h]]
+        always = fixed[h][0] if rng.random() < 0.9 else "other"
+        kinds = ["section", "blockquote", "ul", "dl", "table", "pre"][: rng.randint(2, 6)]
+        inner = "".join(f"<{k}>{t}</{k}>" if k != "ul" else f"<ul><li>{t}</li><li>{fixed[h][3]}</li></ul>" for k, t in zip(kinds, texts))
+        pages.append((h, f"<html><head><title>x</title></head><body><nav>menu</nav><div>{always}</div>{inner}<footer>f</footer></body></html>"))
+    assert extracted(spark, pages) == plain_pages(pages)
