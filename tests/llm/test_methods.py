@@ -563,3 +563,35 @@ def test_pages_by_a_plain_version(spark):
         inner = "".join(f"<{k}>{t}</{k}>" if k != "ul" else f"<ul><li>{t}</li><li>{fixed[h][3]}</li></ul>" for k, t in zip(kinds, texts))
         pages.append((h, f"<html><head><title>x</title></head><body><nav>menu</nav><div>{always}</div>{inner}<footer>f</footer></body></html>"))
     assert extracted(spark, pages) == plain_pages(pages)
+
+
+def test_language_by_plain_counts(spark):
+    """Labels and posteriors of a naive Bayes that counts n-grams one by one, on the given documents and odd texts."""
+    import math
+
+    def features(text):
+        t = "".join(c if c.isalpha() else " " for c in text.lower())
+        t = f" {' '.join(t.split())} "
+        own = [t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)]
+        keys = [sum(ord(c) << 21 * i for i, c in enumerate(g)) for g in own if g != " "]
+        lengths = [len(g) for g in own if g != " "]
+        return [int(langid.mix(np.array([k], np.uint64), n)[0]) % langid.BUCKETS for k, n in zip(keys, lengths, strict=True)]
+
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").collect() if r.text and r.lang]
+    rows = [(r.text[:400], r.lang) for r in rows][:60]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    counts, docs = {}, Counter(x for _, x in rows)
+    for text, x in rows:
+        counts.setdefault(x, Counter()).update(features(text))
+    tried = [t for t, _ in rows[:25]] + ["the house", "Straße ÄÖ", "él año", "x", "a1b--c  d", "漢字 かな", "İstanbul"]
+    names, p = model.score(tried)
+    for text, name, score in zip(tried, names, p, strict=True):
+        own = features(text)
+        total = {}
+        for x, c in counts.items():
+            below = sum(c.values()) + 0.1 * langid.BUCKETS
+            total[x] = math.log(docs[x] / len(rows)) + sum(math.log((c[b] + 0.1) / below) for b in own)
+        best = max(total.values())
+        want = 1 / sum(math.exp(v - best) for v in total.values())
+        assert total[name] == pytest.approx(best, abs=1e-6) and score == pytest.approx(want, abs=1e-6), text
+    assert model.score(["", None, "12 %"])[0] == ["und"] * 3
