@@ -595,3 +595,55 @@ def test_language_by_plain_counts(spark):
         want = 1 / sum(math.exp(v - best) for v in total.values())
         assert total[name] == pytest.approx(best, abs=1e-6) and score == pytest.approx(want, abs=1e-6), text
     assert model.score(["", None, "12 %"])[0] == ["und"] * 3
+
+
+def test_toxicity_score_by_a_plain_network(spark):
+    """Every window of a text scored word by word in double precision; the worst one counts."""
+    import re
+
+    rng, t = np.random.default_rng(11), toxicity
+    net = t.Network.start(*(rng.normal(0, 1, t.BUCKETS).astype(np.float32) for _ in range(2)))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        bucket = int(Words(pa.array([word]), t.BREAK).hashes()[0]) % t.BUCKETS
+        marked = f"<{word}>".encode()
+        own = [(n, int.from_bytes(marked[i : i + n], "little")) for n in t.GRAMS for i in range(len(marked) - n + 1)]
+        own = [int(t.mix(np.array([k], np.uint64), n)[0]) % t.BUCKETS for n, k in own]
+        odds = [p["gram_odds"][b] for b in own]
+        chars = sum((p["char"][b] for b in own), np.zeros(t.CHAR_DIM)) / max(len(own), 1)
+        return np.concatenate([p["word"][bucket], chars, [p["word_odds"][bucket], sum(odds) / max(len(own), 1), max([-9, *odds])]])
+
+    def direction(d, xs):
+        h, out, k = np.zeros(t.HIDDEN), [], t.HIDDEN
+        for x in xs:
+            a, u = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = sig(a[:k] + u[:k]), sig(a[k : 2 * k] + u[k : 2 * k])
+            n = np.tanh(a[2 * k :] + r * u[2 * k :])
+            h = n + z * (h - n)
+            out.append(h)
+        return out
+
+    def plain(text):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        if not words:
+            return 0.0
+        logits, at = [], 0
+        while True:
+            xs = [vector(w) for w in words[at : at + t.WINDOW]]
+            h = [np.concatenate(x) for x in zip(direction("f", xs), direction("b", xs[::-1])[::-1], strict=True)]
+            att = np.exp([x @ p["v"] for x in h])
+            logits.append(sum(a * x for a, x in zip(att / att.sum(), h, strict=True)) @ p["w"] + p["b"][0])
+            if at + t.WINDOW >= len(words):
+                return float(sig(max(logits)))
+            at += t.STEP
+
+    own = random.Random(11)
+    texts = [" ".join(some(own, n)) for n in (1, 2, 63, 64, 65, 112, 113, 160, 161, 300)] + ["", " ?!", "One, TWO;three-Four"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in t.score(rows, net).collect()}
+    for i, text in enumerate(texts):
+        want = plain(text)
+        assert got[i].score == pytest.approx(want, abs=1e-4), i
+        assert got[i].predicted == int(got[i].score >= t.THRESHOLD)
