@@ -8,7 +8,7 @@ all shingles, is 0.8 or more (or the plain one is). Classes are the components o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.graph import ONE_TASK, components, together
-from fleetlens.llm.words import Words, mix, slices
+from fleetlens.llm.words import Words, mix, raw, slices
 from fleetlens.session import stored
 
 SHINGLE = 5
@@ -33,14 +33,17 @@ DF_BUCKETS = 1 << 18
 SMALL = 32
 #: Pairs that one task computes in full.
 PAIRS = 4_000
-#: Texts a side of one cell of a large bucket's pairs; no key of that join has more rows, however large the bucket.
+#: Texts a side of one cell of a shingle's pairs; no key of that join has more rows, however frequent the shingle.
 CELL = 512
-#: Representatives of a large bucket, of its largest class and of all its texts: at first, and in each later turn. A text is in
-#: up to 2 * BANDS such buckets, and every turn takes others.
-FIRST, TURN = (8, 2), (4, 1)
+#: Representatives of a large bucket, of its largest class and of all its texts. A text is in up to 2 * BANDS such buckets.
+FIRST = (8, 2)
+#: Hash buckets by whose sums the shingles of the texts left are put in order, rarest first: 8 MB.
+ORDER_BUCKETS = 1 << 20
 #: Samples of BANDS * ROWS, of one kind or the other, that a pair must share to be computed in full; with similarity 0.8 of that kind, fewer
 #: have probability 2e-4, less than its bands themselves miss (8e-4).
 AGREE = 16
+#: What sums of weights may be off by, as a part of them.
+ROUNDING = 1e-6
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,22 +93,19 @@ class Weights:
         return np.where(known[at] == hashes, idf[at], self.rare) * times
 
 
-def frequencies(docs: DataFrame) -> Weights:
-    """Count, over all documents, in how many each frequent shingle occurs.
-
-    A bucket's sum is as large as the count of any shingle in it, so only shingles of buckets that reach the least count
-    are then counted one by one. Sums travel as packed blocks.
-    """
+def bucket_sums(rows: DataFrame, column: str, hashes: Callable[[pa.Array], np.ndarray], buckets: int) -> tuple[np.ndarray, int]:
+    """How many of the hashes that ``hashes`` takes from ``column`` fall into each of ``buckets`` (a power of two, 4096 at least), and
+    the number of rows. Sums travel as packed blocks."""
     width = 1 << 12
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DF_BUCKETS, np.int64), 0
-        for batch in slices(batches, "text"):
-            _, h, _ = shingles(Words(batch.column("text")))
-            total += np.bincount((h & np.uint64(DF_BUCKETS - 1)).astype(np.int64), minlength=DF_BUCKETS)
+        total, n = np.zeros(buckets, np.int64), 0
+        for batch in slices(batches, column):
+            h = hashes(batch.column(column))
+            total += np.bincount((h & h.dtype.type(buckets - 1)).astype(np.int64), minlength=buckets)
             n += batch.num_rows
         if n:
-            blocks = [*range(DF_BUCKETS // width), -1]
+            blocks = [*range(buckets // width), -1]
             data = [total[b * width : (b + 1) * width].tobytes() for b in blocks[:-1]] + [np.array([n], np.int64).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
 
@@ -113,17 +113,27 @@ def frequencies(docs: DataFrame) -> Weights:
         total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
         return pd.DataFrame({"block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
 
-    sums = docs.select("text").mapInArrow(count, "block int, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    sums = rows.select(column).mapInArrow(count, "block int, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
     # two steps, so that no task adds up the counts of all tasks
     some = sums.groupBy("block", "part").applyInPandas(add, "block int, counts binary")
     got = some.groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    df, n = np.zeros(DF_BUCKETS, np.int64), 0
+    total, n = np.zeros(buckets, np.int64), 0
     for r in got:
         own = np.frombuffer(bytes(r.counts), np.int64)
         if r.block < 0:
             n = int(own[0])
         else:
-            df[r.block * width : (r.block + 1) * width] = own
+            total[r.block * width : (r.block + 1) * width] = own
+    return total, n
+
+
+def frequencies(docs: DataFrame) -> Weights:
+    """Count, over all documents, in how many each frequent shingle occurs.
+
+    A bucket's sum is as large as the count of any shingle in it, so only shingles of buckets that reach the least count
+    are then counted one by one.
+    """
+    df, n = bucket_sums(docs, "text", lambda texts: shingles(Words(texts))[1], DF_BUCKETS)
     least = max(2, n * FREQUENT)
     wanted = docs.sparkSession.sparkContext.broadcast(df >= least)
 
@@ -277,7 +287,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
 
 
 def _stars(buckets: DataFrame, turn: int = 0, major: int = 0, any_: int = 1) -> DataFrame:
-    """Each text of a bucket with representatives of it for this turn, where their classes differ: ``major`` texts of
+    """Each text of a bucket with representatives of it, where their classes differ: ``major`` texts of
     the bucket's largest class, which the texts outside it are compared with, and ``any_`` texts of all."""
     rows = buckets
     if major:
@@ -289,9 +299,10 @@ def _stars(buckets: DataFrame, turn: int = 0, major: int = 0, any_: int = 1) ->
     one = lambda k: F.struct(order(k).alias("o"), "key", "root")
     picks = [F.min(F.when(F.col("root") == F.col("big"), one(k))) for k in range(major)] + [F.min(one(major + k)) for k in range(any_)]
     chosen = rows.groupBy("bucket").agg(F.array(*picks).alias("r"))
-    own = F.filter("r", lambda x: x["root"] != F.col("root"))
-    met = buckets.join(chosen, "bucket").select(F.col("key").alias("a"), F.explode(own).alias("x"))
-    return met.select("a", F.col("x.key").alias("b")).distinct()
+    own = F.transform(F.filter("r", lambda x: x["root"] != F.col("root")), lambda x: x["key"])
+    # buckets of one group mostly have the same representatives: a text gathers its own (ten a bucket at most) as a set
+    met = buckets.join(chosen, "bucket").select("key", own.alias("r")).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("r"))
+    return met.select(F.col("key").alias("a"), F.explode("r").alias("b"))
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
@@ -300,20 +311,60 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(right, "bucket").where("key < b AND root != rb").select(F.col("key").alias("a"), "b").distinct()
 
 
-def _rest(buckets: DataFrame) -> DataFrame:
-    """All pairs of different classes inside buckets of any size, dealt over cells: the texts outside a bucket's largest class meet
-    all texts of it. Texts of the largest class never meet each other."""
-    sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("s"))
-    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("s", "root"))["root"].alias("big"), F.sum("s").alias("n"), F.max("s").alias("most"))
+def prefixes(texts: DataFrame, weights, least: float) -> DataFrame:
+    """The shingles of each text (key, root, hashes, counts) by one of which any text like it can be found: bucket (the hash), key,
+    root, and n, left, w, left_w: the number and the weight of all the text's shingles, and of those from this one on.
+
+    All texts put their shingles in one order, by how many of these texts have them. If two texts are similar by
+    ``least``, what they share is at least that part of either, so the first shingle they share has that part of either
+    text behind it or in it. Rarest first, few shingles of a text have so much behind them, and those that no other text has are left out.
+    """
+    common, _ = bucket_sums(texts, "hashes", lambda packed: np.frombuffer(raw(packed)[0].tobytes(), np.uint32), ORDER_BUCKETS)
+    common = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "hashes", 1 << 20):
+            row, parts = [], []
+            for i, (h, c) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True)):
+                h = np.frombuffer(h, np.uint32)
+                w = weights.value.of(h, np.frombuffer(c, np.int32) if c else np.ones(len(h), np.int32)).astype(np.float64)
+                times = common.value[h & np.uint32(ORDER_BUCKETS - 1)]
+                order = np.lexsort((h, times))
+                left, left_w = np.arange(len(h), 0, -1), np.cumsum(w[order][::-1])[::-1]
+                near = (left >= least * len(h) - ROUNDING) | (left_w >= left_w[:1] * (least - ROUNDING))
+                at = np.flatnonzero(near & (times[order] > 1))
+                row.append(np.full(len(at), i))
+                parts.append((h[order[at]].view(np.int32), np.full(len(at), len(h)), left[at], np.repeat(left_w[:1], len(at)), left_w[at]))
+            row = pa.array(np.concatenate(row))
+            h, n, left, w, left_w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), batch.column("key").take(row), batch.column("root").take(row), pa.array(n, pa.int32()), pa.array(left, pa.int32()), pa.array(w), pa.array(left_w)],
+                names=["bucket", "key", "root", "n", "left", "w", "left_w"],
+            )
+
+    return texts.select("key", "root", "hashes", "counts").mapInArrow(run, "bucket int, key string, root string, n int, left int, w double, left_w double")
+
+
+def _rest(found: DataFrame, least: float) -> DataFrame:
+    """All pairs of texts of different classes that can be similar by ``least``, from their prefixes().
+
+    Two texts can be similar only if what both have from a shared shingle on is enough for it. The texts
+    outside a shingle's largest class meet all its texts, dealt over cells; texts of the largest class never meet each other.
+    """
+    sizes = found.groupBy("bucket", "root").agg(F.count("*").alias("s"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("s", "root"))["root"].alias("big"), F.sum("s").alias("all"), F.max("s").alias("most")).where("all > most")
     cells = lambda n: F.ceil(n / CELL).cast("int")
-    sizes = sizes.select("bucket", "big", F.greatest(F.lit(1), cells(F.col("n") - F.col("most"))).alias("down"), cells(F.col("n")).alias("across"))
-    rows = stored(buckets.select("bucket", "key", "root").join(sizes, "bucket"))
+    sizes = sizes.select("bucket", "big", cells(F.col("all") - F.col("most")).alias("down"), cells(F.col("all")).alias("across"))
+    rows = stored(found.join(sizes, "bucket"))
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    left = rows.where("root != big").select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"), own("down").alias("i"), all_("across").alias("j"))
-    right = rows.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("big")).alias("inner"), all_("down").alias("i"), own("across").alias("j"))
-    met = left.join(right, ["bucket", "i", "j"]).where("ra != rb AND (inner OR a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = lambda k: [F.col(c).alias(c + k) for c in ("key", "root", "n", "left", "w", "left_w")]
+    left = rows.where("root != big").select("bucket", *named("_a"), own("down").alias("i"), all_("across").alias("j"))
+    right = rows.select("bucket", *named("_b"), (F.col("root") == F.col("big")).alias("inner"), all_("down").alias("i"), own("across").alias("j"))
+    part = least / (1 + least) - ROUNDING
+    enough = (F.least("left_a", "left_b") >= part * (F.col("n_a") + F.col("n_b"))) | (F.least("left_w_a", "left_w_b") >= part * (F.col("w_a") + F.col("w_b")))
+    met = left.join(right, ["bucket", "i", "j"]).where(F.expr("root_a != root_b AND (inner OR key_a < key_b)") & enough)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
@@ -324,9 +375,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
 
     Candidates without all pairs of a group: every text of a bucket is compared with the bucket's first
     one. Then only texts whose classes still differ matter: buckets of up to SMALL texts compare all such
-    pairs; larger ones do so in the parts that share the next band too, and take new
-    representatives, turn by turn, until a turn links nothing more. What then still differs inside
-    a large bucket is compared pair by pair as well, so the turns only save comparisons.
+    pairs; larger ones do so in the parts that share the next band too, and meet ten representatives.
+    The texts of large buckets that then still hold several classes are joined by exact prefixes of their shingles, in any bucket:
+    that finds every pair of them that is similar, and the representatives only save comparisons.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
     weights = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
@@ -341,9 +392,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     drawn = together(stored(signed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "drawn")))
 
     def similar_pairs(pairs: DataFrame) -> DataFrame:
-        return stored(verified(stored(likely(pairs, drawn)), texts, weights, least))
+        return stored(verified(stored(pairs), texts, weights, least))
 
-    roots = components(similar_pairs(_stars(buckets.withColumn("root", F.col("key")), 0)))
+    roots = components(similar_pairs(likely(_stars(buckets.withColumn("root", F.col("key")), 0), drawn)))
 
     def now(b: DataFrame) -> DataFrame:
         """Buckets that hold more than one class, with the class of each text."""
@@ -351,26 +402,21 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
         mixed = known.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
         return stored(known.join(mixed, "bucket", "left_semi"))
 
-    def link(pairs: DataFrame) -> bool:
+    def link(pairs: DataFrame) -> None:
+        """The classes so far, as stars, and the new links."""
         nonlocal roots
         more = similar_pairs(pairs)
-        if more.isEmpty():
-            return False
-        # the classes so far, as stars, and the new links
-        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        return True
+        if not more.isEmpty():
+            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     left = now(buckets)
     wide = left.where(F.col("n") > SMALL)
     wide = wide.join(wide.groupBy("key").agg(F.count("*").alias("degree")), "key")
     parts = wide.select(F.col("narrow").alias("bucket"), "key", "root")
     few = parts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n").between(2, SMALL)).select("bucket")
-    link(_pairs(left.where(F.col("n") <= SMALL)).unionByName(_pairs(parts.join(few, "bucket", "left_semi"))).unionByName(_stars(wide, 1, *FIRST)))
-    turn, rest = 2, now(wide.select("bucket", "key", "degree"))
-    while link(_stars(rest, turn, *TURN)):
-        turn, rest = turn + 1, now(rest)
-    if not rest.isEmpty():
-        link(_rest(rest))
+    link(likely(_pairs(left.where(F.col("n") <= SMALL)).unionByName(_pairs(parts.join(few, "bucket", "left_semi"))).unionByName(_stars(wide, 1, *FIRST)), drawn))
+    rest = now(wide.select("bucket", "key")).select("key", "root").distinct()
+    link(_rest(stored(prefixes(texts.join(rest, "key"), weights, least)), least))
 
     named = signed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), "key")).alias("first"))
