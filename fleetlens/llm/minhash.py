@@ -29,14 +29,14 @@ SIMILARITY = 0.8
 FREQUENT = 1 / 256
 #: Hash buckets whose sums show where frequent shingles can be: the table is 2 MB.
 DF_BUCKETS = 1 << 18
-#: Texts of one bucket that are compared pair by pair; larger buckets are split or compared by representatives.
+#: Texts of one bucket that are compared pair by pair; larger ones are compared with representatives, then by prefixes of their shingles.
 SMALL = 32
 #: Pairs that one task computes in full.
 PAIRS = 4_000
 #: Texts a side of one cell of a shingle's pairs; no key of that join has more rows, however frequent the shingle.
 CELL = 512
-#: Representatives of a large bucket, of its largest class and of all its texts. A text is in up to 2 * BANDS such buckets.
-FIRST = (8, 2)
+#: Representatives of a large bucket's largest class. A text is in up to 2 * BANDS such buckets.
+FIRST = 8
 #: Hash buckets by whose sums the shingles of the texts left are put in order, rarest first: 8 MB.
 ORDER_BUCKETS = 1 << 20
 #: Samples of BANDS * ROWS, of one kind or the other, that a pair must share to be computed in full; with similarity 0.8 of that kind, fewer
@@ -286,21 +286,19 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
     return out.coalesce(max(1, -(-n // PAIRS)))
 
 
-def _stars(buckets: DataFrame, turn: int = 0, major: int = 0, any_: int = 1) -> DataFrame:
-    """Each text of a bucket with representatives of it, where their classes differ: ``major`` texts of
-    the bucket's largest class, which the texts outside it are compared with, and ``any_`` texts of all."""
-    rows = buckets
+def _stars(buckets: DataFrame, major: int = 0) -> DataFrame:
+    """Each text of a bucket with its representatives, where their classes differ: with ``major`` texts of the
+    bucket's largest class, or with one of all its texts."""
+    rows, picks = buckets, [F.min(F.struct(F.xxhash64(F.lit(0), "key").alias("o"), "key", "root"))]
     if major:
         sizes = buckets.groupBy("bucket", "root").agg(F.count("*").alias("s"))
-        rows = buckets.join(sizes.groupBy("bucket").agg(F.max(F.struct("s", "root"))["root"].alias("big")), "bucket")
-    # a weighted draw: the more large buckets a text is in, the nearer it is to the middle of its group
-    u = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(k), F.lit(turn), "key"), 11) + 1) / float(1 << 53)
-    order = lambda k: -F.log(u(k)) / F.pow(F.lit(2.0), F.col("degree")) if major else F.xxhash64(F.lit(turn), "key")
-    one = lambda k: F.struct(order(k).alias("o"), "key", "root")
-    picks = [F.min(F.when(F.col("root") == F.col("big"), one(k))) for k in range(major)] + [F.min(one(major + k)) for k in range(any_)]
+        rows = buckets.join(sizes.groupBy("bucket").agg(F.max(F.struct("s", "root"))["root"].alias("big")), "bucket").where("root = big")
+        # a weighted draw: the more large buckets a text is in, the nearer it is to the middle of its group
+        u = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(k), F.lit(1), "key"), 11) + 1) / float(1 << 53)
+        picks = [F.min(F.struct((-F.log(u(k)) / F.pow(F.lit(2.0), F.col("degree"))).alias("o"), "key", "root")) for k in range(major)]
     chosen = rows.groupBy("bucket").agg(F.array(*picks).alias("r"))
     own = F.transform(F.filter("r", lambda x: x["root"] != F.col("root")), lambda x: x["key"])
-    # buckets of one group mostly have the same representatives: a text gathers its own (ten a bucket at most) as a set
+    # buckets of one group mostly have the same representatives: a text gathers its own (eight a bucket at most) as a set
     met = buckets.join(chosen, "bucket").select("key", own.alias("r")).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("r"))
     return met.select(F.col("key").alias("a"), F.explode("r").alias("b"))
 
@@ -375,7 +373,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
 
     Candidates without all pairs of a group: every text of a bucket is compared with the bucket's first
     one. Then only texts whose classes still differ matter: buckets of up to SMALL texts compare all such
-    pairs; larger ones do so in the parts that share the next band too, and meet ten representatives.
+    pairs; in larger ones the texts outside the largest class meet eight of its texts.
     The texts of large buckets that then still hold several classes are joined by exact prefixes of their shingles, in any bucket:
     that finds every pair of them that is similar, and the representatives only save comparisons.
     """
@@ -383,10 +381,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     weights = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
     signed = stored(signatures(rows, weights))
     once = signed.where("bands IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"))
-    after = F.element_at("bands", (F.col("band") + 1) % F.size("bands") + 1)
-    flat = once.select("key", "bands", F.posexplode("bands").alias("band", "h")).withColumn("bucket", F.xxhash64("band", "h"))
+    flat = once.select("key", F.posexplode("bands").alias("band", "h")).withColumn("bucket", F.xxhash64("band", "h"))
     many = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = together(stored(flat.withColumn("narrow", F.xxhash64("bucket", after)).join(many, "bucket").select("bucket", "n", "narrow", "key")))
+    buckets = together(stored(flat.join(many, "bucket").select("bucket", "n", "key")))
     keys = buckets.select("key").distinct()
     texts = stored(contents(rows, keys))
     drawn = together(stored(signed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "drawn")))
@@ -394,7 +391,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     def similar_pairs(pairs: DataFrame) -> DataFrame:
         return stored(verified(stored(pairs), texts, weights, least))
 
-    roots = components(similar_pairs(likely(_stars(buckets.withColumn("root", F.col("key")), 0), drawn)))
+    roots = components(similar_pairs(likely(_stars(buckets.withColumn("root", F.col("key"))), drawn)))
 
     def now(b: DataFrame) -> DataFrame:
         """Buckets that hold more than one class, with the class of each text."""
@@ -412,9 +409,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text") -> D
     left = now(buckets)
     wide = left.where(F.col("n") > SMALL)
     wide = wide.join(wide.groupBy("key").agg(F.count("*").alias("degree")), "key")
-    parts = wide.select(F.col("narrow").alias("bucket"), "key", "root")
-    few = parts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n").between(2, SMALL)).select("bucket")
-    link(likely(_pairs(left.where(F.col("n") <= SMALL)).unionByName(_pairs(parts.join(few, "bucket", "left_semi"))).unionByName(_stars(wide, 1, *FIRST)), drawn))
+    link(likely(_pairs(left.where(F.col("n") <= SMALL)).unionByName(_stars(wide, FIRST)), drawn))
     rest = now(wide.select("bucket", "key")).select("key", "root").distinct()
     link(_rest(stored(prefixes(texts.join(rest, "key"), weights, least)), least))
 
