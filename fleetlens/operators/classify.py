@@ -8,9 +8,10 @@ score = w_kw * keyword overlap + w_sim * text similarity + w_sys * same system +
 * the similarity (Ratcliff-Obershelp ratio, as ``difflib``) has no native
   equivalent: an Arrow ``pandas_udf`` scores each *distinct* normalised
   description against the taxonomy's standard descriptions, one block of the
-  catalogue at a time. ``ratio`` below is an exact re-implementation
+  catalogue at a time. ``Matcher`` below is an exact re-implementation
   whose inner search uses C-level ``str.find`` instead of a Python loop over
-  every character of a long text;
+  every character of a long text, and keeps what parts of standard descriptions
+  match: they share their words;
 * the best row needs few similarities: a row's score is bounded above by its keyword part, its bonuses and the
   characters that both texts share, so rows are scored from the highest bound down until no bound reaches the best
   score found (``best_candidates``; ties: first in system, component, mode order). ``candidates`` scores every
@@ -34,60 +35,80 @@ from ..functions.columns import normalize_text
 
 
 # ------------------------------------------------------------------ similarity
-def _longest(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
-    """difflib's find_longest_match without junk: the longest common block, earliest in a, then in b."""
-    lo, hi = 0, min(ahi - alo, bhi - blo)
-    best = (alo, blo, 0)
-    # the existence of a common block of length k is monotone in k: binary search the longest
-    while lo < hi:
-        k = (lo + hi + 1) // 2
-        found = None
-        for j in range(blo, bhi - k + 1):
-            i = a.find(b[j:j + k], alo, ahi)
-            if i >= 0 and (found is None or i < found[0]):
-                found = (i, j)
-        if found is None:
-            hi = k - 1
-        else:
-            lo = k
-            best = (found[0], found[1], k)
-    if best[2] == 0:
-        return alo, blo, 0
-    k = best[2]
-    # earliest in a, then earliest in b, among blocks of the maximal length
-    cand = None
-    for j in range(blo, bhi - k + 1):
-        i = a.find(b[j:j + k], alo, ahi)
-        if i >= 0 and (cand is None or (i, j) < cand):
-            cand = (i, j)
-    return cand[0], cand[1], k
+class Matcher:
+    """Ratcliff-Obershelp ratios of one text to many short ones.
+
+    What a part of a short text matches inside a span of the long text does not depend on the rest of the short text, so
+    it is kept: catalogue texts share their words, and each shared part is looked for once. Spans and parts come from
+    the catalogue's texts alone, so that the memory of a text's matches does not grow with the table."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at: dict[tuple[int, int], dict[str, int]] = {}
+        self.done: dict[tuple[int, int], dict[str, int]] = {}
+
+    def matched(self, part: str, lo: int, hi: int) -> int:
+        """Characters that difflib (without junk) matches between ``part`` and the text from ``lo`` to ``hi``."""
+        if not part or lo >= hi:
+            return 0
+        done = self.done.setdefault((lo, hi), {})
+        got = done.get(part)
+        if got is not None:
+            return got
+        at, find = self.at.setdefault((lo, hi), {}), self.text.find
+        size, i, j = 0, -1, 0  # the longest common block, earliest in the text, then in the part
+        n = len(part)
+        for start in range(n):
+            end = start + (size or 1)
+            if end > n:
+                break
+            piece = part[start:end]
+            pos = at.get(piece)
+            if pos is None:
+                pos = at[piece] = find(piece, lo, hi)
+            if pos < 0:
+                continue
+            if not size or pos < i:
+                size, i, j = end - start, pos, start
+            while end < n:
+                end += 1
+                piece = part[start:end]
+                pos = at.get(piece)
+                if pos is None:
+                    pos = at[piece] = find(piece, lo, hi)
+                if pos < 0:
+                    break
+                size, i, j = end - start, pos, start
+        if size:
+            size += self.matched(part[:j], lo, i) + self.matched(part[j + size:], i + size, hi)
+        done[part] = size
+        return size
+
+    def ratio(self, b: str) -> float:
+        """``SequenceMatcher(None, text, b).ratio()``."""
+        both = len(self.text) + len(b)
+        if both == 0:
+            return 1.0
+        if len(b) >= 200:  # difflib's automatic junk heuristic applies: defer to it
+            return SequenceMatcher(None, self.text, b).ratio()
+        return 2.0 * self.matched(b, 0, len(self.text)) / both
 
 
 def ratio(a: str, b: str) -> float:
     """``SequenceMatcher(None, a, b).ratio()`` for any a; exact re-implementation when b is short."""
-    la, lb = len(a), len(b)
-    if la + lb == 0:
-        return 1.0
-    if lb >= 200:  # difflib's automatic junk heuristic applies: defer to it
-        return SequenceMatcher(None, a, b).ratio()
-    matched = 0
-    queue = [(0, la, 0, lb)]
-    while queue:
-        alo, ahi, blo, bhi = queue.pop()
-        i, j, k = _longest(a, b, alo, ahi, blo, bhi)
-        if k:
-            matched += k
-            if alo < i and blo < j:
-                queue.append((alo, i, blo, j))
-            if i + k < ahi and j + k < bhi:
-                queue.append((i + k, ahi, j + k, bhi))
-    return 2.0 * matched / (la + lb)
+    return Matcher(a).ratio(b)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def similarity_udf(desc: pd.Series, stds: pd.Series) -> pd.Series:
-    """Arrow UDF: a description and standard descriptions -> the similarity to each of them."""
-    return pd.Series([[ratio(d or "", s) for s in std] for d, std in zip(desc, stds, strict=True)])
+    """Arrow UDF: a description and standard descriptions -> the similarity to each of them. The blocks of one description
+    follow each other and share its matcher."""
+    out, text = [], None
+    for d, std in zip(desc, stds, strict=True):
+        if text is None or text.text != (d or ""):
+            text = Matcher(d or "")
+        out.append([text.ratio(s) for s in std])
+    return pd.Series(out)
 
 
 # ------------------------------------------------------------------ catalogue
@@ -104,6 +125,10 @@ def catalogue(tax: DataFrame, modes: DataFrame) -> DataFrame:
 BLOCK = 256
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.50, 0.30, 0.10, 0.10),
                text_col: str = "descripcion_falla", id_col: str = "ot_id") -> DataFrame:
     """All candidates with a positive score, as rows: order, taxonomy row, score and hit words.
@@ -114,34 +139,39 @@ def candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float] = (0.
     w_kw, w_sim, w_sys, w_comp = weights
     o = orders.select(F.col(id_col).alias("oid"), normalize_text(text_col).alias("desc_norm"),
                       *[F.col(c) for c in ("sistema_actual", "componente_actual") if c in orders.columns])
-    # distinct descriptions are keyed by their SHA-256 so that joins and shuffles move 32 bytes, not the text
+    # distinct descriptions are keyed by their SHA-256 so that joins and shuffles move 32 bytes, not the text; they are few
+    # bytes for much work, so they are dealt over all shuffle partitions, which are not merged by their size
     o = o.withColumn("dkey", F.sha2("desc_norm", 256))
-    distinct = o.select("dkey", "desc_norm").dropDuplicates(["dkey"])
+    distinct = o.select("dkey", "desc_norm").repartition(_partitions(orders), "dkey").dropDuplicates(["dkey"])
     size = cat.count()
     n_blocks = max(1, -(-size // BLOCK))
-    row = F.struct("taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", F.size("keywords").alias("n_kw"),
+    # the keywords of an id, over all of its rows; a row without an id has no hits
+    by_id = cat.filter(F.col("taxonomia_id").isNotNull()).groupBy("taxonomia_id").agg(F.sort_array(F.flatten(F.collect_list("keywords"))).alias("words"))
+    row = F.struct("taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", F.size("keywords").alias("n_kw"), "words",
                    normalize_text("descripcion_estandar").alias("std"))
-    blocks = cat.groupBy(F.pmod(F.xxhash64("taxonomia_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(row).alias("rows"))
+    blocks = cat.join(by_id, "taxonomia_id", "left").groupBy(F.pmod(F.xxhash64("taxonomia_id"), F.lit(n_blocks)).cast("int").alias("block")) \
+        .agg(F.collect_list(row).alias("rows"))
     # a counted, small catalogue is broadcast; a larger one has blocks enough for a join on them
     blocks = F.broadcast(blocks) if size <= PASS else blocks
     asked = distinct.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
-    stds = F.transform("rows", lambda r: r["std"])
-    sims = asked.select("dkey", F.explode(F.arrays_zip(F.col("rows"), similarity_udf(F.col("desc_norm"), stds).alias("sim"))).alias("x"))
-    sims = sims.select("dkey", "x.rows.*", F.col("x.sim").alias("sim")).drop("std")
-    # keyword overlap: equi-join on the word
+    sims = asked.select("dkey", "block", similarity_udf(F.col("desc_norm"), F.transform("rows", lambda r: r["std"])).alias("sims"))
+    # keyword overlap: equi-join on the word; what meets the pairs is the keywords that a description has
     words = distinct.select("dkey", F.explode(F.array_distinct(F.split("desc_norm", " "))).alias("w"))
-    kws = cat.select("taxonomia_id", F.explode("keywords").alias("w"))
-    hits = words.join(kws, "w").groupBy("dkey", "taxonomia_id").agg(
-        F.count(F.lit(1)).alias("n_hit"), F.sort_array(F.collect_list("w")).alias("hit_words"))
-    j = o.drop("desc_norm").join(sims.join(hits, ["dkey", "taxonomia_id"], "left"), "dkey")
-    score = F.coalesce(F.col("n_hit"), F.lit(0)) / F.col("n_kw") * w_kw + F.col("sim") * w_sim
+    known = words.join(cat.select(F.explode("keywords").alias("w")).distinct(), "w").groupBy("dkey").agg(F.collect_list("w").alias("present"))
+    # the orders meet a block's similarities as one array: pairs are made last and never shuffled
+    j = o.drop("desc_norm").join(sims, "dkey").join(known, "dkey", "left").join(blocks, "block")
+    j = j.withColumn("x", F.explode(F.arrays_zip(F.col("rows"), F.col("sims").alias("sim")))).drop("rows", "sims")
+    j = j.select(*[c for c in j.columns if c not in ("x", "block")], "x.rows.*", F.col("x.sim").alias("sim")).drop("std")
+    present = F.coalesce("present", F.array().cast("array<string>"))
+    j = j.withColumn("hit_words", F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.array_contains(present, w)))
+    j = j.withColumn("n_hit", F.size("hit_words")).drop("words", "present")
+    score = F.col("n_hit") / F.col("n_kw") * w_kw + F.col("sim") * w_sim
     if "sistema_actual" in o.columns:
         score = score + F.when(normalize_text("sistema_actual") == normalize_text("sistema"), w_sys).otherwise(0.0)
     if "componente_actual" in o.columns:
         score = score + F.when(normalize_text("componente_actual") == normalize_text("componente"), w_comp).otherwise(0.0)
     return j.withColumn("score", score).filter(F.col("score") > 0).select(
-        F.col("oid").alias(id_col), "taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", "score",
-        F.coalesce("hit_words", F.array().cast("array<string>")).alias("hit_words"))
+        F.col("oid").alias(id_col), "taxonomia_id", "sistema", "componente", "id_modo_falla", "modo", "score", "hit_words")
 
 
 #: Catalogue rows that are sent to the tasks at once; a longer catalogue takes several passes.
@@ -187,11 +217,11 @@ class Bounded:
         sim = np.where(both > 0, 2.0 * common / np.maximum(both, 1), 1.0)
         # rounding must not push a bound below the score that it bounds
         bound = own + sim * w_sim + np.array([x + y for x, y in bonus]) + 1e-9
-        best, at, done = 0.0, -1, 0
+        best, at, done, text = 0.0, -1, 0, Matcher(desc)
         for i in np.argsort(-bound, kind="stable"):
             if bound[i] < best:
                 break
-            s = ratio(desc, self.stds[i]) * w_sim if w_sim else 0.0
+            s = text.ratio(self.stds[i]) * w_sim if w_sim else 0.0
             done += bool(w_sim)
             score = float(own[i]) + s
             score = score + bonus[i][0]
@@ -212,7 +242,7 @@ def best_candidates(orders: DataFrame, cat: DataFrame, weights: Sequence[float]
     actual = [c for c in ("sistema_actual", "componente_actual") if c in orders.columns]
     o = orders.select(F.col(id_col).alias("oid"), normalize_text(text_col).alias("desc_norm"), *[normalize_text(c).alias(c) for c in actual])
     o = o.withColumn("dkey", F.sha2(F.to_json(F.struct("desc_norm", *actual)), 256))
-    asked = o.drop("oid").dropDuplicates(["dkey"]).select("dkey", "desc_norm", *[F.col(c) if c in actual else F.lit(None).cast("string").alias(c)
+    asked = o.drop("oid").repartition(_partitions(orders), "dkey").dropDuplicates(["dkey"]).select("dkey", "desc_norm", *[F.col(c) if c in actual else F.lit(None).cast("string").alias(c)
                                                                                for c in ("sistema_actual", "componente_actual")])
     order = ["sistema", "componente", "id_modo_falla", "taxonomia_id", "modo"]
     rows = cat.select(*order, "keywords", normalize_text("descripcion_estandar").alias("std"), normalize_text("sistema").alias("_sys"),
