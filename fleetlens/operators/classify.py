@@ -315,7 +315,8 @@ def route(classified: DataFrame, scored: DataFrame | None = None, min_conf: floa
     review = classified.filter(~ok).select(id_col, "confianza", F.col("taxonomia_id").alias("mejor"))
     if scored is not None:
         offered = scored.select(id_col, F.col("taxonomia_id").alias("candidato"), F.round("score", 12).alias("score_candidato"))
-        review = review.join(offered, id_col, "left")
+        # the pairs compress to few bytes on disk: by that size they would be sent whole to every task
+        review = review.join(offered.hint("merge"), id_col, "left")
     return events, review
 
 

@@ -1,5 +1,6 @@
 """Steps whose cost must not outgrow their input: what they share, fold or keep small, and that results stay the same."""
 
+import random
 from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetlens.operators import classify as C
+from fleetlens.operators import parts as D
 
 
 @settings(max_examples=150, deadline=None)
@@ -39,3 +41,65 @@ def test_candidates_of_repeated_ids_words_and_texts(spark):
     assert got == Counter((o, "t1", c, 3 / n, ("leak", "oil", "oil")) for o in ("o1", "o2") for c, n in (("a", 2), ("b", 1)))
     pairs = C.candidates(orders, cat, (0.0, 1.0, 0.0, 0.0))
     assert pairs.filter(F.col("ot_id") != "o3").count() == 6
+
+
+def test_review_queue_never_broadcasts_the_pairs(spark, tmp_path):
+    spark.range(50_000).selectExpr("cast(id div 150 as string) ot_id", "'t' taxonomia_id", "0.1D score").write.parquet(f"{tmp_path}/p")
+    done = spark.range(400).selectExpr("cast(id as string) ot_id", "0.2D confianza", "'t' taxonomia_id")
+    review = C.route(done, spark.read.parquet(f"{tmp_path}/p"))[1]
+    assert review.count() == 50_000 + 400 - -(-50_000 // 150)
+    assert "Broadcast" not in review._jdf.queryExecution().executedPlan().toString()
+
+
+def _parts_tables(spark, n=300):
+    """Orders, events, parts and assets with repeated and null keys."""
+    rnd = random.Random(3)
+    some = lambda xs: rnd.choice([*xs, None])
+    orders = [str(i) for i in range(40)]
+    ot = spark.createDataFrame([(some(orders), some("ab"), rnd.choice(["correctiva", "Emergency", "otra"])) for _ in range(80)], "ot_id string, activo_id string, tipo_ot string")
+    ev = spark.createDataFrame([(some(orders), some("xyz")) for _ in range(n)], "ot_id string, taxonomia_id string")
+    tax = spark.createDataFrame([("x", "Motor"), ("y", "motor"), ("y", "Motor"), ("z", None), ("z", " ")], "taxonomia_id string, sistema string")
+    rc = spark.createDataFrame([(some(orders), some(["S1", "S2", " "]), some([1.0, 2.5])) for _ in range(n)], "ot_id string, sku string, cantidad double")
+    a = spark.createDataFrame([("a", "m", "n"), ("a", "m", "n"), ("b", "m", "o"), ("b", None, "o")], "activo_id string, marca string, modelo string")
+    return ot, ev, tax, rc, a
+
+
+def test_parts_joins_equal_the_plain_fan_out(spark):
+    ot, ev, tax, rc, a = _parts_tables(spark)
+    key = ["marca", "modelo", "sistema", "sku"]
+    j = ot.join(ev, "ot_id").join(tax, "taxonomia_id").join(rc, "ot_id").join(a, "activo_id")
+    j = j.filter("marca is not null and modelo is not null and trim(sistema) <> '' and trim(sku) <> '' and cantidad is not null")
+    plain = j.groupBy(*key).agg(F.sum("cantidad"), F.count(F.lit(1)), F.countDistinct("ot_id"))
+    got = D.consumption_map(ot, ev, tax, rc, a).drop("cantidad_promedio")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() > 3
+    cs = ot.filter("tipo_ot <> 'otra'").join(ev, "ot_id").join(tax, "taxonomia_id").selectExpr("ot_id", "lower(sistema) sistema").distinct()
+    plain = cs.join(rc.filter("sku is not null"), "ot_id").groupBy("sistema", "sku").agg(F.sum("cantidad") / F.countDistinct("ot_id"))
+    rows = lambda df: sorted(((*r[:2], None if r[2] is None else round(r[2], 9)) for r in df.collect()), key=str)
+    assert rows(D.use_per_corrective(rc, ot, ev, tax)) == rows(plain)
+
+
+def test_parts_joins_have_tasks_in_proportion_to_the_lines(spark, monkeypatch):
+    ot, ev, tax, rc, a = _parts_tables(spark)
+    monkeypatch.setattr(D, "LINES_PER_TASK", 5)
+    plan = D.consumption_map(ot, ev, tax, rc, a)._jdf.queryExecution().optimizedPlan().toString()
+    lines = rc.filter("trim(sku) <> '' and cantidad is not null").count()
+    assert f"RepartitionByExpression [ot_id#" in plan and f", {-(-lines // 5)}" in plan  # noqa: F541
+    assert "count(distinct" not in D.use_per_corrective(rc, ot, ev, tax)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interventions_meet_only_the_best_parts(spark):
+    """Repeated assets, folded names and ties: the first three parts are those of the whole join, over few joined rows."""
+    inter = spark.createDataFrame([("P1", "Motor", 1), ("P2", "freno", 1), ("P3", None, 1), ("P4", "motor", 0)], "patente string, sistema string, h30 int")
+    inter = inter.selectExpr("*", "'t' tipo", "'P1_critica' urgencia", "1.0D costo_estimado", "2.0D costo_no_intervenir")
+    a = spark.createDataFrame([("p1", "M", "o"), ("P1", "m", "O"), ("P1", "m", "x"), ("P2", "M", "o")], "patente string, marca string, modelo string")
+    csm = spark.range(5000).selectExpr("if(id % 2 = 0, 'm', 'M') marca", "if(id % 3 = 0, 'o', 'X') modelo", "if(id % 5 = 0, 'FRENO', 'motor') sistema",
+                                       "cast(id % 900 as string) sku", "cast(id % 7 as double) cantidad_promedio")
+    rm = spark.range(850).selectExpr("cast(id % 800 as string) sku", "if(id % 11 = 0, null, 'd' || id % 13) descripcion")
+    got = D.interventions_with_parts(inter, a, csm, rm)
+    j = inter.filter("h30 = 1").alias("i").join(a.alias("a"), F.expr("lower(i.patente) = lower(a.patente)")) \
+        .join(csm.alias("c"), F.expr("lower(a.marca) = lower(c.marca) and lower(a.modelo) = lower(c.modelo) and lower(i.sistema) = lower(c.sistema)")) \
+        .join(rm.filter("descripcion is not null").alias("r"), F.expr("c.sku = r.sku")).selectExpr("i.patente", "cantidad_promedio q", "descripcion d", "c.sku")
+    rows = sorted(j.collect(), key=lambda r: (-r.q, r.d, r.sku))
+    best = {p: ", ".join([r.d for r in rows if r.patente == p][:3]) or "N/A" for p in ("P1", "P2", "P3")}
+    assert {r.patente: r.repuestos_sugeridos for r in got.collect()} == best
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()") == 2
