@@ -5,12 +5,14 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetlens.operators import classify as C
 from fleetlens.operators import parts as D
+from fleetlens.operators.joins import salted_join
 
 
 @settings(max_examples=150, deadline=None)
@@ -103,3 +105,14 @@ def test_interventions_meet_only_the_best_parts(spark):
     best = {p: ", ".join([r.d for r in rows if r.patente == p][:3]) or "N/A" for p in ("P1", "P2", "P3")}
     assert {r.patente: r.repuestos_sugeridos for r in got.collect()} == best
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()") == 2
+
+
+@pytest.mark.parametrize("n_left, n_right", [(3, 2000), (2000, 3), (60, 60)])
+def test_salted_join_is_dealt_by_the_rows_it_makes(spark, n_left, n_right):
+    """One key makes nearly all rows: whichever side is larger, no partition holds much more than its share, and no row is lost or added."""
+    left = spark.range(n_left).selectExpr("'k' k", "id").unionByName(spark.createDataFrame([("none", -1), (None, -2)], "k string, id long"))
+    right = spark.range(n_right).selectExpr("'k' k", "id r").unionByName(spark.createDataFrame([("other", -1), (None, -2)], "k string, r long"))
+    got = salted_join(left, right, "k", "id", 100)
+    assert Counter(map(tuple, got.select("k", "id", "r").collect())) == Counter(map(tuple, left.join(right, "k", "left").select("k", "id", "r").collect()))
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < n_left * n_right / 4
