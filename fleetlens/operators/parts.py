@@ -36,6 +36,18 @@ def order_parts(lines: DataFrame) -> int:
     return max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // LINES_PER_TASK))
 
 
+#: Rows of one task of the consumption map, which are nearly as many groups.
+MAP_ROWS_PER_TASK = 500_000
+
+
+def map_parts(events: DataFrame, lines: DataFrame, n: int) -> int:
+    """Partitions in proportion to the rows that events and parts of the same orders make, counted by order in ``n`` tasks and not made."""
+    ids = events.selectExpr("ot_id", "1 AS _a", "0 AS _b").unionByName(lines.selectExpr("ot_id", "0 AS _a", "1 AS _b"))
+    orders = by_order(ids, n).groupBy("ot_id").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    made = orders.agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0  # one row
+    return max(n, -int(-made // MAP_ROWS_PER_TASK))
+
+
 def by_order(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "ot_id")
 
@@ -60,9 +72,12 @@ def consumption_map(ot: DataFrame, ev: DataFrame, tax: DataFrame, rc: DataFrame,
     used = by_order(p, n).groupBy("ot_id", "sku").agg(F.sum(F.col("cantidad").cast("decimal(38,4)")).alias("_q"), F.count(F.lit(1)).alias("_n"))
     j = events.join(models.hint("merge"), "ot_id").join(used.hint("merge"), "ot_id")
     times = F.col("_e") * F.col("_o")
-    return j.groupBy("marca", "modelo", "sistema", "sku").agg(
-        F.sum(F.col("_q") * times).cast("double").alias("cantidad_total"),
-        F.sum(F.col("_n") * times).alias("num_registros_analizados"),
+    # there are nearly as many groups as rows, so the rows are dealt to as many tasks as they need before they are grouped
+    key = ["marca", "modelo", "sistema", "sku"]
+    j = j.select(*key, (F.col("_q") * times).alias("_q"), (F.col("_n") * times).alias("_n")).repartition(map_parts(e, p, n), *key)
+    return j.groupBy(*key).agg(
+        F.sum("_q").cast("double").alias("cantidad_total"),
+        F.sum("_n").alias("num_registros_analizados"),
         F.count(F.lit(1)).alias("frecuencia_fallos_historico"),
     ).withColumn("cantidad_promedio", F.col("cantidad_total") / F.col("num_registros_analizados"))
 
@@ -168,7 +183,8 @@ def projected_demand(sr: DataFrame, a: DataFrame, csm: DataFrame, rm: DataFrame,
     # (brand, model, system) group and join the groups, not every asset, to the consumption map
     groups = ap.groupBy("marca", "modelo", F.col("sistema_en_riesgo").alias("sistema")).agg(F.count(F.lit(1)).alias("_n"))
     c = csm.select("marca", "modelo", "sistema", "sku", "cantidad_promedio")
-    j = groups.join(c, ["marca", "modelo", "sistema"])
+    # the few groups are hashed, so the map, which is many times larger, passes by without being sorted
+    j = groups.hint("shuffle_hash").join(c, ["marca", "modelo", "sistema"])
     g = j.groupBy("sku").agg(F.sum(F.col("cantidad_promedio").cast("decimal(38,6)") * F.col("_n")).alias("_tot"))
     out = g.join(rm.select("sku", "descripcion", "stock_actual", "lead_time_dias_promedio", "criticidad"), "sku", "left") \
         .join(hist.select("sku", F.col("consumo_promedio_mensual").alias("demanda_historico")), "sku", "left")

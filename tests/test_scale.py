@@ -89,6 +89,31 @@ def test_parts_joins_have_tasks_in_proportion_to_the_lines(spark, monkeypatch):
     assert "count(distinct" not in D.use_per_corrective(rc, ot, ev, tax)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_consumption_map_is_grouped_in_tasks_in_proportion_to_its_rows(spark, monkeypatch):
+    ot, ev, tax, rc, a = _parts_tables(spark)
+    monkeypatch.setattr(D, "MAP_ROWS_PER_TASK", 20)
+    e = ev.join(tax.filter("trim(sistema) <> ''"), "taxonomia_id")
+    made = e.join(rc.filter("trim(sku) <> '' and cantidad is not null"), "ot_id").count()
+    plan = D.consumption_map(ot, ev, tax, rc, a)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("RepartitionByExpression")[1].splitlines()[0]
+    assert "marca" in top and top.endswith(f", {-(-made // 20)}") and made > 200
+
+
+def test_demand_does_not_sort_the_consumption_map(spark):
+    sr = spark.createDataFrame([("a", "P1_critica", "x"), ("b", "P2_alta", "x"), ("b", "P4_baja", "y")], "activo_id string, prioridad string, sistema_en_riesgo string")
+    a = spark.createDataFrame([("a", "m", "n"), ("b", "m", "n")], "activo_id string, marca string, modelo string")
+    csm = spark.range(6).selectExpr("'m' marca", "'n' modelo", "if(id < 4, 'x', 'y') sistema", "cast(id % 3 as string) sku", "cast(id as double) cantidad_promedio")
+    rm = spark.createDataFrame([], "sku string, descripcion string, stock_actual double, lead_time_dias_promedio double, criticidad string")
+    got = D.projected_demand(sr, a, csm, rm, spark.createDataFrame([], "sku string, consumo_promedio_mensual double"))
+    assert {r.sku: r.demanda_prediccion for r in got.collect()} == {"0": 6.0, "1": 2.0, "2": 4.0}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.projected_demand(sr, a, csm, rm, spark.createDataFrame([], "sku string, consumo_promedio_mensual double"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ShuffledHashJoin") == 1
+
+
 def test_interventions_meet_only_the_best_parts(spark):
     """Repeated assets, folded names and ties: the first three parts are those of the whole join, over few joined rows."""
     inter = spark.createDataFrame([("P1", "Motor", 1), ("P2", "freno", 1), ("P3", None, 1), ("P4", "motor", 0)], "patente string, sistema string, h30 int")
