@@ -23,6 +23,8 @@ FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER, SYMBOLS = 50, 65, 5, "#$%&*|"
 #: Bytes of text in a shard, one row at least.
 SHARD = 4 << 20
+#: Shards that a task holds at once when it stores them or reads them back.
+SHARDS_HELD = 4
 #: Buckets that words are packed by, and the bits of a word's hash that are its id.
 BUCKETS, MASK = 8192, 2**63 - 1
 
@@ -93,16 +95,16 @@ def matrix(docs: DataFrame, mask: int = MASK) -> tuple[DataFrame, DataFrame]:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"shard long, doc_id array<{kind}>, part array<string>, text_sha array<binary>, bits array<int>, starts array<int>, columns array<int>, times array<int>, ids array<long>, packed array<struct<bucket:int,words:string>>"
-    shards = stored(docs.mapInArrow(_shards(mask), schema))
+    shards = stored(docs.mapInArrow(_shards(mask), schema), SHARDS_HELD)
     packed = shards.select(F.inline("packed")).repartition("bucket")
     words = packed.select("bucket", F.explode(F.split("words", " ")).alias("word")).withColumn("id", F.xxhash64("word").bitwiseAND(F.lit(mask)))
     # both groupings lie inside a bucket and need no further exchange
     words = words.groupBy("bucket", "id", "word").agg(F.lit(1).alias("n"))
-    shared = words.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id")
+    shared = stored(words.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id"))
+    if shared.isEmpty():
+        return shards.drop("packed"), words.select("word", "id")
     clashes = stored(words.join(shared, ["bucket", "id"]).select("word", (-1 - F.monotonically_increasing_id()).alias("own")))
     dictionary = words.join(clashes, "word", "left").select("word", F.coalesce("own", "id").alias("id"))
-    if clashes.isEmpty():
-        return shards.drop("packed"), dictionary
     local = shards.select("shard", F.posexplode(F.split(F.array_join("packed.words", " "), " ")).alias("column", "word"))
     own = local.join(clashes, "word").groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("column", "own"))).alias("own"))
     ids = F.when(F.col("own").isNull(), F.col("ids")).otherwise(F.transform("ids", lambda x, k: F.coalesce(F.try_element_at("own", k), x)))
@@ -111,22 +113,26 @@ def matrix(docs: DataFrame, mask: int = MASK) -> tuple[DataFrame, DataFrame]:
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of CSR shards with their row sums and counts of nonzero columns."""
+
+    def one(got: dict[str, pa.Array]) -> pa.RecordBatch:
+        starts, times = got["starts"].to_numpy(), got["times"].to_numpy()
+        total = np.concatenate(([0], np.cumsum(times, dtype=np.int64)))
+        if len(times):
+            row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            ids = got["ids"].to_numpy()[got["columns"].to_numpy()]
+            order = np.lexsort((ids, row))
+            row, ids = row[order], ids[order]
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])))
+            different = np.bincount(row[new], minlength=len(starts) - 1)
+        else:
+            different = np.zeros(len(starts) - 1, np.int64)
+        sums = [pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(different.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*(got[c] for c in (*_META, "bits")), *sums], names=[*_META, "bits", "n_words", "n_distinct"])
+
     for batch in batches:
         for i in range(batch.num_rows):
-            got = {c: batch.column(c)[i].values for c in batch.schema.names if c != "shard"}
-            starts, times = got["starts"].to_numpy(), got["times"].to_numpy()
-            total = np.concatenate(([0], np.cumsum(times, dtype=np.int64)))
-            if len(times):
-                row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                ids = got["ids"].to_numpy()[got["columns"].to_numpy()]
-                order = np.lexsort((ids, row))
-                row, ids = row[order], ids[order]
-                new = np.concatenate(([True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])))
-                different = np.bincount(row[new], minlength=len(starts) - 1)
-            else:
-                different = np.zeros(len(starts) - 1, np.int64)
-            sums = [pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(different.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*(got[c] for c in (*_META, "bits")), *sums], names=[*_META, "bits", "n_words", "n_distinct"])
+            yield one({c: batch.column(c)[i].values for c in batch.schema.names if c != "shard"})
+        del batch  # before the next one comes: they are of tens of megabytes
 
 
 def _bit(letter: str) -> int:

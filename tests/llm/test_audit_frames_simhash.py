@@ -6,6 +6,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -221,3 +222,13 @@ def test_trie_walk_is_exact():
 
 def test_long_text_has_every_shingle():
     assert simhash.fingerprints(pa.array([LONG])).tolist() == [plain_fingerprint(LONG)]
+
+
+def test_few_shards_are_held_at_once(spark):
+    """Shards of megabytes: their stored rows are read back in groups of a few, not a file at a time."""
+    docs = spark.range(7).selectExpr("id doc_id", "'p' part", "unhex(sha2(string(id), 256)) text_sha", "concat(id, ' ', repeat('one two three ', 300000)) text").coalesce(1)
+    shards, dictionary = audit.matrix(docs)
+    assert shards.count() == 7 and {r.word for r in dictionary.collect()} == {*map(str, range(7)), "one", "two", "three"}
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in shards.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == 7 and max(groups) <= audit.SHARDS_HELD
