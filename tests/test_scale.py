@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import classify as C
 from fleetlens.operators import parts as D
+from fleetlens.operators import joins
 from fleetlens.operators.joins import salted_join
 
 
@@ -141,3 +142,23 @@ def test_salted_join_is_dealt_by_the_rows_it_makes(spark, n_left, n_right):
     assert Counter(map(tuple, got.select("k", "id", "r").collect())) == Counter(map(tuple, left.join(right, "k", "left").select("k", "id", "r").collect()))
     most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < n_left * n_right / 4
+
+
+@pytest.mark.parametrize("n_left, n_right", [(3000, 3000), (3000, 40)])
+def test_salted_join_copies_few_rows(spark, n_left, n_right):
+    """Both sides are cut: the copies do not grow with a whole side for each task, and every pair meets in one tile."""
+    left, right = spark.range(n_left).selectExpr("'k' k", "id"), spark.range(n_right).selectExpr("'k' k", "id r")
+    lhs, rhs = joins.tiled(left, right, "k", "id", 10_000, ())
+    tiles = n_left * n_right / 10_000
+    assert lhs.count() + rhs.count() < 4 * (n_left + n_right) * max(1, tiles ** 0.5) and lhs.rdd.getNumPartitions() >= tiles
+    pairs = salted_join(left, right, "k", "id", 10_000)
+    assert pairs.count() == n_left * n_right == pairs.distinct().count()
+
+
+def test_salted_join_has_a_bounded_number_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_TILES", 50)
+    left, right = spark.range(500).selectExpr("'k' k", "id"), spark.range(300).selectExpr("'k' k", "id r")
+    lhs, rhs = joins.tiled(left, right, "k", "id", 10, ())
+    most = max(50, 8 * spark.sparkContext.defaultParallelism)
+    assert lhs.rdd.getNumPartitions() <= 2 * most and rhs.select("_salt").distinct().count() > most / 4
+    assert salted_join(left, right, "k", "id", 10).count() == 500 * 300
