@@ -80,6 +80,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_
     return res.select("_l.*", *[F.when(ok, F.col(f"_best._c_{c}")).alias(c) for c in right_cols])
 
 
+def may_broadcast(df: DataFrame) -> bool:
+    """Whether the files of a stored table are within the session's threshold for broadcasts."""
+    state = df.sparkSession._jsparkSession.sessionState()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= state.conf().autoBroadcastJoinThreshold()
+
+
 #: Tiles of a salted join at most, or eight for each core.
 MOST_TILES = 2_000
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.columns import intervention_type, intervention_type_by_probability, is_corrective, priority_rank, \
     py_round, sku_ok, system_list
+from ..session import stored
 from .common import latest_order, latest_score
-from .joins import salted_join
+from .joins import may_broadcast, salted_join
 from .panels import ago_ts, order_system
 from .windows import distributed_row_number, latest_per_key, top_n_per_key
 
@@ -183,8 +184,10 @@ def projected_demand(sr: DataFrame, a: DataFrame, csm: DataFrame, rm: DataFrame,
     # (brand, model, system) group and join the groups, not every asset, to the consumption map
     groups = ap.groupBy("marca", "modelo", F.col("sistema_en_riesgo").alias("sistema")).agg(F.count(F.lit(1)).alias("_n"))
     c = csm.select("marca", "modelo", "sistema", "sku", "cantidad_promedio")
-    # the few groups are hashed, so the map, which is many times larger, passes by without being sorted
-    j = groups.hint("shuffle_hash").join(c, ["marca", "modelo", "sistema"])
+    # the few groups are stored and measured: where they may be broadcast, the map, which is many times larger, stays where it is; else
+    # they are hashed, so that it is not sorted
+    groups = stored(groups)
+    j = groups.hint("broadcast" if may_broadcast(groups) else "shuffle_hash").join(c, ["marca", "modelo", "sistema"])
     g = j.groupBy("sku").agg(F.sum(F.col("cantidad_promedio").cast("decimal(38,6)") * F.col("_n")).alias("_tot"))
     out = g.join(rm.select("sku", "descripcion", "stock_actual", "lead_time_dias_promedio", "criticidad"), "sku", "left") \
         .join(hist.select("sku", F.col("consumo_promedio_mensual").alias("demanda_historico")), "sku", "left")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.columns import priority
-from ..session import scratch_path, stored
+from ..session import scratch_path, shuffles_dropped, stored
 
 AS_OF = vocab.FIXTURE_AS_OF
 AS_OF_TS = dt.datetime.combine(AS_OF, dt.time())
@@ -116,7 +116,8 @@ class Fleet:
             self._root = scratch_path(self.spark, f"fleet-{uuid.uuid4().hex}")
         df = type(self).__dict__[name].func(self)  # the lazy definition behind the cached_property
         path = f"{self._root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
     def store_all(self, parallel: int = 4, counts: bool = False) -> dict[str, int]:

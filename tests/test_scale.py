@@ -162,3 +162,30 @@ def test_salted_join_has_a_bounded_number_of_tiles(spark, monkeypatch):
     most = max(50, 8 * spark.sparkContext.defaultParallelism)
     assert lhs.rdd.getNumPartitions() <= 2 * most and rhs.select("_salt").distinct().count() > most / 4
     assert salted_join(left, right, "k", "id", 10).count() == 500 * 300
+
+
+def test_demand_leaves_the_consumption_map_where_it_is(spark):
+    """The groups are few and measured, so the stored map is not shuffled for them."""
+    sr = spark.createDataFrame([("a", "P1_critica", "x")], "activo_id string, prioridad string, sistema_en_riesgo string")
+    a = spark.createDataFrame([("a", "m", "n")], "activo_id string, marca string, modelo string")
+    csm = spark.range(6).selectExpr("'m' marca", "'n' modelo", "'x' sistema", "cast(id % 3 as string) sku", "cast(id as double) cantidad_promedio")
+    rm = spark.createDataFrame([], "sku string, descripcion string, stock_actual double, lead_time_dias_promedio double, criticidad string")
+    got = D.projected_demand(sr, a, csm, rm, spark.createDataFrame([], "sku string, consumo_promedio_mensual double"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and "hashpartitioning(marca" not in plan
+    assert {r.sku: r.demanda_prediccion for r in got.collect()} == {"0": 3.0, "1": 5.0, "2": 7.0}
+
+
+def test_stored_fleet_tables_leave_no_shuffle_files(spark):
+    """A table that is written once and read back keeps nothing of its shuffles, and the session's setting comes back."""
+    from fleetlens.session import shuffles_dropped
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = lambda: {b for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    before, df = len(blocks()), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    with shuffles_dropped(spark):
+        with shuffles_dropped(spark):
+            pass
+        assert spark.conf.get(name) == "true" and len(df.collect()) == 7
+    assert spark.conf.get(name) == "false" and len(blocks()) <= before
+    assert len(df.collect()) == 7
