@@ -1,6 +1,7 @@
 """Steps whose cost must not outgrow their input: what they share, fold or keep small, and that results stay the same."""
 
 import random
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
@@ -176,19 +177,23 @@ def test_demand_leaves_the_consumption_map_where_it_is(spark):
     assert {r.sku: r.demanda_prediccion for r in got.collect()} == {"0": 3.0, "1": 5.0, "2": 7.0}
 
 
-def test_stored_fleet_tables_leave_no_shuffle_files(spark):
+def test_stored_fleet_tables_leave_no_shuffle_files(spark, tmp_path):
     """A table that is written once and read back keeps nothing of its shuffles, and the session's setting comes back."""
     from fleetlens.session import shuffles_dropped
 
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    blocks = lambda: {b for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
-    before, df = len(blocks()), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    blocks = lambda: {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    before, df = blocks(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     with shuffles_dropped(spark):
         with shuffles_dropped(spark):
             pass
-        assert spark.conf.get(name) == "true" and len(df.collect()) == 7
-    assert spark.conf.get(name) == "false" and len(blocks()) <= before
-    assert len(df.collect()) == 7
+        assert spark.conf.get(name) == "true"
+        df.write.parquet(f"{tmp_path}/t")
+    until = time.time() + 20
+    while blocks() - before and time.time() < until:  # they are removed beside the query
+        time.sleep(0.2)
+    assert spark.conf.get(name) == "false" and not blocks() - before
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 7 == df.count()
 
 
 def test_panel_rows_are_dealt_in_whole_rounds_of_tasks(spark, monkeypatch):
